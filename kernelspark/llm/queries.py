@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernelspark.llm import mixing, packing, tokenbin
+from kernelspark.llm import mixing, ngram_join, packing, passages, quality, tokenbin
 from kernelspark.llm._util import documents
 
 
@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(documents(spark, sf_dir))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(documents(spark, sf_dir), tokenizer_path())
 
@@ -25,13 +33,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path()).drop("source", "ids")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_files, op7_packing, op10_mixing)}
+    return {f.__name__: f for f in (op2_passages, op3_ngram_join, op6_token_files, op7_packing, op8_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE.replace("{docs}", "documents")}
+    return {
+        "op3_ngram_join": ngram_join.ORACLE.replace("{docs}", "documents"),
+        "op8_quality": quality.ORACLE.replace("{docs}", "documents"),
+        "op10_mixing": mixing.ORACLE.replace("{docs}", "documents"),
+    }

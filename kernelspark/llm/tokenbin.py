@@ -70,7 +70,11 @@ class Encoder:
         """The ids of one pre-token."""
         got = self.known.get(word)
         if got is None:
-            tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            if word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+                letters = self.letters[32] + word[1:] if word[0] == " " else word
+            else:
+                letters = word.encode().decode("latin-1").translate(self.letters)
+            tokens = self.tokenizer.model.tokenize(letters)
             got = array(self.dtype.char, [t.id for t in tokens]).tobytes()
             if len(word) <= KEEP_CHARS:
                 self.known[word] = got
