@@ -102,7 +102,7 @@ def _near(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argpartition(d, n - 1, axis=1)[:, :n]
 
 
-def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, probe: float = 0.35, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, probe: float = 0.65, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by Euclidean distance, ties to the smaller id.
 
     is_query: SQL condition that picks the queries; probe: share of the lists a

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernelspark.llm import mixing, ngram_join, packing, passages, quality, tokenbin
+from kernelspark.llm import ann, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
 from kernelspark.llm._util import documents
 
 
@@ -25,6 +25,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(documents(spark, sf_dir), tokenizer_path())
 
@@ -37,17 +45,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_passages, op3_ngram_join, op6_token_files, op7_packing, op8_quality, op10_mixing)}
+    return {f.__name__: f for f in (op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_ngram_join": ngram_join.ORACLE.replace("{docs}", "documents"),
+        "op4_warc": warc.ORACLE.replace("{pages}", "pages"),
         "op8_quality": quality.ORACLE.replace("{docs}", "documents"),
         "op10_mixing": mixing.ORACLE.replace("{docs}", "documents"),
     }
