@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernelspark.llm import ann, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
+from kernelspark.llm import ann, langid, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
 from kernelspark.llm._util import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing)}
+    return {f.__name__: f for f in (op1_language, op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
