@@ -194,7 +194,7 @@ def expression(tag: Tag) -> list:
 
 
 def rules(wrapper: list, pages: int) -> dict:
-    """What extraction needs of a wrapper: paths of the article's regions and of constant texts in it."""
+    """What extraction needs of a wrapper: paths of the article's regions, and paths and values of constant texts in it that are not of a repeated item."""
     mass: dict[str, int] = {}
     found: list[str] = []
     constant: list[str] = []
@@ -203,26 +203,26 @@ def rules(wrapper: list, pages: int) -> dict:
         name, _, mark = key.partition(".")
         return Tag(name, mark).dropped or name == "header"
 
-    def walk(items: list, path: str, inside: bool) -> int:
+    def walk(items: list, path: str, inside: bool, many: bool) -> int:
         total = 0
         for key, quant, n, value, body in items:
             if key == "#":
                 varies = value is None or n < max(2, pages)
                 total += body if varies or pages < SUPPORT else 0
-                if inside and quant in "1?" and value is not None and n >= SUPPORT and 10 * n >= 9 * pages and not re.search(r"/h[1-6][^/]*$", path):
-                    constant.append(path)
+                if inside and not many and quant == "1" and value is not None and n >= SUPPORT and 10 * n >= 9 * pages and not re.search(r"/h[1-6][^/]*$", path):
+                    constant.append(f"{path}\t{value}")
             elif key[0] == "(":
-                total += walk(body, path, inside)
+                total += walk(body, path, inside, True)
             elif not drop(key):
                 at, name = f"{path}/{key}", key.partition(".")[0]
                 main = not inside and (name in ("article", "main") or "articleBody" in key)
                 if main:
                     found.append(at)
-                total += walk(body, at, inside or main)
+                total += walk(body, at, inside or main, many or quant in "+*")
         mass[path] = mass.get(path, 0) + total
         return total
 
-    every = walk(wrapper, "", False)
+    every = walk(wrapper, "", False, False)
     if found:
         articles = [f for f in found if f.rpartition("/")[2].startswith("article")]
         found = articles or found
@@ -241,7 +241,7 @@ def text_of(page: Tag, rule: dict | None) -> str:
     def walk(tag: Tag, path: str, inside: bool) -> None:
         for k in tag.kids:
             if isinstance(k, str):
-                if inside and path not in constant:
+                if inside and f"{path}\t{k}" not in constant:
                     blocks.append(k)
             elif not k.dropped and not (k.name == "header" and not inside):
                 at = f"{path}/{k.key}"
