@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E6C63D0876A9A3B)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
