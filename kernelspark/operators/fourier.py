@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from kernelspark.functions.kernels import Grid
 
@@ -27,6 +28,12 @@ def dims_of(df: DataFrame) -> list[str]:
     return sorted(c for c in df.columns if len(c) == 2 and c[0] == "x" and c[1].isdigit())
 
 
+def extended(df: DataFrame, **more: str) -> StructType:
+    """The schema of df with more columns of these types."""
+    new = [StructField(c, ArrayType(DoubleType()) if t == "array<double>" else IntegerType() if t == "int" else DoubleType()) for c, t in more.items()]
+    return StructType([*df.schema.fields, *new])
+
+
 def phase(dims: list[str], scale: float, modes: list[str]) -> Column:
     """2 pi h <j, x>; a sum in order of the dimensions."""
     out = F.lit(0.0)
@@ -135,7 +142,7 @@ def type2_arrow(points: DataFrame, f: np.ndarray, scale: float, block: int = 204
     dims = dims_of(points)
     m = (f.shape[0] - 1) // 2
     shared = points.sparkSession.sparkContext.broadcast(f)
-    schema = points.select(*[c for c in points.columns if c != "value"]).schema.add("value", "double")
+    schema = extended(points.drop("value"), value="double")
 
     def each(batches):
         for b in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kernelspark.functions.kernels import Grid, Kernel, choose_grid
 from kernelspark.operators import solvers
-from kernelspark.operators.fourier import System, _powers, dims_of, statistics, type2_arrow
+from kernelspark.operators.fourier import System, _powers, dims_of, extended, statistics, type2_arrow
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ class Model:
         shared = targets.sparkSession.sparkContext.broadcast((root, f))
         dims = dims_of(targets)
         kept = targets.withColumns({f"__{c}": F.col(c) for c in dims})
-        schema = kept.schema.add("mean", "double").add("var", "double")
+        schema = extended(kept, mean="double", var="double")
 
         def each(batches):
             root, f = shared.value
@@ -202,9 +202,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _against(targets: DataFrame, x: np.ndarray, columns: dict[str, np.ndarray], kernel, extra=None) -> DataFrame:
     """targets with columns k(target, x) @ v: a map over rows, x and v broadcast."""
     shared = targets.sparkSession.sparkContext.broadcast((x, columns, extra))
-    dims, schema = dims_of(targets), targets.schema
-    for c in [*columns, *(["var"] if extra is not None else [])]:
-        schema = schema.add(c, "double")
+    dims = dims_of(targets)
+    schema = extended(targets, **dict.fromkeys([*columns, *(["var"] if extra is not None else [])], "double"))
 
     def each(batches):
         x, cols, half = shared.value

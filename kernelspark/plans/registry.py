@@ -1,15 +1,538 @@
-"""Named queries with their SQL, collected from the modules of this package."""
+"""Named queries with their DuckDB SQL. Every query reads its whole tables.
+
+Values are rounded to six decimals on both sides.  Where an iteration has no
+SQL of its own, the oracle takes another road to the same number: a solve is
+checked by Gauss-Jordan elimination unrolled into one statement.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kernelspark.functions import kernels as K
+from kernelspark.operators import analytics as A
+from kernelspark.operators import gp, machine, solvers
+from kernelspark.operators import fourier as T
+from kernelspark.operators import interpolation
+from kernelspark.sources import tables as S
+from kernelspark.streaming import statistics as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def r6(c: Column | str) -> Column:
+    """Six decimals, without negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in cols})
+
+
+# kernels on vectors: every embedding against the mean vector of each label ---------------------------------------------
+
+
+def class_means(v: DataFrame) -> DataFrame:
+    """(class, z): the mean of each label's vectors; classes times dimensions, so small by nature."""
+    one = v.select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return one.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s.v).alias("z")).withColumnRenamed("label", "class")
+
+
+def against_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = S.table(spark, sf_dir, "embeddings")
+    return v.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).crossJoin(F.broadcast(class_means(v)))
+
+
+MEANS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+c AS (SELECT label, generate_subscripts(x, 1) AS k, unnest(x) AS v FROM e), a AS (SELECT label, k, avg(v) AS v FROM c GROUP BY ALL),
+z AS (SELECT label AS class, list(v ORDER BY k) AS z FROM a GROUP BY label),
+p AS (SELECT vec_id, class, x, z, list_distance(x, z) AS d FROM e, z)
+"""
+
+for _name, _column, _text in (
+    ("gaussian", lambda d2: K.gaussian(d2, 0.8), "exp(-d * d / (2 * 0.8 * 0.8))"),
+    ("laplacian", lambda d2: K.laplacian(d2, 1.5), "exp(-d / 1.5)"),
+    ("dispersal", lambda d2: K.dispersal(d2, 1.2, 1.4), "exp(-pow(d * d, 0.7) / 1.2)"),
+    ("cauchy", lambda d2: K.cauchy(d2, 0.9), "1 / (1 + d * d / 0.81)"),
+    ("exp_cauchy", lambda d2: K.exp_cauchy(d2, 0.9), "exp(-(1 + d * d / 0.81))"),
+    ("se", lambda d2: K.Kernel("se", 64, 0.7).column(F.sqrt(d2)), "exp(-d * d / (2 * 0.49))"),
+    ("matern12", lambda d2: K.matern(F.sqrt(d2), 0.5, 0.7), "exp(-d / 0.7)"),
+    ("matern32", lambda d2: K.matern(F.sqrt(d2), 1.5, 0.7), "(1 + sqrt(3) * d / 0.7) * exp(-sqrt(3) * d / 0.7)"),
+    ("matern52", lambda d2: K.matern(F.sqrt(d2), 2.5, 0.7), "(1 + sqrt(5) * d / 0.7 + 5 * d * d / (3 * 0.49)) * exp(-sqrt(5) * d / 0.7)"),
+):
+
+    @query(f"kernel_{_name}", MEANS + f"SELECT vec_id, class, round({_text}, 6) AS k FROM p")
+    def _kernel(spark, sf_dir, column=_column):
+        return against_means(spark, sf_dir).select("vec_id", "class", r6(column(K.sq_distance(F.col("x"), F.col("z")))).alias("k"))
+
+
+@query(
+    "kernel_ntk",
+    MEANS
+    + """, b AS (SELECT vec_id, class, sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(z, z)) AS n, list_inner_product(x, z) AS s FROM p),
+l0 AS (SELECT *, s AS o, s / n AS c FROM b),
+l1 AS (SELECT vec_id, class, n, n * (sqrt(1 - c * c) + (pi() - acos(c)) * c) / pi() AS s, o * (pi() - acos(c)) / pi() AS o FROM l0),
+l2 AS (SELECT vec_id, class, n, s, o + s AS o, s / n AS c FROM l1)
+SELECT vec_id, class, round(o * (pi() - acos(c)) / pi() + n * (sqrt(1 - c * c) + (pi() - acos(c)) * c) / pi(), 6) AS k FROM l2""",
+)
+def kernel_ntk(spark, sf_dir):
+    x, z = F.col("x"), F.col("z")
+    n = K.norm(x) * K.norm(z)
+    return against_means(spark, sf_dir).select("vec_id", "class", r6(K.ntk_relu(K.dot(x, z) / n, n, 2)).alias("k"))
+
+
+# projections ----------------------------------------------------------------------------------------------------------
+
+
+def head(v: str) -> list[Column]:
+    return [r6(F.col(v)[0]).alias("v0"), r6(F.col(v)[63]).alias("v63"), r6(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total")]
+
+
+@query("l2_normalize", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_inner_product(x, x))) AS u FROM e) SELECT vec_id, round(u[1], 6) AS v0, round(u[64], 6) AS v63, round(list_sum(u), 6) AS total FROM n")
+def l2_normalize(spark, sf_dir):
+    return S.table(spark, sf_dir, "embeddings").withColumn("u", A.unit_norm("embedding")).select("vec_id", *head("u"))
+
+
+RANGES = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT vec_id, generate_subscripts(x, 1) AS k, unnest(x) AS v FROM e), b AS (SELECT k, min(v) AS lo, max(v) AS hi FROM c GROUP BY k), "
+
+
+@query("unit_range", RANGES + "u AS (SELECT vec_id, k, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END AS u FROM c JOIN b USING (k)) SELECT vec_id, round(max(u) FILTER (k = 1), 6) AS v0, round(max(u) FILTER (k = 64), 6) AS v63, round(sum(u), 6) AS total FROM u GROUP BY vec_id")
+def unit_range(spark, sf_dir):
+    return A.unit_range(S.table(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", *head("embedding"))
+
+
+@query("row_max_range", RANGES + "m AS (SELECT vec_id, k, v - lo AS u FROM c JOIN b USING (k)), t AS (SELECT vec_id, max(u) AS t FROM m GROUP BY vec_id) SELECT vec_id, round(max(u / t) FILTER (k = 1), 6) AS v0, round(max(u / t) FILTER (k = 64), 6) AS v63, round(sum(u / t), 6) AS total FROM m JOIN t USING (vec_id) GROUP BY vec_id")
+def row_max_range(spark, sf_dir):
+    return A.row_max_range(S.table(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", *head("embedding"))
+
+
+@query("one_hot", "SELECT vec_id, c::INT AS class, CASE WHEN label = c THEN 1.0 ELSE 0.0 END::DOUBLE AS hot FROM embeddings, range(0, 10) t(c)")
+def one_hot(spark, sf_dir):
+    return S.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(A.one_hot("label", 10)).alias("class", "hot"))
+
+
+PLANE = """WITH pts AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity::DOUBLE / 50.0 - 0.5 AS x1, l_extendedprice::DOUBLE / 105000.0 - 0.5 AS x2,
+  date_diff('day', DATE '1995-01-01', l_shipdate::DATE) / 2500.0 - 0.5 AS x3, l_discount::DOUBLE * 10.0 - 0.5 AS y FROM lineitem)"""
+LINE = "WITH pts AS (SELECT event_id AS id, (epoch_us(ts) / 1e6 - 1704067200.0) / 2592000.0 - 0.5 AS x1, value / 100.0 - 2.5 AS y, ts FROM events)"
+
+
+@query("scale_box", PLANE + ", b AS (SELECT (min(x1) + max(x1)) / 2 AS c1, (min(x2) + max(x2)) / 2 AS c2, greatest(max(x1) - min(x1), max(x2) - min(x2)) AS n FROM pts) SELECT id, round((x1 - c1) / n, 6) AS x1, round((x2 - c2) / n, 6) AS x2 FROM pts, b")
+def scale_box(spark, sf_dir):
+    return rounded(S.into_box(S.lineitem_plane(spark, sf_dir).select("id", "x1", "x2"), ["x1", "x2"])[0], "x1", "x2")
+
+
+@query("demean", "SELECT o_orderkey AS id, round((o_totalprice::DOUBLE - avg(o_totalprice::DOUBLE) OVER ()) / 1e5, 6) AS y FROM orders")
+def demean(spark, sf_dir):
+    o = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("v"))
+    return o.crossJoin(F.broadcast(o.agg(F.avg("v").alias("m")))).select("id", r6((F.col("v") - F.col("m")) / 1e5).alias("y"))
+
+
+# pairs ----------------------------------------------------------------------------------------------------------------
+
+
+@query("kernel_matvec", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label / 10.0 AS v FROM embeddings) SELECT a.vec_id AS id, round(sum(exp(-list_distance(a.x, b.x) / 2.0) * b.v), 4) AS value FROM e a, e b GROUP BY a.vec_id")
+def kernel_matvec(spark, sf_dir):
+    """K v with K the Laplacian kernel of all vectors: blocks of rows against all, which are broadcast (their size is checked)."""
+    v = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"))
+    _, z, label = machine.arrays(v)
+    model = machine.Machine(machine.laplacian(2.0), z, label[:, None] / 10.0)
+    return model.predict(v).select("id", F.round(F.col("scores")[0], 4).alias("value"))
+
+
+@query("kernel_matrix_sums", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings) SELECT a.label AS label_a, b.label AS label_b, count(*) AS pairs, round(sum(exp(-pow(list_distance(a.x, b.x), 2) / 2)), 4) AS total FROM e a, e b GROUP BY ALL")
+def kernel_matrix_sums(spark, sf_dir):
+    """The Gaussian kernel matrix of all vectors, summed by label: the pairs are generated code and never kept."""
+    v = S.table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
+    k = K.gaussian(K.sq_distance(F.col("a.x"), F.col("b.x")), 1.0)
+    return v.alias("a").crossJoin(v.alias("b")).groupBy(F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b")).agg(F.count("*").alias("pairs"), (F.round(F.sum(k), 4)).alias("total"))
+
+
+@query("nearest_to_origin", PLANE + " SELECT id, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x1 * x1 + x2 * x2, 6) AS d2 FROM pts ORDER BY x1 * x1 + x2 * x2, id LIMIT 1")
+def nearest_to_origin(spark, sf_dir):
+    return rounded(A.nearest_to_origin(S.lineitem_plane(spark, sf_dir), ["x1", "x2"]), "x1", "x2", "d2")
+
+
+@query("top_classes", MEANS + ", k AS (SELECT vec_id AS id, class, round(exp(-d), 9) AS score FROM p) SELECT id, class, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class) AS rank FROM k) WHERE rank <= 5")
+def top_classes(spark, sf_dir):
+    s = against_means(spark, sf_dir).select(F.col("vec_id").alias("id"), "class", F.round(K.laplacian(K.sq_distance(F.col("x"), F.col("z")), 1.0), 9).alias("score"))
+    return A.top_classes(s, 5).select("id", "class", r6("score").alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("class_accuracy", MEANS + ", k AS (SELECT vec_id, class, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), class) AS r FROM p) SELECT count(*) AS n, round(avg(CASE WHEN class = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM k JOIN e USING (vec_id) WHERE r = 1")
+def class_accuracy(spark, sf_dir):
+    best = against_means(spark, sf_dir).groupBy("vec_id").agg(F.min(F.struct(F.round(F.sqrt(K.sq_distance(F.col("x"), F.col("z"))), 9).alias("d"), "class")).alias("b"))
+    j = best.join(S.table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return j.agg(F.count("*").alias("n"), r6(F.avg((F.col("b.class") == F.col("label")).cast("double"))).alias("accuracy"))
+
+
+# Fourier sums ---------------------------------------------------------------------------------------------------------
+
+
+def type1_text(pts: str, m: int, dim: int, c: str, h: float = 1.0, digits: int = 4) -> str:
+    js = ", ".join(f"j{k + 1}::INT AS j{k + 1}" for k in range(dim))
+    ranges = ", ".join(f"range({-m}, {m + 1}) r{k + 1}(j{k + 1})" for k in range(dim))
+    t = f"(2 * pi() * {h!r} * (" + " + ".join(f"j{k + 1} * x{k + 1}" for k in range(dim)) + "))"
+    return f"{pts} SELECT {js}, round(sum({c} * cos({t})), {digits}) AS re, round(sum(-({c}) * sin({t})), {digits}) AS im FROM pts, {ranges} GROUP BY ALL"
+
+
+def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) + 0.0 for c in ("re", "im")})
+
+
+@query("type1_1d", type1_text(LINE, 6, 1, "y"))
+def type1_1d(spark, sf_dir):
+    return tidy(T.type1_sql(S.events_line(spark, sf_dir), 6, 1.0, "y"))
+
+
+@query("type1_2d", type1_text(PLANE, 2, 2, "y"))
+def type1_2d(spark, sf_dir):
+    return tidy(T.type1_sql(S.lineitem_plane(spark, sf_dir).drop("x3"), 2, 1.0, "y"))
+
+
+@query("type1_3d", type1_text(PLANE, 1, 3, "y"))
+def type1_3d(spark, sf_dir):
+    """By the Arrow form: separable matrix products in each task."""
+    got = T.type1_arrow(S.lineitem_plane(spark, sf_dir), 1, 1.0, ("y",))
+    k = F.col("k")
+    js = [(F.floor(k / 3 ** (2 - d)) % 3 - 1).cast("int").alias(f"j{d + 1}") for d in range(3)]
+    return tidy(got.select(*js, "re", "im"))
+
+
+@query("toeplitz_lags", type1_text(LINE, 8, 1, "1.0").replace("j1::INT AS j1", "j1::INT AS l1"))
+def toeplitz_lags(spark, sf_dir):
+    return tidy(T.type1_sql(S.events_line(spark, sf_dir), 8, 1.0, names="l"))
+
+
+@query("type2_1d", LINE + " SELECT id, round(sum(cos(2 * pi() * j * x1) / (1 + j * j) - sin(2 * pi() * j * x1) * j / 10.0), 6) AS value FROM pts, range(-4, 5) r(j) GROUP BY id")
+def type2_1d(spark, sf_dir):
+    modes = spark.range(-4, 5).select(F.col("id").cast("int").alias("j1"), (1 / (1 + F.col("id") * F.col("id"))).alias("re"), (F.col("id") / 10.0).alias("im"))
+    return rounded(T.type2_sql(S.events_line(spark, sf_dir), modes, 1.0), "value")
+
+
+@query("type2_2d", PLANE + ", u AS (SELECT row_number() OVER () AS rid, * FROM pts) SELECT id, round(sum(cos(2 * pi() * (j * x1 + k * x2)) / (1 + j * j + k * k)), 6) AS value FROM u, range(-2, 3) r(j), range(-2, 3) s(k) GROUP BY rid, id")
+def type2_2d(spark, sf_dir):
+    j = np.arange(-2, 3)
+    f = 1 / (1 + j[:, None] ** 2 + j[None, :] ** 2)
+    return rounded(T.type2_arrow(S.lineitem_plane(spark, sf_dir).select("id", "x1", "x2"), f.astype(complex), 1.0).select("id", "value"), "value")
+
+
+# regression -----------------------------------------------------------------------------------------------------------
+
+KERNEL, REG = K.Kernel("se", 1, 0.1), 1.0
+GRID = K.Grid(1, 0.6, 6)
+BOX = ([0.0], 1.0)
+
+
+def _features_text(pts: str = "pts", m: int = GRID.m) -> str:
+    """The real features of the grid: w0, and sqrt(2) w_j times cos and sin; they span what the complex modes span."""
+    w = f"sqrt(0.6 * sqrt(2 * pi() * 0.01) * exp(-2 * pow(pi() * 0.1 * 0.6 * (CASE WHEN i > {m} THEN i - {m} ELSE i END), 2)))"
+    return f"(SELECT *, {w} * CASE WHEN i = 0 THEN 1 WHEN i <= {m} THEN sqrt(2) * cos(2 * pi() * 0.6 * i * x1) ELSE sqrt(2) * sin(2 * pi() * 0.6 * (i - {m}) * x1) END AS v FROM {pts}, range(0, {2 * m + 1}) r(i))"
+
+
+def gauss_jordan(first: str, size: int, last: str = "sol") -> str:
+    """CTEs that solve the augmented system in ``first`` (i, j, v): the columns from ``size`` on become the solution."""
+    out, at = [], first
+    for k in range(size):
+        new = last if k == size - 1 else f"{first}_{k}"
+        out.append(
+            f"{new} AS MATERIALIZED (SELECT r.i, r.j, CASE WHEN r.i = {k} THEN r.v / p.v ELSE r.v - c.v * q.v / p.v END AS v FROM {at} r, (SELECT v FROM {at} WHERE i = {k} AND j = {k}) p, "
+            f"(SELECT j, v FROM {at} WHERE i = {k}) q, (SELECT i, v FROM {at} WHERE j = {k}) c WHERE q.j = r.j AND c.i = r.i)"
+        )
+        at = new
+    return ",\n".join(out)
+
+
+M = GRID.size
+SOLVED = (
+    LINE
+    + f", f AS MATERIALIZED {_features_text()}, g AS MATERIALIZED (SELECT a.i::INT AS i, b.i::INT AS j, sum(a.v * b.v) + max(CASE WHEN a.i = b.i THEN {REG} ELSE 0 END) AS v FROM f a JOIN f b ON a.id = b.id GROUP BY ALL UNION ALL SELECT i::INT, {M}, sum(v * y) FROM f GROUP BY i"
+)
+TARGETS = "t AS (SELECT range::BIGINT AS id, range / 199.0 - 0.5 AS x1 FROM range(0, 200))"
+
+
+def line_model(spark: SparkSession, sf_dir: str, **config) -> gp.Model:
+    c = {"reg": REG, "tol": 1e-12} | config
+    return gp.fit(S.events_line(spark, sf_dir), KERNEL, gp.Config(**c), GRID, BOX)
+
+
+def line_targets(spark: SparkSession) -> DataFrame:
+    return spark.range(200).select("id", (F.col("id") / 199.0 - 0.5).alias("x1"))
+
+
+MEAN_SQL = SOLVED + "),\n" + gauss_jordan("g", M) + f", {TARGETS}, p AS {_features_text('t')} SELECT p.id, round(p.x1, 6) AS x1, round(sum(p.v * s.v), 6) AS mean FROM p JOIN sol s ON s.i = p.i AND s.j = {M} GROUP BY ALL"
+
+
+@query("gp1d_mean", MEAN_SQL)
+def gp1d_mean(spark, sf_dir):
+    """Posterior mean of the events' values on 200 moments of the month."""
+    return rounded(line_model(spark, sf_dir).predict(line_targets(spark)), "x1", "mean")
+
+
+@query("gp1d_deflated", MEAN_SQL)
+def gp1d_deflated(spark, sf_dir):
+    """The same with a spectral preconditioner."""
+    return rounded(line_model(spark, sf_dir, preconditioner="deflation", rank=5).predict(line_targets(spark)), "x1", "mean")
+
+
+@query("gp1d_nystrom_preconditioned", MEAN_SQL)
+def gp1d_nystrom_preconditioned(spark, sf_dir):
+    return rounded(line_model(spark, sf_dir, preconditioner="nystrom", rank=3).predict(line_targets(spark)), "x1", "mean")
+
+
+@query("gp1d_richardson", MEAN_SQL)
+def gp1d_richardson(spark, sf_dir):
+    return rounded(line_model(spark, sf_dir, solver="richardson", preconditioner="deflation", rank=10, most=20000).predict(line_targets(spark)), "x1", "mean")
+
+
+@query("gp1d_direct", MEAN_SQL)
+def gp1d_direct(spark, sf_dir):
+    return rounded(line_model(spark, sf_dir, solver="direct").predict(line_targets(spark)), "x1", "mean")
+
+
+@query(
+    "gp1d_variance",
+    SOLVED
+    + f" UNION ALL SELECT a.i::INT, ({M + 1} + b.i)::INT, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END FROM range(0, {M}) a(i), range(0, {M}) b(i)),\n"
+    + gauss_jordan("g", M)
+    + f", {TARGETS}, p AS {_features_text('t')} SELECT a.id, round({REG} * sum(a.v * s.v * b.v), 6) AS var FROM p a JOIN p b ON a.id = b.id JOIN sol s ON s.i = a.i AND s.j = {M + 1} + b.i GROUP BY a.id",
+)
+def gp1d_variance(spark, sf_dir):
+    return line_model(spark, sf_dir).variance(line_targets(spark)).select("id", r6("var").alias("var"))
+
+
+@query("eig_moments", LINE + f", f AS MATERIALIZED {_features_text()}, g AS (SELECT a.i, b.i AS j, sum(a.v * b.v) + max(CASE WHEN a.i = b.i THEN {REG} ELSE 0 END) AS v FROM f a JOIN f b ON a.id = b.id GROUP BY ALL) SELECT round(sum(v) FILTER (i = j) / 1e3, 6) AS total, round(sum(v * v) / 1e6, 4) AS squares FROM g")
+def eig_moments(spark, sf_dir):
+    """Sums of the eigenvalues and their squares against the matrix's trace and norm."""
+    t = np.linalg.eigvalsh(line_model(spark, sf_dir).system.dense())
+    return spark.createDataFrame([(round(float(t.sum()) / 1e3, 6), round(float((t**2).sum()) / 1e6, 4))], "total double, squares double")
+
+
+def _nation(spark, sf_dir):
+    return S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") / 24.0).alias("x1"), (F.length("n_name") / 10.0 - 0.8).alias("y"))
+
+
+@query(
+    "naive_gp",
+    "WITH pts AS (SELECT n_nationkey::INT AS i, n_nationkey / 24.0 AS x, length(n_name) / 10.0 - 0.8 AS y FROM nation), k AS (SELECT a.i, b.i AS j, exp(-abs(a.x - b.x) / 0.2) AS v FROM pts a, pts b), g AS MATERIALIZED (SELECT i, j, v + CASE WHEN i = j THEN 0.1 ELSE 0 END AS v FROM k UNION ALL SELECT i, 25, y FROM pts),\n"
+    + gauss_jordan("g", 25)
+    + " SELECT k.i::BIGINT AS id, round(sum(k.v * s.v), 6) AS mean FROM k JOIN sol s ON s.i = k.j AND s.j = 25 GROUP BY k.i",
+)
+def naive_gp(spark, sf_dir):
+    p = _nation(spark, sf_dir)
+    return gp.naive(p, p.drop("y"), K.Kernel("matern", 1, 0.2), 0.1).select("id", r6("mean").alias("mean"))
+
+
+@query("kernel_cg", _sql["naive_gp"])
+def kernel_cg(spark, sf_dir):
+    """The same posterior mean by conjugate gradients in function space."""
+    p = _nation(spark, sf_dir)
+    alpha, _ = gp.kernel_cg(p, K.Kernel("matern", 1, 0.2), 0.1, 1e-13)
+    j = p.select("id", "x1").crossJoin(F.broadcast(p.join(alpha, "id").select(F.col("x1").alias("z"), "alpha")))
+    return j.groupBy("id").agg(r6(F.sum(F.exp(-F.abs(F.col("x1") - F.col("z")) / 0.2) * F.col("alpha"))).alias("mean"))
+
+
+@query(
+    "nystrom_krr",
+    LINE
+    + ", z AS (SELECT range::INT AS i, range / 8.0 - 0.5 AS z FROM range(0, 9)), k AS MATERIALIZED (SELECT id, i, y, exp(-pow(x1 - z, 2) / 0.02) AS v FROM pts, z), g AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) + max(exp(-pow((a.i - b.i) / 8.0, 2) / 0.02)) AS v FROM k a JOIN k b ON a.id = b.id GROUP BY ALL UNION ALL SELECT i, 9, sum(v * y) FROM k GROUP BY i),\n"
+    + gauss_jordan("g", 9)
+    + f", {TARGETS} SELECT t.id, round(sum(exp(-pow(t.x1 - z.z, 2) / 0.02) * s.v), 6) AS mean FROM t, z JOIN sol s ON s.i = z.i AND s.j = 9 GROUP BY t.id",
+)
+def nystrom_krr(spark, sf_dir):
+    z = spark.range(9).select("id", (F.col("id") / 8.0 - 0.5).alias("x1"))
+    return gp.nystrom(S.events_line(spark, sf_dir), z, line_targets(spark), KERNEL, 1.0, 1e-12).select("id", r6("mean").alias("mean"))
+
+
+@query("residual_history")
+def residual_history(spark, sf_dir):
+    return line_model(spark, sf_dir).history(spark)
+
+
+@query("gp2d_mean")
+def gp2d_mean(spark, sf_dir):
+    """Posterior mean over quantity and price at all line items, by the Arrow form."""
+    p = S.lineitem_plane(spark, sf_dir).drop("x3")
+    m = gp.fit(p, K.Kernel("matern", 2, 0.3, nu=1.5), gp.Config(reg=10.0, preconditioner="deflation", rank=10), K.Grid(2, 0.6, 5), ([0.0, 0.0], 1.01), "arrow")
+    return m.predict(p.select("id", "x1", "x2")).select("id", F.round("mean", 4).alias("mean"))
+
+
+@query("structured_interpolation")
+def structured_interpolation(spark, sf_dir):
+    p = S.events_line(spark, sf_dir)
+    nodes = interpolation.fit(p, KERNEL, REG, 64, -0.5001, 0.5001)
+    return interpolation.predict(line_targets(spark), nodes, 64, -0.5001, 0.5001).select("id", F.round("mean", 4).alias("mean"))
+
+
+@query("slq_cdf")
+def slq_cdf(spark, sf_dir):
+    """Spectral distribution of the system from ten probes, as quantiles."""
+    s = line_model(spark, sf_dir).system
+    atoms = [(p, float(n), float(w)) for p in range(10) for n, w in zip(*solvers.lanczos_quadrature(s, s.size, p, 12), strict=True)]
+    return A.weighted_quantiles(spark.createDataFrame(atoms, "probe int, node double, weight double"), [], [0.1, 0.5, 0.9])
+
+
+@query("fit_metrics", PLANE + " SELECT count(*) AS n, round(sqrt(avg(pow(x1 - y, 2))), 6) AS rmse, round(avg(abs(x1 - y)), 6) AS mae, round(1 - sum(pow(x1 - y, 2)) / (var_pop(y) * count(*)), 6) AS r2, round(max(abs(x1 - y)), 6) AS worst FROM pts")
+def fit_metrics(spark, sf_dir):
+    return rounded(A.regression_metrics(S.lineitem_plane(spark, sf_dir), "y", "x1"), "rmse", "mae", "r2", "worst")
+
+
+# kernel machines ------------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark, sf_dir):
+    return S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"))
+
+
+def _mean_centres(spark, sf_dir):
+    return class_means(S.table(spark, sf_dir, "embeddings")).select(F.col("class").cast("long").alias("id"), F.col("z").alias("x"), F.col("class").cast("int").alias("label"))
+
+
+@query("km_gradient", MEANS + " SELECT p.class AS centre, e.label AS class, round(-sum(exp(-p.d / 1.5)), 6) AS value FROM p JOIN e USING (vec_id) GROUP BY ALL")
+def km_gradient(spark, sf_dir):
+    """The gradient of a zero machine at the class means, summed over all rows as one batch."""
+    _, z, _ = machine.arrays(_mean_centres(spark, sf_dir))
+    kernel = machine.laplacian(1.5)
+    got = machine.batch_sums(_labelled(spark, sf_dir), machine.Machine(kernel, z, np.zeros((len(z), 10))), z, 10, 1, 0, [0])[0]["kz"]
+    return rounded(spark.createDataFrame([(a, b, float(got[a, b])) for a in range(got.shape[0]) for b in range(10)], "centre int, class int, value double"), "value")
+
+
+@query("km_train")
+def km_train(spark, sf_dir):
+    """A machine on the class means after two epochs; its scores on all rows."""
+    m = machine.train(_labelled(spark, sf_dir), _mean_centres(spark, sf_dir), _mean_centres(spark, sf_dir), machine.laplacian(1.5), 10, rank=3, epochs=2)
+    return machine.accuracy(m.predict(_labelled(spark, sf_dir)))
+
+
+@query("random_features")
+def random_features(spark, sf_dir):
+    return machine.random_features(_labelled(spark, sf_dir), 64, 32, 1.0).select("id", F.round(F.col("features")[0], 6).alias("v0"))
+
+
+# result analytics -----------------------------------------------------------------------------------------------------
+
+RUNS = "WITH runs AS (SELECT l_returnflag AS mode, l_linestatus AS status, year(l_shipdate)::INT AS n, l_extendedprice::DOUBLE AS wall_s, l_tax::DOUBLE AS tax FROM lineitem)"
+
+
+def runs(spark, sf_dir):
+    return S.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("mode"), F.col("l_linestatus").alias("status"), F.year("l_shipdate").alias("n"), F.col("l_extendedprice").cast("double").alias("wall_s"), F.col("l_tax").cast("double").alias("tax"))
+
+
+@query("bench_summary", RUNS + " SELECT mode, n, count(*) AS repeat_count, round(median(wall_s), 4) AS wall_s_median, round(avg(wall_s), 4) AS wall_s_mean, round(stddev_samp(wall_s), 4) AS wall_s_std, round(quantile_cont(wall_s, 0.1), 4) AS wall_s_p10, round(quantile_cont(wall_s, 0.9), 4) AS wall_s_p90 FROM runs GROUP BY mode, n")
+def bench_summary(spark, sf_dir):
+    got = A.summarise(runs(spark, sf_dir), ["mode", "n"], ["wall_s"])
+    return got.withColumns({c: F.round(c, 4) for c in got.columns if c.startswith("wall_s")})
+
+
+@query("fail_count", RUNS + " SELECT mode, n, count(*) AS runs, count(*) FILTER (status <> 'F') AS fail_count FROM runs GROUP BY mode, n")
+def fail_count(spark, sf_dir):
+    return A.fail_count(runs(spark, sf_dir), ["mode", "n"], F.col("status") != "F")
+
+
+@query("local_slope", RUNS + ", a AS (SELECT mode, n, sum(wall_s) AS t FROM runs GROUP BY mode, n), b AS (SELECT *, ln(n) - ln(lag(n) OVER w) AS dx, ln(t) - ln(lag(t) OVER w) AS dy FROM a WINDOW w AS (PARTITION BY mode ORDER BY n)) SELECT mode, n, round(t, 2) AS t, round(CASE WHEN dx <> 0 THEN dy / dx END, 4) AS slope FROM b")
+def local_slope(spark, sf_dir):
+    a = runs(spark, sf_dir).groupBy("mode", "n").agg(F.sum("wall_s").alias("t"))
+    return A.local_slope(a, ["mode"], "n", "t").select("mode", "n", F.round("t", 2).alias("t"), F.round("slope", 4).alias("slope"))
+
+
+@query("time_share", RUNS + " SELECT mode, n, round(sum(wall_s * tax) / sum(wall_s), 6) AS taxed_share FROM runs GROUP BY mode, n")
+def time_share(spark, sf_dir):
+    a = runs(spark, sf_dir).groupBy("mode", "n").agg(F.sum("wall_s").alias("t"), F.sum(F.col("wall_s") * F.col("tax")).alias("taxed"))
+    return A.share(a, ["taxed"], "t").select("mode", "n", r6("taxed_share").alias("taxed_share"))
+
+
+@query("speedup_join", RUNS + ", a AS (SELECT mode, n, avg(wall_s) AS t FROM runs GROUP BY mode, n) SELECT x.n, round(x.t, 4) AS base, round(y.t, 4) AS other, round(x.t / y.t, 6) AS speedup FROM a x JOIN a y ON x.n = y.n AND x.mode = 'N' AND y.mode = 'R'")
+def speedup_join(spark, sf_dir):
+    a = runs(spark, sf_dir).groupBy("mode", "n").agg(F.avg("wall_s").alias("t"))
+    got = A.speedup(a, F.col("mode") == "N", F.col("mode") == "R", ["n"], "t")
+    return got.select("n", F.round("base", 4).alias("base"), F.round("other", 4).alias("other"), r6("speedup").alias("speedup"))
+
+
+@query("param_grid", "SELECT n::INT AS n, eps::DOUBLE AS eps, solver FROM (SELECT unnest([100, 1000]) AS n), (SELECT unnest([1e-3, 1e-6]) AS eps), (SELECT unnest(['pcg', 'richardson']) AS solver)")
+def param_grid(spark, sf_dir):
+    return A.parameter_grid(spark, {"n": [100, 1000], "eps": [1e-3, 1e-6], "solver": ["pcg", "richardson"]})
+
+
+@query("stacked_results", RUNS + " SELECT mode, NULL::INT AS n, round(sum(tax), 4) AS t FROM runs GROUP BY mode UNION ALL SELECT NULL, n, round(sum(tax), 4) FROM runs GROUP BY n")
+def stacked_results(spark, sf_dir):
+    r = runs(spark, sf_dir)
+    t = F.round(F.sum("tax"), 4).alias("t")
+    return A.stacked([r.groupBy("mode").agg(t), r.groupBy("n").agg(t)], ["mode", "n"]).select("mode", "n", "t")
+
+
+ATOMS = "WITH atoms AS (SELECT l_returnflag AS probe, l_quantity::DOUBLE AS node, sum(l_tax::DOUBLE) AS weight FROM lineitem GROUP BY ALL)"
+
+
+def atoms(spark, sf_dir):
+    t = S.table(spark, sf_dir, "lineitem")
+    return t.groupBy(F.col("l_returnflag").alias("probe"), F.col("l_quantity").cast("double").alias("node")).agg(F.sum(F.col("l_tax").cast("double")).alias("weight"))
+
+
+@query("spectral_cdf", ATOMS + " SELECT probe, node, round(sum(weight) OVER (PARTITION BY probe ORDER BY node) / sum(weight) OVER (PARTITION BY probe), 6) AS cdf FROM atoms")
+def spectral_cdf(spark, sf_dir):
+    return A.with_cdf(atoms(spark, sf_dir), ["probe"]).select("probe", "node", r6("cdf").alias("cdf"))
+
+
+@query("weighted_quantile", ATOMS + ", c AS (SELECT probe, node, sum(weight) OVER (PARTITION BY probe ORDER BY node) / sum(weight) OVER (PARTITION BY probe) AS cdf FROM atoms) SELECT probe, q::DOUBLE AS q, min(node) AS value FROM c, (SELECT unnest([0.1, 0.5, 0.9]) AS q) WHERE cdf >= q - 1e-12 GROUP BY ALL")
+def weighted_quantile(spark, sf_dir):
+    return A.weighted_quantiles(atoms(spark, sf_dir), ["probe"], [0.1, 0.5, 0.9])
+
+
+@query("spectral_density", ATOMS + " SELECT probe, x::DOUBLE AS x, round(sum(weight * exp(-pow((x - node) / 4.0, 2) / 2)) / (4.0 * sqrt(2 * pi())), 5) AS density FROM atoms, (SELECT unnest([5.0, 25.0, 45.0]) AS x) GROUP BY ALL")
+def spectral_density(spark, sf_dir):
+    return A.density(atoms(spark, sf_dir), ["probe"], [5.0, 25.0, 45.0], 4.0).withColumn("density", F.round("density", 5))
+
+
+@query("prefix_span", ATOMS + ", k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY node DESC) AS r FROM atoms) SELECT probe, round((max(weight) - min(weight)) / abs(avg(weight)), 6) AS span FROM k WHERE r <= 5 GROUP BY probe")
+def prefix_span(spark, sf_dir):
+    return rounded(A.relative_span(atoms(spark, sf_dir), ["probe"], "node", "weight"), "span")
+
+
+# streams --------------------------------------------------------------------------------------------------------------
+
+SUMS = LINE + " SELECT j1::INT AS j1, count(*) AS n, round(sum(cos(2 * pi() * j1 * x1)), 4) AS re, round(sum(-sin(2 * pi() * j1 * x1)), 4) AS im, round(sum(y * cos(2 * pi() * j1 * x1)), 4) AS yre, round(sum(-y * sin(2 * pi() * j1 * x1)), 4) AS yim FROM pts, range(-4, 5) r(j1) GROUP BY j1"
+
+
+def _tidy_sums(df):
+    return df.select("j1", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("re", "im", "yre", "yim")])
+
+
+@query("running_sums", SUMS)
+def running_sums(spark, sf_dir):
+    return _tidy_sums(stream.running_sums(S.events_line(spark, sf_dir), 4, 1.0))
+
+
+@query("stream_sums", SUMS)
+def stream_sums(spark, sf_dir):
+    """The same from a stream of the events' files: each micro-batch leaves its sums under its number, and they are added up."""
+    return _tidy_sums(stream.from_files(spark, f"{sf_dir}/events.parquet", 4, 1.0))
+
+
+@query("windowed_sums", LINE + " SELECT date_trunc('day', ts)::DATE AS day, j1::INT AS j1, count(*) AS n, round(sum(y * cos(2 * pi() * j1 * x1)), 4) AS yre, round(sum(-y * sin(2 * pi() * j1 * x1)), 4) AS yim FROM pts, range(-2, 3) r(j1) GROUP BY ALL")
+def windowed_sums(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    got = stream.windowed_sums(S.events_line(spark, sf_dir).join(e, F.col("id") == e["event_id"]).select("ts", "x1", "y"), 2, 1.0)
+    return got.select(F.to_date("start").alias("day"), "j1", "n", (F.round("yre", 4) + 0.0).alias("yre"), (F.round("yim", 4) + 0.0).alias("yim"))
