@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kernelspark.functions import kernels as K
 from kernelspark.operators import analytics as A
+from kernelspark.operators import diagnostics as D
 from kernelspark.operators import gp, machine, solvers
 from kernelspark.operators import fourier as T
 from kernelspark.operators import interpolation
@@ -240,6 +241,30 @@ def type2_2d(spark, sf_dir):
     return rounded(T.type2_arrow(S.lineitem_plane(spark, sf_dir).select("id", "x1", "x2"), f.astype(complex), 1.0).select("id", "value"), "value")
 
 
+@query("dense_system", LINE + " SELECT a::INT AS a, b::INT AS b, round(sum(cos(2 * pi() * (a - b) * x1)) / ((1 + a * a) * (1 + b * b)), 4) AS re, round(sum(-sin(2 * pi() * (a - b) * x1)) / ((1 + a * a) * (1 + b * b)), 4) AS im FROM pts, range(-3, 4) r(a), range(-3, 4) s(b) GROUP BY a, b")
+def dense_system(spark, sf_dir):
+    """The matrix of the weighted modes from the lags: an equality join of mode differences with the table of lags."""
+    lags = T.type1_sql(S.events_line(spark, sf_dir), 6, 1.0, names="l")
+    pairs = T.with_modes(T.with_modes(spark.range(1), 3, 1, "a"), 3, 1, "b").select(F.col("a1").alias("a"), F.col("b1").alias("b"), (F.col("a1") - F.col("b1")).alias("l1"))
+    w = (1 + F.col("a") * F.col("a")) * (1 + F.col("b") * F.col("b"))
+    return tidy(pairs.join(lags, "l1").select("a", "b", (F.col("re") / w).alias("re"), (F.col("im") / w).alias("im")))
+
+
+@query("toeplitz_apply", LINE + ", l AS (SELECT l, sum(cos(2 * pi() * l * x1)) AS re, sum(-sin(2 * pi() * l * x1)) AS im FROM pts, range(-6, 7) r(l) GROUP BY l) SELECT a::INT AS a, round(sum(l.re / (1 + b * b)), 4) AS re, round(sum(l.im / (1 + b * b)), 4) AS im FROM range(-3, 4) r(a), range(-3, 4) s(b), l WHERE l.l = a - b GROUP BY a")
+def toeplitz_apply(spark, sf_dir):
+    """The operator on the vector 1 / (1 + b^2), by fast transforms, against the sum over lags."""
+    lags, _, _ = T.statistics(S.events_line(spark, sf_dir), K.Grid(1, 1.0, 3))
+    s = T.System(K.Grid(1, 1.0, 3), np.ones(7), lags, 0.0)
+    b = np.arange(-3, 4)
+    out = s((1 / (1 + b * b)).astype(complex))
+    return tidy(spark.createDataFrame([(int(a), float(v.real), float(v.imag)) for a, v in zip(b, out, strict=True)], "a int, re double, im double"))
+
+
+@query("grid_points", "SELECT (a * 21 + b)::BIGINT AS id, round(a / 20.0, 6) AS x1, round(b / 20.0, 6) AS x2 FROM range(0, 21) r(a), range(0, 21) s(b)")
+def grid_points(spark, sf_dir):
+    return rounded(S.grid_points(spark, 21, 2), "x1", "x2")
+
+
 # regression -----------------------------------------------------------------------------------------------------------
 
 KERNEL, REG = K.Kernel("se", 1, 0.1), 1.0
@@ -395,6 +420,26 @@ def slq_cdf(spark, sf_dir):
     return A.weighted_quantiles(spark.createDataFrame(atoms, "probe int, node double, weight double"), [], [0.1, 0.5, 0.9])
 
 
+@query("spectrum_report")
+def spectrum_report(spark, sf_dir):
+    s = line_model(spark, sf_dir).system
+    return D.spectrum_report(D.spectral_atoms(spark, s, 8, 12), s.reg)
+
+
+@query("surrogate_eigen")
+def surrogate_eigen(spark, sf_dir):
+    """Top eigenvalues by a sample of the rows on a coarser grid, refined on all of them."""
+    m = line_model(spark, sf_dir)
+    t, _ = D.surrogate_eigenspace(S.events_line(spark, sf_dir), KERNEL, m.system, 4, refine=4)
+    return spark.createDataFrame([(k + 1, round(float(v), 4)) for k, v in enumerate(t)], "rank int, value double")
+
+
+@query("benchmark_runs")
+def benchmark_runs(spark, sf_dir):
+    p = S.events_line(spark, sf_dir)
+    return D.run_grid(p, p, KERNEL, [0, 4], [{"eps": 1e-4, "reg": 1.0}])
+
+
 @query("fit_metrics", PLANE + " SELECT count(*) AS n, round(sqrt(avg(pow(x1 - y, 2))), 6) AS rmse, round(avg(abs(x1 - y)), 6) AS mae, round(1 - sum(pow(x1 - y, 2)) / (var_pop(y) * count(*)), 6) AS r2, round(max(abs(x1 - y)), 6) AS worst FROM pts")
 def fit_metrics(spark, sf_dir):
     return rounded(A.regression_metrics(S.lineitem_plane(spark, sf_dir), "y", "x1"), "rmse", "mae", "r2", "worst")
