@@ -7,6 +7,7 @@ checked by Gauss-Jordan elimination unrolled into one statement.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -397,12 +398,31 @@ def residual_history(spark, sf_dir):
     return line_model(spark, sf_dir).history(spark)
 
 
-@query("gp2d_mean")
+KERNEL2, GRID2 = K.Kernel("matern", 2, 0.3, nu=1.5), K.Grid(2, 0.6, 2)
+
+
+def _plane_text() -> str:
+    """The real features of the plane's grid, one row of settings a feature: cosines of half of the modes, then sines."""
+    modes = GRID2.modes()
+    w = dict(zip(map(tuple, modes.tolist()), GRID2.weights(KERNEL2).tolist(), strict=True))
+    upper = [m for m in w if m > (0, 0)]
+    rows = [(0, 0, 0, 1, w[0, 0])] + [(k + 1, *m, 1, math.sqrt(2) * w[m]) for k, m in enumerate(upper)] + [(k + 1 + len(upper), *m, 0, math.sqrt(2) * w[m]) for k, m in enumerate(upper)]
+    return "m(i, a, b, even, w) AS (VALUES " + ", ".join(f"({i}, {x}, {y}, {e}, {v!r}::DOUBLE)" for i, x, y, e, v in rows) + ")"
+
+
+@query(
+    "gp2d_mean",
+    PLANE
+    + f", u AS (SELECT row_number() OVER () AS rid, * FROM pts), {_plane_text()}, f AS MATERIALIZED (SELECT rid, id, y, i, w * CASE WHEN even = 1 THEN cos(2 * pi() * 0.6 * (a * x1 + b * x2)) ELSE sin(2 * pi() * 0.6 * (a * x1 + b * x2)) END AS v FROM u, m), "
+    + f"g AS MATERIALIZED (SELECT p.i, q.i AS j, sum(p.v * q.v) + max(CASE WHEN p.i = q.i THEN 10.0 ELSE 0 END) AS v FROM f p JOIN f q ON p.rid = q.rid GROUP BY ALL UNION ALL SELECT i, {GRID2.size}, sum(v * y) FROM f GROUP BY i),\n"
+    + gauss_jordan("g", GRID2.size)
+    + f" SELECT f.id, round(sum(f.v * s.v), 5) + 0.0 AS mean FROM f JOIN sol s ON s.i = f.i AND s.j = {GRID2.size} GROUP BY f.rid, f.id",
+)
 def gp2d_mean(spark, sf_dir):
     """Posterior mean over quantity and price at all line items, by the Arrow form."""
     p = S.lineitem_plane(spark, sf_dir).drop("x3")
-    m = gp.fit(p, K.Kernel("matern", 2, 0.3, nu=1.5), gp.Config(reg=10.0, preconditioner="deflation", rank=10), K.Grid(2, 0.6, 5), ([0.0, 0.0], 1.01), "arrow")
-    return m.predict(p.select("id", "x1", "x2")).select("id", F.round("mean", 4).alias("mean"))
+    m = gp.fit(p, KERNEL2, gp.Config(reg=10.0, tol=1e-12, preconditioner="deflation", rank=10), GRID2, ([0.0, 0.0], 1.01), "arrow")
+    return m.predict(p.select("id", "x1", "x2")).select("id", (F.round("mean", 5) + 0.0).alias("mean"))
 
 
 @query("structured_interpolation")
