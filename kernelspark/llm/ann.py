@@ -39,15 +39,19 @@ def fit(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarra
     x = np.unique(x, axis=0)
     c = x[rng.permutation(len(x))[:lists]].copy()
     for _ in range(rounds):
-        d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
-        own = d.argmin(1)
+        own, off = np.empty(len(x), np.int64), np.empty(len(x))
+        for s in range(0, len(x), 1024):
+            part = x[s : s + 1024]
+            d = (part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1)
+            own[s : s + 1024] = d.argmin(1)
+            off[s : s + 1024] = d.min(1)
         n = np.bincount(own, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         full = n > 0
         c[full] = total[full] / n[full, None]
         if not full.all():
-            far = np.argsort(-d[np.arange(len(x)), own])[: (~full).sum()]
+            far = np.argsort(-off)[: (~full).sum()]
             c[~full] = x[far]
     return c
 
@@ -131,8 +135,10 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     def assign(n: int):
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             turn, c = shared.value
-            for b in batches:
-                if len(b):
+            step = max(1, min(1024, 100_000 // n))  # rows at a time, so that what is given out stays small
+            for whole in batches:
+                for s in range(0, len(whole), step):
+                    b = whole.iloc[s : s + step]
                     at = _near(np.stack(b["v"].to_numpy()) @ turn, c, n)
                     yield pd.DataFrame({"vec_id": np.repeat(b["vec_id"].to_numpy(), n), "list": at.ravel().astype(np.int32), "v": np.repeat(b["v"].to_numpy(), n)})
 
