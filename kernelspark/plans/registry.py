@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelspark.functions import kernels as K
+from kernelspark.functions import table_functions
 from kernelspark.operators import analytics as A
 from kernelspark.operators import diagnostics as D
 from kernelspark.operators import gp, machine, solvers
+from kernelspark.operators import neighbours as N
 from kernelspark.operators import fourier as T
 from kernelspark.operators import interpolation
 from kernelspark.sources import tables as S
@@ -191,6 +193,20 @@ def class_accuracy(spark, sf_dir):
     return j.agg(F.count("*").alias("n"), r6(F.avg((F.col("b.class") == F.col("label")).cast("double"))).alias("accuracy"))
 
 
+@query("neighbour_counts", "WITH p AS (SELECT s_suppkey AS id, s_acctbal::DOUBLE / 10000.0 AS x1, s_nationkey / 25.0 AS x2 FROM supplier) SELECT a.id, count(*) AS n, round(sum(sqrt(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2))), 6) AS total FROM p a JOIN p b ON sqrt(pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2)) <= 0.15 GROUP BY a.id")
+def neighbour_counts(spark, sf_dir):
+    """Suppliers within a radius of each supplier, by cells."""
+    p = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal").cast("double") / 10000.0).alias("x1"), (F.col("s_nationkey") / 25.0).alias("x2"))
+    return N.within(p, p, 0.15).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), r6(F.sum("d")).alias("total"))
+
+
+@query("grid_weights", "SELECT j::INT AS k, round(0.6 * j, 6) AS xi, round(sqrt(0.6 * sqrt(2 * pi() * 0.01) * exp(-2 * pow(pi() * 0.1 * 0.6 * j, 2))), 6) AS weight FROM range(-6, 7) r(j)")
+def grid_weights(spark, sf_dir):
+    """The grid's weights by a table function in SQL."""
+    table_functions.register(spark)
+    return rounded(spark.sql("SELECT * FROM grid_weights('se', 0.1D, 0.5D, 0.6D, 6)"), "xi", "weight")
+
+
 # Fourier sums ---------------------------------------------------------------------------------------------------------
 
 

@@ -249,6 +249,19 @@ def test_streamed_sums_equal_batch_sums(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).schema.fieldNames() == ["start", "j1", "n", "yre", "yim"]
 
 
+def test_neighbours_equal_all_pairs_and_table_functions(spark):
+    from kernelspark.functions import table_functions
+    from kernelspark.operators.neighbours import within
+
+    df = S.random_points(spark, 200, 2, 8).cache()
+    x, _ = arrays(df, 2)
+    d = gp.distances(x, x)
+    got = within(df, df, 0.1).toPandas()
+    assert set(zip(got.target, got.id, strict=True)) == {(a, b) for a in range(200) for b in range(200) if ((x[a] - x[b]) ** 2).sum() ** 0.5 <= 0.1} and d.shape == (200, 200)
+    table_functions.register(spark)
+    assert [r.j for r in spark.sql("SELECT * FROM multi_index(1, 2)").collect()] == Grid(2, 1.0, 1).modes().tolist()
+
+
 def test_registered_queries_have_matching_columns():
     import __spark_entry__ as e
 
