@@ -222,13 +222,14 @@ def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> D
 
     def scan(batches):
         for batch in batches:
-            for a, b, data, offsets in T.blocks(batch.column("text")):
+            whole = batch.column("row").flatten()[names.index("text")].cast(pa.string())
+            for a, b, data, offsets in T.blocks(whole):
                 lines = Lines(data, offsets)
                 x = base(data, offsets, lines)
                 gone = _removed(batch, known, a, b, lines)
                 removed = np.bincount(lines.row[gone], weights=lines.words[gone], minlength=b - a).astype(np.int64)
                 keep = np.flatnonzero(_judge(x, removed, limits)[1])
-                text = batch.column("text").slice(a, b - a).take(pa.array(keep)).to_pylist()
+                text = whole.slice(a, b - a).take(pa.array(keep)).to_pylist()
                 place = {int(r): k for k, r in enumerate(keep)}
                 cut: dict[int, list[tuple[int, int]]] = {}
                 for r, s, e in zip(lines.row[gone].tolist(), lines.start[gone].tolist(), lines.end[gone].tolist(), strict=True):
@@ -247,7 +248,7 @@ def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> D
                     got["n_chars"] = pa.array([len(t) for t in text], pa.int64()).cast(got["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(got.values()), names=names)
 
-    return rows.mapInArrow(scan, schema)
+    return rows.select("row", "host", "doc_id", "bad").mapInArrow(scan, schema)  # the text once, in its row
 
 
 ORACLE = r"""
