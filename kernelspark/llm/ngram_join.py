@@ -251,8 +251,27 @@ def _crossed(posts: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     return at.select("value", "node", "size", "place", "label").mapInArrow(scan, "a long, b long").distinct()
 
 
-def _sets(rows: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """Staged (node, set) of the classes in needed (node, doc_id), from the texts of those documents."""
+def sketch(x: np.ndarray) -> bytes:
+    """How many values of a sorted set lie in each of 2^k equal ranges, about four a range; empty if a count does not fit a byte."""
+    bits = max(4, math.ceil(math.log2(max(len(x), 1) / 4)) if len(x) > 4 else 4)
+    count = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+
+
+def may_be_similar(size1: int, counts1: bytes, size2: int, counts2: bytes, similarity: int) -> bool:
+    """The suffix filter on sketches: no more values can be shared than the smaller count of each range."""
+    if 100 * min(size1, size2) < similarity * max(size1, size2):
+        return False
+    if not counts1 or not counts2:
+        return True
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (counts1, counts2))
+    n = min(len(x), len(y))
+    x, y = x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)
+    return int(np.minimum(x, y).sum()) * (100 + similarity) >= similarity * (size1 + size2)
+
+
+def _sets(rows: DataFrame, needed: DataFrame, n: int, make) -> DataFrame:
+    """Staged (node, size, set) of the classes in needed (node, doc_id), from the texts of those documents; set is ``make`` of the sorted values."""
     spark = rows.sparkSession
     few = needed.count() <= FETCHED
     ids = spark.sparkContext.broadcast(np.sort(needed.toArrow()["doc_id"].to_numpy())) if few else None
@@ -268,28 +287,34 @@ def _sets(rows: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             for _, _, data, offsets in T.blocks(batch.column("text")):
                 sets = [x for x in T.shingle_sets(T.Words(data, offsets, lower=True), n) if len(x)]
                 if sets:
-                    yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([make(x) for x in sets], pa.binary())], names=["node", "size", "set"])
 
-    found = rows.mapInArrow(scan, "node long, set binary")
+    found = rows.mapInArrow(scan, "node long, size long, set binary")
     # a document with several texts gives several sets; each class once
     return staged(found.join(needed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
 
 
-_CUTS = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
-
-
 def similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
-    """Whether two sorted sets are similar; a suffix filter over 64 ranges of values comes before the full count."""
+    """Whether two sorted sets are similar."""
     if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
         return False
-    need = -(-similarity * (len(x) + len(y)) // (100 + similarity))
-    if min(len(x), len(y)) > 32:
-        parts = [np.diff(np.concatenate(([0], np.searchsorted(s, _CUTS), [len(s)]))) for s in (x, y)]
-        if int(np.minimum(*parts).sum()) < need:
-            return False
     both = np.concatenate((x, y))
     both.sort(kind="stable")
-    return int(np.count_nonzero(both[1:] == both[:-1])) >= need
+    return int(np.count_nonzero(both[1:] == both[:-1])) * (100 + similarity) >= similarity * (len(x) + len(y))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """Staged pairs that pass the suffix filter."""
+
+    def scan(batches):
+        for batch in batches:
+            keep = [may_be_similar(*r, similarity) for r in zip(*(batch.column(c).to_pylist() for c in ("size_a", "set_a", "size_b", "set_b")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("set").alias(f"set_{c}")), c)
+    return staged(both.select("a", "b", "size_a", "set_a", "size_b", "set_b").mapInArrow(scan, "a long, b long"), "ngram-possible")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -340,10 +365,16 @@ def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     ids = classes.select(F.col("class").alias("node"), F.col("least").alias("doc_id"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = _sets(rows, ids.join(nodes, "node", "left_semi"), n)
+        def named(p: DataFrame) -> DataFrame:
+            nodes = p.select(F.col("a").alias("node")).unionAll(p.select(F.col("b").alias("node"))).distinct()
+            return ids.join(nodes, "node", "left_semi")
+
+        sketches = _sets(rows, named(pairs), n, sketch)
+        pairs = _possible(pairs, sketches, similarity)
+        sets = _sets(rows, named(pairs), n, np.ndarray.tobytes)
         found = _verified(pairs, sets, similarity)
-        remove_dir(sets.sparkSession, sets._staged_at)
+        for used in (sketches, sets):
+            remove_dir(used.sparkSession, used._staged_at)
         return found
 
     both = posts.where("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
