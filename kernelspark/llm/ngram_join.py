@@ -35,7 +35,7 @@ from kernelspark.llm import _text as T
 from kernelspark.llm._util import components, remove_dir, staged
 
 #: Shingles counted in a task before those seen once are dropped, and rows of the table of common shingles.
-COUNTED, COMMON = 4_000_000, 500_000
+COUNTED, COMMON = 1_000_000, 500_000
 #: Common: in so many documents of a task at least.
 OFTEN = 4
 #: Classes whose sets are fetched through a broadcast of their ids (8 bytes each) at most; beyond that they are joined.
@@ -110,7 +110,7 @@ def _prefixes(rows: DataFrame, n: int, similarity: int, common: tuple[np.ndarray
             has = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for a, _, data, offsets in T.blocks(batch.column("text")):
                 out = []
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 for k, x in enumerate(T.shingle_sets(T.Words(data, offsets, lower=True), n)):
                     if not len(x) or not has[a + k] or (node := _class_of(x)) in seen:
