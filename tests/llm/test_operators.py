@@ -375,6 +375,8 @@ def test_odd_rows_do_not_break_an_operator(spark, path):
     j = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.join(df).collect()}
     assert j[1, 0] == 1 and j[2, 0] == 2 and j[3, 0] == 3 and j[6, 1] == 5 and [v for (d, _), v in j.items() if d == 8] == [7]
     assert quality.verdicts(df).count() == n and quality.clean(df).columns == df.columns
+    once = ngram_join.one_of_each(df)
+    assert sorted(r.doc_id or 0 for r in once.collect()) == [0, 1, 2, 3, 5, 7, 9] and once.columns == df.columns
     p = passages.passages(df).toPandas()
     assert p.doc_id.tolist() == [8] and p.n_words.tolist() == [30_000]
     assert passages.without_repeats(df).count() == n - 1
