@@ -10,12 +10,14 @@ are joined.
 2.  Prefixes: shingles in order (rarest first, then by value); two sets of
     similarity s share one of the first n - ceil(s n) + 1 of them.  Prefix
     shingles are dealt out by value and sorted by (value, size, class).
-3.  In each run of equal shingles every class is paired with the run's first
-    and with the one before it, under the length and positional filters: two
+3.  A run of equal shingles is ordered by the shingle's place in each prefix: a
+    text that others are edited from has few rarer shingles of its own and comes
+    first.  Every class is paired with the run's first and with the one before it, under the length and positional filters: two
     links a row, however large the run.  Distinct pairs are verified once, under
     a suffix filter, and linked classes become components.
 4.  What is left are pairs of one run in different components.  Those are
-    paired in full, verified, and the components are taken again.  A large group
+    paired in full as far as the filters let them (128 range counts a set go
+    along for that), verified, and the components are taken again.  A large group
     of near copies is one component by then and makes no more pairs.
 
 No link between different components is lost, so components are exact.
@@ -49,6 +51,12 @@ def _class_of(x: np.ndarray) -> int:
     return int(T.mix(np.array([np.sum(T.mix(x ^ np.uint64(0xA5A5)), dtype=np.uint64) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
 
 
+def _mark(x: np.ndarray) -> bytes:
+    """How many values of a set lie in each of 128 equal ranges, a byte each; all bytes full if one would overflow, which bounds nothing."""
+    count = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=128)
+    return count.astype(np.uint8).tobytes() if count.max() < 255 else b"\xff" * 128
+
+
 class _Counts:
     """Lossy counts of shingles of a task."""
 
@@ -75,7 +83,7 @@ class _Counts:
 
 def _scan(rows: DataFrame, n: int) -> DataFrame:
     """Staged rows: (doc_id, size, class) of each document, and (value, docs) of common shingles."""
-    names = ["doc_id", "size", "class", "value", "docs"]
+    names = ["doc_id", "size", "class", "value", "docs", "mark"]
 
     def scan(batches):
         counts = _Counts()
@@ -84,14 +92,14 @@ def _scan(rows: DataFrame, n: int) -> DataFrame:
                 sets = T.shingle_sets(T.Words(data, offsets, lower=True), n)
                 counts.add(sets)
                 none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([_class_of(x) if len(x) else None for x in sets], pa.int64()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([_class_of(x) if len(x) else None for x in sets], pa.int64()), none, none, pa.array([_mark(x) for x in sets], pa.binary())], names=names)
         counts.merge()
         keep = counts.n >= OFTEN
         v = pa.array(counts.value[keep].view(np.int64))
         none = pa.nulls(len(v), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, v, pa.array(counts.n[keep])], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, v, pa.array(counts.n[keep]), pa.nulls(len(v), pa.binary())], names=names)
 
-    return staged(rows.mapInArrow(scan, ", ".join(f"{c} long" for c in names)), "ngram-scan")
+    return staged(rows.mapInArrow(scan, ", ".join(f"{c} long" for c in names[:-1]) + ", mark binary"), "ngram-scan")
 
 
 def prefix_length(size: int, similarity: int) -> int:
@@ -147,7 +155,7 @@ def _runs(prefixes: DataFrame, similarity: int) -> DataFrame:
     names = ["value", "node", "size", "place", "first", "before"]
 
     def scan(batches):
-        # rows come sorted by (value, size, node). held: the first row of the run that is open, not yet given out;
+        # rows come sorted by (value, place, size, node). held: the first row of the run that is open, not yet given out;
         # lead, last: (value, node, size, place) of the run's first row and of the row before
         lead = last = held = None
         for batch in batches:
@@ -189,17 +197,18 @@ def _runs(prefixes: DataFrame, similarity: int) -> DataFrame:
             if len(cols[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=names)
 
-    rows = prefixes.repartition("value").sortWithinPartitions("value", "size", "node")
+    rows = prefixes.repartition("value").sortWithinPartitions("value", "place", "size", "node")
     return staged(rows.mapInArrow(scan, "value long, node long, size int, place int, first long, before long"), "ngram-posts")
 
 
-def _crossed(posts: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs (a, b) of one run whose components differ."""
+def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity: int) -> DataFrame:
+    """Distinct pairs (a, b) of one run whose components differ, under all filters that need no set. marks: (node, mark)."""
 
-    def cross(value, node, size, place, label) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def cross(value, node, size, place, label, mark) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         names, of, count = np.unique(label, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
+        mark = np.frombuffer(b"".join(mark), np.uint8).reshape(-1, 128)
         order = np.argsort(of, kind="stable")
         begin = np.concatenate(([0], np.cumsum(count)))
         rank = np.argsort(count, kind="stable")  # the largest comes last and is only a partner
@@ -209,6 +218,8 @@ def _crossed(posts: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
             other = np.flatnonzero(later[of] > later[c])
             for i in order[begin[c] : begin[c + 1]]:
                 ok = other[_can(size[other], place[other], size[i], place[i], similarity)]
+                shared = np.minimum(mark[ok], mark[i]).sum(1, dtype=np.int64)
+                ok = ok[shared * (100 + similarity) >= similarity * (size[ok].astype(np.int64) + size[i])]
                 if len(ok):
                     yield np.full(len(ok), node[i]), node[ok]
 
@@ -235,7 +246,7 @@ def _crossed(posts: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("value", "node", "size", "place", "label")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "node", "size", "place", "label", "mark")]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             edges = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1))
@@ -247,8 +258,8 @@ def _crossed(posts: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     at = posts.select("value", "node", "size", "place").join(labels.withColumnRenamed("component", "label"), "node", "left")
     at = at.withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("value").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("value")
-    at = at.join(mixed, "value", "left_semi").repartition("value").sortWithinPartitions("value", "size", "node")
-    return at.select("value", "node", "size", "place", "label").mapInArrow(scan, "a long, b long").distinct()
+    at = at.join(mixed, "value", "left_semi").join(marks, "node").repartition("value").sortWithinPartitions("value", "size", "node")
+    return at.select("value", "node", "size", "place", "label", "mark").mapInArrow(scan, "a long, b long").distinct()
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -361,7 +372,8 @@ def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     posts = _runs(_prefixes(rows, n, similarity, (value[order], count[order])), similarity)
 
     every = scan.where("value is null").select("doc_id", "size", "class")
-    classes = staged(every.where("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "ngram-classes")
+    named = scan.where("doc_id is not null and class is not null")
+    classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("mark").alias("mark")), "ngram-classes")
     ids = classes.select(F.col("class").alias("node"), F.col("least").alias("doc_id"))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -382,7 +394,8 @@ def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     pairs = staged(both.distinct(), "ngram-pairs")
     links = linked(pairs)
     labels = components(links)
-    rest = staged(_crossed(posts, labels, similarity).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
+    marks = classes.select(F.col("class").alias("node"), "mark")
+    rest = staged(_crossed(posts, labels, marks, similarity).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
     remove_dir(posts.sparkSession, posts._staged_at)
     if rest.limit(1).count():
         more = linked(rest)
