@@ -413,7 +413,8 @@ def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     """The documents that are the smallest of their component, with all their columns, a repeated id once; documents without an id stay."""
-    drop = join(docs, n, similarity).where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct()
+    drop = staged(join(docs, n, similarity).where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct(), "ngram-drop")
+    drop = F.broadcast(drop) if drop.count() <= FETCHED else drop  # few: the texts stay where they are
     kept = docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
     again = staged(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"), "ngram-again")
     if not again.limit(1).count():
