@@ -132,6 +132,30 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert left[42].split() == rows[32][1].split()[82:]
 
 
+def test_exact_paragraphs_between_rewritten_sentences_are_found(spark):
+    five = [[f"p{i}_{k}" for k in range(55)] for i in range(5)]
+
+    def text(name, sizes):
+        return " ".join(w for i, p in enumerate(five) for w in (*p, *(f"{name}{i}_{k}" for k in range(sizes[i]))))
+
+    df = docs(spark, [(1, text("a", (20, 20, 20, 20, 0))), (2, text("b", (20, 20, 20, 20, 0))), (3, text("c", (0, 38, 0, 38, 0)))])
+    got = passages.passages(df).collect()
+    assert all(100 * r.n_equal >= 80 * max(r.n_words, r.ref_end_word - r.ref_start_word) and r.n_words >= 50 for r in got)
+    left = {r.doc_id: r.text.split() for r in passages.without_repeats(df).collect()}
+    assert len(left[1]) == 355 and not any(w.startswith("p") for d in (2, 3) for w in left.get(d, []))
+
+
+def test_parts_are_the_words_of_all_runs_that_pass():
+    rule, rng = passages.Rule(min_words=8), np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        i, j = (np.cumsum(1 + rng.binomial(2, 0.12, n) * rng.integers(1, 4, n)) for _ in "ab")
+        want = {w for p in range(n) for q in range(p, n) if min(i[q] - i[p], j[q] - j[p]) >= 7 and 100 * (q - p + 1) >= 80 * (max(i[q] - i[p], j[q] - j[p]) + 1) for w in range(p, q + 1)}
+        got = passages.parts(i, j, rule)
+        assert {w for p, q in got for w in range(p, q + 1)} == want
+        assert all(100 * (q - p + 1) >= 80 * (max(i[q] - i[p], j[q] - j[p]) + 1) for p, q in got)
+
+
 def test_chains_match_the_quadratic_recurrence():
     rng = np.random.default_rng(4)
     rule = passages.Rule(gap=0.3, most_gap=10**9)
