@@ -145,6 +145,27 @@ def test_exact_paragraphs_between_rewritten_sentences_are_found(spark):
     assert len(left[1]) == 355 and not any(w.startswith("p") for d in (2, 3) for w in left.get(d, []))
 
 
+def test_a_passage_held_twice_is_cut_twice(spark):
+    shared, own = [f"p{k}" for k in range(60)], lambda n, k: [f"{n}{i}" for i in range(k)]
+    rows = [(1, " ".join(own("a", 30) + shared)), (2, " ".join(own("b", 20) + shared + own("c", 50) + shared + own("d", 20)))]
+    rows.append((3, " ".join(shared[40:] + own("e", 50) + shared[20:40] + own("f", 50) + shared)))  # its sentences stand earlier as well
+    left = {r.doc_id: r.text.split() for r in passages.without_repeats(docs(spark, rows)).collect()}
+    assert left[2] == own("b", 20) + own("c", 50) + own("d", 20)
+    assert left[3] == shared[40:] + own("e", 50) + shared[20:40] + own("f", 50)
+    rows = [(1, " ".join(shared[40:] + own("e", 50) + shared[20:40] + own("f", 50) + shared)), (2, " ".join(own("b", 20) + shared))]
+    assert {r.doc_id: r.text.split() for r in passages.without_repeats(docs(spark, rows)).collect()}[2] == own("b", 20)
+
+
+def test_seeds_meet_the_same_whatever_the_batches(spark):
+    rows = [(i % 23, " ".join(rng_words(i % 5, 70, 12) + rng_words(i, 20, 12))) for i in range(60)]
+    got = []
+    for n in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got.append(set(map(tuple, passages._matches(docs(spark, rows), passages.Rule()).distinct().collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and got[0] and all(r[1] < r[0] for r in got[0])
+
+
 def test_parts_are_the_words_of_all_runs_that_pass():
     rule, rng = passages.Rule(min_words=8), np.random.default_rng(3)
     for _ in range(60):
