@@ -156,6 +156,15 @@ def test_a_passage_held_twice_is_cut_twice(spark):
     assert {r.doc_id: r.text.split() for r in passages.without_repeats(docs(spark, rows)).collect()}[2] == own("b", 20)
 
 
+def test_passages_with_every_fifth_word_changed_are_found(spark):
+    rows = []
+    for i in range(60):
+        p = [f"p{i}_{k}" for k in range(100)]
+        rows += [(i, " ".join(p)), (100 + i, " ".join(f"z{i}_{k}" if k % 5 == 4 else w for k, w in enumerate(p)))]
+    got = passages.passages(docs(spark, rows)).collect()
+    assert len({r.doc_id for r in got}) >= 58 and all(r.ref_doc_id == r.doc_id - 100 and r.n_words >= 50 and 100 * r.n_equal >= 80 * r.n_words for r in got)
+
+
 def test_seeds_meet_the_same_whatever_the_batches(spark):
     rows = [(i % 23, " ".join(rng_words(i % 5, 70, 12) + rng_words(i, 20, 12))) for i in range(60)]
     got = []
