@@ -165,6 +165,15 @@ def test_passages_with_every_fifth_word_changed_are_found(spark):
     assert len({r.doc_id for r in got}) >= 58 and all(r.ref_doc_id == r.doc_id - 100 and r.n_words >= 50 and 100 * r.n_equal >= 80 * r.n_words for r in got)
 
 
+def test_passages_of_widespread_sentences_are_found(spark):
+    three = [[f"s{i}_{k}" for k in range(17)] for i in range(3)]
+    rows = [(3 * n + i, " ".join([f"a{n}_{i}_{k}" for k in range(40)] + three[i] + [f"b{n}_{i}_{k}" for k in range(40)])) for n in range(20) for i in range(3)]
+    rows += [(d, " ".join([f"c{d}_{k}" for k in range(40)] + sum(three, []) + [f"d{d}_{k}" for k in range(40)])) for d in (25_000, 50_000)]
+    rows += [(30_000 + 3 * n + i, rows[3 * n + i][1].replace("a", "e").replace("b", "f")) for n in range(20) for i in range(3)]
+    got = {(r.doc_id, r.ref_doc_id, r.start_word, r.end_word) for r in passages.passages(docs(spark, rows)).collect()}
+    assert got == {(50_000, 25_000, 40, 91)}
+
+
 def test_seeds_meet_the_same_whatever_the_batches(spark):
     rows = [(i % 23, " ".join(rng_words(i % 5, 70, 12) + rng_words(i, 20, 12))) for i in range(60)]
     got = []
