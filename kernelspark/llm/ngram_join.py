@@ -44,6 +44,8 @@ OFTEN = 4
 FETCHED = 1_000_000
 #: Members of a pair's first class that one task verifies.
 SALT = 2_000
+#: A range count that says that the counts of this set bound nothing.
+FULL = 65_535
 
 
 def _class_of(x: np.ndarray) -> int:
@@ -52,9 +54,9 @@ def _class_of(x: np.ndarray) -> int:
 
 
 def _mark(x: np.ndarray) -> bytes:
-    """How many values of a set lie in each of 128 equal ranges, a byte each; all bytes full if one would overflow, which bounds nothing."""
+    """How many values of a set lie in each of 128 equal ranges, 16 bits each; all full if one would overflow, which bounds nothing (FULL)."""
     count = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=128)
-    return count.astype(np.uint8).tobytes() if count.max() < 255 else b"\xff" * 128
+    return count.astype("<u2").tobytes() if count.max() < FULL else b"\xff" * 256
 
 
 class _Counts:
@@ -208,7 +210,8 @@ def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity:
         names, of, count = np.unique(label, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
-        mark = np.frombuffer(b"".join(mark), np.uint8).reshape(-1, 128)
+        mark = np.frombuffer(b"".join(mark), "<u2").reshape(-1, 128)
+        full = mark[:, 0] == FULL
         order = np.argsort(of, kind="stable")
         begin = np.concatenate(([0], np.cumsum(count)))
         rank = np.argsort(count, kind="stable")  # the largest comes last and is only a partner
@@ -219,7 +222,7 @@ def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity:
             for i in order[begin[c] : begin[c + 1]]:
                 ok = other[_can(size[other], place[other], size[i], place[i], similarity)]
                 shared = np.minimum(mark[ok], mark[i]).sum(1, dtype=np.int64)
-                ok = ok[shared * (100 + similarity) >= similarity * (size[ok].astype(np.int64) + size[i])]
+                ok = ok[full[ok] | full[i] | (shared * (100 + similarity) >= similarity * (size[ok].astype(np.int64) + size[i]))]
                 if len(ok):
                     yield np.full(len(ok), node[i]), node[ok]
 

@@ -98,6 +98,16 @@ def test_runs_give_the_same_whatever_the_batches(spark):
     assert Counter(r[0] for r in found[0]) == {v: v % 5 for v in range(20) if v % 5 > 1}
 
 
+@pytest.mark.parametrize("size", [45_000, 9_000_000])
+def test_full_pairs_of_very_long_texts_are_kept(spark, size):
+    x = np.random.default_rng(5).integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+    mark = ngram_join._mark(x)
+    posts = spark.createDataFrame([(1, n, size, 0) for n in (10, 11)], "value long, node long, size int, place int")
+    marks = spark.createDataFrame([(n, bytearray(mark)) for n in (10, 11)], "node long, mark binary")
+    labels = spark.createDataFrame([], "node long, component long")
+    assert [tuple(r) for r in ngram_join._crossed(posts, labels, marks, 80).collect()] == [(10, 11)]
+
+
 def test_suffix_filter_never_drops_a_similar_pair():
     rng = np.random.default_rng(1)
     for n in (3, 20, 300, 5000):
