@@ -37,10 +37,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: A tag that ends open ones of these names without their end tags.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _DROP = frozenset("head nav footer aside form button menu dialog fieldset".split())
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|toolbar|share|sharing|social|related|recommended|more-stories|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|tags|skip-link|print-only|hidden)(?:$|[\s_-])",
-    re.I,
+_WORDS = (
+    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|toolbar|share|sharing|social|related|recommended|more-stories|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|tags|skip-link|print-only|hidden)"
 )
+#: Parts of a class or id, and whole ones.
+_MARKS, _WHOLE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I), re.compile(rf"(?:^|\s){_WORDS}(?:$|\s)", re.I)
+#: Never dropped for their class or id.
+_STAY = frozenset("html body main article".split())
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|content|body)(?:$|[\s_-])", re.I)
 #: Pages that must agree on a text, and wrappers that one merge takes.
 SUPPORT, FAN = 10, 200
@@ -60,7 +63,12 @@ class Tag:
 
     @property
     def dropped(self) -> bool:
-        return self.name in _DROP or bool(self.mark and _MARKS.search(self.mark))
+        return self.name in _DROP or bool(self.mark and self.name not in _STAY and _MARKS.search(self.mark))
+
+    @property
+    def doubtful(self) -> bool:
+        """Dropped for a part of a class or id only, as in has-sidebar."""
+        return self.dropped and self.name not in _DROP and not _WHOLE.search(self.mark)
 
 
 def parse(html: str) -> Tag:
@@ -194,16 +202,33 @@ def expression(tag: Tag) -> list:
 
 
 def rules(wrapper: list, pages: int) -> dict:
-    """What extraction needs of a wrapper: paths of the article's regions, and paths and values of constant texts in it that are not of a repeated item."""
+    """What extraction needs of a wrapper: paths of the article's regions, paths and values of constant texts in it that are not of a repeated item, and
+    paths of tags that stay in spite of a part of their class or id, as they hold half of the varying text around them or more.
+    """
     mass: dict[str, int] = {}
     found: list[str] = []
     constant: list[str] = []
 
-    def drop(key: str) -> bool:
+    keep: list[str] = []
+
+    def tag(key: str) -> Tag:
         name, _, mark = key.partition(".")
-        return Tag(name, mark).dropped or name == "header"
+        return Tag(name, mark)
+
+    def drop(key: str) -> bool:
+        return tag(key).dropped or key.partition(".")[0] == "header"
+
+    def varying(items: list) -> int:
+        """Characters of texts that vary, those in doubtful tags included."""
+        total = 0
+        for key, _, n, value, body in items:
+            if key == "#":
+                total += body if value is None or n < max(2, pages) or pages < SUPPORT else 0
+            elif key[0] == "(" or not drop(key) or tag(key).doubtful:
+                total += varying(body)
+        return total
 
-    def walk(items: list, path: str, inside: bool, many: bool) -> int:
+    def walk(items: list, path: str, inside: bool, many: bool, around: int) -> int:
         total = 0
         for key, quant, n, value, body in items:
             if key == "#":
@@ -212,30 +237,32 @@ def rules(wrapper: list, pages: int) -> dict:
                 if inside and not many and quant == "1" and value is not None and n >= SUPPORT and 10 * n >= 9 * pages and not re.search(r"/h[1-6][^/]*$", path):
                     constant.append(f"{path}\t{value}")
             elif key[0] == "(":
-                total += walk(body, path, inside, True)
-            elif not drop(key):
+                total += walk(body, path, inside, True, around)
+            elif not drop(key) or (tag(key).doubtful and 2 * varying(body) >= around > 0):
+                if drop(key):
+                    keep.append(f"{path}/{key}")
                 at, name = f"{path}/{key}", key.partition(".")[0]
                 main = not inside and (name in ("article", "main") or "articleBody" in key)
                 if main:
                     found.append(at)
-                total += walk(body, at, inside or main, many or quant in "+*")
+                total += walk(body, at, inside or main, many or quant in "+*", varying(body) if main else around)
         mass[path] = mass.get(path, 0) + total
         return total
 
-    every = walk(wrapper, "", False, False)
+    every = walk(wrapper, "", False, False, varying(wrapper))
     if found:
         articles = [f for f in found if f.rpartition("/")[2].startswith("article")]
         found = articles or found
-        return {"main": sorted(set(found)), "constant": sorted(set(constant))}
+        return {"main": sorted(set(found)), "constant": sorted(set(constant)), "keep": sorted(set(keep))}
     # no such tag: the deepest region with most of the text that varies, one marked as content before others
     marked = [p for p, n in mass.items() if p and 2 * n >= every and _MAIN.search(p.rpartition("/")[2].partition(".")[2])]
     best = max(marked or [p for p, n in mass.items() if 5 * n >= 4 * every], key=lambda p: (p.count("/"), p), default="")
-    return {"main": [best], "constant": []}
+    return {"main": [best], "constant": [], "keep": sorted(set(keep))}
 
 
 def text_of(page: Tag, rule: dict | None) -> str:
     """The blocks of the article regions, a line each. Without a rule, and where a page lacks its host's regions, its own expression gives one."""
-    main, constant = (set(rule["main"]), set(rule["constant"])) if rule else (set(), set())
+    main, constant, keep = (set(rule[c]) for c in ("main", "constant", "keep")) if rule else (set(), set(), set())
     blocks: list[str] = []
 
     def walk(tag: Tag, path: str, inside: bool) -> None:
@@ -243,15 +270,15 @@ def text_of(page: Tag, rule: dict | None) -> str:
             if isinstance(k, str):
                 if inside and f"{path}\t{k}" not in constant:
                     blocks.append(k)
-            elif not k.dropped and not (k.name == "header" and not inside):
+            elif not (k.name == "header" and not inside) and (not k.dropped or f"{path}/{k.key}" in keep):
                 at = f"{path}/{k.key}"
                 walk(k, at, inside or at in main)
 
     walk(page, "", "" in main)
     if not blocks:
         own = rules(expression(page), 1)
-        if not rule or own["main"] != rule["main"]:
-            main, constant = set(own["main"]), set()
+        if not rule or own["main"] != rule["main"] or own["keep"] != rule["keep"]:
+            main, constant, keep = set(own["main"]), set(), set(own["keep"])
             walk(page, "", "" in main)
     return "\n".join(blocks)
 

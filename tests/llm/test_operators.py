@@ -366,6 +366,17 @@ def test_wrappers_find_the_article(spark, monkeypatch, opened, closed, few):
     assert (got[100].text, got[101].text, got[102].text) == ("", "", "only this page")
 
 
+@pytest.mark.parametrize("n", [1, 14])
+@pytest.mark.parametrize(("opened", "closed"), [("<body class='home has-sidebar'><article>", "</article>"), ("<body><main class='overflow-hidden'>", "</main>"), ("<article class='post tags-x'>", "</article>"), ("<div class='page no-sidebar'><article>", "</article></div>"), ("<div class='comments-open'><div class='content'>", "</div></div>")])
+def test_a_part_of_a_class_does_not_drop_the_article(n, opened, closed):
+    pages = [wrapper.parse(f"{opened}<p>Text {i} of the article" + f" more{i}" * 30 + f"</p><div class='share-bar'>Share {i}</div>{closed}<div id='comments'>Nice {i}</div>") for i in range(n)]
+    w = wrapper.expression(pages[0])
+    for p in pages[1:]:
+        w = wrapper.align(w, wrapper.expression(p))
+    rule = wrapper.rules(w, n)
+    assert [wrapper.text_of(p, rule) for p in pages] == [f"Text {i} of the article" + f" more{i}" * 30 for i in range(n)]
+
+
 def test_expressions_repeat_and_become_optional():
     e = wrapper.expression(wrapper.parse("<ul><li>a<li>b<li>c</ul><dl><dt>x<dd>y<dt>z<dd>w</dl>"))
     assert [(i[0], i[1]) for i in e] == [("ul", "1"), ("dl", "1")] and [(i[0], i[1]) for i in e[0][4]] == [("li", "+")]
