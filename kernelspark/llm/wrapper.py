@@ -16,6 +16,7 @@ which texts of it are the same on all pages (notices).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -71,6 +72,26 @@ class Tag:
         return self.dropped and self.name not in _DROP and not _WHOLE.search(self.mark)
 
 
+def _mark(words: list[str]) -> str:
+    """The class, id, role and itemprop of a tag without digits: the words that fit in 80 characters, and those beyond that tell what it holds."""
+    words = re.sub(r"\d+", "", " ".join(words)).split()
+    if sum(map(len, words)) + len(words) <= 81:
+        return " ".join(words)
+    out, n = [], 0
+    for w in words:
+        n += len(w) + 1
+        if n <= 81:
+            out.append(w)
+        elif (_MARKS.search(w) or _MAIN.search(w)) and w not in out:
+            out.append(w)
+    return " ".join(out)
+
+
+def _constant(text: str) -> str:
+    """A text as wrappers keep it: a long one as its length and a hash, after a character that no text holds."""
+    return text if len(text) <= 120 else f"\x1f{len(text)}:{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def parse(html: str) -> Tag:
     """The page as nested block tags and texts. Texts are decoded, white space in them is one space."""
     root = Tag("")
@@ -113,8 +134,7 @@ def parse(html: str) -> Tag:
             end(("p",), ("td", "th", "table", "button", "article", "section", "div"))
             if name in _ENDS:
                 end(_ENDS[name], ("ul", "ol", "dl", "table", "select"))
-            marks = " ".join(x for f in _MARK.findall(token) for x in (f[1] or f[2] or f[3]).split())
-            tag = Tag(name, re.sub(r"\d+", "", marks).strip()[:80] if marks else "")
+            tag = Tag(name, _mark([x for f in _MARK.findall(token) for x in (f[1] or f[2] or f[3]).split()]))
             stack[-1].kids.append(tag)
             if not token.endswith("/>"):
                 stack.append(tag)
@@ -198,7 +218,7 @@ def align(a: list, b: list, twice: bool = False) -> list:
 
 def expression(tag: Tag) -> list:
     """A page's own expression."""
-    return _fold([["#", "1", 1, k if len(k) <= 120 else None, len(k)] if isinstance(k, str) else [k.key, "1", 1, None, expression(k)] for k in tag.kids])
+    return _fold([["#", "1", 1, _constant(k), len(k)] if isinstance(k, str) else [k.key, "1", 1, None, expression(k)] for k in tag.kids])
 
 
 def rules(wrapper: list, pages: int) -> dict:
@@ -268,7 +288,7 @@ def text_of(page: Tag, rule: dict | None) -> str:
     def walk(tag: Tag, path: str, inside: bool) -> None:
         for k in tag.kids:
             if isinstance(k, str):
-                if inside and f"{path}\t{k}" not in constant:
+                if inside and f"{path}\t{_constant(k)}" not in constant:
                     blocks.append(k)
             elif not (k.name == "header" and not inside) and (not k.dropped or f"{path}/{k.key}" in keep):
                 at = f"{path}/{k.key}"

@@ -377,6 +377,17 @@ def test_a_part_of_a_class_does_not_drop_the_article(n, opened, closed):
     assert [wrapper.text_of(p, rule) for p in pages] == [f"Text {i} of the article" + f" more{i}" * 30 for i in range(n)]
 
 
+def test_long_notices_and_marks_are_judged_whole():
+    notice, far = "This text may be used under the terms of the licence " * 4, " ".join(f"utility-class-{c * 6}" for c in "abcdefgh")
+    pages = [wrapper.parse(f"<article><p>Text {i}" + f" more{i}" * 30 + f"</p><div>{notice}</div><div class='{far} comments'>Nice {i}</div></article>") for i in range(14)]
+    w = wrapper.expression(pages[0])
+    for p in pages[1:]:
+        w = wrapper.align(w, wrapper.expression(p))
+    rule = wrapper.rules(json.loads(json.dumps(w)), 14)
+    assert [wrapper.text_of(p, rule) for p in pages] == [f"Text {i}" + f" more{i}" * 30 for i in range(14)]
+    assert not wrapper.Tag("div", wrapper._mark(["x" * 76, "tagsoup"])).dropped
+
+
 def test_expressions_repeat_and_become_optional():
     e = wrapper.expression(wrapper.parse("<ul><li>a<li>b<li>c</ul><dl><dt>x<dd>y<dt>z<dd>w</dl>"))
     assert [(i[0], i[1]) for i in e] == [("ul", "1"), ("dl", "1")] and [(i[0], i[1]) for i in e[0][4]] == [("li", "+")]
