@@ -4,28 +4,36 @@ A document is the set of its distinct n-word shingles (64-bit values).  Texts
 with equal sets are one class, found by a value of the set, and only classes
 are joined.
 
-1.  Scan: set size and class of every document; with it, lossy counts of
-    shingles that are common within a task give a bounded table of common
-    shingles.  It only decides the order, so it can't change a result.
-2.  Prefixes: shingles in order (rarest first, then by value); two sets of
-    similarity s share one of the first n - ceil(s n) + 1 of them.  Prefix
-    shingles are dealt out by value and sorted by (value, size, class).
-3.  A run of equal shingles is ordered by the shingle's place in each prefix: a
-    text that others are edited from has few rarer shingles of its own and comes
-    first.  Every class is paired with the run's first and with the one before it, under the length and positional filters: two
-    links a row, however large the run.  Distinct pairs are verified once, under
-    a suffix filter, and linked classes become components.
-4.  What is left are pairs of one run in different components.  Those are
-    paired in full as far as the filters let them (128 range counts a set go
-    along for that), verified, and the components are taken again.  A large group
-    of near copies is one component by then and makes no more pairs.
-
-No link between different components is lost, so components are exact.
+1.  Scan: set size and class of every document; with it a count sketch: every
+    shingle of every document adds one to one of 2^BITS counters, which are
+    summed over all tasks.  The sketch has a fixed size and is the same however
+    the rows are dealt out.  It only decides the order, so it can't change a
+    result.
+2.  Prefixes: shingles in order (rarest by the sketch first, then by value); two
+    sets of similarity s share one of the first n - ceil(s n) + 1 of them.
+    Prefix shingles are dealt out by value and sorted by place in the prefix.
+    A shingle in very many sets is dealt out in parts by set as well, and the
+    parts' first sets are paired in a run of their own.
+3.  In a run of equal shingles a text that others are edited from has few rarer
+    shingles of its own and comes first.  Every class is paired with the run's
+    first and with the one before it, under the length and positional filters:
+    two links a row, however large the run.  Distinct pairs are verified once,
+    under a suffix filter, and linked classes become components.
+4.  What is left are pairs of one run in different components.  Runs are split
+    by size (sets whose sizes differ too much never meet) and, where many sets
+    of like size share a shingle, in blocks.  Pairs that the filters let through
+    (range counts of the sets go along for that) are verified, and the
+    components are taken again.  A large group of near copies is one component
+    by then and makes no more pairs.
+
+No link between different components is lost, so components are exact, but for
+sets that share a 64-bit value: of n different sets n^2 / 2^65 pairs do.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,72 +44,144 @@ from pyspark.sql import functions as F
 from kernelspark.llm import _text as T
 from kernelspark.llm._util import components, remove_dir, staged
 
-#: Shingles counted in a task before those seen once are dropped, and rows of the table of common shingles.
-COUNTED, COMMON = 1_000_000, 500_000
-#: Common: in so many documents of a task at least.
-OFTEN = 4
+#: The sketch has 2^BITS counters (16 MB with their ranks), moved in blocks of 2^BLOCK_BITS.
+BITS, BLOCK_BITS = 22, 14
+#: Sets that share a shingle and are met in one task: in a run on average, and in full pairing.
+SPLIT, FULL_SPLIT = 200_000, 4_000
 #: Classes whose sets are fetched through a broadcast of their ids (8 bytes each) at most; beyond that they are joined.
 FETCHED = 1_000_000
 #: Members of a pair's first class that one task verifies.
 SALT = 2_000
-#: A range count that says that the counts of this set bound nothing.
-FULL = 65_535
-
-
 def _class_of(x: np.ndarray) -> int:
     """A value of a sorted set."""
     return int(T.mix(np.array([np.sum(T.mix(x ^ np.uint64(0xA5A5)), dtype=np.uint64) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
 
 
-def _mark(x: np.ndarray) -> bytes:
-    """How many values of a set lie in each of 128 equal ranges, 16 bits each; all full if one would overflow, which bounds nothing (FULL)."""
-    count = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=128)
-    return count.astype("<u2").tobytes() if count.max() < FULL else b"\xff" * 256
+#: Range counts of a set by kind: (ranges, bits a count). All take 256 bytes; finer ranges bound the overlap better.
+_KINDS = ((512, 4), (256, 8), (128, 16))
 
 
-class _Counts:
-    """Lossy counts of shingles of a task."""
+def _mark(x: np.ndarray) -> bytes:
+    """How many values of a set lie in each of equal ranges: a byte for the kind, then the counts; a kind beyond the last where none can hold them."""
+    for kind, (ranges, bits) in enumerate(_KINDS):
+        count = np.bincount((x >> np.uint64(64 - int(math.log2(ranges)))).astype(np.int64), minlength=ranges)
+        if count.max(initial=0) < 1 << bits:
+            packed = (count[::2] | count[1::2] << 4).astype(np.uint8) if bits == 4 else count.astype(f"<u{bits // 8}")
+            return bytes([kind]) + packed.tobytes()
+    return bytes([len(_KINDS)]) + bytes(256)
+
+
+class _Marks:
+    """The range counts of many sets, each at its own kind and all coarser ones."""
+
+    def __init__(self, marks: list[bytes]):
+        raw = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 257)
+        self.kind, raw = raw[:, 0].astype(np.int64), raw[:, 1:]
+        self.level: list[np.ndarray] = []
+        for kind, (ranges, bits) in enumerate(_KINDS):
+            count = np.zeros((len(raw), ranges), np.uint16)
+            if self.level:
+                count[:] = self.level[-1].reshape(len(raw), ranges, 2).sum(2)
+            own = self.kind == kind
+            if own.any():
+                count[own] = np.stack((raw[own] & 15, raw[own] >> 4), axis=2).reshape(-1, ranges) if bits == 4 else np.ascontiguousarray(raw[own]).view(f"<u{bits // 8}")
+            self.level.append(count)
+
+    def shared(self, i: int, other: np.ndarray) -> np.ndarray:
+        """The most values that set i and each of the others can have in common; -1 where nothing is known."""
+        kind = np.maximum(self.kind[other], self.kind[i])
+        out = np.full(len(other), -1, np.int64)
+        for k, count in enumerate(self.level):
+            at = np.flatnonzero(kind == k)
+            if len(at):
+                out[at] = np.minimum(count[other[at]], count[i]).sum(1, dtype=np.int64)
+        return out
+
+
+class _Sketch:
+    """Counts of a task's shingles by their first BITS bits."""
 
     def __init__(self):
-        self.value, self.n, self.new, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        self.count, self.new, self.waiting = np.zeros(1 << BITS, np.uint32), [], 0
 
     def add(self, sets: list[np.ndarray]) -> None:
-        self.new += sets
+        self.new += [x for x in sets if len(x)]
         self.waiting += sum(map(len, sets))
-        if self.waiting > COUNTED // 4:
+        if self.waiting > 1 << 20:
             self.merge()
 
     def merge(self) -> None:
         if self.new:
-            v, n = np.unique(np.concatenate(self.new), return_counts=True)
-            every = np.concatenate((self.value, v))
-            self.value, where = np.unique(every, return_inverse=True)
-            self.n = np.bincount(where, weights=np.concatenate((self.n, n)), minlength=len(self.value)).astype(np.int64)
+            every = np.concatenate(self.new) >> np.uint64(64 - BITS)
+            self.count += np.bincount(every.astype(np.int64), minlength=1 << BITS).astype(np.uint32)
             self.new, self.waiting = [], 0
-        if len(self.value) > COUNTED:
-            keep = self.n > 1
-            self.value, self.n = self.value[keep], self.n[keep]
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        self.merge()
+        for k, block in enumerate(self.count.reshape(-1, 1 << BLOCK_BITS)):
+            if block.any():
+                yield k, _packed(block)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters as 64-bit integers, byte planes one after another, compressed."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _scan(rows: DataFrame, n: int) -> DataFrame:
-    """Staged rows: (doc_id, size, class) of each document, and (value, docs) of common shingles."""
-    names = ["doc_id", "size", "class", "value", "docs", "mark"]
+    """Staged rows: (doc_id, size, class, mark) of each document, and (block, part, counts) of the tasks' sketches."""
+    names = ["doc_id", "size", "class", "mark", "block", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+
+    def out(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def scan(batches):
-        counts = _Counts()
+        from pyspark import TaskContext
+
+        sketch = _Sketch()
         for batch in batches:
             for a, b, data, offsets in T.blocks(batch.column("text")):
                 sets = T.shingle_sets(T.Words(data, offsets, lower=True), n)
-                counts.add(sets)
-                none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([_class_of(x) if len(x) else None for x in sets], pa.int64()), none, none, pa.array([_mark(x) for x in sets], pa.binary())], names=names)
-        counts.merge()
-        keep = counts.n >= OFTEN
-        v = pa.array(counts.value[keep].view(np.int64))
-        none = pa.nulls(len(v), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, v, pa.array(counts.n[keep]), pa.nulls(len(v), pa.binary())], names=names)
+                sketch.add(sets)
+                yield out(b - a, {"doc_id": batch.column("doc_id").slice(a, b - a), "size": pa.array([len(x) for x in sets], pa.int64()), "class": pa.array([_class_of(x) if len(x) else None for x in sets], pa.int64()), "mark": pa.array([_mark(x) for x in sets], pa.binary())})
+        part = TaskContext.get().partitionId() % 64
+        block, counts = zip(*sketch.blocks(), strict=True) if sketch.count.any() or sketch.new else ((), ())
+        yield out(len(block), {"block": pa.array(block, pa.int32()), "part": pa.array([part] * len(block), pa.int32()), "counts": pa.array(counts, pa.binary())})
+
+    return staged(rows.mapInArrow(scan, "doc_id long, size long, class long, mark binary, block int, part int, counts binary"), "ngram-scan")
 
-    return staged(rows.mapInArrow(scan, ", ".join(f"{c} long" for c in names[:-1]) + ", mark binary"), "ngram-scan")
+
+def _frequencies(scan: DataFrame) -> np.ndarray:
+    """The summed sketch of all tasks: 2^BITS counters."""
+
+    def add(batches):
+        key, total = None, None
+        for batch in batches:
+            for block, part, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "counts")), strict=True):
+                if key != (block, part):
+                    if key is not None:
+                        yield given(key, total)
+                    key, total = (block, part), np.zeros(1 << BLOCK_BITS, np.uint64)
+                total += _unpacked(raw)
+        if key is not None:
+            yield given(key, total)
+
+    def given(key, total):
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([_packed(total)], pa.binary())], names=["block", "part", "counts"])
+
+    rows = scan.where("block is not null").select("block", "part", "counts")
+    for whole in (False, True):  # tasks' sketches meet in parts before they meet at all
+        rows = rows.withColumn("part", F.lit(0)) if whole else rows
+        rows = rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(add, "block int, part int, counts binary")
+    out = np.zeros((1 << BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint64)
+    for r in rows.collect():
+        out[r.block] = _unpacked(r.counts)
+    return out.ravel()
 
 
 def prefix_length(size: int, similarity: int) -> int:
@@ -109,12 +189,16 @@ def prefix_length(size: int, similarity: int) -> int:
     return size - -(-size * similarity // 100) + 1
 
 
-def _prefixes(rows: DataFrame, n: int, similarity: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(value, node, size, place) of every class's prefix; equal classes of a task once."""
-    shared = rows.sparkSession.sparkContext.broadcast(common)
+def _prefixes(rows: DataFrame, n: int, similarity: int, frequency: np.ndarray) -> DataFrame:
+    """(key, value, node, size, place, parts) of every class's prefix; equal classes of a task once. key: the value, or the value and one of its parts."""
+    rank = np.unique(frequency, return_inverse=True)[1].astype(np.uint32)
+    # what a shingle's counter holds beyond the usual tells how many parts it needs
+    parts = np.ceil(np.maximum(frequency - np.median(frequency), 0) / SPLIT).astype(np.int64)
+    hot = np.flatnonzero(parts > 1)
+    shared = rows.sparkSession.sparkContext.broadcast((rank, hot, parts[hot]))
 
     def scan(batches):
-        known, count = shared.value
+        rank, hot, parts = shared.value
         seen: set[int] = set()
         for batch in batches:
             has = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -126,114 +210,117 @@ def _prefixes(rows: DataFrame, n: int, similarity: int, common: tuple[np.ndarray
                     if not len(x) or not has[a + k] or (node := _class_of(x)) in seen:
                         continue
                     seen.add(node)
-                    m = prefix_length(len(x), similarity)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                        often = np.where(known[at] == x, count[at], 0)
-                        rare = np.flatnonzero(often == 0)
-                        head = rare[:m] if len(rare) >= m else np.lexsort((x, often))[:m]
-                    else:
-                        head = np.arange(m)
-                    out.append((x[head].view(np.int64), node, len(x)))
+                    often = rank[(x >> np.uint64(64 - BITS)).astype(np.int64)]
+                    out.append((x[np.argsort(often, kind="stable")[: prefix_length(len(x), similarity)]], node, len(x)))
                 if out:
                     sizes = [len(v) for v, _, _ in out]
+                    value, node = np.concatenate([v for v, _, _ in out]), np.repeat(np.array([o[1] for o in out], np.int64), sizes)
+                    many = np.ones(len(value), np.int64)
+                    key = value.copy()
+                    if len(hot):
+                        counter = (value >> np.uint64(64 - BITS)).astype(np.int64)
+                        at = np.minimum(np.searchsorted(hot, counter), len(hot) - 1)
+                        many = np.where(hot[at] == counter, parts[at], 1)
+                        key = np.where(many > 1, T.mix(value + T.mix(node.view(np.uint64)) % many.astype(np.uint64)), value)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([v for v, _, _ in out])), pa.array(np.repeat(np.array([o[1] for o in out], np.int64), sizes)), pa.array(np.repeat(np.array([o[2] for o in out], np.int32), sizes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]))],
-                        names=["value", "node", "size", "place"],
+                        [pa.array(key.view(np.int64)), pa.array(value.view(np.int64)), pa.array(node), pa.array(np.repeat(np.array([o[2] for o in out], np.int32), sizes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])), pa.array(many.astype(np.int32))],
+                        names=["key", "value", "node", "size", "place", "parts"],
                     )
 
-    return rows.mapInArrow(scan, "value long, node long, size int, place int")
+    return rows.mapInArrow(scan, "key long, value long, node long, size int, place int, parts int")
 
 
 def _can(size1, place1, size2, place2, similarity: int):
     """Length and positional filter of two sets that share the shingles at these places; works on arrays as well."""
+    size1, size2 = np.asarray(size1, np.int64), np.asarray(size2, np.int64)
     low, high = np.minimum(size1, size2), np.maximum(size1, size2)
-    most = np.minimum(place1, place2) + 1 + np.minimum(size1 - place1, size2 - place2) - 1
-    return (100 * low >= similarity * high) & (most * (100 + similarity) >= similarity * (size1.astype(np.int64) + size2))
+    most = np.minimum(place1, place2) + np.minimum(size1 - place1, size2 - place2)
+    return (100 * low >= similarity * high) & (most * (100 + similarity) >= similarity * (size1 + size2))
 
 
 def _runs(prefixes: DataFrame, similarity: int) -> DataFrame:
-    """Staged posts (value, node, size, place, first, before): shingles of two classes at least, each row with the partners it may be similar to."""
-    names = ["value", "node", "size", "place", "first", "before"]
+    """Rows (value, node, size, place, parts, first, before): shingles of two classes of a key at least, and all those of a part, each with the partners it may be similar to."""
+    names = ["key", "value", "node", "size", "place", "parts"]
+    kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64)
 
     def scan(batches):
-        # rows come sorted by (value, place, size, node). held: the first row of the run that is open, not yet given out;
-        # lead, last: (value, node, size, place) of the run's first row and of the row before
+        # rows come sorted by (key, place, size, node). lead, last: the open run's first row and the row before;
+        # held: the open run's only row so far, which is given out if another follows
         lead = last = held = None
         for batch in batches:
-            value, node, size, place = (batch.column(c).to_numpy() for c in names[:4])
-            if not len(value):
+            cols = [batch.column(c).to_numpy() for c in names]
+            if not len(cols[0]):
                 continue
-            if last is not None:
-                value, node, size, place = (np.concatenate(([x], y)) for x, y in zip(last, (value, node, size, place), strict=True))
-                size, place = size.astype(np.int32), place.astype(np.int32)
-            start = 1 if last is not None else 0
-            keep = np.ones(len(value), dtype=bool)
-            keep[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
-            keep[0] = True
-            idx = np.flatnonzero(keep)
-            value, node, size, place = value[idx], node[idx], size[idx], place[idx]
-            new = np.concatenate(([start == 0], value[1:] != value[:-1]))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
+            start = int(last is not None)
+            if start:
+                cols = [np.concatenate((np.array([x], c.dtype), c)) for x, c in zip(last, cols, strict=True)]
+            key, node = cols[0], cols[2]
+            keep = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, value, node, size, place, parts = cols = [c[keep] for c in cols]
+            n = len(key)
+            new = np.concatenate(([not start], key[1:] != key[:-1]))
+            head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
             h_node, h_size, h_place = node[head], size[head], place[head]
-            if start and lead is not None:  # the run that was open goes on
-                open_ = np.cumsum(new) == 0
-                h_node, h_size, h_place = np.where(open_, lead[1], h_node), np.where(open_, lead[2], h_size), np.where(open_, lead[3], h_place)
-            is_first = new.copy()
-            pair_first = ~is_first & _can(size, place, h_size, h_place, similarity)
-            before = np.concatenate(([0], np.arange(len(value) - 1)))
-            pair_before = ~is_first & _can(size, place, size[before], place[before], similarity) & (node[before] != h_node)
-            more = np.concatenate((~new[1:], [False]))  # another row of the run follows
-            out = ~is_first | more
             if start:
-                out[0] = False
-            pieces = [(value[out], node[out], size[out], place[out], np.where(pair_first, h_node, node)[out], np.where(pair_before, node[before], node)[out])]
-            if start and held is not None and len(value) > 1 and not new[1]:
-                pieces.insert(0, tuple(np.array([x]) for x in (*held, held[1], held[1])))
-            k = len(value) - 1
-            if k or not start:
-                held = (value[k], node[k], size[k], place[k]) if new[k] and (k or not start) else None
-            lead = (value[k], h_node[k], h_size[k], h_place[k])
-            last = (value[k], node[k], size[k], place[k])
-            cols = [np.concatenate(c) for c in zip(*pieces, strict=True)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=names)
-
-    rows = prefixes.repartition("value").sortWithinPartitions("value", "place", "size", "node")
-    return staged(rows.mapInArrow(scan, "value long, node long, size int, place int, first long, before long"), "ngram-posts")
+                open_ = np.cumsum(new) == 0
+                h_node, h_size, h_place = (np.where(open_, x, c) for x, c in zip(lead, (h_node, h_size, h_place), strict=True))
+            before = np.maximum(np.arange(n) - 1, 0)
+            pair_first = ~new & _can(size, place, h_size, h_place, similarity)
+            pair_before = ~new & _can(size, place, size[before], place[before], similarity) & (node[before] != h_node)
+            out = ~new | np.concatenate((~new[1:], [False])) | (parts > 1)
+            out[:start] = False
+            rows = [c[out] for c in (value, node, size, place, parts)] + [np.where(pair_first, h_node, node)[out], np.where(pair_before, node[before], node)[out]]
+            if held is not None and n > 1 and not new[1]:
+                rows = [np.concatenate(([x], c)) for x, c in zip((*held[1:], held[2], held[2]), rows, strict=True)]
+            if n > start:
+                held = tuple(c[-1] for c in cols) if new[-1] and parts[-1] == 1 else None
+            lead, last = (h_node[-1], h_size[-1], h_place[-1]), [c[-1] for c in cols]
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(rows, kinds, strict=True)], names=[*names[1:], "first", "before"])
+
+    rows = prefixes.repartition("key").sortWithinPartitions("key", "place", "size", "node")
+    return rows.mapInArrow(scan, "value long, node long, size int, place int, parts int, first long, before long")
+
+
+def _paired(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows with their partners."""
+    pair = lambda c: posts.where(f"{c} <> node").select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
+    return pair("first").unionAll(pair("before"))
 
 
 def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs (a, b) of one run whose components differ, under all filters that need no set. marks: (node, mark)."""
+    """Distinct pairs (a, b) of one run whose components differ, under all filters that need no set. labels: (node, label); marks: (node, mark)."""
+    names = ("node", "size", "place", "label", "own", "part", "mark")
 
-    def cross(value, node, size, place, label, mark) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        names, of, count = np.unique(label, return_inverse=True, return_counts=True)
-        if len(names) < 2:
+    def cross(sizes, x, y, node, size, place, label, own, part, mark) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        groups, of, count = np.unique(label, return_inverse=True, return_counts=True)
+        if len(groups) < 2:
             return
-        mark = np.frombuffer(b"".join(mark), "<u2").reshape(-1, 128)
-        full = mark[:, 0] == FULL
+        ranges = _Marks(mark)
         order = np.argsort(of, kind="stable")
         begin = np.concatenate(([0], np.cumsum(count)))
         rank = np.argsort(count, kind="stable")  # the largest comes last and is only a partner
-        later = np.empty(len(names), np.int64)
-        later[rank] = np.arange(len(names))
+        later = np.empty(len(groups), np.int64)
+        later[rank] = np.arange(len(groups))
         for c in rank[:-1]:
             other = np.flatnonzero(later[of] > later[c])
             for i in order[begin[c] : begin[c + 1]]:
-                ok = other[_can(size[other], place[other], size[i], place[i], similarity)]
-                shared = np.minimum(mark[ok], mark[i]).sum(1, dtype=np.int64)
-                ok = ok[full[ok] | full[i] | (shared * (100 + similarity) >= similarity * (size[ok].astype(np.int64) + size[i]))]
+                # two rows meet in the later one's class of sizes, and in the block of their two parts
+                here = (np.maximum(own[other], own[i]) == sizes) & (np.minimum(part[other], part[i]) == x) & (np.maximum(part[other], part[i]) == y)
+                ok = other[here & _can(size[other], place[other], size[i], place[i], similarity)]
+                shared = ranges.shared(i, ok)
+                ok = ok[(shared < 0) | (shared * (100 + similarity) >= similarity * (size[ok].astype(np.int64) + size[i]))]
                 if len(ok):
                     yield np.full(len(ok), node[i]), node[ok]
 
     def scan(batches):
         held: list[np.ndarray] | None = None
 
-        def pairs(cols, edges):
+        def pairs(key, cols, edges):
             a, b, n = [], [], 0
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s > 1:
-                    for x, y in cross(*(c[s:e] for c in cols)):
+                    for x, y in cross(*(c[s] for c in key), *(c[s:e] for c in cols)):
                         a.append(x)
                         b.append(y)
                         n += len(x)
@@ -249,20 +336,25 @@ def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity:
             return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "node", "size", "place", "label", "mark")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "sizes", "x", "y", *names)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1))
-            yield from pairs(cols, edges)  # all runs but the last, which may go on
+            edges = np.concatenate(([0], np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)) + 1))
+            yield from pairs(cols[1:4], cols[4:], edges)  # all blocks but the last, which may go on
             held = [c[edges[-1] :] for c in cols]
         if held is not None:
-            yield from pairs(held, [0, len(held[0])])
+            yield from pairs(held[1:4], held[4:], [0, len(held[0])])
 
-    at = posts.select("value", "node", "size", "place").join(labels.withColumnRenamed("component", "label"), "node", "left")
-    at = at.withColumn("label", F.coalesce("label", "node"))
+    at = posts.select("value", "node", "size", "place").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = at.groupBy("value").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("value")
-    at = at.join(mixed, "value", "left_semi").join(marks, "node").repartition("value").sortWithinPartitions("value", "size", "node")
-    return at.select("value", "node", "size", "place", "label", "mark").mapInArrow(scan, "a long, b long").distinct()
+    # similar sets fall into one class of sizes or two that follow each other
+    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / similarity) + 1e-6)).cast("int") if similarity < 100 else F.col("size")
+    at = at.join(mixed, "value", "left_semi").withColumn("own", own).withColumn("sizes", F.explode(F.array("own", F.col("own") + 1)))
+    many = at.groupBy("value", "sizes").agg(F.ceil(F.count("*") / F.lit(FULL_SPLIT)).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").drop("mixed")
+    at = at.join(many, ["value", "sizes"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    at = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
+    at = at.join(marks, "node").repartition("value", "sizes", "x", "y").sortWithinPartitions("value", "sizes", "x", "y", "size", "node")
+    return at.select("value", "sizes", "x", "y", *names).mapInArrow(scan, "a long, b long").distinct()
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -358,7 +450,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id, n_links (verified links of its class to other classes).
+    """A row for each document: doc_id, n_shingles, component_id, n_spanning_links (verified links of its class to others that were needed to join its component).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case.  Fewer
     than n words are one shingle.  Null, empty and wordless texts have no
@@ -369,12 +461,12 @@ def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = _scan(rows, n)
-    often = scan.where("value is not null").groupBy("value").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "value").limit(COMMON).toArrow()
-    value, count = often["value"].to_numpy().view(np.uint64), often["docs"].to_numpy()
-    order = np.argsort(value)
-    posts = _runs(_prefixes(rows, n, similarity, (value[order], count[order])), similarity)
+    frequency = _frequencies(scan)
+    posts = staged(_runs(_prefixes(rows, n, similarity, frequency), similarity), "ngram-posts")
+    # the first sets of a shingle's parts
+    leads = posts.where("parts > 1 and first = node and before = node").select(F.col("value").alias("key"), "value", "node", "size", "place", F.lit(1).alias("parts"))
 
-    every = scan.where("value is null").select("doc_id", "size", "class")
+    every = scan.where("block is null").select("doc_id", "size", "class")
     named = scan.where("doc_id is not null and class is not null")
     classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("least"), F.max("mark").alias("mark")), "ngram-classes")
     ids = classes.select(F.col("class").alias("node"), F.col("least").alias("doc_id"))
@@ -392,26 +484,27 @@ def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
             remove_dir(used.sparkSession, used._staged_at)
         return found
 
-    both = posts.where("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
-    both = both.unionAll(posts.where("before <> node").select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")))
-    pairs = staged(both.distinct(), "ngram-pairs")
+    pairs = _paired(posts)
+    if (frequency > SPLIT).any():
+        pairs = pairs.unionAll(_paired(_runs(leads, similarity)))
+    pairs = staged(pairs.distinct(), "ngram-pairs")
     links = linked(pairs)
     labels = components(links)
     marks = classes.select(F.col("class").alias("node"), "mark")
-    rest = staged(_crossed(posts, labels, marks, similarity).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
+    rest = staged(_crossed(posts, labels.withColumnRenamed("component", "label"), marks, similarity).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
     remove_dir(posts.sparkSession, posts._staged_at)
     if rest.limit(1).count():
         more = linked(rest)
         if more.limit(1).count():
             links = links.unionAll(more)
             labels = components(links)
-    degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").join(degree, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_spanning_links"))
+    named = classes.select("class", "least").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = staged(named.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")  # a large component's join can be split then
+    named = named.join(least, "component").join(degree, "class", "left").select("class", "component_id", F.coalesce("n_spanning_links", F.lit(0)).alias("n_spanning_links"))
     out = every.join(named, "class", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_spanning_links", F.lit(0))).alias("n_spanning_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:
