@@ -57,8 +57,8 @@ def _class_of(x: np.ndarray) -> int:
     return int(T.mix(np.array([np.sum(T.mix(x ^ np.uint64(0xA5A5)), dtype=np.uint64) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
 
 
-#: Range counts of a set by kind: (ranges, bits a count). All take 256 bytes; finer ranges bound the overlap better.
-_KINDS = ((512, 4), (256, 8), (128, 16))
+#: Range counts of a set by kind: (ranges, bits a count). All take 128 bytes; finer ranges bound the overlap better.
+_KINDS = ((256, 4), (128, 8), (64, 16))
 
 
 def _mark(x: np.ndarray) -> bytes:
@@ -68,34 +68,38 @@ def _mark(x: np.ndarray) -> bytes:
         if count.max(initial=0) < 1 << bits:
             packed = (count[::2] | count[1::2] << 4).astype(np.uint8) if bits == 4 else count.astype(f"<u{bits // 8}")
             return bytes([kind]) + packed.tobytes()
-    return bytes([len(_KINDS)]) + bytes(256)
-
-
-class _Marks:
-    """The range counts of many sets, each at its own kind and all coarser ones."""
-
-    def __init__(self, marks: list[bytes]):
-        raw = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 257)
-        self.kind, raw = raw[:, 0].astype(np.int64), raw[:, 1:]
-        self.level: list[np.ndarray] = []
-        for kind, (ranges, bits) in enumerate(_KINDS):
-            count = np.zeros((len(raw), ranges), np.uint16)
-            if self.level:
-                count[:] = self.level[-1].reshape(len(raw), ranges, 2).sum(2)
-            own = self.kind == kind
-            if own.any():
-                count[own] = np.stack((raw[own] & 15, raw[own] >> 4), axis=2).reshape(-1, ranges) if bits == 4 else np.ascontiguousarray(raw[own]).view(f"<u{bits // 8}")
-            self.level.append(count)
-
-    def shared(self, i: int, other: np.ndarray) -> np.ndarray:
-        """The most values that set i and each of the others can have in common; -1 where nothing is known."""
-        kind = np.maximum(self.kind[other], self.kind[i])
-        out = np.full(len(other), -1, np.int64)
-        for k, count in enumerate(self.level):
-            at = np.flatnonzero(kind == k)
-            if len(at):
-                out[at] = np.minimum(count[other[at]], count[i]).sum(1, dtype=np.int64)
-        return out
+    return bytes([len(_KINDS)]) + bytes(128)
+
+
+def _counts(raw: np.ndarray, kind: int, to: int) -> np.ndarray:
+    """The counts of marks of one kind, added up to the ranges of a coarser kind."""
+    if _KINDS[kind][1] == 4:
+        out = np.stack((raw[:, 1:] & 15, raw[:, 1:] >> 4), axis=2).reshape(len(raw), -1).astype(np.uint16)
+    else:
+        out = np.ascontiguousarray(raw[:, 1:]).view(f"<u{_KINDS[kind][1] // 8}").astype(np.uint16)
+    return out.reshape(len(raw), _KINDS[to][0], -1).sum(2, dtype=np.int32)
+
+
+def _shared(raw: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The most values that sets i and j can have in common by their marks (rows of raw); -1 where nothing is known."""
+    out = np.full(len(i), -1, np.int64)
+    kind = raw[:, 0]
+    coarse = np.maximum(kind[i], kind[j])
+    for to in range(len(_KINDS)):
+        at = np.flatnonzero(coarse == to)
+        for s in range(0, len(at), 10_000):
+            k = at[s : s + 10_000]
+            least = None
+            for side in (i[k], j[k]):
+                count = np.empty((len(k), _KINDS[to][0]), np.int32)
+                for own in range(to + 1):
+                    mine = kind[side] == own
+                    if mine.any():
+                        count[mine] = _counts(raw[side[mine]], own, to)
+                least = count if least is None else np.minimum(least, count)
+            if least is not None:
+                out[k] = least.sum(1)
+    return out
 
 
 class _Sketch:
@@ -290,71 +294,63 @@ def _paired(posts: DataFrame) -> DataFrame:
 
 def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity: int) -> DataFrame:
     """Distinct pairs (a, b) of one run whose components differ, under all filters that need no set. labels: (node, label); marks: (node, mark)."""
-    names = ("node", "size", "place", "label", "own", "part", "mark")
-
-    def cross(sizes, x, y, node, size, place, label, own, part, mark) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        groups, of, count = np.unique(label, return_inverse=True, return_counts=True)
-        if len(groups) < 2:
-            return
-        ranges = _Marks(mark)
-        order = np.argsort(of, kind="stable")
-        begin = np.concatenate(([0], np.cumsum(count)))
-        rank = np.argsort(count, kind="stable")  # the largest comes last and is only a partner
-        later = np.empty(len(groups), np.int64)
-        later[rank] = np.arange(len(groups))
-        for c in rank[:-1]:
-            other = np.flatnonzero(later[of] > later[c])
-            for i in order[begin[c] : begin[c + 1]]:
+    names = ("value", "sizes", "x", "y", "node", "size", "place", "label", "own", "part", "mark")
+
+    def pairs(cols: list[np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs of the blocks between edges: all rows d apart of one block at once, for d = 1, 2, ..."""
+        _, sizes, x, y, node, size, place, label, own, part, mark = cols
+        end = np.repeat(edges[1:], np.diff(edges))
+        raw = np.frombuffer(b"".join(mark[: edges[-1]]), np.uint8).reshape(-1, 129)
+        i, d, found, n = np.arange(edges[-1]), 0, [], 0
+        while len(i):
+            d += 1
+            i = i[i + d < end[i]]
+            for s in range(0, len(i), 200_000):
+                a = i[s : s + 200_000]
+                a = a[label[a] != label[a + d]]
+                a = a[_can(size[a], place[a], size[a + d], place[a + d], similarity)]
+                b = a + d
                 # two rows meet in the later one's class of sizes, and in the block of their two parts
-                here = (np.maximum(own[other], own[i]) == sizes) & (np.minimum(part[other], part[i]) == x) & (np.maximum(part[other], part[i]) == y)
-                ok = other[here & _can(size[other], place[other], size[i], place[i], similarity)]
-                shared = ranges.shared(i, ok)
-                ok = ok[(shared < 0) | (shared * (100 + similarity) >= similarity * (size[ok].astype(np.int64) + size[i]))]
-                if len(ok):
-                    yield np.full(len(ok), node[i]), node[ok]
+                here = (np.maximum(own[a], own[b]) == sizes[a]) & (np.minimum(part[a], part[b]) == x[a]) & (np.maximum(part[a], part[b]) == y[a])
+                a, b = a[here], b[here]
+                shared = _shared(raw, a, b)
+                ok = (shared < 0) | (shared * (100 + similarity) >= similarity * (size[a].astype(np.int64) + size[b]))
+                if ok.any():
+                    found.append(np.stack((node[a[ok]], node[b[ok]])))
+                    n += int(ok.sum())
+            if found and (n > 200_000 or not len(i)):
+                p = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                found, n = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
     def scan(batches):
         held: list[np.ndarray] | None = None
-
-        def pairs(key, cols, edges):
-            a, b, n = [], [], 0
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if e - s > 1:
-                    for x, y in cross(*(c[s] for c in key), *(c[s:e] for c in cols)):
-                        a.append(x)
-                        b.append(y)
-                        n += len(x)
-                        if n > 100_000:
-                            yield out(a, b)
-                            a, b, n = [], [], 0
-            if a:
-                yield out(a, b)
-
-        def out(a, b):
-            x, y = np.concatenate(a), np.concatenate(b)
-            p = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
-
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "sizes", "x", "y", *names)]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             edges = np.concatenate(([0], np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:4]], axis=0)) + 1))
-            yield from pairs(cols[1:4], cols[4:], edges)  # all blocks but the last, which may go on
+            if len(edges) > 1:
+                yield from pairs(cols, edges)  # all blocks but the last, which may go on
             held = [c[edges[-1] :] for c in cols]
         if held is not None:
-            yield from pairs(held[1:4], held[4:], [0, len(held[0])])
-
-    at = posts.select("value", "node", "size", "place").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = at.groupBy("value").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("value")
-    # similar sets fall into one class of sizes or two that follow each other
-    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / similarity) + 1e-6)).cast("int") if similarity < 100 else F.col("size")
-    at = at.join(mixed, "value", "left_semi").withColumn("own", own).withColumn("sizes", F.explode(F.array("own", F.col("own") + 1)))
-    many = at.groupBy("value", "sizes").agg(F.ceil(F.count("*") / F.lit(FULL_SPLIT)).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").drop("mixed")
-    at = at.join(many, ["value", "sizes"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    at = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
-    at = at.join(marks, "node").repartition("value", "sizes", "x", "y").sortWithinPartitions("value", "sizes", "x", "y", "size", "node")
-    return at.select("value", "sizes", "x", "y", *names).mapInArrow(scan, "a long, b long").distinct()
+            yield from pairs(held, np.array([0, len(held[0])]))
+
+    at = posts.select("value", "node", "size", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    runs = staged(at.groupBy("value").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("value", "n"), "ngram-mixed")
+    at = at.join(runs, "value")
+    zero = F.lit(0)
+    near = at.where(F.col("n") <= FULL_SPLIT).select("value", zero.alias("sizes"), zero.alias("x"), zero.alias("y"), "node", "size", "place", "label", zero.alias("own"), zero.alias("part"))
+    if runs.where(F.col("n") > FULL_SPLIT).limit(1).count():
+        # similar sets fall into one class of sizes or two that follow each other
+        own = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / similarity) + 1e-6)).cast("int") if similarity < 100 else F.col("size")
+        far = at.where(F.col("n") > FULL_SPLIT).withColumn("own", own).withColumn("sizes", F.explode(F.array("own", F.col("own") + 1)))
+        many = far.groupBy("value", "sizes").agg(F.ceil(F.count("*") / F.lit(FULL_SPLIT)).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").drop("mixed")
+        far = far.join(many, ["value", "sizes"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        far = far.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
+        near = near.unionAll(far.select(near.columns))
+    rows = near.join(marks, "node").repartition("value", "sizes", "x", "y").sortWithinPartitions("value", "sizes", "x", "y", "size", "node")
+    return rows.select(*names).mapInArrow(scan, "a long, b long").distinct()
 
 
 def sketch(x: np.ndarray) -> bytes:

@@ -128,9 +128,10 @@ def test_range_counts_bound_the_overlap():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (5, 300, 2_000, 30_000, 200_000)]
     sets += [np.unique(np.concatenate((x[: len(x) * 3 // 4], sets[1][:100]))) for x in sets]
-    marks = ngram_join._Marks([ngram_join._mark(x) for x in sets])
+    raw = np.frombuffer(b"".join(ngram_join._mark(x) for x in sets), np.uint8).reshape(-1, 129)
+    assert len(set(raw[:, 0])) == 3
     for i, x in enumerate(sets):
-        bound = marks.shared(i, np.arange(len(sets)))
+        bound = ngram_join._shared(raw, np.full(len(sets), i), np.arange(len(sets)))
         assert bound[i] == len(x) and all(b >= len(np.intersect1d(x, y)) for b, y in zip(bound, sets, strict=True))
 
 
