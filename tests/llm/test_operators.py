@@ -221,6 +221,26 @@ def test_passages_of_widespread_sentences_are_found(spark):
     assert got == {(50_000, 25_000, 40, 91)}
 
 
+def test_recall_of_passages_with_words_changed_at_random(spark):
+    """60-word passages in other texts, 10 % of their words substituted: all that are still 80 % equal, but 3 in 100, are found."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        p = rng_words(1000 + i, 60, 10_000)
+        q = [f"y{i}_{k}" if rng.random() < 0.1 else w for k, w in enumerate(p)]
+        for d, x in ((i, p), (1000 + i, q)):
+            rows.append((d, " ".join(rng_words(5000 + d, 70, 10_000) + x + rng_words(9000 + d, 70, 10_000))))
+    got = {(r.doc_id, r.ref_doc_id) for r in passages.passages(docs(spark, rows)).collect()}
+    assert all(a == b + 1000 for a, b in got) and len(got) >= 0.97 * 150
+
+
+def test_rows_of_one_id_are_cut_only_where_their_text_was_aligned(spark):
+    shared = [f"p{k}" for k in range(60)]
+    first, second, other = " ".join(shared + ["x"] * 9), " ".join([f"b{k}" for k in range(9)] + shared), " ".join(f"c{k}" for k in range(80))
+    left = sorted(r.text for r in passages.without_repeats(docs(spark, [(1, first), (2, second), (2, other)])).collect())
+    assert first in left and other in left and len(left) == 3
+
+
 def test_seeds_meet_the_same_whatever_the_batches(spark):
     rows = [(i % 23, " ".join(rng_words(i % 5, 70, 12) + rng_words(i, 20, 12))) for i in range(60)]
     got = []
