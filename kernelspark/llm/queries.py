@@ -42,7 +42,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer_path()).drop("source", "ids")
+    return packing.pack(documents(spark, sf_dir), tokenizer_path(), ids=False).drop("source")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

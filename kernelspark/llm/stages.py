@@ -29,10 +29,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences, with their ids."""
     from kernelspark.llm.queries import tokenizer_path
 
-    return packing.pack(docs, tokenizer_path()).drop("source", "ids")
+    return packing.pack(docs, tokenizer_path()).drop("source")
 
 
 STAGES = [

@@ -12,15 +12,19 @@ succeeded, so a retried or speculative task cannot mix in.  The first id of
 every shard in the whole corpus is a prefix sum over that small table.
 
 The encoder gives exactly what the tokenizers library gives for whole texts,
-by asking the library's model for each distinct pre-token once: pieces are cut
-before single spaces, where byte-level pre-tokenisation always cuts as well,
-and a new piece is cut further by the pre-tokenisation pattern.  Texts where
-the first cut is not certain (white space next to white space) are cut by the
-white-space part of that pattern.
+by asking the library's model for each distinct pre-token once: a block of texts
+is cut before spaces, where byte-level pre-tokenisation always cuts as well, all
+pieces get a 64-bit value at once, and only pieces with a new value are cut
+further by the pre-tokenisation pattern and given to the model.  Texts where the
+first cut is not certain (a space between white space) are cut by the
+white-space part of that pattern; texts that hold an added token such as the
+end-of-text mark, and tokenizer files with any other normaliser or
+pre-tokeniser, go whole to the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -31,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernelspark.llm import _text as T
 from kernelspark.llm._util import new_dir
 
 MAGIC = b"KSTOKENS"
 _WHITE = "\t-\r \x85\xa0  -     　"
 _UNSURE = re.compile(f"[{_WHITE}] (?:[{_WHITE}]|$)")
 _PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: Distinct pieces that a worker keeps; then it starts anew. A piece longer than KEEP_CHARS is not kept.
-CACHE, KEEP_CHARS = 600_000, 64
+#: Distinct pieces, and pre-tokens, that a worker keeps; then it starts anew. A piece longer than KEEP_BYTES is not kept.
+CACHE, KEEP_BYTES, TABLE = 1_000_000, 64, 1 << 21
 #: The byte-level pre-tokenisation pattern of the tokenizer files used here (a fixed value).
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -58,13 +63,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if max(self.size, (end_id or 0) + 1) <= 1 << 16 else np.dtype("<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        self.end = np.zeros(0, self.dtype) if end_id is None else np.array([end_id], self.dtype)
+        made = json.loads(self.tokenizer.to_str())
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+        #: Whether pieces may be encoded one by one; else every text goes whole to the library.
+        self.by_piece = made["normalizer"] is None and not made["truncation"] and not made["padding"] and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and all((model.get(k) or None) == (v or None) for k, v in plain.items())
+        #: Texts that hold one of these go whole to the library as well.
+        self.added = [t["content"].encode() for t in made["added_tokens"]]
         self.letters = _byte_letters()
         self.words = regex.compile(_PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The pieces known: where the ids of each lie, and a table from values to pieces; what finds its place in the table taken goes to ``more``."""
+        self.key, self.piece = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.int32)
+        self.more: dict[int, int] = {}
+        self.at, self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _word(self, word: str) -> bytes:
         """The ids of one pre-token."""
@@ -76,7 +94,9 @@ class Encoder:
                 letters = word.encode().decode("latin-1").translate(self.letters)
             tokens = self.tokenizer.model.tokenize(letters)
             got = array(self.dtype.char, [t.id for t in tokens]).tobytes()
-            if len(word) <= KEEP_CHARS:
+            if len(word) <= KEEP_BYTES:
+                if len(self.known) > CACHE:
+                    self.known.clear()
                 self.known[word] = got
         return got
 
@@ -85,25 +105,87 @@ class Encoder:
             return self._word(piece)
         return b"".join(map(self._word, self.words(piece)))
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if _UNSURE.search(text):
-            return _PIECES.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """The ids of the rows of a block that pieces before spaces don't give."""
+        raw, odd = data.tobytes(), {}
+        text = lambda k: raw[offsets[k] : offsets[k + 1]].decode()
+        rows = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(token, at + 1)
+        for k in rows:
+            odd[k] = self._whole(text(k))
+        # a space between bytes that white space may have, the end of a text included
+        may = (data >= 128) | ((data >= 9) & (data <= 13)) | (data == 32)
+        after = np.concatenate((may[1:], [True]))
+        after[offsets[1:][offsets[1:] > 0] - 1] = True
+        before = np.concatenate(([False], may[:-1]))
+        for k in np.unique(np.searchsorted(offsets, np.flatnonzero((data == 32) & before & after), "right") - 1).tolist():
+            if k not in odd and _UNSURE.search(t := text(k)):
+                odd[k] = np.frombuffer(b"".join(map(self._piece, _PIECES.findall(t))), self.dtype)
+        return odd
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        odd = self._odd(data, offsets)
+        cut = data == 32
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(cut)
+        end = np.concatenate((start[1:], [len(data)]))
+        of = np.searchsorted(start, offsets)
+        if len(self.at) > CACHE:
+            self._forget()
+        value = T.spans(data, start, end)
+        slot = (value % np.uint64(TABLE)).astype(np.int64)
+        which = self.piece[slot].astype(np.int64)
+        miss = np.flatnonzero(self.key[slot] != value)
+        kept = (len(self.at), len(self.flat))
+        if len(miss):
+            new, first, back = np.unique(value[miss], return_index=True, return_inverse=True)
+            found = np.array([self.more.get(v, -1) for v in new.tolist()], np.int64)
+            unknown = np.flatnonzero(found < 0)
+            begin, until = start[miss[first[unknown]]], end[miss[first[unknown]]]
+            order = np.argsort(until - begin > KEEP_BYTES, kind="stable")  # those that are not kept come last
+            unknown, begin, until = unknown[order], begin[order], until[order]
+            raw = data.tobytes()
+            made = [self._piece(raw[a:b].decode()) for a, b in zip(begin.tolist(), until.tolist(), strict=True)]
+            size = np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
+            found[unknown] = len(self.at) + np.arange(len(made))
+            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(size) - size))
+            self.n, self.flat = np.concatenate((self.n, size)), np.concatenate((self.flat, np.frombuffer(b"".join(made), self.dtype)))
+            keep = int(np.count_nonzero(until - begin <= KEEP_BYTES))
+            kept = (kept[0] + keep, kept[1] + int(size[:keep].sum()))
+            own = new[unknown[:keep]]
+            place = (own % np.uint64(TABLE)).astype(np.int64)
+            one = np.zeros(keep, dtype=bool)
+            one[np.unique(place, return_index=True)[1]] = True
+            free = one & (self.key[place] == 0) & (own != 0)
+            self.key[place[free]], self.piece[place[free]] = own[free], found[unknown[:keep]][free]
+            self.more.update(zip(own[~free].tolist(), found[unknown[:keep]][~free].tolist(), strict=True))
+            which[miss] = found[back]
+        count = self.n[which]
+        until = np.concatenate(([0], np.cumsum(count)))
+        ids = self.flat[np.repeat(self.at[which] - until[:-1], count) + np.arange(until[-1])]
+        self.at, self.n, self.flat = self.at[: kept[0]], self.n[: kept[0]], self.flat[: kept[1]]
+        for k, (a, b) in enumerate(zip(until[of[:-1]].tolist(), until[of[1:]].tolist(), strict=True)):
+            yield np.concatenate((odd[k] if k in odd else ids[a:b], self.end))
+
+    def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text with the end id; null counts as empty. Works on blocks of about a megabyte, a longer text being one of its own."""
+        for a, b, data, offsets in T.blocks(texts):
+            if self.by_piece:
+                yield from self._block(data, offsets)
+            else:
+                raw = data.tobytes()
+                for k in range(b - a):
+                    yield np.concatenate((self._whole(raw[offsets[k] : offsets[k + 1]].decode()), self.end))
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text with the end id; null counts as empty."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        cut = [self._cut(t) if t else [] for t in texts]
-        long = {}
-        known = self.known
-        for p in {p for pieces in cut for p in pieces}.difference(known):
-            (known if len(p) <= KEEP_CHARS else long)[p] = self._piece(p)
-        for pieces in cut:
-            ids = b"".join([known[p] if p in known else long[p] for p in pieces] if long else map(known.__getitem__, pieces))
-            yield np.frombuffer(ids + self.end, self.dtype)
+        return self.column(pa.array(texts, pa.large_string()))
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -119,18 +201,6 @@ def encoder(path: str, end_id: int | None = 0) -> Encoder:
     return _encoders[path, end_id]
 
 
-def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about so many characters, so that memory follows the texts and not the rows."""
-    row, at = 0, 0
-    for k, t in enumerate(texts):
-        at += len(t or "")
-        if at >= most:
-            yield row, k + 1
-            row, at = k + 1, 0
-    if row < len(texts):
-        yield row, len(texts)
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -209,9 +279,7 @@ def write(docs: DataFrame, path: str, at: str, end_id: int | None = 0) -> DataFr
 
         def rows():
             for batch in batches:
-                doc, text = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for a, b in groups(text):
-                    yield from zip(doc[a:b], encode(text[a:b]), strict=True)
+                yield from zip(batch.column("doc_id").to_pylist(), encode.column(batch.column("text")), strict=True)
 
         first = rows()
         head = next(first, None)

@@ -305,7 +305,6 @@ def test_token_files_round_trip(spark, path, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {d: [*t.encode(x or "", add_special_tokens=False).ids, 0] for d, x in rows}
     at = 0
     for r in sorted(map(tuple, tokenbin.read(shards).collect())):
@@ -321,8 +320,22 @@ def test_encoder_equals_the_library_on_odd_white_space(path):
 
     r, parts = random.Random(2), ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "\x1c", "\xa0", " ", "é", "1", "!!", "日本", "<|endoftext|>", "\r\n", " \n"]
     texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(3000)]
-    e = tokenbin.Encoder(path, None)
-    assert [x.tolist() for x in e(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["", None, " ", "x" * 300 + " " + "y" * 300, "a\x00b", "<|endoftext|>", "long " * 400_000 + "<|endoftext|> end"]
+    from tokenizers import Tokenizer
+
+    e, own = tokenbin.Encoder(path, None), Tokenizer.from_file(path)
+    assert e.by_piece
+    for _ in range(2):  # the second time from the table
+        assert [x.tolist() for x in e(texts)] == [x.ids for x in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_other_tokenizer_files_go_whole_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    e, own, texts = tokenbin.Encoder(other, None), Tokenizer.from_file(other), ["Some Words here", "", " x  y\n", "Größe"]
+    assert [x.tolist() for x in e(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 1, "b": 2, None: 3}])
@@ -346,6 +359,32 @@ def test_packing_is_gapless_and_keeps_the_mixture(spark, path, weights):
         assert abs(part[s] - 2048 * w / sum(share.values())) <= 1
 
 
+@pytest.mark.parametrize("small, large", [("a", "b"), ("b", "a")])
+def test_plan_of_very_unequal_queues_is_short(small, large):
+    totals = {small: 1, large: 10**9}
+    phases = packing.plan(totals)
+    assert len(phases) <= 4
+    layout = packing.Layout(phases)
+    assert len(list(layout.pieces(small, 0, 1))) == 1
+    assert sum(n for _, n, _, _ in layout.pieces(large, 500_000_000, 100_000)) == 100_000
+
+
+def test_every_window_is_within_a_token_of_its_target():
+    totals, weights = {"a": 40_000, "b": 90_001, "c": 777, "d": 3}, {"a": 3, "b": 7, "c": 2, "d": 1}
+    phases, taken = packing.plan(totals, weights, 101), Counter()
+    ideal = {s: 0.0 for s in totals}
+    for p in phases:
+        for k in range(1, p.count + 1):
+            if set(p.upto) == set(totals) and p.count > 1:
+                for s in totals:
+                    ideal[s] += p.width * weights[s] / sum(weights.values())
+                    assert abs(taken[s] + p.served(s, k) - ideal[s]) <= 1
+        for s in p.upto:
+            taken[s] += p.served(s, p.count)
+            assert all(p.served(s, k) <= p.served(s, k + 1) for k in range(min(p.count, 50)))
+    assert taken == totals
+
+
 def test_plan_carries_deficits_to_the_end():
     totals = {"a": 10_007, "b": 3_001, "c": 50}
     phases = packing.plan(totals, {"a": 3, "b": 3, "c": 1}, 512)
