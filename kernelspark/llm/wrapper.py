@@ -10,8 +10,13 @@ one side lacks becomes optional, unequal texts become slots.
 
 Each task aligns its pages host by host as it reads them, and the tasks' small
 wrappers of a host are aligned in two steps, so the pages of a host never meet
-in one task.  A host's wrapper then tells which region holds the article and
-which texts of it are the same on all pages (notices).
+in one task.  A host's wrapper then decides: the article's region is where the
+texts are that vary from page to page and are no links, and of what is in it
+texts that are the same on all pages (notices) and repeated or optional parts
+that are nearly all links go.  Names of tags and classes break ties between
+regions and tell parts of the region that belong to no article; they never drop
+the region or what it lies in.  Tags nested deeper than 200 levels keep their
+texts, in order, without more levels.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,15 +35,15 @@ from pyspark.sql import functions as F
 
 from kernelspark.llm._util import staged
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|xmp|object|audio|video|canvas"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-z/!?](?:[^>\"']|\"[^\"]{{0,4000}}\"|'[^']{{0,4000}}')*>|<[a-z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+_RAW = "script|style|noscript|template|textarea|title|iframe|svg|xmp"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[a-z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr area embed img input param source track math mi mn mo mrow msup msub mfrac".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A tag that ends open ones of these names without their end tags.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_DROP = frozenset("head nav footer aside form button menu dialog fieldset".split())
+_DROP = frozenset("head nav footer aside form button menu dialog fieldset select datalist".split())
 _WORDS = (
     r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|toolbar|share|sharing|social|related|recommended|more-stories|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|tags|skip-link|print-only|hidden)"
 )
@@ -45,6 +51,10 @@ _WORDS = (
 _MARKS, _WHOLE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I), re.compile(rf"(?:^|\s){_WORDS}(?:$|\s)", re.I)
 #: Never dropped for their class or id.
 _STAY = frozenset("html body main article".split())
+#: Blocks of text, which are no region.
+_LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption th address summary".split())
+#: What a text counts for the choice of a region if it is a link or lies in a part that is dropped by its name: names alone can't outweigh much text.
+_LESS = 0.2
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|content|body)(?:$|[\s_-])", re.I)
 #: Pages that must agree on a text, and wrappers that one merge takes.
 SUPPORT, FAN = 10, 200
@@ -52,6 +62,12 @@ SUPPORT, FAN = 10, 200
 BROADCAST = 32 << 20
 
 
+class Text(str):
+    """A text of a page; links: how many of its characters are links."""
+
+    links = 0
+
+
 class Tag:
     __slots__ = ("name", "mark", "kids")
 
@@ -95,14 +111,16 @@ def _constant(text: str) -> str:
 def parse(html: str) -> Tag:
     """The page as nested block tags and texts. Texts are decoded, white space in them is one space."""
     root = Tag("")
-    stack, text = [root], []
+    stack, text, linked, link = [root], [], [], 0
 
     def close_text() -> None:
         if text:
-            t = " ".join(unescape("".join(text)).split())
+            t = Text(" ".join(unescape("".join(text)).split()))
             if t:
+                t.links = min(len(t), sum(len(" ".join(unescape(x).split())) for x in linked))
                 stack[-1].kids.append(t)
             text.clear()
+            linked.clear()
 
     def end(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -119,11 +137,15 @@ def parse(html: str) -> Tag:
         named = _NAME.match(token)
         if token[0] != "<" or len(token) == 1:
             text.append(token)
+            if link:
+                linked.append(token)
             continue
         if not named:
             continue
         name = named.group(1).lower()
         if name in _INLINE:
+            if name == "a":
+                link = int(token[1] != "/")
             continue
         close_text()
         if token[1] == "/":
@@ -145,7 +167,7 @@ def parse(html: str) -> Tag:
 
 
 # An item of a wrapper is [key, quantifier, pages, value, body]: a text has key "#", value a constant or null (a slot) and
-# body the number of its characters; a tag has its key and its expression as body; a group has key "(...)" and its items as body.
+# body the number of its characters, followed by that of characters in links; a tag has its key and its expression as body; a group has key "(...)" and its items as body.
 
 
 def _quant(a: str, b: str) -> str:
@@ -157,7 +179,7 @@ def _join(a: list, b: list, twice: bool = False) -> list:
     """Two items of one key as one; twice: of the same page."""
     n = max(a[2], b[2]) if twice else a[2] + b[2]
     if a[0] == "#":
-        return ["#", _quant(a[1], b[1]), n, a[3] if a[3] == b[3] else None, a[4] + b[4]]
+        return ["#", _quant(a[1], b[1]), n, a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5]]
     return [a[0], "+" if twice else _quant(a[1], b[1]), n, None, align(a[4], b[4], twice)]
 
 
@@ -182,30 +204,40 @@ def _fold(items: list) -> list:
     return out
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and every beginning of b."""
+    best = np.zeros(len(b) + 1, np.int32)
+    for v in a:
+        best[1:] = np.maximum.accumulate(np.where(b == v, best[:-1] + 1, best[1:]))
+    return best
+
+
+def _common(a: np.ndarray, b: np.ndarray, i: int = 0, j: int = 0) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by halving a, so that memory follows the lengths and not their product."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [(i + k, j + k) for k in range(head)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(x) == 1:
+        out += [(i + head, j + head + int(k)) for k in np.flatnonzero(y == x[0])[:1]]
+    elif len(x) and len(y):
+        h = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:h], y) + _lengths(x[h:][::-1], y[::-1])[::-1]))
+        out += _common(x[:h], y[:cut], i + head, j + head) + _common(x[h:], y[cut:], i + head + h, j + head + cut)
+    return out + [(i + len(a) - tail + k, j + len(b) - tail + k) for k in range(tail)]
+
+
 def align(a: list, b: list, twice: bool = False) -> list:
     """Two expressions as one: common items in order are joined, the others become optional."""
     ka, kb = [x[0] for x in a], [x[0] for x in b]
     if ka == kb:
         return [_join(x, y, twice) for x, y in zip(a, b, strict=True)]
-    if len(ka) * len(kb) > 250_000:
-        from difflib import SequenceMatcher
-
-        pairs = [(m.a + k, m.b + k) for m in SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks() for k in range(m.size)]
-    else:
-        n, m = len(ka), len(kb)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-        pairs, i, j = [], 0, 0
-        while i < n and j < m:
-            if ka[i] == kb[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    number: dict[str, int] = {}
+    pairs = _common(*(np.array([number.setdefault(k, len(number)) for k in keys], np.int64) for keys in (ka, kb)))
     out, i, j = [], 0, 0
     may = lambda x: [x[0], _quant(x[1], "?"), *x[2:]]
     for p, q in [*pairs, (len(a), len(b))]:
@@ -218,92 +250,125 @@ def align(a: list, b: list, twice: bool = False) -> list:
 
 def expression(tag: Tag) -> list:
     """A page's own expression."""
-    return _fold([["#", "1", 1, _constant(k), len(k)] if isinstance(k, str) else [k.key, "1", 1, None, expression(k)] for k in tag.kids])
+    return _fold([["#", "1", 1, _constant(k), len(k), k.links] if isinstance(k, str) else [k.key, "1", 1, None, expression(k)] for k in tag.kids])
+
+
+def _tag(key: str) -> Tag:
+    name, _, mark = key.partition(".")
+    return Tag(name, mark)
 
 
 def rules(wrapper: list, pages: int) -> dict:
-    """What extraction needs of a wrapper: paths of the article's regions, paths and values of constant texts in it that are not of a repeated item, and
-    paths of tags that stay in spite of a part of their class or id, as they hold half of the varying text around them or more.
+    """What extraction needs of a wrapper. main: paths of the article's regions; constant: paths and values of texts in them that are the same on all pages and
+    not of a repeated item; links: paths of repeated or optional parts in them that are nearly all links; keep: paths of parts that stay in spite of a part of
+    their class or id, as they hold half of the region's text or more.
     """
-    mass: dict[str, int] = {}
-    found: list[str] = []
-    constant: list[str] = []
+    many_pages = pages >= SUPPORT
 
-    keep: list[str] = []
+    def mass(items: list, weight: float = 1.0) -> float:
+        """Characters of texts that vary, links and parts that are dropped by name counting less."""
+        total = 0.0
+        for item in items:
+            key, body = item[0], item[4]
+            if key == "#":
+                if item[3] is None or item[2] < max(2, pages) or not many_pages:
+                    total += weight * (body - (1 - _LESS) * item[5])
+            elif key[0] == "(":
+                total += mass(body, weight)
+            else:
+                total += mass(body, weight * (_LESS if _tag(key).dropped or key.partition(".")[0] == "header" else 1))
+        return total
 
-    def tag(key: str) -> Tag:
-        name, _, mark = key.partition(".")
-        return Tag(name, mark)
+    def share(items: list) -> tuple[int, int]:
+        """(characters, those in links) of all texts."""
+        each = [(x[4], x[5]) if x[0] == "#" else share(x[4]) for x in items]
+        return sum(x for x, _ in each), sum(y for _, y in each)
 
-    def drop(key: str) -> bool:
-        return tag(key).dropped or key.partition(".")[0] == "header"
+    #: (path, weighted mass, key, items) of all tags that can be a region: those that no repeated item holds, and articles anywhere
+    regions: list[tuple[str, float, str, list]] = []
 
-    def varying(items: list) -> int:
-        """Characters of texts that vary, those in doubtful tags included."""
-        total = 0
-        for key, _, n, value, body in items:
+    def look(items: list, path: str, weight: float, once: bool) -> None:
+        for item in items:
+            key, quant, body = item[0], item[1], item[4]
             if key == "#":
-                total += body if value is None or n < max(2, pages) or pages < SUPPORT else 0
-            elif key[0] == "(" or not drop(key) or tag(key).doubtful:
-                total += varying(body)
-        return total
+                continue
+            if key[0] == "(":
+                look(body, path, weight, False)
+                continue
+            name, at = key.partition(".")[0], f"{path}/{key}"
+            less = weight * (_LESS if _tag(key).dropped or name == "header" else 1)
+            named, single = name in ("article", "main") or "articleBody" in key, once and quant in "1?"
+            if (single and name not in _LEAF) or named:
+                regions.append((at, mass(body, less), key, body))
+            look(body, at, less, single)
+
+    look(wrapper, "", 1.0, True)
+    every = mass(wrapper)
+    named = [r for r in regions if (r[2].partition(".")[0] in ("article", "main") or "articleBody" in r[2]) and 10 * r[1] >= 3 * every > 0]
+    marked = [r for r in regions if 2 * r[1] >= every > 0 and _MAIN.search(r[2].partition(".")[2])]
+    if named:  # the outermost, or the articles in it that hold nearly all of it
+        outer = [r for r in named if not any(r[0].startswith(f"{o[0]}/") for o in named)]
+        inner = [r for r in named if r not in outer and r[2].startswith("article") and 10 * r[1] >= 8 * sum(o[1] for o in outer)]
+        chosen = [r for r in outer if r[2].startswith("article")] or inner[:1] or outer
+    else:
+        best = marked or [r for r in regions if 5 * r[1] >= 4 * every > 0]
+        chosen = [max(best, key=lambda r: (r[0].count("/"), r[0]))] if best else [("", every, "", wrapper)]
+    constant: list[str] = []
+    links: list[str] = []
+    keep: list[str] = []
 
-    def walk(items: list, path: str, inside: bool, many: bool, around: int) -> int:
-        total = 0
-        for key, quant, n, value, body in items:
+    def inside(items: list, path: str, many: bool, around: float) -> None:
+        for item in items:
+            key, quant, n, value, body = item[:5]
             if key == "#":
-                varies = value is None or n < max(2, pages)
-                total += body if varies or pages < SUPPORT else 0
-                if inside and not many and quant == "1" and value is not None and n >= SUPPORT and 10 * n >= 9 * pages and not re.search(r"/h[1-6][^/]*$", path):
+                if not many and quant == "1" and value is not None and n >= SUPPORT and 10 * n >= 9 * pages and not re.search(r"/h[1-6][^/]*$", path):
                     constant.append(f"{path}\t{value}")
             elif key[0] == "(":
-                total += walk(body, path, inside, True, around)
-            elif not drop(key) or (tag(key).doubtful and 2 * varying(body) >= around > 0):
-                if drop(key):
-                    keep.append(f"{path}/{key}")
-                at, name = f"{path}/{key}", key.partition(".")[0]
-                main = not inside and (name in ("article", "main") or "articleBody" in key)
-                if main:
-                    found.append(at)
-                total += walk(body, at, inside or main, many or quant in "+*", varying(body) if main else around)
-        mass[path] = mass.get(path, 0) + total
-        return total
+                inside(body, path, True, around)
+            else:
+                at, tag = f"{path}/{key}", _tag(key)
+                if tag.dropped and tag.doubtful and 2 * mass(body) >= around > 0:
+                    keep.append(at)
+                elif many_pages and tag.name not in _LEAF and (lambda x, y: x > 0 and 10 * y >= 9 * x)(*share(body)):
+                    links.append(at)
+                inside(body, at, many or quant in "+*", around)
 
-    every = walk(wrapper, "", False, False, varying(wrapper))
-    if found:
-        articles = [f for f in found if f.rpartition("/")[2].startswith("article")]
-        found = articles or found
-        return {"main": sorted(set(found)), "constant": sorted(set(constant)), "keep": sorted(set(keep))}
-    # no such tag: the deepest region with most of the text that varies, one marked as content before others
-    marked = [p for p, n in mass.items() if p and 2 * n >= every and _MAIN.search(p.rpartition("/")[2].partition(".")[2])]
-    best = max(marked or [p for p, n in mass.items() if 5 * n >= 4 * every], key=lambda p: (p.count("/"), p), default="")
-    return {"main": [best], "constant": [], "keep": sorted(set(keep))}
+    for path, _, _, body in chosen:
+        inside(body, path, False, mass(body))
+    return {"main": sorted({r[0] for r in chosen}), "constant": sorted(set(constant)), "links": sorted(set(links)), "keep": sorted(set(keep))}
 
 
 def text_of(page: Tag, rule: dict | None) -> str:
     """The blocks of the article regions, a line each. Without a rule, and where a page lacks its host's regions, its own expression gives one."""
-    main, constant, keep = (set(rule[c]) for c in ("main", "constant", "keep")) if rule else (set(), set(), set())
     blocks: list[str] = []
 
-    def walk(tag: Tag, path: str, inside: bool) -> None:
-        for k in tag.kids:
-            if isinstance(k, str):
-                if inside and f"{path}\t{_constant(k)}" not in constant:
-                    blocks.append(k)
-            elif not (k.name == "header" and not inside) and (not k.dropped or f"{path}/{k.key}" in keep):
+    def take(rule: dict) -> None:
+        main, constant, links, keep = (set(rule[c]) for c in ("main", "constant", "links", "keep"))
+        around = {m[:k] for m in main for k, c in enumerate(m) if c == "/"}
+
+        def walk(tag: Tag, path: str, inside: bool, article: bool) -> None:
+            for k in tag.kids:
+                if isinstance(k, str):
+                    if inside and f"{path}\t{_constant(k)}" not in constant:
+                        blocks.append(k)
+                    continue
                 at = f"{path}/{k.key}"
-                walk(k, at, inside or at in main)
+                if at in main or at in around:
+                    walk(k, at, inside or at in main, article or k.name not in ("html", "body"))
+                elif inside and at not in links and (at in keep or not k.dropped) and (article or k.name != "header"):
+                    walk(k, at, True, article)
+
+        walk(page, "", "" in main, False)
 
-    walk(page, "", "" in main)
+    if rule:
+        take(rule)
     if not blocks:
         own = rules(expression(page), 1)
-        if not rule or own["main"] != rule["main"] or own["keep"] != rule["keep"]:
-            main, constant, keep = set(own["main"]), set(), set(own["keep"])
-            walk(page, "", "" in main)
+        if own != rule:
+            take(own)
     return "\n".join(blocks)
 
 
-
 def _with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.regexp_replace(host, r"^(www|m)\.", "").alias("host"))

@@ -455,9 +455,9 @@ def test_wrappers_find_the_article(spark, monkeypatch, opened, closed, few):
     rows += [(100, None, None), (101, "http://host0.org/x", ""), (102, "http://one.org", "<p>only <i>this</i>   page</p><script>x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r for r in wrapper.extract(pages).collect()}
-    notice = "" if opened == "<article>" else "\nWe use something here"
+    # the notice is the same on all pages: it goes whatever the region's tag is
     for i in range(30):
-        assert got[i].text == f"Head & line {i}\nFirst © bold text {i}\nnext\nOpen paragraph two" + " more" * (i % 3 * 20 + 20) + notice
+        assert got[i].text == f"Head & line {i}\nFirst © bold text {i}\nnext\nOpen paragraph two" + " more" * (i % 3 * 20 + 20)
         assert got[i].n_chars == len(got[i].text)
     assert (got[100].text, got[101].text, got[102].text) == ("", "", "only this page")
 
@@ -484,6 +484,52 @@ def test_long_notices_and_marks_are_judged_whole():
     assert not wrapper.Tag("div", wrapper._mark(["x" * 76, "tagsoup"])).dropped
 
 
+def wrapper_of(pages):
+    w = wrapper.expression(pages[0])
+    for p in pages[1:]:
+        w = wrapper.align(w, wrapper.expression(p))
+    return wrapper.rules(json.loads(json.dumps(w)), len(pages))
+
+
+def test_the_wrapper_decides_and_pages_alone_do_not_do():
+    """No tag or class tells anything: only the pages together show what is the article."""
+    legal, story = "These are the terms that hold for all of this site and its users " * 12, [f"Story {i} is told" + f" word{i}" * 30 for i in range(14)]
+    html = "<div class='a'><div class='q'><a href='/'>Home</a></div><div class='z'><p>{legal}</p></div><div class='k'><h2>Title {i}</h2><p>{story}</p><div>Written for you with care by the people here</div><ul><li><a href='/x'>See {i}</a><li><a>And {i}</a></ul></div></div>"
+    pages = [wrapper.parse(html.format(i=i, legal=legal, story=story[i])) for i in range(14)]
+    rule = wrapper_of(pages)
+    want = [f"Title {i}\n{story[i]}" for i in range(14)]
+    assert [wrapper.text_of(p, rule) for p in pages] == want
+    assert not any(wrapper.text_of(p, None) == t for p, t in zip(pages, want, strict=True))  # without inference
+
+
+def test_names_do_not_outweigh_the_text():
+    """A main tag with a teaser only, a form around the page, classes of the body."""
+    story = [f"Story {i} is told" + f" word{i}" * 60 for i in range(14)]
+    for html in ("<main><p>Teaser {i}</p></main><div class='u'><p>{s}</p></div>", "<form id='aspnet'><div class='u'><p>{s}</p></div><footer>End {i}</footer></form>", "<body class='single post comments-open'><article class='x related'><p>{s}</p></article><div class='comments'><p>Nice {i}</p></div></body>"):
+        pages = [wrapper.parse(html.format(i=i, s=s)) for i, s in enumerate(story)]
+        rule = wrapper_of(pages)
+        assert [wrapper.text_of(p, rule) for p in pages] == story == [wrapper.text_of(p, None) for p in pages]
+
+
+def test_odd_markup():
+    text = lambda html: wrapper.text_of(wrapper.parse(html), None)
+    assert text("<article><p>foo <img src=x> bar <math><mi>x</mi></math></p></article>") == "foo bar x"
+    assert text(f"<article><p data-x='{'a>' * 2100}leak'>ok</p></article>") == "ok"
+    assert text("<article><p>one</p><select><option>x<p>two</article>") == "one"  # what an open select holds is a form
+    assert text("<article><object><p>kept</p></object></article>") == "kept"
+    assert text("<article>" + "<div>" * 3000 + "deep</article>") == "deep" and text("<article><p 'x>y</article>") in ("", "y")
+    assert len(text("<article>" + "<p>word</p>" * 50_000 + "</article>").split("\n")) == 50_000
+
+
+def test_longest_common_subsequences():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = (rng.integers(0, 5, rng.integers(0, 30)) for _ in range(2))
+        got = wrapper._common(a, b)
+        assert len(got) == passages.common(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
 def test_expressions_repeat_and_become_optional():
     e = wrapper.expression(wrapper.parse("<ul><li>a<li>b<li>c</ul><dl><dt>x<dd>y<dt>z<dd>w</dl>"))
     assert [(i[0], i[1]) for i in e] == [("ul", "1"), ("dl", "1")] and [(i[0], i[1]) for i in e[0][4]] == [("li", "+")]
