@@ -13,9 +13,11 @@ _mine: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (as in tests), a temporary one is made and set."""
+    """The folder named in spark.checkpoint.dir; only where it is unset and all runs on one machine (as in tests), a temporary one is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="kernelspark-")
         spark.sparkContext.setCheckpointDir(at)
         _mine.append((spark, at))
@@ -55,6 +57,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def lean(function):
+    """A function for mapInArrow that gives freed memory back to the system when its task ends: workers live on, and what their allocators keep adds up."""
+
+    def each(batches):
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return each
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelspark.llm import _text as T
+from kernelspark.llm._util import lean
 
 PIECE, LANES = 128, 2048
 #: Labelled documents that the network is trained on at most, by order of a hash of their ids.
 SAMPLE = 2_000
+#: Of a longer text the network is trained on CUTS stretches of CUT characters at places given by a hash of its id; predictions read all of it.
+CUT, CUTS = 1_024, 4
 UNKNOWN = "und"
 
 
@@ -236,12 +239,19 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _stretches(text, doc_id) -> F.Column:
+    """The part of a text that goes to the driver for training: CUT * CUTS characters and a few spaces at most."""
+    room = F.length(text) - F.lit(CUT)
+    cuts = [F.substring(text, (F.pmod(F.xxhash64(F.lit(k), doc_id), room.cast("long")) + 1).cast("int"), F.lit(CUT)) for k in range(CUTS)]
+    return F.when(F.length(text) <= CUT * CUTS, text).otherwise(F.concat_ws(" ", *cuts))
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document.
 
     The network learns from text and lang of labelled documents that are not
-    held out, at most ``sample`` of them by order of a hash of their ids; rows
-    without id are not learnt from.  Null texts and texts without a letter are
+    held out, at most ``sample`` of them by order of a hash of their ids, and of
+    each at most CUTS stretches of CUT characters; rows without id are not learnt from.  Null texts and texts without a letter are
     ``und`` with score 0, and so is every text where no language is labelled.
     Repeated rows are predicted alike.  An empty table gives no rows.  Columns
     other than doc_id, text and lang are not read.
@@ -249,7 +259,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
     got = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(17), "doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-    chosen = known.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(got), "doc_id").select("h", "doc_id", "text", "lang").orderBy("h", "doc_id", "lang", "text").limit(sample).collect()
+    chosen = known.select("doc_id", _stretches(F.col("text").cast("string"), F.col("doc_id")).alias("text")).join(F.broadcast(got), "doc_id").select("h", "doc_id", "text", "lang").orderBy("h", "doc_id", "lang", "text").limit(sample).collect()
     net = train([r.text.encode() for r in chosen], [r.lang for r in chosen]) if chosen else None
     shared = spark.sparkContext.broadcast(net)
 
@@ -261,4 +271,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(each), "doc_id long, held_out boolean, lang_pred string, score double")

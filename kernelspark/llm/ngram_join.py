@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelspark.llm import _text as T
-from kernelspark.llm._util import components, remove_dir, staged
+from kernelspark.llm._util import components, lean, remove_dir, staged
 
 #: The sketch has 2^BITS counters (16 MB with their ranks), moved in blocks of 2^BLOCK_BITS.
 BITS, BLOCK_BITS = 22, 14
@@ -157,7 +157,7 @@ def _scan(rows: DataFrame, n: int) -> DataFrame:
         block, counts = zip(*sketch.blocks(), strict=True) if sketch.count.any() or sketch.new else ((), ())
         yield out(len(block), {"block": pa.array(block, pa.int32()), "part": pa.array([part] * len(block), pa.int32()), "counts": pa.array(counts, pa.binary())})
 
-    return staged(rows.mapInArrow(scan, "doc_id long, size long, class long, mark binary, block int, part int, counts binary"), "ngram-scan")
+    return staged(rows.mapInArrow(lean(scan), "doc_id long, size long, class long, mark binary, block int, part int, counts binary"), "ngram-scan")
 
 
 def _frequencies(scan: DataFrame) -> np.ndarray:
@@ -181,7 +181,7 @@ def _frequencies(scan: DataFrame) -> np.ndarray:
     rows = scan.where("block is not null").select("block", "part", "counts")
     for whole in (False, True):  # tasks' sketches meet in parts before they meet at all
         rows = rows.withColumn("part", F.lit(0)) if whole else rows
-        rows = rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(add, "block int, part int, counts binary")
+        rows = rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(lean(add), "block int, part int, counts binary")
     out = np.zeros((1 << BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint64)
     for r in rows.collect():
         out[r.block] = _unpacked(r.counts)
@@ -231,7 +231,7 @@ def _prefixes(rows: DataFrame, n: int, similarity: int, frequency: np.ndarray) -
                         names=["key", "value", "node", "size", "place", "parts"],
                     )
 
-    return rows.mapInArrow(scan, "key long, value long, node long, size int, place int, parts int")
+    return rows.mapInArrow(lean(scan), "key long, value long, node long, size int, place int, parts int")
 
 
 def _can(size1, place1, size2, place2, similarity: int):
@@ -283,7 +283,7 @@ def _runs(prefixes: DataFrame, similarity: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(rows, kinds, strict=True)], names=[*names[1:], "first", "before"])
 
     rows = prefixes.repartition("key").sortWithinPartitions("key", "place", "size", "node")
-    return rows.mapInArrow(scan, "value long, node long, size int, place int, parts int, first long, before long")
+    return rows.mapInArrow(lean(scan), "value long, node long, size int, place int, parts int, first long, before long")
 
 
 def _paired(posts: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity:
         far = far.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
         near = near.unionAll(far.select(near.columns))
     rows = near.join(marks, "node").repartition("value", "sizes", "x", "y").sortWithinPartitions("value", "sizes", "x", "y", "size", "node")
-    return rows.select(*names).mapInArrow(scan, "a long, b long").distinct()
+    return rows.select(*names).mapInArrow(lean(scan), "a long, b long").distinct()
 
 
 def sketch(x: np.ndarray) -> bytes:
@@ -391,7 +391,7 @@ def _sets(rows: DataFrame, needed: DataFrame, n: int, make) -> DataFrame:
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([make(x) for x in sets], pa.binary())], names=["node", "size", "set"])
 
-    found = rows.mapInArrow(scan, "node long, size long, set binary")
+    found = rows.mapInArrow(lean(scan), "node long, size long, set binary")
     # a document with several texts gives several sets; each class once
     return staged(found.join(needed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
 
@@ -416,7 +416,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFra
     both = pairs
     for c in ("a", "b"):
         both = both.join(sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("set").alias(f"set_{c}")), c)
-    return staged(both.select("a", "b", "size_a", "set_a", "size_b", "set_b").mapInArrow(scan, "a long, b long"), "ngram-possible")
+    return staged(both.select("a", "b", "size_a", "set_a", "size_b", "set_b").mapInArrow(lean(scan), "a long, b long"), "ngram-possible")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -442,7 +442,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
 
     rows = a.unionAll(b).repartition("a", "part").sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
-    return staged(rows.mapInArrow(scan, "a long, b long"), "ngram-links")
+    return staged(rows.mapInArrow(lean(scan), "a long, b long"), "ngram-links")
 
 
 def join(docs: DataFrame, n: int = 5, similarity: int = 80) -> DataFrame:

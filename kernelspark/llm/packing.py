@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kernelspark.llm._util import staged
+from kernelspark.llm._util import lean, staged
 from kernelspark.llm.tokenbin import crc, encoder
 
 SEQUENCE, SEQUENCES = 1024, 256
@@ -188,7 +188,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return staged(rows.mapInArrow(encode, "doc_id long, queue string, tokens long, ids binary, part long, start long"), "packing-tokens")
+    return staged(rows.mapInArrow(lean(encode), "doc_id long, queue string, tokens long, ids binary, part long, start long"), "packing-tokens")
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str | None, int] | None = None, window: int = WINDOW, sequence: int = SEQUENCE, ids: bool = True) -> DataFrame:
@@ -223,4 +223,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, weights: dict[str | None,
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     placed = rows.join(base, ["part", "queue"]).select("doc_id", "queue", "tokens", "ids", (F.col("start") + F.col("base")).alias("begin"))
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * ids)
+    return placed.mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * ids)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelspark.llm import _text as T
-from kernelspark.llm._util import staged
+from kernelspark.llm._util import lean, staged
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -117,7 +117,7 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.take(take), pa.array(x.value[at].view(np.int64)), doc.take(take)], names=["host", "line", "doc_id"])
 
     rows = docs.select(F.col(host).cast("string").alias("host"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "host string, line long, doc_id long").groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    return rows.mapInArrow(lean(scan), "host string, line long, doc_id long").groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
 
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
@@ -174,7 +174,7 @@ def _with_lines(docs: DataFrame, limits: Limits, host: str) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([batch.column("host").take(take), batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(x.value[at].view(np.int64))], names=["host", "doc_id", "key", "line"])
 
     rows = rows.withColumn("key", F.xxhash64("text"))
-    lines = rows.select("host", "doc_id", "key", "text").mapInArrow(scan, "host string, doc_id long, key long, line long")
+    lines = rows.select("host", "doc_id", "key", "text").mapInArrow(lean(scan), "host string, doc_id long, key long, line long")
     f = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"), "first")
     bad = lines.join(f, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     bad = bad.groupBy(F.col("host").alias("h"), F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("line").alias("bad"))
@@ -212,7 +212,7 @@ def verdicts(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(x[c]) for c in COLUMNS), pa.array(failed), pa.array(kept), pa.array(removed)], names=["doc_id", *COLUMNS, "base_failed", "kept", "removed_words"])
 
     kinds = "".join(f"{c} long, " for c in COLUMNS)
-    return rows.select("host", "doc_id", "text", "bad").mapInArrow(scan, f"doc_id long, {kinds}base_failed boolean, kept boolean, removed_words long")
+    return rows.select("host", "doc_id", "text", "bad").mapInArrow(lean(scan), f"doc_id long, {kinds}base_failed boolean, kept boolean, removed_words long")
 
 
 def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
@@ -248,7 +248,7 @@ def clean(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> D
                     got["n_chars"] = pa.array([len(t) for t in text], pa.int64()).cast(got["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(got.values()), names=names)
 
-    return rows.select("row", "host", "doc_id", "bad").mapInArrow(scan, schema)  # the text once, in its row
+    return rows.select("row", "host", "doc_id", "bad").mapInArrow(lean(scan), schema)  # the text once, in its row
 
 
 ORACLE = r"""

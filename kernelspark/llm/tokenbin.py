@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelspark.llm import _text as T
-from kernelspark.llm._util import new_dir
+from kernelspark.llm._util import lean, new_dir
 
 MAGIC = b"KSTOKENS"
 _WHITE = "\t-\r \x85\xa0  -     　"
 _UNSURE = re.compile(f"[{_WHITE}] (?:[{_WHITE}]|$)")
 _PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Distinct pieces, and pre-tokens, that a worker keeps; then it starts anew. A piece longer than KEEP_BYTES is not kept.
-CACHE, KEEP_BYTES, TABLE = 1_000_000, 64, 1 << 21
+CACHE, KEEP_BYTES, TABLE = 300_000, 64, 1 << 20
 #: The byte-level pre-tokenisation pattern of the tokenizer files used here (a fixed value).
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -293,7 +293,7 @@ def write(docs: DataFrame, path: str, at: str, end_id: int | None = 0) -> DataFr
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
     table = f"{at}/shards"
-    rows.mapInArrow(shard, "shard long, name string, documents long, ids long").write.parquet(table)
+    rows.mapInArrow(lean(shard), "shard long, name string, documents long, ids long").write.parquet(table)
     shards = spark.read.schema("shard long, name string, documents long, ids long").parquet(table)
     # one row a shard: the prefix sum is over that, not over documents
     listed = sorted(shards.collect())
@@ -319,7 +319,7 @@ def read(shards: DataFrame) -> DataFrame:
                     )
 
     n = max(1, min(shards.count(), 4 * shards.sparkSession.sparkContext.defaultParallelism))
-    return shards.repartition(n).mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(n).mapInArrow(lean(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
