@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -204,6 +203,3 @@ def choose_grid(kernel: Kernel, eps: float, box: float = 1.0, integral: bool = F
 
         hm = next((m for m in range(1, 4 * hm + 2) if tail(m) <= eps), hm)
     return Grid(d, h, max(1, hm))
-
-
-Custom = Callable[[Column], Column]

@@ -51,6 +51,18 @@ def speedup(df: DataFrame, base: Column, other: Column, on: list[str], value: st
     return a.join(b, on).withColumn("speedup", F.col("base") / F.col("other"))
 
 
+def left_metrics(cases: DataFrame, metrics: DataFrame, on: list[str], suffix: str) -> DataFrame:
+    """Every case with its metrics, named with a suffix; cases without metrics stay, and null keys meet null keys."""
+    own = metrics.select(*[F.col(c).alias(f"__{c}" if c in on else f"{c}{suffix}") for c in metrics.columns])
+    meet = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    return cases.join(own, meet, "left").drop(*[f"__{c}" for c in on])
+
+
+def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The distinct combinations of these columns, in order."""
+    return df.select(*cols).distinct().orderBy(*cols)
+
+
 def stacked(tables: list[DataFrame], order: list[str]) -> DataFrame:
     """Tables one after another in this order, missing columns null."""
     parts = [t.withColumn("__section", F.lit(k)) for k, t in enumerate(tables)]

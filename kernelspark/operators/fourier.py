@@ -19,8 +19,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from kernelspark.functions.kernels import Grid
 
-#: Points times modes up to which the SQL form is used.
-SQL_PAIRS = 50_000_000
+#: Lags up to which sums are made as SQL aggregations.
+SQL_MODES = 64
 TAU = 2 * math.pi
 
 
@@ -116,14 +116,18 @@ def type1_arrow(points: DataFrame, m: int, scale: float, weights: tuple[str | No
 
 
 def type2_sql(points: DataFrame, modes: DataFrame, scale: float, key: str = "id") -> DataFrame:
-    """Re sum_j f_j exp(2 pi i h <j, x>) of every point: (key, value). modes (j.., re, im) must be small: they are broadcast."""
+    """Re sum_j f_j exp(2 pi i h <j, x>) of every row: (key, value), repeated keys each on their own. A map: modes (j.., re, im) go along as one array and must be few."""
     dims = dims_of(points)
     js = [f"j{k + 1}" for k in range(len(dims))]
     if modes.count() > 100_000:
-        raise ValueError("many modes: use predict_arrow, which takes them as an array")
-    t = phase(dims, scale, js)
-    rows = points.select(key, *dims).join(F.broadcast(modes.select(*js, "re", "im")))
-    return rows.groupBy(key).agg(F.sum(F.col("re") * F.cos(t) - F.col("im") * F.sin(t)).alias("value"))
+        raise ValueError("many modes: use type2_arrow, which takes them as an array")
+    all_modes = modes.agg(F.array_sort(F.collect_list(F.struct(*js, "re", "im"))).alias("__modes"))
+
+    def add(total, f):
+        t = F.lit(TAU * scale) * sum((f[j] * F.col(c) for j, c in zip(js, dims, strict=True)), F.lit(0.0))
+        return total + f["re"] * F.cos(t) - f["im"] * F.sin(t)
+
+    return points.select(key, *dims).join(F.broadcast(all_modes)).select(key, F.aggregate("__modes", F.lit(0.0), add).alias("value"))
 
 
 def type2_block(x: list[np.ndarray], f: np.ndarray, scale: float, m: int) -> np.ndarray:
@@ -153,32 +157,62 @@ def type2_arrow(points: DataFrame, f: np.ndarray, scale: float, block: int = 204
     return points.drop("value").mapInArrow(each, schema)
 
 
+def _sums_sql(points: DataFrame, grid: Grid) -> DataFrame:
+    """Half of the lags with the sums weighted by y beside them: (l.., re, im, yre, yim), one aggregation."""
+    dims = dims_of(points)
+    js = [f"l{k + 1}" for k in range(grid.dim)]
+    rows = with_modes(points.select(*dims, "y"), 2 * grid.m, grid.dim, "l").where(half(2 * grid.m, grid.dim, "l"))
+    t = phase(dims, grid.h, js)
+    return rows.groupBy(*js).agg(F.sum(F.cos(t)).alias("re"), F.sum(-F.sin(t)).alias("im"), F.sum(F.col("y") * F.cos(t)).alias("yre"), F.sum(-F.col("y") * F.sin(t)).alias("yim"))
+
+
+def _sums_arrow(points: DataFrame, grid: Grid, block: int = 2048) -> DataFrame:
+    """All lags (part 0) and the sums weighted by y (part 1) as (part, k, re, im), from one map over the data."""
+    dims, m = dims_of(points), grid.m
+
+    def each(batches):
+        total = [0.0, 0.0]
+        for b in batches:
+            x, y = [b.column(c).to_numpy() for c in dims], b.column("y").to_numpy()
+            for s in range(0, b.num_rows, block):
+                part, w = [v[s : s + block] for v in x], y[s : s + block]
+                total[0] = total[0] + partial_sums(part, np.ones((1, len(w))), grid.h, 2 * m)
+                total[1] = total[1] + partial_sums(part, w[None, :], grid.h, m)
+        for k, sums in enumerate(total):
+            if not isinstance(sums, float):
+                v = sums.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v))), pa.array(v.real.copy()), pa.array(v.imag.copy())], names=["part", "k", "re", "im"])
+
+    rows = points.select(*[F.col(c).cast("double").alias(c) for c in [*dims, "y"]]).mapInArrow(each, "part int, k long, re double, im double")
+    return rows.groupBy("part", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
 def statistics(points: DataFrame, grid: Grid, form: str = "auto") -> tuple[np.ndarray, np.ndarray, int]:
-    """(lags of shape (4m + 1)^d, right-hand side of shape (2m + 1)^d without weights, number of points): the only job over the data.
+    """(lags of shape (4m + 1)^d, right-hand side of shape (2m + 1)^d without weights, number of points): the only job over the data, one pass.
 
     Both are additive, so they can be summed over parts, days or micro-batches.
-    They are collected: their size is the grid's, not the data's.
+    They are collected: their size is the grid's, not the data's.  The number
+    of points is the lag 0.  form: "sql" makes a row a point and mode and suits
+    small grids, "arrow" matrix products in each task; "auto" goes by the grid.
     """
     d, m = grid.dim, grid.m
-    n = points.count()
     if form == "auto":
-        form = "sql" if n * (4 * m + 1) ** d <= SQL_PAIRS else "arrow"
+        form = "sql" if (4 * m + 1) ** d <= SQL_MODES else "arrow"
     lags, rhs = np.zeros([4 * m + 1] * d, complex), np.zeros([2 * m + 1] * d, complex)
     if form == "sql":
-        for r in type1_sql(points, 2 * m, grid.h, names="l", half_only=True).collect():
+        for r in _sums_sql(points, grid).collect():
             at = [r[f"l{k + 1}"] for k in range(d)]
             lags[tuple(a + 2 * m for a in at)] = complex(r.re, r.im)
             lags[tuple(2 * m - a for a in at)] = complex(r.re, -r.im)
-        for r in type1_sql(points, m, grid.h, "y", half_only=True, names="j").collect():
-            at = [r[f"j{k + 1}"] for k in range(d)]
-            rhs[tuple(a + m for a in at)] = complex(r.re, r.im)
-            rhs[tuple(m - a for a in at)] = complex(r.re, -r.im)
-        return lags, rhs, n
-    got = type1_arrow(points, 2 * m, grid.h).toArrow()
-    lags.ravel()[got["k"].to_numpy()] = got["re"].to_numpy() + 1j * got["im"].to_numpy()
-    got = type1_arrow(points, m, grid.h, ("y",)).toArrow()
-    rhs.ravel()[got["k"].to_numpy()] = got["re"].to_numpy() + 1j * got["im"].to_numpy()
-    return lags, rhs, n
+            if max(map(abs, at)) <= m and r.yre is not None:
+                rhs[tuple(a + m for a in at)] = complex(r.yre, r.yim)
+                rhs[tuple(m - a for a in at)] = complex(r.yre, -r.yim)
+    else:
+        got = _sums_arrow(points, grid).toArrow()
+        part, k, v = got["part"].to_numpy(), got["k"].to_numpy(), got["re"].to_numpy() + 1j * got["im"].to_numpy()
+        lags.ravel()[k[part == 0]] = v[part == 0]
+        rhs.ravel()[k[part == 1]] = v[part == 1]
+    return lags, rhs, int(round(lags[(2 * m,) * d].real))
 
 
 class System:

@@ -199,8 +199,22 @@ def _mixed(apply, size, q, tol, most, seed, complex_):
     return t[: q + 1], w[:, :q]
 
 
+def _block_power(apply, size, q, tol, most, seed, complex_):
+    """Powers of A on a block, orthonormal again after every second product; one Rayleigh-Ritz step when its span has settled."""
+    v = np.linalg.qr(_start(size, min(size, q + 1 + max(8, q // 4)), seed, complex_))[0]
+    for _ in range(most // 2):
+        w = apply(v)
+        w = np.linalg.qr(apply(w / np.linalg.norm(w)))[0]
+        turned = np.linalg.norm(w - v @ (v.conj().T @ w), axis=0)[:q].max()
+        v = w
+        if turned <= tol:
+            break
+    t, w, _ = _ritz(apply, v)
+    return t[: q + 1], w[:, :q]
+
+
 #: Methods by name; more can be put in.
-METHODS: dict[str, Callable] = {"subspace": _subspace, "lanczos": _lanczos, "block_krylov": _krylov, "chebyshev": _chebyshev, "lobpcg": _lobpcg, "mixed": _mixed, "block_power": _subspace}
+METHODS: dict[str, Callable] = {"subspace": _subspace, "lanczos": _lanczos, "block_krylov": _krylov, "chebyshev": _chebyshev, "lobpcg": _lobpcg, "mixed": _mixed, "block_power": _block_power}
 
 
 class Deflation:

@@ -564,6 +564,29 @@ def stacked_results(spark, sf_dir):
     return A.stacked([r.groupBy("mode").agg(t), r.groupBy("n").agg(t)], ["mode", "n"]).select("mode", "n", "t")
 
 
+@query("metric_left_join", RUNS + ", m AS (SELECT mode, n, round(sum(tax), 4) AS t FROM runs WHERE mode <> 'A' GROUP BY ALL) SELECT c.mode, c.n, m.t AS t_method FROM (SELECT DISTINCT mode, n FROM runs) c LEFT JOIN m ON m.mode IS NOT DISTINCT FROM c.mode AND m.n IS NOT DISTINCT FROM c.n")
+def metric_left_join(spark, sf_dir):
+    r = runs(spark, sf_dir)
+    m = r.where("mode <> 'A'").groupBy("mode", "n").agg(F.round(F.sum("tax"), 4).alias("t"))
+    return A.left_metrics(A.distinct_values(r, ["mode", "n"]), m, ["mode", "n"], "_method").select("mode", "n", "t_method")
+
+
+@query("distinct_modes", RUNS + " SELECT DISTINCT mode, n FROM runs")
+def distinct_modes(spark, sf_dir):
+    return A.distinct_values(runs(spark, sf_dir), ["mode", "n"])
+
+
+@query("latitude_band", "SELECT s_suppkey, round(s_acctbal::DOUBLE / 200, 6) AS lat FROM supplier WHERE s_acctbal::DOUBLE / 200 BETWEEN -10 AND 30")
+def latitude_band(spark, sf_dir):
+    s = S.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal").cast("double") / 200).alias("lat"))
+    return rounded(S.latitude_band(s, -10.0, 30.0), "lat")
+
+
+@query("cosine_toy", "SELECT id, round(id / 500.0, 6) AS x1, round(cos(2 * pi() * 3 * (id / 500.0)), 6) + 0.0 AS y FROM range(500) r(id)")
+def cosine_toy(spark, sf_dir):
+    return rounded(S.cosine_toy(spark, 500, 3.0), "x1", "y")
+
+
 ATOMS = "WITH atoms AS (SELECT l_returnflag AS probe, l_quantity::DOUBLE AS node, sum(l_tax::DOUBLE) AS weight FROM lineitem GROUP BY ALL)"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +126,17 @@ def split_by_missing(df: DataFrame, y: str = "y") -> tuple[DataFrame, DataFrame]
     return df.where(~missing), df.where(missing)
 
 
+def latitude_band(df: DataFrame, low: float, high: float, lat: str = "lat") -> DataFrame:
+    """The rows between two latitudes, both included."""
+    return df.where(F.col(lat).between(low, high))
+
+
+def cosine_toy(spark: SparkSession, n: int, waves: float = 1.0) -> DataFrame:
+    """(id, x1, y): one period or more of a cosine at n equispaced points of [0, 1), without noise."""
+    x = F.col("id") / F.lit(float(n))
+    return spark.range(n).select("id", x.alias("x1"), F.cos(F.lit(2 * math.pi * waves) * x).alias("y"))
+
+
 def lonlat(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """x1, x2 in degrees with the aspect of the mean latitude."""
     mean = df.agg(F.avg(lat)).first()[0]
