@@ -47,11 +47,23 @@ def _clean() -> None:
             return
 
 
+#: Spark's own setting: the shuffle files of a query go when it has ended, not when the driver's memory is next collected.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write df once to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    The write's shuffle files are of no use once the table is there; they are removed at once.
+    """
     spark = df.sparkSession
     at = new_dir(spark, name)
-    df.write.parquet(at)
+    before = spark.conf.get(FILE_CLEANUP)
+    spark.conf.set(FILE_CLEANUP, True)
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
     return out
