@@ -336,20 +336,21 @@ def _crossed(posts: DataFrame, labels: DataFrame, marks: DataFrame, similarity:
         if held is not None:
             yield from pairs(held, np.array([0, len(held[0])]))
 
-    at = posts.select("value", "node", "size", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    runs = staged(at.groupBy("value").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("value", "n"), "ngram-mixed")
-    at = at.join(runs, "value")
+    known = lambda df: df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    runs = staged(known(posts.select("value", "node")).groupBy("value").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("value", "n"), "ngram-mixed")
     zero = F.lit(0)
-    near = at.where(F.col("n") <= FULL_SPLIT).select("value", zero.alias("sizes"), zero.alias("x"), zero.alias("y"), "node", "size", "place", "label", zero.alias("own"), zero.alias("part"))
+    # rows of runs of one component go before anything is looked up for a row; label and mark come in one join
+    at = posts.select("value", "node", "size", "place").join(runs, "value")
+    rows = at.where(F.col("n") <= FULL_SPLIT).join(known(marks), "node").select("value", zero.alias("sizes"), zero.alias("x"), zero.alias("y"), "node", "size", "place", "label", zero.alias("own"), zero.alias("part"), "mark")
     if runs.where(F.col("n") > FULL_SPLIT).limit(1).count():
         # similar sets fall into one class of sizes or two that follow each other
         own = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / similarity) + 1e-6)).cast("int") if similarity < 100 else F.col("size")
-        far = at.where(F.col("n") > FULL_SPLIT).withColumn("own", own).withColumn("sizes", F.explode(F.array("own", F.col("own") + 1)))
+        far = known(at.where(F.col("n") > FULL_SPLIT)).withColumn("own", own).withColumn("sizes", F.explode(F.array("own", F.col("own") + 1)))
         many = far.groupBy("value", "sizes").agg(F.ceil(F.count("*") / F.lit(FULL_SPLIT)).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed").drop("mixed")
         far = far.join(many, ["value", "sizes"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
         far = far.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "with")).withColumn("y", F.greatest("part", "with"))
-        near = near.unionAll(far.select(near.columns))
-    rows = near.join(marks, "node").repartition("value", "sizes", "x", "y").sortWithinPartitions("value", "sizes", "x", "y", "size", "node")
+        rows = rows.unionAll(far.join(marks, "node").select(rows.columns))
+    rows = rows.repartition("value", "sizes", "x", "y").sortWithinPartitions("value", "sizes", "x", "y", "size", "node")
     return rows.select(*names).mapInArrow(lean(scan), "a long, b long").distinct()
 
 
