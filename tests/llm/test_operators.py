@@ -278,6 +278,9 @@ def test_chains_match_the_quadratic_recurrence():
         if not (np.all(np.diff(x) > 0) and np.all(np.diff(y) > 0)):
             assert value == pytest.approx(score.max())
         assert np.all(np.diff(x[first]) > 0) and np.all(np.diff(y[first]) > 0)
+        tight = passages.Rule(gap=0.3, most_gap=6)
+        wide = [c.tolist() for c in passages.chains(x, y, tight) if min(x[c[-1]] - x[c[0]], y[c[-1]] - y[c[0]]) + tight.k >= 9]
+        assert [c.tolist() for c in passages.chains(x, y, tight, 9)] == wide
     assert passages.common(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2
 
 
