@@ -84,10 +84,10 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
 
 
 class Words:
-    """The words of a block: byte spans, values, and the first word of every row (``first``, one longer than the rows)."""
+    """The words of a block: byte spans, values, and the first word of every row (``first``, one longer than the rows). space: for each byte whether it parts words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True):
-        inside = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True, space: np.ndarray = _SPACE):
+        inside = ~space[data]
         before = np.zeros(len(data) + 1, dtype=bool)
         before[1:] = inside
         cut = offsets[:-1][offsets[:-1] < len(data)]

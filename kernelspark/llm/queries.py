@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline: each applies an operator, with production parameters, to its whole table."""
+"""The queries op1_ to op13_ and pipeline: each applies an operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernelspark.llm import ann, langid, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
+from kernelspark.llm import ann, langid, mixing, ngram_join, packing, passages, quality, resample, tokenbin, warc, wrapper
 from kernelspark.llm._util import documents
 
 
@@ -57,8 +57,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing)}
+    return {f.__name__: f for f in (op1_language, op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,4 +71,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.ORACLE.replace("{pages}", "pages"),
         "op8_quality": quality.ORACLE.replace("{docs}", "documents"),
         "op10_mixing": mixing.ORACLE.replace("{docs}", "documents"),
+        "op13_resample": resample.ORACLE.replace("{docs}", "documents"),
     }
