@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernelspark.llm import ann, langid, mixing, ngram_join, packing, passages, quality, resample, tokenbin, warc, wrapper
+from kernelspark.llm import ann, langid, mixing, ngram_join, packing, passages, quality, resample, tokenbin, treebpe, warc, wrapper
 from kernelspark.llm._util import documents
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The installed public vocabulary that the queries use; the operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treebpe.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing, op13_resample)}
+    return {f.__name__: f for f in (op1_language, op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing, op11_bpe, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
