@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kernelspark.llm import ann, langid, mixing, ngram_join, packing, passages, quality, resample, tokenbin, treebpe, warc, wrapper
+from kernelspark.llm import ann, hardneg, langid, mixing, ngram_join, packing, passages, quality, resample, tokenbin, treebpe, warc, wrapper
 from kernelspark.llm._util import documents
 
 
@@ -61,12 +62,17 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebpe.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hardneg.mine(hardneg.scaled(vectors).withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing, op11_bpe, op13_resample)}
+    return {f.__name__: f for f in (op1_language, op2_passages, op3_ngram_join, op4_warc, op5_main_text, op6_token_files, op7_packing, op8_quality, op9_nearest, op10_mixing, op11_bpe, op12_hard_negatives, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -75,5 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.ORACLE.replace("{pages}", "pages"),
         "op8_quality": quality.ORACLE.replace("{docs}", "documents"),
         "op10_mixing": mixing.ORACLE.replace("{docs}", "documents"),
+        "op12_hard_negatives": hardneg.ORACLE.replace("{vectors}", "embeddings"),
         "op13_resample": resample.ORACLE.replace("{docs}", "documents"),
     }
