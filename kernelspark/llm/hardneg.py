@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from kernelspark.llm._util import staged
 
-#: Rows of a part on average, rows of a leaf, anchors of a block on average, and rows of the sample at most.
+#: Rows of a part on average, rows of a leaf, anchors of a block on average, and rows of the sample, about (twice as many at most).
 PART, LEAF, BLOCK, SAMPLE = 4_096, 64, 512, 8_192
 #: The score of a place that nothing fills.
 NEVER = -np.iinfo(np.int64).max
@@ -211,7 +211,11 @@ def _matrix(v: pd.Series) -> np.ndarray:
 def _trees(rows: DataFrame, total: int, norm2: float, narrow: np.dtype) -> tuple[DataFrame, int, bytes]:
     """(tree, blob) for the parts of rows, their number, and the tree of the sample."""
     spark = rows.sparkSession
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    # about SAMPLE rows by hash; the bound twice that is never met, but holds
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLE / total) * (1 << 40)))
+    got = rows.where(share).limit(2 * SAMPLE).toPandas()
+    if not len(got):
+        got = rows.limit(1).toPandas()
     power = lambda n: 1 << max(0, int(n - 1).bit_length())
     ids, labels, x = got["vec_id"].to_numpy(), got["label"].to_numpy(), _matrix(got["v"]).astype(narrow)
     sample = Tree.build(ids, labels, x, norm2, max(1, power(-(-len(ids) // LEAF)) if len(ids) > LEAF else 1))
