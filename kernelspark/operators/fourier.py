@@ -21,6 +21,8 @@ from kernelspark.functions.kernels import Grid
 
 #: Lags up to which sums are made as SQL aggregations.
 SQL_MODES = 64
+#: Lags beyond which spreading points costs less than matrix products, by dimension.
+FAST_MODES = {1: 600, 2: 6_000, 3: 60_000}
 TAU = 2 * math.pi
 
 
@@ -34,6 +36,20 @@ def extended(df: DataFrame, **more: str) -> StructType:
     return StructType([*df.schema.fields, *new])
 
 
+def is_finite(cols: list[str]) -> Column:
+    """Whether all of these columns are there and finite."""
+    out = F.lit(True)
+    for c in cols:
+        v = F.col(c).cast("double")
+        out = out & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))
+    return out
+
+
+def finite(points: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows that take part in sums: those whose cols are all there and finite."""
+    return points.where(is_finite(cols))
+
+
 def phase(dims: list[str], scale: float, modes: list[str]) -> Column:
     """2 pi h <j, x>; a sum in order of the dimensions."""
     out = F.lit(0.0)
@@ -187,17 +203,26 @@ def _sums_arrow(points: DataFrame, grid: Grid, block: int = 2048) -> DataFrame:
     return rows.groupBy("part", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def statistics(points: DataFrame, grid: Grid, form: str = "auto") -> tuple[np.ndarray, np.ndarray, int]:
+def statistics(points: DataFrame, grid: Grid, form: str = "auto", eps: float = 1e-12) -> tuple[np.ndarray, np.ndarray, int]:
     """(lags of shape (4m + 1)^d, right-hand side of shape (2m + 1)^d without weights, number of points): the only job over the data, one pass.
 
     Both are additive, so they can be summed over parts, days or micro-batches.
     They are collected: their size is the grid's, not the data's.  The number
-    of points is the lag 0.  form: "sql" makes a row a point and mode and suits
-    small grids, "arrow" matrix products in each task; "auto" goes by the grid.
+    of points is the lag 0.  Rows with a null or non-finite coordinate or y take
+    no part, in every form.  form: "sql" makes a row a point and mode and suits
+    small grids, "arrow" matrix products in each task, "fast" spreads points on a
+    grid with an error of about eps (one to three dimensions); "auto" goes by
+    the grid.
     """
     d, m = grid.dim, grid.m
+    points = finite(points, [*dims_of(points), "y"])
     if form == "auto":
-        form = "sql" if (4 * m + 1) ** d <= SQL_MODES else "arrow"
+        size = (4 * m + 1) ** d
+        form = "sql" if size <= SQL_MODES else "fast" if d <= 3 and size > FAST_MODES[d] else "arrow"
+    if form == "fast":
+        from kernelspark.operators import nufft
+
+        return nufft.statistics(points, m, grid.h, eps)
     lags, rhs = np.zeros([4 * m + 1] * d, complex), np.zeros([2 * m + 1] * d, complex)
     if form == "sql":
         for r in _sums_sql(points, grid).collect():

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelspark.functions.kernels import Grid, Kernel, choose_grid
-from kernelspark.operators import solvers
-from kernelspark.operators.fourier import System, _powers, dims_of, extended, statistics, type2_arrow
+from kernelspark.operators import nufft, solvers
+from kernelspark.operators.fourier import FAST_MODES, System, _powers, dims_of, extended, finite, statistics, type2_arrow
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,8 @@ class Config:
     most: int = 2_000
     eta: float | None = None
     variance_modes: int = 4_000
+    #: Tolerance of fast transforms, where the grid is large enough for them.
+    transform_eps: float = 1e-12
 
     def __post_init__(self):
         if self.solver not in ("pcg", "richardson", "direct") or self.preconditioner not in ("none", "deflation", "nystrom", "dominant"):
@@ -65,7 +67,9 @@ class Model:
         """targets with a column mean; coordinates are given back as they came."""
         dims = dims_of(targets)
         kept = targets.withColumns({f"__{c}": F.col(c) for c in dims})
-        out = type2_arrow(self._scaled(kept), self._coefficients(), self.grid.h)
+        f = self._coefficients()
+        fast = self.grid.dim <= 3 and f.size > FAST_MODES[self.grid.dim] // 2**self.grid.dim
+        out = nufft.type2(self._scaled(kept), f, self.grid.h, self.config.transform_eps) if fast else type2_arrow(self._scaled(kept), f, self.grid.h)
         return out.withColumns({c: F.col(f"__{c}") for c in dims}).drop(*[f"__{c}" for c in dims]).withColumnRenamed("value", "mean")
 
     def variance(self, targets: DataFrame) -> DataFrame:
@@ -166,13 +170,13 @@ def fit(points: DataFrame, kernel: Kernel, config: Config = Config(), grid: Grid
     if box is None:
         from kernelspark.sources.tables import into_box
 
-        _, centre, length = into_box(points, dims)
+        _, centre, length = into_box(finite(points, [*dims, "y"]), dims)
     else:
         centre, length = box
     grid = grid or choose_grid(kernel, config.eps, length)
     started = time.time()
     moved = points.select(*[(F.col(c).cast("double") - F.lit(float(m))).alias(c) for c, m in zip(dims, centre, strict=True)], F.col("y").cast("double").alias("y"))
-    lags, rhs, n = stats or statistics(moved, grid, form)
+    lags, rhs, n = stats or statistics(moved, grid, form, config.transform_eps)
     w = grid.weights(kernel)
     system = System(grid, w, lags, config.reg)
     summed = time.time()

@@ -21,7 +21,7 @@ from kernelspark.operators import diagnostics as D
 from kernelspark.operators import gp, machine, solvers
 from kernelspark.operators import neighbours as N
 from kernelspark.operators import fourier as T
-from kernelspark.operators import interpolation
+from kernelspark.operators import interpolation, nufft
 from kernelspark.sources import tables as S
 from kernelspark.streaming import statistics as stream
 
@@ -240,6 +240,70 @@ def type1_3d(spark, sf_dir):
     return tidy(got.select(*js, "re", "im"))
 
 
+def nufft1_text(pts: str, ms: tuple[int, ...], hs: tuple[float, ...], c: str) -> str:
+    """The direct sums divided by the number of points."""
+    js = [f"j{k + 1}" for k in range(len(ms))]
+    ranges = ", ".join(f"range({-m}, {m + 1}) r{k + 1}(j{k + 1})" for k, m in enumerate(ms))
+    t = "(2 * pi() * (" + " + ".join(f"{h!r} * j{k + 1} * x{k + 1}" for k, h in enumerate(hs)) + "))"
+    return f"{pts} SELECT {', '.join(f'{j}::INT AS {j}' for j in js)}, round(avg({c} * cos({t})), 7) + 0.0 AS re, round(avg(-({c}) * sin({t})), 7) + 0.0 AS im FROM pts, {ranges} GROUP BY ALL"
+
+
+def _mean_modes(points: DataFrame, ms, hs, eps: float) -> DataFrame:
+    n = points.count()
+    got = nufft.type1(points, ms, hs, "y", eps)
+    return got.withColumns({c: F.round(F.col(c) / F.lit(float(n)), 7) + 0.0 for c in ("re", "im")})
+
+
+@query("nufft1_1d", nufft1_text(LINE, (60,), (0.9,), "y"))
+def nufft1_1d(spark, sf_dir):
+    """Type 1 by spreading and a fast transform."""
+    return _mean_modes(S.events_line(spark, sf_dir), 60, 0.9, 1e-12)
+
+
+@query("nufft1_2d", nufft1_text(PLANE, (6, 3), (0.8, 0.5), "y"))
+def nufft1_2d(spark, sf_dir):
+    """Modes and spacings of their own for each dimension."""
+    return _mean_modes(S.lineitem_plane(spark, sf_dir).drop("x3"), (6, 3), (0.8, 0.5), 1e-12)
+
+
+@query("nufft1_3d", nufft1_text(PLANE, (2, 2, 1), (1.0, 0.7, 0.9), "y"))
+def nufft1_3d(spark, sf_dir):
+    return _mean_modes(S.lineitem_plane(spark, sf_dir), (2, 2, 1), (1.0, 0.7, 0.9), 1e-12)
+
+
+def nufft2_text(pts: str, ms: tuple[int, ...], hs: tuple[float, ...]) -> str:
+    """Sums over modes with coefficients 1 / (1 + |j|^2), rows kept apart."""
+    js = [f"j{k + 1}" for k in range(len(ms))]
+    ranges = ", ".join(f"range({-m}, {m + 1}) r{k + 1}(j{k + 1})" for k, m in enumerate(ms))
+    t = "(2 * pi() * (" + " + ".join(f"{h!r} * j{k + 1} * x{k + 1}" for k, h in enumerate(hs)) + "))"
+    return f"{pts}, u AS (SELECT row_number() OVER () AS rid, * FROM pts) SELECT id, round(sum(cos({t}) / (1 + {' + '.join(f'{j} * {j}' for j in js)})), 5) + 0.0 AS value FROM u, {ranges} GROUP BY rid, id"
+
+
+def _coefficients(ms: tuple[int, ...]) -> np.ndarray:
+    j = np.meshgrid(*[np.arange(-m, m + 1) for m in ms], indexing="ij")
+    return (1 / (1 + sum(k * k for k in j))).astype(complex)
+
+
+def _at_points(points: DataFrame, ms, hs, eps: float) -> DataFrame:
+    return nufft.type2(points, _coefficients(ms), hs, eps).select("id", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query("nufft2_1d", nufft2_text(LINE, (60,), (0.9,)))
+def nufft2_1d(spark, sf_dir):
+    """Type 2 by a fast transform and interpolation at every point."""
+    return _at_points(S.events_line(spark, sf_dir).select("id", "x1"), (60,), (0.9,), 1e-10)
+
+
+@query("nufft2_2d", nufft2_text(PLANE, (6, 3), (0.8, 0.5)))
+def nufft2_2d(spark, sf_dir):
+    return _at_points(S.lineitem_plane(spark, sf_dir).select("id", "x1", "x2"), (6, 3), (0.8, 0.5), 1e-10)
+
+
+@query("nufft2_3d", nufft2_text(PLANE, (2, 2, 1), (1.0, 0.7, 0.9)))
+def nufft2_3d(spark, sf_dir):
+    return _at_points(S.lineitem_plane(spark, sf_dir).select("id", "x1", "x2", "x3"), (2, 2, 1), (1.0, 0.7, 0.9), 1e-10)
+
+
 @query("toeplitz_lags", type1_text(LINE, 8, 1, "1.0").replace("j1::INT AS j1", "j1::INT AS l1"))
 def toeplitz_lags(spark, sf_dir):
     return tidy(T.type1_sql(S.events_line(spark, sf_dir), 8, 1.0, names="l"))
@@ -334,6 +398,13 @@ def gp1d_mean(spark, sf_dir):
     return rounded(line_model(spark, sf_dir).predict(line_targets(spark)), "x1", "mean")
 
 
+@query("gp1d_fast", MEAN_SQL)
+def gp1d_fast(spark, sf_dir):
+    """The same with sums and predictions by fast transforms."""
+    m = gp.fit(S.events_line(spark, sf_dir), KERNEL, gp.Config(reg=REG, tol=1e-12), GRID, BOX, "fast")
+    return rounded(nufft.type2(line_targets(spark), m._coefficients(), GRID.h, 1e-12).withColumnRenamed("value", "mean"), "x1", "mean")
+
+
 @query("gp1d_deflated", MEAN_SQL)
 def gp1d_deflated(spark, sf_dir):
     """The same with a spectral preconditioner."""
