@@ -18,7 +18,7 @@ from kernelspark.functions import kernels as K
 from kernelspark.functions import table_functions
 from kernelspark.operators import analytics as A
 from kernelspark.operators import diagnostics as D
-from kernelspark.operators import gp, machine, solvers
+from kernelspark.operators import gp, machine, sharded, solvers
 from kernelspark.operators import neighbours as N
 from kernelspark.operators import fourier as T
 from kernelspark.operators import interpolation, nufft
@@ -579,6 +579,58 @@ def km_train(spark, sf_dir):
     return machine.accuracy(m.predict(_labelled(spark, sf_dir)))
 
 
+_LABELLED_SQL = "WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT range::INT AS class FROM range(0, 10))"
+
+
+def _weights(m: sharded.Sharded) -> DataFrame:
+    return m.table.select("id", F.posexplode("w").alias("class", "w"))
+
+
+@query(
+    "km_coordinates",
+    _LABELLED_SQL
+    + """, p AS (SELECT a.id, b.label AS class, sum(exp(-list_distance(a.x, b.x) / 1.5)) * 0.002 AS p FROM e a JOIN e b ON a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY ALL)
+SELECT e.id, class, round(CASE WHEN e.id % 2 = 0 THEN 0.002 * 1.5 * (label = class)::INT ELSE -0.002 * (coalesce(p, 0) - (label = class)::INT) END, 6) + 0.0 AS w FROM e CROSS JOIN c LEFT JOIN p USING (id, class)""",
+)
+def km_coordinates(spark, sf_dir):
+    """Weights of all rows after two coordinate steps with momentum, on even and on odd ids."""
+    m = sharded.train_coordinates(_labelled(spark, sf_dir), machine.laplacian(1.5), 10, rank=0, batches=2, rate=0.002, momentum=0.5, batch_of=lambda n, epoch: F.pmod("id", F.lit(n)))
+    return rounded(_weights(m), "w")
+
+
+@query(
+    "km_delayed",
+    MEANS
+    + """, k AS MATERIALIZED (SELECT a.class::INT AS i, b.class::INT AS j, exp(-list_distance(a.z, b.z) / 1.5) AS v FROM z a, z b),
+t AS (SELECT p.class::INT AS i, e.label::INT AS c, 0.002 * sum(exp(-p.d / 1.5)) AS v FROM p JOIN e USING (vec_id) GROUP BY ALL), g AS MATERIALIZED (SELECT i, j, v FROM k UNION ALL SELECT i, 10 + c, v FROM t),
+"""
+    + gauss_jordan("g", 10)
+    + " SELECT i::BIGINT AS id, (j - 10)::INT AS class, round(v, 4) + 0.0 AS w FROM sol WHERE j >= 10",
+)
+def km_delayed(spark, sf_dir):
+    """One step on all rows from a zero machine, projected on the class means by the inner solver."""
+    inner = {"epochs": 20_000, "tol": 1e-24, "rank": 9, "batches": 1}
+    m, _ = sharded.train_delayed(_labelled(spark, sf_dir), _mean_centres(spark, sf_dir), machine.laplacian(1.5), 10, rank=0, batches=4, delay=4, rate=0.002, inner=inner, batch_of=lambda n, epoch: F.lit(0))
+    return _weights(m).select("id", "class", (F.round("w", 4) + 0.0).alias("w"))
+
+
+@query("sharded_matvec", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label / 10.0 AS v FROM embeddings) SELECT a.vec_id AS id, round(sum(exp(-list_distance(a.x, b.x) / 2.0) * b.v), 4) AS value FROM e a, e b GROUP BY a.vec_id")
+def sharded_matvec(spark, sf_dir):
+    """K v with K the Laplacian kernel of all vectors: blocks of points against shards of centres, partial sums by point."""
+    v = _labelled(spark, sf_dir)
+    m = sharded.Sharded.zeros(v.limit(0), machine.laplacian(2.0), 1)
+    m.append(v.withColumn("w", F.array(F.col("label") / 10.0)))
+    return m.predict(v).select("id", F.round(F.col("scores")[0], 4).alias("value"))
+
+
+@query("km_accuracy")
+def km_accuracy(spark, sf_dir):
+    """Accuracy on all rows after two epochs of coordinate steps whose rank and batches the sample's spectrum chooses."""
+    v = _labelled(spark, sf_dir)
+    m = sharded.train_coordinates(v, machine.laplacian(1.5), 10, epochs=2)
+    return machine.accuracy(m.predict(v).join(v.select("id", "label"), "id"))
+
+
 @query("random_features")
 def random_features(spark, sf_dir):
     return machine.random_features(_labelled(spark, sf_dir), 64, 32, 1.0).select("id", F.round(F.col("features")[0], 6).alias("v0"))

@@ -5,13 +5,11 @@ The box is fixed before the first row; rows outside it are counted, not clipped.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelspark.operators.fourier import dims_of, phase, with_modes
+from kernelspark.sources.staging import work_dir
 
 
 def running_sums(points: DataFrame, m: int, scale: float, low: float = -0.5, high: float = 0.5) -> DataFrame:
@@ -61,8 +59,3 @@ def from_files(spark: SparkSession, path: str, m: int, scale: float) -> DataFram
     got = spark.read.parquet(f"{at}/sums")
     return got.groupBy("j1").agg(*[F.sum(c).alias(c) for c in ("n", "outside", "re", "im", "yre", "yim")])
 
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kernelspark-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
