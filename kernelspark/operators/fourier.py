@@ -158,7 +158,7 @@ def type2_block(x: list[np.ndarray], f: np.ndarray, scale: float, m: int) -> np.
 
 
 def type2_arrow(points: DataFrame, f: np.ndarray, scale: float, block: int = 2048) -> DataFrame:
-    """points with a column value; a map over rows, the modes go along as a broadcast array."""
+    """points with a column value, null where a coordinate is null or not finite; a map over rows, the modes go along as a broadcast array."""
     dims = dims_of(points)
     m = (f.shape[0] - 1) // 2
     shared = points.sparkSession.sparkContext.broadcast(f)
@@ -166,9 +166,11 @@ def type2_arrow(points: DataFrame, f: np.ndarray, scale: float, block: int = 204
 
     def each(batches):
         for b in batches:
-            x = [b.column(c).cast(pa.float64()).to_numpy() for c in dims]
+            x = [b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in dims]
+            fine = np.isfinite(x).all(0)
+            x = [np.where(fine, d, 0.0) for d in x]
             v = np.concatenate([type2_block([d[s : s + block] for d in x], shared.value, scale, m) for s in range(0, b.num_rows, block)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v)], names=[*b.schema.names, "value"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v, mask=~fine)], names=[*b.schema.names, "value"])
 
     return points.drop("value").mapInArrow(each, schema)
 

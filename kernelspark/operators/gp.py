@@ -58,7 +58,7 @@ class Model:
         dims = dims_of(targets)
         out = None
         for c, m in zip(dims, self.centre, strict=True):
-            far = F.abs(F.col(c) - m) > self.box * 0.5000001
+            far = (F.abs(F.col(c) - m) > self.box * 0.5000001) & ~F.isnan(F.col(c).cast("double"))
             out = far if out is None else out | far
         ok = F.when(out, F.raise_error(F.lit("a target lies outside the box of the fit"))).otherwise(F.lit(0.0))
         return targets.withColumns({c: F.col(c).cast("double") - F.lit(float(m)) + (ok if k == 0 else F.lit(0.0)) for k, (c, m) in enumerate(zip(dims, self.centre, strict=True))})
@@ -73,30 +73,60 @@ class Model:
         return out.withColumns({c: F.col(f"__{c}") for c in dims}).drop(*[f"__{c}" for c in dims]).withColumnRenamed("value", "mean")
 
     def variance(self, targets: DataFrame) -> DataFrame:
-        """targets with mean and var, var = reg phi* A^-1 phi, from one factorisation for all targets."""
+        """targets with mean and var, var = reg phi* A^-1 phi: from one factorisation for all targets, or beyond variance_modes by variance_by_solves."""
         if self.system.size > self.config.variance_modes:
-            raise ValueError("too many modes for a dense factor")
+            return self.variance_by_solves(targets)
         root = np.linalg.inv(np.linalg.cholesky(self.system.dense())) * self.system.w
-        f, m, h, reg, d = self._coefficients(), self.grid.m, self.grid.h, self.config.reg, self.grid.dim
+        f, reg = self._coefficients().ravel(), self.config.reg
         shared = targets.sparkSession.sparkContext.broadcast((root, f))
-        dims = dims_of(targets)
+
+        def each(phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            root, f = shared.value
+            return (phi @ f).real, reg * (np.abs(phi.conj() @ root.T) ** 2).sum(1)
+
+        return self._at_targets(targets, each, 512)
+
+    def variance_by_solves(self, targets: DataFrame, tol: float = 1e-8, most: int | None = None, block: int = 64) -> DataFrame:
+        """The same without a factor: a system of equations for each target, a block of targets at a time in the tasks, each with its own stop.
+
+        What goes along is of the grid's size.  The fit's preconditioner serves the solves as well.
+        """
+        precond, _ = preconditioner(self.system, self.config)
+        most = most or 3 * self.system.size
+        f, reg = self._coefficients().ravel(), self.config.reg
+        shared = targets.sparkSession.sparkContext.broadcast((self.system, precond, f))
+
+        def each(phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            system, precond, f = shared.value
+            rhs = (system.w * phi.conj()).T
+            got = solvers.block_pcg(system, rhs, tol, most, precond)
+            if not (got.residual <= 100 * tol).all():
+                raise ArithmeticError("a variance did not settle")
+            return (phi @ f).real, reg * np.einsum("ij,ij->j", rhs.conj(), got.x).real
+
+        return self._at_targets(targets, each, block)
+
+    def _at_targets(self, targets: DataFrame, function, block: int) -> DataFrame:
+        """targets with mean and var of function(phi), phi the modes at a block of targets; a target without finite coordinates has null for both."""
+        m, h, dims = self.grid.m, self.grid.h, dims_of(targets)
         kept = targets.withColumns({f"__{c}": F.col(c) for c in dims})
         schema = extended(kept, mean="double", var="double")
 
         def each(batches):
-            root, f = shared.value
             for b in batches:
-                mean, var = np.empty(b.num_rows), np.empty(b.num_rows)
-                for s in range(0, b.num_rows, 512):
-                    e = [_powers(b.column(c).to_numpy()[s : s + 512], h, m, 1.0) for c in dims]
+                x = np.array([b.column(c).to_numpy(zero_copy_only=False) for c in dims], float)
+                mean, var = np.full(b.num_rows, np.nan), np.full(b.num_rows, np.nan)
+                fine = np.flatnonzero(np.isfinite(x).all(0))
+                for s in range(0, len(fine), block):
+                    at = fine[s : s + block]
+                    e = [_powers(v[at], h, m, 1.0) for v in x]
                     phi = e[0]
                     for g in e[1:]:
                         phi = (phi[:, :, None] * g[:, None, :]).reshape(len(phi), -1)
-                    mean[s : s + 512] = (phi @ f.ravel()).real
-                    var[s : s + 512] = reg * (np.abs(phi.conj() @ root.T) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mean), pa.array(var)], names=[*b.schema.names, "mean", "var"])
+                    mean[at], var[at] = function(phi)
+                none = np.isnan(mean)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mean, mask=none), pa.array(var, mask=none)], names=[*b.schema.names, "mean", "var"])
 
-        assert d == len(dims)
         out = self._scaled(kept).mapInArrow(each, schema)
         return out.withColumns({c: F.col(f"__{c}") for c in dims}).drop(*[f"__{c}" for c in dims])
 

@@ -48,15 +48,60 @@ def pcg(apply: Op, b: np.ndarray, tol: float = 1e-8, most: int = 1000, precond:
     return _finish(apply, b, x, k, tol, history)
 
 
-def richardson(apply: Op, b: np.ndarray, eta: float, tol: float = 1e-8, most: int = 10_000, precond: Op | None = None) -> Result:
-    """x += eta P (b - A x), with a recursive residual; stops where it is no longer finite."""
+@dataclass
+class BlockResult:
+    """Solutions of many right-hand sides, with each column's steps and relative residual (recomputed at the end)."""
+
+    x: np.ndarray
+    iterations: np.ndarray
+    residual: np.ndarray
+
+
+def block_pcg(apply: Op, b: np.ndarray, tol: float = 1e-8, most: int = 1000, precond: Op | None = None) -> BlockResult:
+    """Conjugate gradients for all columns of b at once: one product a step for those that have not stopped; each column stops by itself."""
+    x, r = np.zeros_like(b), b.copy()
+    scale = np.linalg.norm(b, axis=0)
+    scale[scale == 0] = 1.0
+    steps = np.zeros(b.shape[1], int)
+    live = np.flatnonzero(np.linalg.norm(r, axis=0) / scale > tol)
+    z = precond(r[:, live]) if precond else r[:, live]
+    p, rz = z.copy(), np.einsum("ij,ij->j", r[:, live].conj(), z).real
+    for _ in range(most):
+        if not len(live):
+            break
+        ap = apply(p)
+        curve = np.einsum("ij,ij->j", p.conj(), ap).real
+        if not (curve > 0).all():
+            raise ArithmeticError("the operator is not positive definite")
+        a = rz / curve
+        x[:, live] += a * p
+        r[:, live] -= a * ap
+        steps[live] += 1
+        go = np.linalg.norm(r[:, live], axis=0) / scale[live] > tol
+        live, p, rz = live[go], p[:, go], rz[go]
+        if len(live):
+            z = precond(r[:, live]) if precond else r[:, live]
+            new = np.einsum("ij,ij->j", r[:, live].conj(), z).real
+            p, rz = z + (new / rz) * p, new
+    return BlockResult(x, steps, np.linalg.norm(b - apply(x), axis=0) / scale)
+
+
+def richardson(apply: Op, b: np.ndarray, eta: float, tol: float = 1e-8, most: int = 10_000, precond: Op | None = None, recompute: bool = False, every: int = 1) -> Result:
+    """x += eta P (b - A x); stops where the residual is no longer finite.
+
+    The residual is updated along with x, one product a step; recompute: made
+    anew from x, which drifts less.  every: steps between two looks at its norm.
+    """
     x, r, scale = np.zeros_like(b), b.copy(), np.linalg.norm(b) or 1.0
     history, k = [1.0], 0
     while history[-1] > tol and k < most:
         step = eta * (precond(r) if precond else r)
-        x, r = x + step, r - apply(step)
-        now = float(np.linalg.norm(r) / scale)
+        x = x + step
+        r = b - apply(x) if recompute else r - apply(step)
         k += 1
+        if k % every and k < most:
+            continue
+        now = float(np.linalg.norm(r) / scale)
         if not np.isfinite(now):
             break
         history.append(now)

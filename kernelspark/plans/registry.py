@@ -20,6 +20,7 @@ from kernelspark.operators import analytics as A
 from kernelspark.operators import diagnostics as D
 from kernelspark.operators import gp, machine, sharded, solvers
 from kernelspark.operators import neighbours as N
+from kernelspark.operators.estimator import FourierRegressor
 from kernelspark.operators import fourier as T
 from kernelspark.operators import interpolation, nufft
 from kernelspark.sources import tables as S
@@ -437,6 +438,20 @@ def gp1d_variance(spark, sf_dir):
     return line_model(spark, sf_dir).variance(line_targets(spark)).select("id", r6("var").alias("var"))
 
 
+@query("gp1d_variance_solves", _sql["gp1d_variance"])
+def gp1d_variance_solves(spark, sf_dir):
+    """The same variances by a system of equations for each target, in the tasks."""
+    return line_model(spark, sf_dir).variance_by_solves(line_targets(spark), 1e-12).select("id", r6("var").alias("var"))
+
+
+@query("gp1d_estimator", MEAN_SQL)
+def gp1d_estimator(spark, sf_dir):
+    """The posterior mean by the pyspark.ml estimator on the same grid."""
+    e = S.events_line(spark, sf_dir).select("x1", F.col("y").alias("label"))
+    est = FourierRegressor(inputCols=["x1"], length=0.1, reg=REG, tol=1e-12, spacing=GRID.h, modes=GRID.m, predictionCol="mean")
+    return rounded(est.fit_predict(e, line_targets(spark)), "x1", "mean").select("id", "x1", "mean")
+
+
 @query("eig_moments", LINE + f", f AS MATERIALIZED {_features_text()}, g AS (SELECT a.i, b.i AS j, sum(a.v * b.v) + max(CASE WHEN a.i = b.i THEN {REG} ELSE 0 END) AS v FROM f a JOIN f b ON a.id = b.id GROUP BY ALL) SELECT round(sum(v) FILTER (i = j) / 1e3, 6) AS total, round(sum(v * v) / 1e6, 4) AS squares FROM g")
 def eig_moments(spark, sf_dir):
     """Sums of the eigenvalues and their squares against the matrix's trace and norm."""
