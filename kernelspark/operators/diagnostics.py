@@ -62,33 +62,50 @@ def surrogate_eigenspace(points: DataFrame, kernel: Kernel, system: System, q: i
     return t[: q + 1], w[:, :q]
 
 
-def spectral_atoms(spark: SparkSession, system: System, probes: int, steps: int) -> DataFrame:
-    """(probe, node, weight) of Lanczos quadrature; probes are independent tasks, the system goes along by broadcast."""
-    shared = spark.sparkContext.broadcast((system.grid, system.w, system.lags, system.reg))
+def spectral_atoms(spark: SparkSession, system: System, probes: int, steps: int, precond: solvers.Deflation | None = None, basis: bool = False) -> DataFrame:
+    """(probe, node, weight) of Lanczos quadrature; probes are independent tasks, the system goes along by broadcast.
+
+    precond: the spectrum of the preconditioned operator, by its symmetric split.
+    basis: probe p is the p-th unit vector; all of them together give exact traces.
+    """
+    shared = spark.sparkContext.broadcast((system.grid, system.w, system.lags, system.reg, precond))
 
     def each(batches):
-        s = System(*shared.value)
+        *parts, precond = shared.value
+        s = System(*parts)
+        apply = solvers.split(s, precond) if precond else s
         for b in batches:
             for p in b.column("id").to_pylist():
-                nodes, w = solvers.lanczos_quadrature(s, s.size, p, steps)
+                start = (np.arange(s.size) == p).astype(complex) if basis else None
+                nodes, w = solvers.lanczos_quadrature(apply, s.size, p, steps, start=start)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), p, np.int32)), pa.array(nodes), pa.array(w)], names=["probe", "node", "weight"])
 
     return spark.range(probes).repartition(min(probes, spark.sparkContext.defaultParallelism)).mapInArrow(each, "probe int, node double, weight double")
 
 
 def spectrum_report(atoms: DataFrame, reg: float) -> DataFrame:
-    """One row: quantiles of the spectrum, an effective condition number, the share near the ridge, and the share of the top decade."""
+    """One row: quantiles of the spectrum, an effective condition number, the share near the ridge and in the top decade, tail ratios, and a label.
+
+    tail_upper and tail_lower compare the outer tenths with the middle: (p99 - p50) / (p90 - p50) and (p50 - p01) / (p50 - p10); null where
+    the middle has no width.  label: "flat" where p99 is below twice p01, "ridge" where half of the weight lies near the ridge, else "spread".
+    """
     from kernelspark.operators.analytics import weighted_quantiles
 
-    q = weighted_quantiles(atoms, [], [0.01, 0.5, 0.99]).groupBy().pivot("q", [0.01, 0.5, 0.99]).agg(F.first("value")).toDF("p01", "p50", "p99")
-    top = atoms.agg(F.max("node").alias("top"), F.min("node").alias("low"))
-    mass = atoms.crossJoin(F.broadcast(top)).agg(
-        (F.sum(F.when(F.col("node") <= 2 * reg, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("near_ridge"),
-        (F.sum(F.when(F.col("node") >= F.col("top") / 10, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("top_decade"),
+    qs = [0.01, 0.1, 0.5, 0.9, 0.99]
+    q = weighted_quantiles(atoms, [], qs).groupBy().pivot("q", qs).agg(F.first("value")).toDF("p01", "p10", "p50", "p90", "p99")
+    # one row: the greatest node decides what the top decade is
+    ends = atoms.agg(F.max("node").alias("top"), F.min("node").alias("low"), F.sum("weight").alias("total"))
+    sums = atoms.groupBy("node").agg(F.sum("weight").alias("weight")).join(F.broadcast(ends), F.lit(True))
+    mass = sums.agg(
+        (F.sum(F.when(F.col("node") <= 2 * reg, F.col("weight")).otherwise(0.0)) / F.first("total")).alias("near_ridge"),
+        (F.sum(F.when(F.col("node") >= F.col("top") / 10, F.col("weight")).otherwise(0.0)) / F.first("total")).alias("top_decade"),
         F.first("top").alias("top"),
         F.first("low").alias("low"),
     )
-    return mass.crossJoin(q).withColumn("effective_condition", F.col("p99") / F.greatest(F.col("p01"), F.lit(reg)))
+    out = mass.join(F.broadcast(q), F.lit(True)).withColumn("effective_condition", F.col("p99") / F.greatest(F.col("p01"), F.lit(reg)))
+    part = lambda a, b, c: (F.col(a) - F.col(b)) / F.when(F.col(c) != F.col(b), F.col(c) - F.col(b))
+    out = out.withColumn("tail_upper", part("p99", "p50", "p90")).withColumn("tail_lower", part("p01", "p50", "p10"))
+    return out.withColumn("label", F.when(F.col("p99") < 2 * F.col("p01"), "flat").when(F.col("near_ridge") >= 0.5, "ridge").otherwise("spread"))
 
 
 def run_case(points: DataFrame, test: DataFrame, kernel: Kernel, rank: int, config: dict, repeat: int = 0) -> dict:

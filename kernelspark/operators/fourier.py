@@ -267,6 +267,12 @@ class System:
         w = self.w.reshape(-1, *[1] * (v.ndim - 1))
         return w * self.toeplitz(w * v) + self.reg * v
 
+    def single(self) -> System:
+        """The same operator in single precision: half the memory, and its products are single as well."""
+        out = System(self.grid, self.w.astype(np.float32), self.lags.astype(np.complex64), np.float32(self.reg))
+        out.spectrum = self.spectrum.astype(np.complex64)
+        return out
+
     def dense(self) -> np.ndarray:
         j = self.grid.modes()
         lag = (j[:, None] - j[None, :]) + 2 * self.grid.m

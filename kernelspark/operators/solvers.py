@@ -124,10 +124,11 @@ def direct(matrix: np.ndarray, b: np.ndarray, most: int = 6000) -> Result:
 # spectra --------------------------------------------------------------------------------------------------------------
 
 
-def top_eigen(apply: Op, size: int, q: int, method: str = "subspace", tol: float = 1e-6, most: int = 200, seed: int = 0, complex_: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The q + 1 largest eigenvalues, descending, and q eigenvectors; apply takes blocks (size, columns)."""
+def top_eigen(apply: Op, size: int, q: int, method: str = "subspace", tol: float = 1e-6, most: int = 200, seed: int = 0, complex_: bool = True, precond: Op | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The q + 1 largest eigenvalues, descending, and q eigenvectors; apply takes blocks (size, columns). precond: for methods that take one (lobpcg)."""
     q = min(q, size - 1)
-    return METHODS[method](apply, size, q, tol, most, seed, complex_)
+    more = {"precond": precond} if precond is not None else {}
+    return METHODS[method](apply, size, q, tol, most, seed, complex_, **more)
 
 
 def _start(size: int, n: int, seed: int, complex_: bool) -> np.ndarray:
@@ -162,84 +163,151 @@ def _subspace(apply, size, q, tol, most, seed, complex_):
 
 
 def _lanczos(apply, size, q, tol, most, seed, complex_):
-    """Lanczos with full reorthogonalisation, then Rayleigh-Ritz."""
+    """Lanczos with full reorthogonalisation, then Rayleigh-Ritz. Where its space is exhausted (repeated values) a new start outside of it goes on."""
     steps = min(size, max(4 * q + 40, 60))
     basis = np.zeros((size, steps), complex if complex_ else float)
-    v = _start(size, 1, seed, complex_)
+    v, top = _start(size, 1, seed, complex_), 0.0
     for k in range(steps):
         basis[:, k : k + 1] = v
         w = apply(v)
+        top = max(top, float(np.linalg.norm(w)))
         for _ in range(2):
             w = w - basis[:, : k + 1] @ (basis[:, : k + 1].conj().T @ w)
+        if np.linalg.norm(w) < 1e-10 * top:
+            w = _start(size, 1, seed + k + 1, complex_)
+            for _ in range(2):
+                w = w - basis[:, : k + 1] @ (basis[:, : k + 1].conj().T @ w)
         n = np.linalg.norm(w)
-        if n < 1e-12:
-            basis = basis[:, : k + 1]
+        if not n:
             break
         v = w / n
-    t, w, _ = _ritz(apply, np.linalg.qr(basis)[0])
+    t, w, _ = _ritz(apply, np.linalg.qr(basis[:, : k + 1])[0])
     return t[: q + 1], w[:, :q]
 
 
 def _krylov(apply, size, q, tol, most, seed, complex_):
-    """Block Krylov space of a few powers."""
+    """Block Krylov spaces with thick restarts: Ritz vectors are kept, settled ones are locked, and only the others' residuals are multiplied again."""
     block = min(size, max(4, q // 2 + 1))
-    v, parts = _start(size, block, seed, complex_), []
-    while sum(p.shape[1] for p in parts) < min(size, 3 * q + 3 * block):
-        parts.append(v)
-        v = np.linalg.qr(apply(v))[0]
-    t, w, _ = _ritz(apply, np.linalg.qr(np.concatenate(parts, 1))[0][:, :size])
-    return t[: q + 1], w[:, :q]
+    kept = min(size, q + 1 + max(4, q // 4))
+    room = min(size, kept + 4 * block)
+    new = _start(size, block, seed, complex_)
+    basis, image = new[:, :0], new[:, :0]
+    t, v, av = np.zeros(0), basis, basis
+    for _ in range(most):
+        while basis.shape[1] < room and new.shape[1]:
+            turned = apply(new)
+            basis, image = np.concatenate((basis, new), 1), np.concatenate((image, turned), 1)
+            new = _more(basis, turned)[:, : room - basis.shape[1]]
+        h = basis.conj().T @ image
+        t, u = np.linalg.eigh((h + h.conj().T) / 2)
+        t, u = t[::-1][:kept], u[:, ::-1][:, :kept]
+        v, av = basis @ u, image @ u
+        # one settled more than asked for: the value after the vectors counts as well
+        if basis.shape[1] >= size or _settled(t, v, av, min(q + 1, len(t)), tol):
+            break
+        off = np.linalg.norm(av - v * t, axis=0) > tol * np.abs(t[0])
+        basis, image = v, av
+        new = _more(basis, (av - v * t)[:, off][:, :block])
+        if not new.shape[1]:
+            break
+    return t[: q + 1], v[:, :q]
+
+
+def _more(basis: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Orthonormal directions of x outside of the basis; those that are nearly inside are dropped."""
+    scale = np.linalg.norm(x, axis=0).max(initial=0.0)
+    for _ in range(2):
+        x = x - basis @ (basis.conj().T @ x)
+    if not scale or not x.shape[1]:
+        return x[:, :0]
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    u = u[:, s > 1e-12 * scale]
+    u = u - basis @ (basis.conj().T @ u)
+    return np.linalg.qr(u)[0] if u.shape[1] else u
 
 
 def _chebyshev(apply, size, q, tol, most, seed, complex_):
-    """Subspace iteration with Chebyshev filters that damp what lies below the wanted values."""
+    """Subspace iteration with Chebyshev filters. The damped band ends at the block's last Ritz value and follows it; the degree is what lifts the q-th wanted value well above the band."""
     v = _start(size, min(size, q + 1 + max(8, q // 4)), seed, complex_)
-    t, v, _ = _ritz(apply, v)
-    for k in range(max(1, most // 8)):
-        edge = max(t[min(q, len(t) - 1)], 1e-300)
-        centre, half = edge / 2, edge / 2
-        degree = (4, 6, 8, 12)[min(k, 3)]
-        old, new = v, (apply(v) - centre * v) / half
+    t, v, av = _ritz(apply, v)
+    for _ in range(max(1, most // 4)):
+        if _settled(t, v, av, q, tol):
+            break
+        low, high = 0.0, max(t[-1], 1e-300)
+        centre, half = (high + low) / 2, (high - low) / 2
+        above = max((t[q - 1] - centre) / half, 1 + 1e-6)
+        degree = int(np.clip(np.ceil(np.arccosh(1e3) / np.arccosh(above)), 2, 30))
+        # the first product with the block is known
+        old, new = v, (av - centre * v) / half
         for _ in range(degree - 1):
             old, new = new, 2 * (apply(new) - centre * new) / half - old
             size_ = np.linalg.norm(new)
             if size_ > 1e100:
                 old, new = old / size_, new / size_
-        v = np.linalg.qr(new)[0]
-        t, v, av = _ritz(apply, v)
-        if _settled(t, v, av, q, tol):
-            break
+        t, v, av = _ritz(apply, np.linalg.qr(new)[0])
     return t[: q + 1], v[:, :q]
 
 
-def _lobpcg(apply, size, q, tol, most, seed, complex_):
-    """Locally optimal block search: Ritz vectors, residuals and last directions."""
+def _lobpcg(apply, size, q, tol, most, seed, complex_, precond: Op | None = None):
+    """Locally optimal block search: Ritz vectors, residuals (preconditioned, if there is something to do it with) and last directions. Where it stalls or fails, subspace iteration takes over."""
     v = _start(size, min(size, q + 1 + 4), seed, complex_)
+    n, p, best, idle = v.shape[1], v[:, :0], np.inf, 0
     t, v, av = _ritz(apply, v)
-    p = None
-    n = v.shape[1]
-    for _ in range(most):
-        if _settled(t, v, av, q, tol):
-            break
-        parts = [v, av - v * t] + ([p] if p is not None else [])
-        basis = np.linalg.qr(np.concatenate(parts, 1))[0]
-        basis = basis[:, : min(size, basis.shape[1])]
-        t2, w, aw = _ritz(apply, basis)
-        new = w[:, :n]
-        p = new - v @ (v.conj().T @ new)
-        t, v, av = t2[:n], new, aw[:, :n]
-    return t[: q + 1], v[:, :q]
+    ap = av[:, :0]
+    try:
+        for _ in range(most):
+            if _settled(t, v, av, q, tol):
+                return t[: q + 1], v[:, :q]
+            r = av - v * t
+            off = float(np.linalg.norm(r[:, :q], axis=0).max())
+            idle = 0 if off < 0.9 * best else idle + 1
+            best = min(best, off)
+            if idle > 25 or not np.isfinite(off):
+                break
+            w = _more(v, precond(r) if precond else r)
+            aw = apply(w)
+            # directions of the step before, outside of what is there; their products follow by the same combination
+            both = np.concatenate((v, w), 1)
+            images = np.concatenate((av, aw), 1)
+            c = both.conj().T @ p
+            p, ap = p - both @ c, ap - images @ c
+            u, s, z = np.linalg.svd(p, full_matrices=False)
+            keep = s > 1e-8 * s.max(initial=1e-300)
+            p, ap = u[:, keep], (ap @ z.conj().T[:, keep]) / s[keep]
+            basis, image = np.concatenate((both, p), 1), np.concatenate((images, ap), 1)
+            # whatever orthogonality rounding has taken is made good by solving with the Gram matrix
+            g, h = basis.conj().T @ basis, basis.conj().T @ image
+            root = np.linalg.inv(np.linalg.cholesky((g + g.conj().T) / 2))
+            h = root @ ((h + h.conj().T) / 2) @ root.conj().T
+            t2, y = np.linalg.eigh(h)
+            y = root.conj().T @ y[:, ::-1][:, :n]
+            new, anew = basis @ y, image @ y
+            p, ap = new - v @ y[:n], anew - av @ y[:n]
+            t, v, av = t2[::-1][:n], new, anew
+    except np.linalg.LinAlgError:
+        pass
+    return _subspace(apply, size, q, tol, most, seed, complex_)
 
 
 def _mixed(apply, size, q, tol, most, seed, complex_):
-    """Subspace iteration in single precision, Rayleigh-Ritz in double."""
+    """Subspace iteration in single precision (with the operator's own form of it, if it has one), Rayleigh-Ritz in double; below what single precision reaches, double goes on."""
     kind = np.complex64 if complex_ else np.float32
-    v = _start(size, min(size, q + 1 + max(8, q // 4)), seed, complex_)
+    low = apply.single() if hasattr(apply, "single") else apply
+    v = _start(size, min(size, q + 1 + max(8, q // 4)), seed, complex_).astype(kind)
+    last = np.inf
     for _ in range(most // 4):
         for _ in range(4):
-            v = np.linalg.qr(apply(v.astype(kind)).astype(kind))[0]
+            v = np.linalg.qr(low(v).astype(kind, copy=False))[0]
         t, w, aw = _ritz(apply, np.linalg.qr(v.astype(complex if complex_ else float))[0])
-        if _settled(t, w, aw, q, max(tol, 1e-5)):
+        off = float((np.linalg.norm(aw - w * t, axis=0)[:q] / np.maximum(np.abs(t[:q]), 1e-300)).max())
+        if _settled(t, w, aw, q, tol):
+            return t[: q + 1], w[:, :q]
+        if off < 1e-5 or off > 0.5 * last and off < 1e-3:
+            break
+        last, v = off, w.astype(kind)
+    for _ in range(most):
+        t, w, aw = _ritz(apply, np.linalg.qr(aw)[0])
+        if _settled(t, w, aw, q, tol):
             break
     return t[: q + 1], w[:, :q]
 
@@ -328,9 +396,14 @@ def coordinate_nystrom(system, q: int, n: int, low: float = 0.5, lift: bool = Tr
     return np.maximum(t, 0) + system.reg, v[:, :q]
 
 
-def lanczos_quadrature(apply: Op, size: int, probe: int, steps: int, complex_: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, weights) of one probe: Gauss quadrature of the spectral measure of a random vector."""
-    v = _start(size, 1, 1000 + probe, complex_)[:, 0]
+def split(apply: Op, precond: Deflation) -> Op:
+    """P^(1/2) A P^(1/2): Hermitian, with the eigenvalues of P A, so that quadrature sees the preconditioned spectrum."""
+    return lambda v: precond.root(apply(precond.root(v)))
+
+
+def lanczos_quadrature(apply: Op, size: int, probe: int, steps: int, complex_: bool = True, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, weights) of one probe: Gauss quadrature of the spectral measure of a random vector, or of a given one."""
+    v = _start(size, 1, 1000 + probe, complex_)[:, 0] if start is None else start / np.linalg.norm(start)
     basis, alpha, beta = [v], [], []
     for k in range(min(steps, size)):
         w = apply(basis[k])

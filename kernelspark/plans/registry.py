@@ -24,6 +24,7 @@ from kernelspark.operators.estimator import FourierRegressor
 from kernelspark.operators import fourier as T
 from kernelspark.operators import interpolation, nufft
 from kernelspark.sources import tables as S
+from kernelspark.sources.staging import work_dir
 from kernelspark.streaming import statistics as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,6 +460,150 @@ def eig_moments(spark, sf_dir):
     return spark.createDataFrame([(round(float(t.sum()) / 1e3, 6), round(float((t**2).sum()) / 1e6, 4))], "total double, squares double")
 
 
+SHIFTS = (0.05, 0.08, 0.11, 0.15, 0.2, 0.23)
+
+
+def _counts_text() -> str:
+    """How many eigenvalues lie above shares of the trace: by the signs of the pivots of A - s I (Sylvester)."""
+    shifts = ", ".join(f"({k}, {v!r})" for k, v in enumerate(SHIFTS))
+    out = [f"e0 AS MATERIALIZED (SELECT s.k AS s, g.i, g.j, g.v - CASE WHEN g.i = g.j THEN s.share * (SELECT sum(v) FROM g WHERE i = j) ELSE 0 END AS v FROM g, (VALUES {shifts}) s(k, share) WHERE g.j < {M})"]
+    for k in range(M - 1):
+        out.append(f"e{k + 1} AS MATERIALIZED (SELECT r.s, r.i, r.j, r.v - c.v * q.v / p.v AS v FROM e{k} r JOIN (SELECT s, v FROM e{k} WHERE i = {k} AND j = {k}) p USING (s) JOIN (SELECT s, i, v FROM e{k} WHERE j = {k}) c USING (s, i) JOIN (SELECT s, j, v FROM e{k} WHERE i = {k}) q USING (s, j) WHERE r.i > {k} AND r.j > {k})")
+    pivots = " UNION ALL ".join(f"SELECT s, v FROM e{k} WHERE i = {k} AND j = {k}" for k in range(M))
+    methods = ", ".join(f"('{m}')" for m in sorted(solvers.METHODS))
+    return ",\n".join(out) + f" SELECT method, s::INT AS shift, count(*) FILTER (v > 0)::INT AS above FROM ({pivots}), (VALUES {methods}) m(method) GROUP BY ALL"
+
+
+@query("eig_counts", SOLVED + "),\n" + _counts_text())
+def eig_counts(spark, sf_dir):
+    """Of the six largest eigenvalues by each method, how many lie above shares of the trace."""
+    s = line_model(spark, sf_dir).system
+    trace = float(np.diag(s.dense()).real.sum())
+    rows = []
+    for method in sorted(solvers.METHODS):
+        t, _ = solvers.top_eigen(s, s.size, 5, method, 1e-8)
+        rows += [(method, k, int((t > share * trace).sum())) for k, share in enumerate(SHIFTS)]
+    return spark.createDataFrame(rows, "method string, shift int, above int")
+
+
+def _moments_text(weight: str) -> str:
+    """Mean over all unit probes of the first three moments of D^(1/2) A D^(1/2), D diagonal."""
+    return (
+        f", a AS MATERIALIZED (SELECT i, j, v * sqrt({weight.format('i')} * {weight.format('j')}) / 1e3 AS v FROM g WHERE j < {M}), b AS MATERIALIZED (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.j = y.i GROUP BY ALL)"
+        f" SELECT 1 AS k, round(sum(v) / {M}, 6) AS moment FROM a WHERE i = j UNION ALL SELECT 2, round(sum(v) / {M}, 6) FROM b WHERE i = j UNION ALL SELECT 3, round(sum(a.v * b.v) / {M}, 6) FROM a JOIN b ON a.i = b.j AND a.j = b.i"
+    )
+
+
+def _moments(atoms: DataFrame) -> DataFrame:
+    n = F.col("node") / F.lit(1e3)
+    sums = atoms.agg(*[(F.sum(F.col("weight") * F.pow(n, F.lit(k))) / F.lit(float(M))).alias(f"m{k}") for k in (1, 2, 3)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), r6(f"m{k}").alias("moment")) for k in (1, 2, 3)])).alias("m")).select("m.k", "m.moment")
+
+
+@query("slq_moments", SOLVED + ")" + _moments_text("1"))
+def slq_moments(spark, sf_dir):
+    """Moments of the spectrum by Lanczos quadrature of all unit probes, run in tasks."""
+    return _moments(D.spectral_atoms(spark, line_model(spark, sf_dir).system, M, 4, basis=True))
+
+
+@query("slq_preconditioned", SOLVED + ")" + _moments_text("(CASE WHEN {} = 0 THEN 0.25 ELSE 1 END)"))
+def slq_preconditioned(spark, sf_dir):
+    """The same of the preconditioned operator: a deflation of the constant mode to a quarter."""
+    s = line_model(spark, sf_dir).system
+    constant = (np.arange(s.size) == GRID.m).astype(complex)[:, None]
+    return _moments(D.spectral_atoms(spark, s, M, 4, solvers.Deflation(constant, np.array([1.0]), 0.25), basis=True))
+
+
+@query("gp1d_saved", MEAN_SQL)
+def gp1d_saved(spark, sf_dir):
+    """The posterior mean of a model that was saved and read again."""
+    at = work_dir(spark)
+    line_model(spark, sf_dir).save(spark, at)
+    return rounded(gp.Model.load(spark, at).predict(line_targets(spark)), "x1", "mean")
+
+
+CELLS = 16
+
+
+@query(
+    "ski_mean",
+    LINE
+    + f""", u AS (SELECT i::INT AS i, i / {CELLS}.0 - 0.5 AS x FROM range(0, {CELLS + 1}) r(i)), k AS MATERIALIZED (SELECT a.i, b.i AS j, exp(-pow(a.x - b.x, 2) / 0.02) AS v FROM u a, u b),
+c AS MATERIALIZED (SELECT row_number() OVER () AS rid, y, least(greatest(floor((x1 + 0.5) * {CELLS}), 0), {CELLS - 1})::INT AS cell, (x1 + 0.5) * {CELLS} AS pos FROM pts),
+w AS MATERIALIZED (SELECT rid, y, cell + d AS i, CASE WHEN d = 1 THEN pos - cell ELSE 1 - (pos - cell) END AS v FROM c, range(0, 2) r(d)),
+n AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM w a JOIN w b USING (rid) GROUP BY ALL), g AS MATERIALIZED (SELECT a.i::INT AS i, b.j, coalesce(sum(n.v * b.v), 0) + max(CASE WHEN a.i = b.j THEN {REG} ELSE 0 END) AS v FROM u a CROSS JOIN k b LEFT JOIN n ON n.i = a.i AND n.j = b.i GROUP BY ALL
+UNION ALL SELECT u.i, {CELLS + 1}, coalesce(sum(v * y), 0) FROM u LEFT JOIN w USING (i) GROUP BY u.i),
+"""
+    + gauss_jordan("g", CELLS + 1)
+    + f""", m AS MATERIALIZED (SELECT k.i, sum(k.v * s.v) AS v FROM k JOIN sol s ON s.i = k.j AND s.j = {CELLS + 1} GROUP BY k.i), {TARGETS},
+q AS (SELECT id, least(greatest(floor((x1 + 0.5) * {CELLS}), 0), {CELLS - 1})::INT AS cell, (x1 + 0.5) * {CELLS} AS pos FROM t) SELECT q.id, round((1 - (pos - cell)) * a.v + (pos - cell) * b.v, 4) + 0.0 AS mean FROM q JOIN m a ON a.i = cell JOIN m b ON b.i = cell + 1""",
+)
+def ski_mean(spark, sf_dir):
+    """Structured kernel interpolation on 17 nodes: sums from each row's own corners, a solve of the grid's size, a map over targets."""
+    nodes = interpolation.fit(S.events_line(spark, sf_dir), KERNEL, REG, CELLS, tol=1e-12)
+    return interpolation.predict(line_targets(spark), nodes, CELLS).select("id", (F.round("mean", 4) + 0.0).alias("mean"))
+
+
+# sources and sinks ----------------------------------------------------------------------------------------------------
+
+
+@query("truth_values", PLANE + " SELECT id, round(sin(2 * pi() * x1) + 0.3 * cos(6 * pi() * x1), 6) + 0.0 AS one, round(sin(2 * pi() * x1) + 0.5 * cos(2 * pi() * x2) + 0.2 * sin(2 * pi() * (x1 + x2)) + CASE WHEN x1 + x2 > 1 THEN 1 ELSE 0 END, 6) + 0.0 AS two, round(sin(2 * pi() * x1) + 0.5 * cos(2 * pi() * x2) + 0.25 * sin(2 * pi() * x3), 6) + 0.0 AS three FROM pts")
+def truth_values(spark, sf_dir):
+    """The test functions of one to three coordinates at all line items."""
+    p = S.lineitem_plane(spark, sf_dir)
+    return p.select("id", r6(S.truth(1)).alias("one"), r6(S.truth(2, rough=True)).alias("two"), r6(S.truth(3)).alias("three"))
+
+
+@query("strided_rows", LINE + " SELECT id, round(x1, 6) AS x1 FROM pts WHERE id % 7 = 3")
+def strided_rows(spark, sf_dir):
+    return S.strided(S.events_line(spark, sf_dir), 7, 3).select("id", r6("x1").alias("x1"))
+
+
+@query("contiguous_loaders", "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT least(vec_id // (n // 3), 2)::INT AS shard, count(*) AS rows, min(vec_id) AS first, max(vec_id) AS last FROM embeddings, n GROUP BY ALL")
+def contiguous_loaders(spark, sf_dir):
+    """Every row's loader, of three that read runs of neighbouring ids."""
+    v = S.contiguous_shards(_labelled(spark, sf_dir), 3)
+    return v.groupBy("shard").agg(F.count("*").alias("rows"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query("csv_round_trip", "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_nationkey::INT AS s_nationkey, s_acctbal::DOUBLE AS s_acctbal FROM supplier")
+def csv_round_trip(spark, sf_dir):
+    """Suppliers written as CSV and read again by a schema."""
+    at = work_dir(spark)
+    S.append_csv(S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"), F.col("s_acctbal").cast("double").alias("s_acctbal")), at)
+    return S.read_csv(spark, at, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query("json_round_trip", "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_acctbal::DOUBLE AS s_acctbal FROM supplier")
+def json_round_trip(spark, sf_dir):
+    at = work_dir(spark)
+    S.write_json(S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal")), at)
+    return spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(at)
+
+
+@query("demean_add_back", "SELECT o_orderkey AS id, round(o_totalprice::DOUBLE, 2) AS y, round((o_totalprice::DOUBLE - avg(o_totalprice::DOUBLE) OVER ()) / 1e5, 6) AS less FROM orders")
+def demean_add_back(spark, sf_dir):
+    o = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("y"))
+    less, m = S.demean(o)
+    return S.add_mean(less.withColumn("less", F.col("y")), m, "y").select("id", F.round("y", 2).alias("y"), r6(F.col("less") / 1e5).alias("less"))
+
+
+@query("clipped_box", PLANE + " SELECT id, round(least(greatest(x1, -0.3), 0.3), 6) + 0.0 AS x1, round(least(greatest(x2, -0.3), 0.3), 6) + 0.0 AS x2 FROM pts")
+def clipped_box(spark, sf_dir):
+    return rounded(S.clipped(S.lineitem_plane(spark, sf_dir).select("id", "x1", "x2"), ["x1", "x2"], -0.3, 0.3), "x1", "x2")
+
+
+@query(
+    "machine_evaluation",
+    MEANS + ", s AS (SELECT p.vec_id, e.label, p.class, exp(-p.d / 1.5) AS k FROM p JOIN e USING (vec_id)), b AS (SELECT vec_id, label, arg_max(class, (k, -class)) AS best, sum(pow(k - (class = label)::INT, 2)) AS sq FROM s GROUP BY ALL) SELECT count(*) AS n, round(avg((best = label)::INT), 6) AS accuracy, round(avg(sq), 6) AS loss FROM b",
+)
+def machine_evaluation(spark, sf_dir):
+    """Accuracy and squared loss of a machine with unit weights on the class means, over all rows in blocks."""
+    _, z, label = machine.arrays(_mean_centres(spark, sf_dir))
+    m = machine.Machine(machine.laplacian(1.5), z, machine.one_hot(label, 10))
+    return rounded(machine.accuracy(m.predict(_labelled(spark, sf_dir))), "accuracy", "loss")
+
+
 def _nation(spark, sf_dir):
     return S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") / 24.0).alias("x1"), (F.length("n_name") / 10.0 - 0.8).alias("y"))
 
@@ -495,6 +640,22 @@ def nystrom_krr(spark, sf_dir):
     return gp.nystrom(S.events_line(spark, sf_dir), z, line_targets(spark), KERNEL, 1.0, 1e-12).select("id", r6("mean").alias("mean"))
 
 
+def _cg_text(steps: int) -> str:
+    """Conjugate gradients on g from 0, unrolled; the relative residual after each step."""
+    out = [f"r0 AS MATERIALIZED (SELECT i, v FROM g WHERE j = {M}), p0 AS MATERIALIZED (SELECT * FROM r0)"]
+    for k in range(steps):
+        out.append(f"ap{k} AS MATERIALIZED (SELECT g.i, sum(g.v * p.v) AS v FROM g JOIN p{k} p ON g.j = p.i GROUP BY g.i)")
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT r.i, r.v - a.v * (SELECT sum(v * v) FROM r{k}) / (SELECT sum(p.v * ap.v) FROM p{k} p JOIN ap{k} ap USING (i)) AS v FROM r{k} r JOIN ap{k} a USING (i))")
+        out.append(f"p{k + 1} AS MATERIALIZED (SELECT r.i, r.v + p.v * (SELECT sum(v * v) FROM r{k + 1}) / (SELECT sum(v * v) FROM r{k}) AS v FROM r{k + 1} r JOIN p{k} p USING (i))")
+    return ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT {k}::INT AS iter, round(sqrt((SELECT sum(v * v) FROM r{k}) / (SELECT sum(v * v) FROM r0)), 6) AS relres" for k in range(steps + 1))
+
+
+@query("cg_history", SOLVED + "),\n" + _cg_text(6))
+def cg_history(spark, sf_dir):
+    """Relative residuals of the first six conjugate-gradient steps."""
+    return line_model(spark, sf_dir, most=6).history(spark).select("iter", r6("relres").alias("relres"))
+
+
 @query("residual_history")
 def residual_history(spark, sf_dir):
     return line_model(spark, sf_dir).history(spark)
@@ -646,9 +807,12 @@ def km_accuracy(spark, sf_dir):
     return machine.accuracy(m.predict(v).join(v.select("id", "label"), "id"))
 
 
-@query("random_features")
+_W0 = "[" + ", ".join(repr(float(v)) for v in np.random.default_rng(0).standard_normal((64, 32))[:, 0]) + "]::DOUBLE[]"
+
+
+@query("random_features", f"SELECT vec_id AS id, round(cos(list_inner_product(embedding::DOUBLE[], {_W0})) / sqrt(32), 6) + 0.0 AS v0 FROM embeddings")
 def random_features(spark, sf_dir):
-    return machine.random_features(_labelled(spark, sf_dir), 64, 32, 1.0).select("id", F.round(F.col("features")[0], 6).alias("v0"))
+    return machine.random_features(_labelled(spark, sf_dir), 64, 32, 1.0).select("id", r6(F.col("features")[0]).alias("v0"))
 
 
 # result analytics -----------------------------------------------------------------------------------------------------
@@ -775,6 +939,6 @@ def stream_sums(spark, sf_dir):
 
 @query("windowed_sums", LINE + " SELECT date_trunc('day', ts)::DATE AS day, j1::INT AS j1, count(*) AS n, round(sum(y * cos(2 * pi() * j1 * x1)), 4) AS yre, round(sum(-y * sin(2 * pi() * j1 * x1)), 4) AS yim FROM pts, range(-2, 3) r(j1) GROUP BY ALL")
 def windowed_sums(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    got = stream.windowed_sums(S.events_line(spark, sf_dir).join(e, F.col("id") == e["event_id"]).select("ts", "x1", "y"), 2, 1.0)
+    e = S.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), ((S.seconds("ts") - F.lit(S.EVENTS_START)) / F.lit(S.EVENTS_SPAN) - 0.5).alias("x1"), (F.col("value") / 100.0 - 2.5).alias("y"))
+    got = stream.windowed_sums(e, 2, 1.0)
     return got.select(F.to_date("start").alias("day"), "j1", "n", (F.round("yre", 4) + 0.0).alias("yre"), (F.round("yim", 4) + 0.0).alias("yim"))

@@ -152,5 +152,40 @@ def into_box(df: DataFrame, dims: list[str], targets: DataFrame | None = None) -
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(box) for c, m in zip(dims, centre, strict=True)}), centre, box
 
 
+def demean(df: DataFrame, y: str = "y") -> tuple[DataFrame, float]:
+    """(df with y less its mean, the mean): add_mean puts it back on predictions."""
+    m = df.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
+    return df.withColumn(y, F.col(y).cast("double") - F.lit(float(m))), float(m)
+
+
+def add_mean(df: DataFrame, mean: float, column: str = "mean") -> DataFrame:
+    return df.withColumn(column, F.col(column) + F.lit(mean))
+
+
+def clipped(df: DataFrame, dims: list[str], low: float = -0.5, high: float = 0.5) -> DataFrame:
+    """Coordinates put on the box's border where they lie beyond it."""
+    return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high)) for c in dims})
+
+
+def contiguous_shards(df: DataFrame, shards: int, key: str = "id") -> DataFrame:
+    """A shard number for every row: runs of neighbouring ids of equal length, the last shard takes what is left; not shuffled.
+
+    Ids must be 0 .. n - 1, so that a row's shard follows from its id and the number of rows alone.
+    """
+    n = df.count()
+    size = max(1, n // shards)
+    return df.withColumn("shard", F.least(F.floor(F.col(key) / F.lit(size)), F.lit(shards - 1)).cast("int"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """CSV files with a header by a schema of their own; a field that does not fit fails the read."""
+    return spark.read.schema(schema).options(header=True, mode="FAILFAST", **options).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are kept."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
