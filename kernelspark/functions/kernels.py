@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,26 +155,93 @@ class Kernel:
         return high
 
 
+@dataclass(frozen=True)
+class PairKernel:
+    """A user's stationary kernel: k of a distance and its Fourier transform k-hat of a frequency, both functions of arrays. Functions of a module can be sent to executors and kept by pickle; such a model is not saved as text."""
+
+    dim: int
+    k: Callable[[np.ndarray], np.ndarray]
+    khat: Callable[[np.ndarray], np.ndarray]
+
+    @property
+    def variance(self) -> float:
+        return float(np.asarray(self.k(np.zeros(1)))[0])
+
+    radius = Kernel.radius
+
+
+def per_dim(value, dim: int) -> tuple:
+    """One value a dimension, from one for all or a sequence of that length."""
+    out = tuple(value) if isinstance(value, (tuple, list, np.ndarray)) else (value,) * dim
+    if len(out) != dim:
+        raise ValueError(f"{len(out)} values for {dim} dimensions")
+    return out
+
+
 @dataclass(frozen=True)
 class Grid:
-    """Equispaced frequencies h * j, j in -m .. m in each of dim dimensions."""
+    """Equispaced frequencies h * j, j in -m .. m in each of dim dimensions; h and m are one number, or one a dimension."""
 
     dim: int
-    h: float
-    m: int
+    h: float | tuple[float, ...]
+    m: int | tuple[int, ...]
+
+    @property
+    def hs(self) -> tuple[float, ...]:
+        return per_dim(self.h, self.dim)
+
+    @property
+    def ms(self) -> tuple[int, ...]:
+        return per_dim(self.m, self.dim)
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(2 * m + 1 for m in self.ms)
+
+    @property
+    def lag_shape(self) -> tuple[int, ...]:
+        return tuple(4 * m + 1 for m in self.ms)
 
     @property
     def size(self) -> int:
-        return (2 * self.m + 1) ** self.dim
+        return math.prod(self.shape)
 
     def modes(self) -> np.ndarray:
         """All multi-indices (size, dim), the last dimension fastest."""
-        j = np.arange(-self.m, self.m + 1)
-        return np.stack(np.meshgrid(*[j] * self.dim, indexing="ij"), -1).reshape(-1, self.dim)
-
-    def weights(self, kernel: Kernel) -> np.ndarray:
-        """sqrt(h^d k-hat(h |j|)) of every mode."""
-        return np.sqrt(self.h**self.dim * kernel.khat(self.h * np.sqrt((self.modes() ** 2).sum(1))))
+        return np.stack(np.meshgrid(*[np.arange(-m, m + 1) for m in self.ms], indexing="ij"), -1).reshape(-1, self.dim)
+
+    def weights(self, kernel: Kernel | PairKernel) -> np.ndarray:
+        """sqrt(h^d k-hat(|h j|)) of every mode."""
+        return np.sqrt(math.prod(self.hs) * kernel.khat(np.sqrt(((self.modes() * np.array(self.hs)) ** 2).sum(1))))
+
+
+def choose_pair_grid(kernel: PairKernel, eps: float, box: float | tuple[float, ...] = 1.0) -> Grid:
+    """A grid for a user's kernel, by its decay alone: spacings that keep copies of the box farther apart than k's radius, cut-offs beyond which k-hat's radial integral is below eps."""
+    rel = eps * kernel.variance
+    far = kernel.radius(rel)
+    hs = tuple(1 / (b + far) for b in per_dim(box, kernel.dim))
+    nodes, w = np.polynomial.legendre.leggauss(16)
+    shell = 2 * math.pi ** (kernel.dim / 2) / math.gamma(kernel.dim / 2)
+
+    def beyond(at: float) -> float:
+        total = 0.0
+        for k in range(60):
+            a, b = at * 1.3**k, at * 1.3 ** (k + 1)
+            x = (a + b) / 2 + (b - a) / 2 * nodes
+            part = float((b - a) / 2 * (w * kernel.khat(x) * x ** (kernel.dim - 1)).sum()) * shell
+            total += part
+            if part < 1e-3 * rel:
+                break
+        return total
+
+    low, high = 0.0, 1.0
+    while beyond(high) > rel and high < 1e9:
+        low, high = high, 2 * high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mid and beyond(mid) > rel else (low, mid)
+    grid = tuple(max(1, math.ceil(high / h)) for h in hs)
+    return Grid(kernel.dim, hs if len(set(hs)) > 1 else hs[0], grid if len(set(grid)) > 1 else grid[0])
 
 
 def choose_grid(kernel: Kernel, eps: float, box: float = 1.0, integral: bool = False) -> Grid:

@@ -35,7 +35,7 @@ def truncation_error(kernel: Kernel, grid: Grid, at: int = 200) -> float:
     """Largest error of the grid's Fourier series as the kernel, over distances in the unit box along an axis."""
     j, w2 = grid.modes(), grid.weights(kernel) ** 2
     r = np.linspace(0, 1, at)
-    series = np.cos(2 * math.pi * grid.h * np.outer(r, j[:, 0])) @ w2
+    series = np.cos(2 * math.pi * grid.hs[0] * np.outer(r, j[:, 0])) @ w2
     return float(np.abs(series - kernel.k(r)).max())
 
 
@@ -46,13 +46,12 @@ def surrogate_eigenspace(points: DataFrame, kernel: Kernel, system: System, q: i
     rows; the coarse modes are the middle of the full grid's.
     """
     part = points.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1000)) < int(1000 * share)) if "id" in points.columns else points.sample(share, seed)
-    grid = Grid(system.grid.dim, system.grid.h, max(1, int(system.grid.m * coarse)))
+    grid = Grid(system.grid.dim, system.grid.hs, tuple(max(1, int(m * coarse)) for m in system.grid.ms))
     lags, _, n = statistics(part, grid)
     small = System(grid, grid.weights(kernel), lags, system.reg * share)
     _, u = solvers.top_eigen(small, small.size, min(q, small.size - 1), tol=1e-2)
     full = np.zeros([*system.shape, u.shape[1]], complex)
-    a = system.grid.m - grid.m
-    full[tuple(slice(a, a + s) for s in small.shape)] = u.reshape(*small.shape, -1)
+    full[tuple(slice(m - k, m - k + s) for m, k, s in zip(system.grid.ms, grid.ms, small.shape, strict=True))] = u.reshape(*small.shape, -1)
     v = np.linalg.qr(full.reshape(system.size, -1))[0]
     extra = np.random.default_rng(seed).standard_normal((system.size, 4))
     v = np.linalg.qr(np.concatenate((v, extra), 1))[0]

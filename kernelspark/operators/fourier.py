@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from kernelspark.functions.kernels import Grid
+from kernelspark.functions.kernels import Grid, per_dim
 
 #: Lags up to which sums are made as SQL aggregations.
 SQL_MODES = 64
@@ -50,22 +50,26 @@ def finite(points: DataFrame, cols: list[str]) -> DataFrame:
     return points.where(is_finite(cols))
 
 
-def phase(dims: list[str], scale: float, modes: list[str]) -> Column:
-    """2 pi h <j, x>; a sum in order of the dimensions."""
-    out = F.lit(0.0)
+def phase(dims: list[str], scale, modes: list[str]) -> Column:
+    """2 pi <h j, x>; a sum in order of the dimensions. scale: h, one for all or one a dimension."""
+    out, hs = F.lit(0.0), per_dim(scale, len(dims))
+    if len(set(hs)) > 1:
+        for c, j, h in zip(dims, modes, hs, strict=True):
+            out = out + F.lit(h) * F.col(c) * F.col(j)
+        return F.lit(TAU) * out
     for c, j in zip(dims, modes, strict=True):
         out = out + F.col(c) * F.col(j)
-    return F.lit(TAU * scale) * out
+    return F.lit(TAU * hs[0]) * out
 
 
-def with_modes(df: DataFrame, m: int, dim: int, names: str = "j") -> DataFrame:
+def with_modes(df: DataFrame, m, dim: int, names: str = "j") -> DataFrame:
     """Every row with every mode index in -m .. m; generated inside the stage, nothing is joined or moved."""
-    for k in range(dim):
-        df = df.withColumn(f"{names}{k + 1}", F.explode(F.sequence(F.lit(-m), F.lit(m))))
+    for k, n in enumerate(per_dim(m, dim)):
+        df = df.withColumn(f"{names}{k + 1}", F.explode(F.sequence(F.lit(-n), F.lit(n))))
     return df
 
 
-def half(m: int, dim: int, names: str = "l") -> Column:
+def half(m, dim: int, names: str = "l") -> Column:
     """One of each pair of opposite modes: the first index that is not 0 is positive, or all are 0."""
     out = F.lit(True)
     for k in range(dim, 0, -1):
@@ -74,7 +78,7 @@ def half(m: int, dim: int, names: str = "l") -> Column:
     return out
 
 
-def type1_sql(points: DataFrame, m: int, scale: float, weight: str | None = None, names: str = "j", half_only: bool = False) -> DataFrame:
+def type1_sql(points: DataFrame, m, scale, weight: str | None = None, names: str = "j", half_only: bool = False) -> DataFrame:
     """sum_n c_n exp(-2 pi i h <j, x_n>) as (j.., re, im); c is 1 without a weight column."""
     dims = dims_of(points)
     js = [f"{names}{k + 1}" for k in range(len(dims))]
@@ -90,9 +94,10 @@ def _powers(x: np.ndarray, scale: float, m: int, sign: float) -> np.ndarray:
     return np.exp(sign * 1j * TAU * scale * np.outer(x, np.arange(-m, m + 1)))
 
 
-def partial_sums(x: list[np.ndarray], c: np.ndarray, scale: float, m: int) -> np.ndarray:
+def partial_sums(x: list[np.ndarray], c: np.ndarray, scale, m) -> np.ndarray:
     """Type-1 sums of one block of points for several weights (weights, rows), by products over one dimension at a time."""
-    e = [_powers(v, scale, m, -1.0) for v in x]
+    ms = per_dim(m, len(x))
+    e = [_powers(v, h, k, -1.0) for v, h, k in zip(x, per_dim(scale, len(x)), ms, strict=True)]
     if len(e) == 1:
         return c @ e[0]
     out = []
@@ -104,15 +109,15 @@ def partial_sums(x: list[np.ndarray], c: np.ndarray, scale: float, m: int) -> np
             right = e[1]
             for f in e[2:]:
                 right = (right[:, :, None] * f[:, None, :]).reshape(len(w), -1)
-            out.append((left.T @ right).reshape([2 * m + 1] * len(e)))
+            out.append((left.T @ right).reshape([2 * k + 1 for k in ms]))
     return np.array(out)
 
 
-def type1_arrow(points: DataFrame, m: int, scale: float, weights: tuple[str | None, ...] = (None,), block: int = 2048) -> DataFrame:
+def type1_arrow(points: DataFrame, m, scale, weights: tuple[str | None, ...] = (None,), block: int = 2048) -> DataFrame:
     """Type-1 sums by (weight, k, re, im), k the mode's place in row-major order. One complex array a task and weight is held."""
     dims = dims_of(points)
     cols = [w for w in weights if w]
-    size = (2 * m + 1) ** len(dims)
+    size = math.prod(2 * k + 1 for k in per_dim(m, len(dims)))
 
     def each(batches):
         total = None
@@ -146,9 +151,9 @@ def type2_sql(points: DataFrame, modes: DataFrame, scale: float, key: str = "id"
     return points.select(key, *dims).join(F.broadcast(all_modes)).select(key, F.aggregate("__modes", F.lit(0.0), add).alias("value"))
 
 
-def type2_block(x: list[np.ndarray], f: np.ndarray, scale: float, m: int) -> np.ndarray:
+def type2_block(x: list[np.ndarray], f: np.ndarray, scale, m) -> np.ndarray:
     """Re of the type-2 sum at a block of points; f has one axis a dimension."""
-    e = [_powers(v, scale, m, 1.0) for v in x]
+    e = [_powers(v, h, k, 1.0) for v, h, k in zip(x, per_dim(scale, len(x)), per_dim(m, len(x)), strict=True)]
     if len(e) == 1:
         return (e[0] @ f).real
     out = np.tensordot(e[0], f, axes=(1, 0))
@@ -157,10 +162,10 @@ def type2_block(x: list[np.ndarray], f: np.ndarray, scale: float, m: int) -> np.
     return out.real
 
 
-def type2_arrow(points: DataFrame, f: np.ndarray, scale: float, block: int = 2048) -> DataFrame:
+def type2_arrow(points: DataFrame, f: np.ndarray, scale, block: int = 2048) -> DataFrame:
     """points with a column value, null where a coordinate is null or not finite; a map over rows, the modes go along as a broadcast array."""
     dims = dims_of(points)
-    m = (f.shape[0] - 1) // 2
+    m = tuple((n - 1) // 2 for n in f.shape)
     shared = points.sparkSession.sparkContext.broadcast(f)
     schema = extended(points.drop("value"), value="double")
 
@@ -179,14 +184,16 @@ def _sums_sql(points: DataFrame, grid: Grid) -> DataFrame:
     """Half of the lags with the sums weighted by y beside them: (l.., re, im, yre, yim), one aggregation."""
     dims = dims_of(points)
     js = [f"l{k + 1}" for k in range(grid.dim)]
-    rows = with_modes(points.select(*dims, "y"), 2 * grid.m, grid.dim, "l").where(half(2 * grid.m, grid.dim, "l"))
-    t = phase(dims, grid.h, js)
+    twice = tuple(2 * m for m in grid.ms)
+    rows = with_modes(points.select(*dims, "y"), twice, grid.dim, "l").where(half(twice, grid.dim, "l"))
+    t = phase(dims, grid.hs, js)
     return rows.groupBy(*js).agg(F.sum(F.cos(t)).alias("re"), F.sum(-F.sin(t)).alias("im"), F.sum(F.col("y") * F.cos(t)).alias("yre"), F.sum(-F.col("y") * F.sin(t)).alias("yim"))
 
 
 def _sums_arrow(points: DataFrame, grid: Grid, block: int = 2048) -> DataFrame:
     """All lags (part 0) and the sums weighted by y (part 1) as (part, k, re, im), from one map over the data."""
-    dims, m = dims_of(points), grid.m
+    dims, m = dims_of(points), grid.ms
+    twice = tuple(2 * k for k in m)
 
     def each(batches):
         total = [0.0, 0.0]
@@ -194,8 +201,8 @@ def _sums_arrow(points: DataFrame, grid: Grid, block: int = 2048) -> DataFrame:
             x, y = [b.column(c).to_numpy() for c in dims], b.column("y").to_numpy()
             for s in range(0, b.num_rows, block):
                 part, w = [v[s : s + block] for v in x], y[s : s + block]
-                total[0] = total[0] + partial_sums(part, np.ones((1, len(w))), grid.h, 2 * m)
-                total[1] = total[1] + partial_sums(part, w[None, :], grid.h, m)
+                total[0] = total[0] + partial_sums(part, np.ones((1, len(w))), grid.hs, twice)
+                total[1] = total[1] + partial_sums(part, w[None, :], grid.hs, m)
         for k, sums in enumerate(total):
             if not isinstance(sums, float):
                 v = sums.ravel()
@@ -216,30 +223,30 @@ def statistics(points: DataFrame, grid: Grid, form: str = "auto", eps: float = 1
     grid with an error of about eps (one to three dimensions); "auto" goes by
     the grid.
     """
-    d, m = grid.dim, grid.m
+    d, m = grid.dim, grid.ms
     points = finite(points, [*dims_of(points), "y"])
     if form == "auto":
-        size = (4 * m + 1) ** d
+        size = math.prod(grid.lag_shape)
         form = "sql" if size <= SQL_MODES else "fast" if d <= 3 and size > FAST_MODES[d] else "arrow"
     if form == "fast":
         from kernelspark.operators import nufft
 
-        return nufft.statistics(points, m, grid.h, eps)
-    lags, rhs = np.zeros([4 * m + 1] * d, complex), np.zeros([2 * m + 1] * d, complex)
+        return nufft.statistics(points, m, grid.hs, eps)
+    lags, rhs = np.zeros(grid.lag_shape, complex), np.zeros(grid.shape, complex)
     if form == "sql":
         for r in _sums_sql(points, grid).collect():
             at = [r[f"l{k + 1}"] for k in range(d)]
-            lags[tuple(a + 2 * m for a in at)] = complex(r.re, r.im)
-            lags[tuple(2 * m - a for a in at)] = complex(r.re, -r.im)
-            if max(map(abs, at)) <= m and r.yre is not None:
-                rhs[tuple(a + m for a in at)] = complex(r.yre, r.yim)
-                rhs[tuple(m - a for a in at)] = complex(r.yre, -r.yim)
+            lags[tuple(2 * k + a for a, k in zip(at, m, strict=True))] = complex(r.re, r.im)
+            lags[tuple(2 * k - a for a, k in zip(at, m, strict=True))] = complex(r.re, -r.im)
+            if all(abs(a) <= k for a, k in zip(at, m, strict=True)) and r.yre is not None:
+                rhs[tuple(k + a for a, k in zip(at, m, strict=True))] = complex(r.yre, r.yim)
+                rhs[tuple(k - a for a, k in zip(at, m, strict=True))] = complex(r.yre, -r.yim)
     else:
         got = _sums_arrow(points, grid).toArrow()
         part, k, v = got["part"].to_numpy(), got["k"].to_numpy(), got["re"].to_numpy() + 1j * got["im"].to_numpy()
         lags.ravel()[k[part == 0]] = v[part == 0]
         rhs.ravel()[k[part == 1]] = v[part == 1]
-    return lags, rhs, int(round(lags[(2 * m,) * d].real))
+    return lags, rhs, int(round(lags[tuple(2 * k for k in m)].real))
 
 
 class System:
@@ -247,7 +254,7 @@ class System:
 
     def __init__(self, grid: Grid, weights: np.ndarray, lags: np.ndarray, reg: float):
         self.grid, self.w, self.lags, self.reg = grid, weights, lags, reg
-        self.shape = [2 * grid.m + 1] * grid.dim
+        self.shape = list(grid.shape)
         self.axes = tuple(range(grid.dim))
         self.spectrum = np.fft.fftn(lags, axes=self.axes)
 
@@ -258,10 +265,9 @@ class System:
     def toeplitz(self, v: np.ndarray) -> np.ndarray:
         """T v for a vector or a block (size, columns)."""
         cols = v.shape[1:]
-        x = np.fft.fftn(v.reshape(*self.shape, *cols), self.lags.shape, axes=self.axes)
+        x = np.fft.fftn(v.reshape(*self.shape, *cols), list(self.lags.shape), axes=self.axes)
         y = np.fft.ifftn(x * self.spectrum.reshape(*self.spectrum.shape, *[1] * len(cols)), axes=self.axes)
-        a = 2 * self.grid.m
-        return y[tuple(slice(a, a + s) for s in self.shape)].reshape(-1, *cols)
+        return y[tuple(slice(2 * m, 2 * m + s) for m, s in zip(self.grid.ms, self.shape, strict=True))].reshape(-1, *cols)
 
     def __call__(self, v: np.ndarray) -> np.ndarray:
         w = self.w.reshape(-1, *[1] * (v.ndim - 1))
@@ -275,5 +281,5 @@ class System:
 
     def dense(self) -> np.ndarray:
         j = self.grid.modes()
-        lag = (j[:, None] - j[None, :]) + 2 * self.grid.m
+        lag = (j[:, None] - j[None, :]) + 2 * np.array(self.grid.ms)
         return self.w[:, None] * self.lags[tuple(lag[..., k] for k in range(self.grid.dim))] * self.w + self.reg * np.eye(self.size)

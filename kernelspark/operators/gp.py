@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelspark.functions.kernels import Grid, Kernel, choose_grid
+from kernelspark.functions.kernels import Grid, Kernel, PairKernel, choose_grid, choose_pair_grid
 from kernelspark.operators import nufft, solvers
 from kernelspark.operators.fourier import FAST_MODES, System, _powers, dims_of, extended, finite, statistics, type2_arrow
 
@@ -42,7 +42,7 @@ class Config:
 class Model:
     """Fitted weights. Prediction is a map over rows; targets must lie in the box that the grid was made for."""
 
-    kernel: Kernel
+    kernel: Kernel | PairKernel
     config: Config
     grid: Grid
     centre: list[float]
@@ -52,7 +52,7 @@ class Model:
     report: dict = field(default_factory=dict)
 
     def _coefficients(self) -> np.ndarray:
-        return (self.system.w * self.beta).reshape([2 * self.grid.m + 1] * self.grid.dim)
+        return (self.system.w * self.beta).reshape(self.grid.shape)
 
     def _scaled(self, targets: DataFrame) -> DataFrame:
         dims = dims_of(targets)
@@ -69,7 +69,7 @@ class Model:
         kept = targets.withColumns({f"__{c}": F.col(c) for c in dims})
         f = self._coefficients()
         fast = self.grid.dim <= 3 and f.size > FAST_MODES[self.grid.dim] // 2**self.grid.dim
-        out = nufft.type2(self._scaled(kept), f, self.grid.h, self.config.transform_eps) if fast else type2_arrow(self._scaled(kept), f, self.grid.h)
+        out = nufft.type2(self._scaled(kept), f, self.grid.hs, self.config.transform_eps) if fast else type2_arrow(self._scaled(kept), f, self.grid.hs)
         return out.withColumns({c: F.col(f"__{c}") for c in dims}).drop(*[f"__{c}" for c in dims]).withColumnRenamed("value", "mean")
 
     def variance(self, targets: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ class Model:
 
     def _at_targets(self, targets: DataFrame, function, block: int) -> DataFrame:
         """targets with mean and var of function(phi), phi the modes at a block of targets; a target without finite coordinates has null for both."""
-        m, h, dims = self.grid.m, self.grid.h, dims_of(targets)
+        ms, hs, dims = self.grid.ms, self.grid.hs, dims_of(targets)
         kept = targets.withColumns({f"__{c}": F.col(c) for c in dims})
         schema = extended(kept, mean="double", var="double")
 
@@ -119,7 +119,7 @@ class Model:
                 fine = np.flatnonzero(np.isfinite(x).all(0))
                 for s in range(0, len(fine), block):
                     at = fine[s : s + block]
-                    e = [_powers(v[at], h, m, 1.0) for v in x]
+                    e = [_powers(v[at], h, m, 1.0) for v, h, m in zip(x, hs, ms, strict=True)]
                     phi = e[0]
                     for g in e[1:]:
                         phi = (phi[:, :, None] * g[:, None, :]).reshape(len(phi), -1)
@@ -142,7 +142,9 @@ class Model:
         return spark.createDataFrame([(k, float(v)) for k, v in enumerate(self.report["history"])], "iter int, relres double")
 
     def save(self, spark, path: str) -> None:
-        """Parquet: one row of settings, and beta with its lags."""
+        """Parquet: one row of settings, and beta with its lags. A user's kernel has no text form and raises."""
+        if not isinstance(self.kernel, Kernel):
+            raise TypeError("a model with a user's kernel can't be saved as text")
         meta = {"kernel": asdict(self.kernel), "config": asdict(self.config), "grid": asdict(self.grid), "centre": self.centre, "box": self.box, "report": {k: v for k, v in self.report.items() if k != "history"}}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.parquet(f"{path}/meta")
         for name, v in (("beta", self.beta), ("lags", self.system.lags.ravel())):
@@ -151,12 +153,13 @@ class Model:
     @classmethod
     def load(cls, spark, path: str) -> Model:
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
-        kernel, config, grid = Kernel(**meta["kernel"]), Config(**meta["config"]), Grid(**meta["grid"])
+        kernel, config = Kernel(**meta["kernel"]), Config(**meta["config"])
+        grid = Grid(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["grid"].items()})
         arrays = []
         for name in ("beta", "lags"):
             t = spark.read.parquet(f"{path}/{name}").toArrow().sort_by("k")
             arrays.append(t["re"].to_numpy() + 1j * t["im"].to_numpy())
-        system = System(grid, grid.weights(kernel), arrays[1].reshape([4 * grid.m + 1] * grid.dim), config.reg)
+        system = System(grid, grid.weights(kernel), arrays[1].reshape(grid.lag_shape), config.reg)
         return cls(kernel, config, grid, meta["centre"], meta["box"], arrays[0], system, meta["report"] | {"history": []})
 
 
@@ -187,7 +190,7 @@ def solve(system: System, rhs: np.ndarray, config: Config) -> tuple[solvers.Resu
     return got, {"iterations": got.iterations, "relres": got.residual, "converged": got.converged, "history": got.history, "precond_s": ready - started, "solve_s": time.time() - ready}
 
 
-def fit(points: DataFrame, kernel: Kernel, config: Config = Config(), grid: Grid | None = None, box: tuple[list[float], float] | None = None, form: str = "auto", stats=None) -> Model:
+def fit(points: DataFrame, kernel: Kernel | PairKernel, config: Config = Config(), grid: Grid | None = None, box: tuple[list[float], float] | None = None, form: str = "auto", stats=None) -> Model:
     """points: x1 [, x2, x3], y. One aggregation over the data gives all that the solve needs.
 
     box: (centres, length) of the box that holds points and later targets; by
@@ -203,7 +206,7 @@ def fit(points: DataFrame, kernel: Kernel, config: Config = Config(), grid: Grid
         _, centre, length = into_box(finite(points, [*dims, "y"]), dims)
     else:
         centre, length = box
-    grid = grid or choose_grid(kernel, config.eps, length)
+    grid = grid or (choose_grid if isinstance(kernel, Kernel) else choose_pair_grid)(kernel, config.eps, length)
     started = time.time()
     moved = points.select(*[(F.col(c).cast("double") - F.lit(float(m))).alias(c) for c, m in zip(dims, centre, strict=True)], F.col("y").cast("double").alias("y"))
     lags, rhs, n = stats or statistics(moved, grid, form, config.transform_eps)

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kernelspark.functions.kernels import per_dim
 from kernelspark.operators.fourier import dims_of, extended, finite, is_finite
 
 #: Cells up to which a grid is one tile (and is broadcast for type 2), cells a side of a tile beyond, and points of a task of one tile.
@@ -43,14 +44,6 @@ DEALT = 200_000
 MOST = 1 << 25
 
 
-def per_dim(value, dim: int) -> tuple:
-    """One value a dimension, from one for all or a sequence of that length."""
-    out = tuple(value) if isinstance(value, (tuple, list, np.ndarray)) else (value,) * dim
-    if len(out) != dim:
-        raise ValueError(f"{len(out)} values for {dim} dimensions")
-    return out
-
-
 def _smooth(n: int) -> int:
     """The least even number from n on without prime factors above 5: fast to transform."""
     n += n % 2

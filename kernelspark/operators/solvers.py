@@ -381,7 +381,7 @@ def coordinate_nystrom(system, q: int, n: int, low: float = 0.5, lift: bool = Tr
     """Approximate top eigenpairs from the block of the system on sampled modes, gathered from the lags."""
     at = sample_modes(system.w, min(n, system.size), low, seed)
     j = system.grid.modes()[at]
-    lag = (j[:, None] - j[None, :]) + 2 * system.grid.m
+    lag = (j[:, None] - j[None, :]) + 2 * np.array(system.grid.ms)
     block = system.w[at][:, None] * system.lags[tuple(lag[..., k] for k in range(system.grid.dim))] * system.w[at]
     t, u = np.linalg.eigh(block)
     t, u = t[::-1][: q + 1], u[:, ::-1][:, : q + 1]

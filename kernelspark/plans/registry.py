@@ -688,6 +688,45 @@ def gp2d_mean(spark, sf_dir):
     return m.predict(p.select("id", "x1", "x2")).select("id", (F.round("mean", 5) + 0.0).alias("mean"))
 
 
+GRID3 = K.Grid(2, (0.6, 0.9), (3, 1))
+
+
+def _cauchy_k(r: np.ndarray) -> np.ndarray:
+    """exp(-2 pi 0.2 r): its transform is that of a Matern kernel of smoothness 1/2."""
+    return np.exp(-2 * math.pi * 0.2 * r)
+
+
+def _cauchy_khat(xi: np.ndarray) -> np.ndarray:
+    return 0.2 / (2 * math.pi) * (0.04 + xi * xi) ** -1.5
+
+
+PAIR = K.PairKernel(2, _cauchy_k, _cauchy_khat)
+
+
+def _plane_features(kernel, grid: K.Grid) -> str:
+    """The real features of a plane's grid with their own spacings, a row of settings each."""
+    w = dict(zip(map(tuple, grid.modes().tolist()), grid.weights(kernel).tolist(), strict=True))
+    upper = [m for m in w if m > (0, 0)]
+    rows = [(0, 0, 0, 1, w[0, 0])] + [(k + 1, *m, 1, math.sqrt(2) * w[m]) for k, m in enumerate(upper)] + [(k + 1 + len(upper), *m, 0, math.sqrt(2) * w[m]) for k, m in enumerate(upper)]
+    h1, h2 = grid.hs
+    return "m(i, a, b, even, w) AS (VALUES " + ", ".join(f"({i}, {x * h1!r}::DOUBLE, {y * h2!r}::DOUBLE, {e}, {v!r}::DOUBLE)" for i, x, y, e, v in rows) + ")"
+
+
+@query(
+    "gp2d_user_kernel",
+    PLANE
+    + f", u AS (SELECT row_number() OVER () AS rid, * FROM pts), {_plane_features(PAIR, GRID3)}, f AS MATERIALIZED (SELECT rid, id, y, i, w * CASE WHEN even = 1 THEN cos(2 * pi() * (a * x1 + b * x2)) ELSE sin(2 * pi() * (a * x1 + b * x2)) END AS v FROM u, m), "
+    + f"g AS MATERIALIZED (SELECT p.i, q.i AS j, sum(p.v * q.v) + max(CASE WHEN p.i = q.i THEN 10.0 ELSE 0 END) AS v FROM f p JOIN f q ON p.rid = q.rid GROUP BY ALL UNION ALL SELECT i, {GRID3.size}, sum(v * y) FROM f GROUP BY i),\n"
+    + gauss_jordan("g", GRID3.size)
+    + f" SELECT f.id, round(sum(f.v * s.v), 5) + 0.0 AS mean FROM f JOIN sol s ON s.i = f.i AND s.j = {GRID3.size} GROUP BY f.rid, f.id",
+)
+def gp2d_user_kernel(spark, sf_dir):
+    """Posterior mean at all line items with a user's kernel and transform, on a grid with its own width and count in each dimension."""
+    p = S.lineitem_plane(spark, sf_dir).drop("x3")
+    m = gp.fit(p, PAIR, gp.Config(reg=10.0, tol=1e-12), GRID3, ([0.0, 0.0], 1.01))
+    return m.predict(p.select("id", "x1", "x2")).select("id", (F.round("mean", 5) + 0.0).alias("mean"))
+
+
 @query("structured_interpolation")
 def structured_interpolation(spark, sf_dir):
     p = S.events_line(spark, sf_dir)
