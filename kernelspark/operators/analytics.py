@@ -30,6 +30,58 @@ def summarise(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*out)
 
 
+#: Parts that a range of values is cut in, and rows of a range that is no longer cut but sorted.
+PARTS, FEW = 1_024, 10_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """(keys.., q, value): exact quantiles with linear interpolation, as percentile gives them, in bounded memory. Null keys are a group; null and NaN values take no part.
+
+    A quantile lies between two rows of known ranks.  For each such rank the
+    range that holds it is cut in equal parts, rows are counted by part (partial
+    counts, so what is shuffled is at most the parts), and the part with the rank
+    is the next range, shrunk to the least and greatest value in it, until it has
+    one value or few rows; only those are sorted.  Every round is one pass; two do
+    for most data.
+    """
+    from kernelspark.sources.staging import remove, written
+
+    ks = [f"__k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(keys, ks, strict=True)], F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    groups = rows.groupBy(*ks).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = F.col("q") * (F.col("n") - 1)
+    wanted = groups.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    wanted = wanted.withColumn("rank", F.when(F.col("side") == 0, F.floor(place)).otherwise(F.ceil(place)).cast("long")).withColumn("below", F.lit(0).cast("long"))
+    wanted = written(wanted.select(*ks, "q", "side", "rank", "below", F.col("n").alias("held"), "n", "lo", "hi"))
+    same = lambda cols: reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols], F.lit(True))
+    left = lambda *cols: [F.col(f"a.{c}").alias(c) for c in cols]
+    open_ = (F.col("held") > FEW) & (F.col("lo") < F.col("hi"))
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        """Rows with each distinct range of their group that holds them."""
+        r = ranges.select(*ks, "lo", "hi").distinct()
+        met = rows.alias("b").join(r.alias("a"), same(ks) & F.col("b.v").between(F.col("a.lo"), F.col("a.hi")))
+        return met.select(*left(*ks, "lo", "hi"), F.col("b.v").alias("v"))
+
+    while wanted.where(open_).limit(1).count():
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS), F.lit(PARTS - 1)).cast("int")
+        counts = inside(wanted.where(open_)).withColumn("part", part).groupBy(*ks, "lo", "hi", "part").agg(F.count("*").alias("c"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
+        counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*ks, "lo", "hi").orderBy("part")) - F.col("c"))
+        at = F.col("a.rank") - F.col("a.below")
+        cut = wanted.where(open_).alias("a").join(counts.alias("b"), same([*ks, "lo", "hi"]) & (F.col("b.before") <= at) & (at < F.col("b.before") + F.col("b.c")))
+        cut = cut.select(*left(*ks, "q", "side", "rank"), (F.col("a.below") + F.col("b.before")).alias("below"), F.col("b.c").alias("held"), *left("n"), F.col("b.lo2").alias("lo"), F.col("b.hi2").alias("hi"))
+        old, wanted = wanted, written(wanted.where(~open_).unionByName(cut))
+        remove(old)
+    # few rows a range are left, or one value
+    lists = inside(wanted.where("lo < hi")).groupBy(*ks, "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    found = wanted.alias("a").join(lists.alias("b"), same([*ks, "lo", "hi"]), "left")
+    v = F.when(F.col("a.lo") == F.col("a.hi"), F.col("a.lo")).otherwise(F.get("b.vs", (F.col("a.rank") - F.col("a.below")).cast("int")))
+    found = found.select(*left(*ks, "q", "side", "n"), v.alias("v"))
+    both = found.groupBy(*ks, "q").agg(F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
+    share = F.col("q") * (F.col("n") - 1) - F.floor(F.col("q") * (F.col("n") - 1))
+    return both.select(*[F.col(k).alias(c) for c, k in zip(keys, ks, strict=True)], "q", (F.col("a") * (1 - share) + F.col("b") * share).alias(value))
+
+
 def fail_count(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("runs"), F.count_if(failed).alias("fail_count"))
 

@@ -23,6 +23,7 @@ from kernelspark.operators import neighbours as N
 from kernelspark.operators.estimator import FourierRegressor
 from kernelspark.operators import fourier as T
 from kernelspark.operators import interpolation, nufft
+from kernelspark.sources import mat
 from kernelspark.sources import tables as S
 from kernelspark.sources.staging import work_dir
 from kernelspark.streaming import statistics as stream
@@ -574,6 +575,15 @@ def csv_round_trip(spark, sf_dir):
     return S.read_csv(spark, at, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
 
 
+@query("mat_round_trip", "SELECT s_suppkey::DOUBLE AS s_suppkey, s_acctbal::DOUBLE AS s_acctbal FROM supplier")
+def mat_round_trip(spark, sf_dir):
+    """Suppliers written as MAT files by the tasks; two of three variables read again."""
+    at = work_dir(spark)
+    mat.write_mat(S.table(spark, sf_dir, "supplier").select(*[F.col(c).cast("double").alias(c) for c in ("s_suppkey", "s_nationkey", "s_acctbal")]), at)
+    mat.register(spark)
+    return spark.read.format("mat").option("columns", "s_suppkey,s_acctbal").load(at).select("s_suppkey", "s_acctbal")
+
+
 @query("json_round_trip", "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_acctbal::DOUBLE AS s_acctbal FROM supplier")
 def json_round_trip(spark, sf_dir):
     at = work_dir(spark)
@@ -869,6 +879,13 @@ def bench_summary(spark, sf_dir):
     return got.withColumns({c: F.round(c, 4) for c in got.columns if c.startswith("wall_s")})
 
 
+@query("exact_quantiles", RUNS + " SELECT mode, n, q::DOUBLE AS q, round(CASE q WHEN 0.1 THEN a WHEN 0.5 THEN b ELSE c END, 4) AS wall_s FROM (SELECT mode, n, quantile_cont(wall_s, 0.1) AS a, quantile_cont(wall_s, 0.5) AS b, quantile_cont(wall_s, 0.9) AS c FROM runs GROUP BY mode, n), (SELECT unnest([0.1, 0.5, 0.9]) AS q)")
+def exact_quantiles(spark, sf_dir):
+    """The percentiles of bench_summary by refined counts, in bounded memory."""
+    got = A.exact_quantiles(runs(spark, sf_dir), ["mode", "n"], "wall_s", [0.1, 0.5, 0.9])
+    return got.select("mode", "n", "q", F.round("wall_s", 4).alias("wall_s"))
+
+
 @query("fail_count", RUNS + " SELECT mode, n, count(*) AS runs, count(*) FILTER (status <> 'F') AS fail_count FROM runs GROUP BY mode, n")
 def fail_count(spark, sf_dir):
     return A.fail_count(runs(spark, sf_dir), ["mode", "n"], F.col("status") != "F")
