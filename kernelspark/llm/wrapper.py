@@ -15,7 +15,9 @@ texts are that vary from page to page and are no links, and of what is in it
 texts that are the same on all pages (notices) and repeated or optional parts
 that are nearly all links go.  Names of tags and classes break ties between
 regions and tell parts of the region that belong to no article; they never drop
-the region or what it lies in.  Tags nested deeper than 200 levels keep their
+the region or what it lies in, and a class or id drops no block of text (a
+paragraph, an item) unless it is nearly all links.  Buttons and choices within a
+line of text go without parting it.  Tags nested deeper than 200 levels keep their
 texts, in order, without more levels.
 """
 
@@ -43,12 +45,16 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A tag that ends open ones of these names without their end tags.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Controls within lines of text.
+_CONTROLS = frozenset("button select".split())
 _DROP = frozenset("head nav footer aside form button menu dialog fieldset select datalist".split())
 _WORDS = (
     r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|promotion|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|toolbar|share|sharing|social|related|recommended|more-stories|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|tags|skip-link|print-only|hidden)"
 )
 #: Parts of a class or id, and whole ones.
 _MARKS, _WHOLE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I), re.compile(rf"(?:^|\s){_WORDS}(?:$|\s)", re.I)
+#: Boxes that say nothing of what they hold, and lists.
+_BOXES, _LISTS = frozenset("div section span center".split()), frozenset("ul ol dl menu".split())
 #: Never dropped for their class or id.
 _STAY = frozenset("html body main article".split())
 #: Blocks of text, which are no region.
@@ -76,11 +82,29 @@ class Tag:
 
     @property
     def key(self) -> str:
-        return f"{self.name}.{self.mark}" if self.mark else self.name
+        """What alignment compares. Boxes without a class or id are told apart by what they hold, else neighbours of any kind would fold into one repeated item."""
+        if self.mark or self.name not in _BOXES:
+            return f"{self.name}.{self.mark}" if self.mark else self.name
+        kinds = {"#" if isinstance(k, str) else k.name in _LISTS for k in self.kids}
+        return self.name if kinds <= {"#"} else f"{self.name}:{'list' if kinds == {True} else 'parts'}"
+
+    @property
+    def linked(self) -> bool:
+        """Whether nearly all text in it is links."""
+        every = links = 0
+        todo = list(self.kids)
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                every, links = every + len(k), links + k.links
+            else:
+                todo += k.kids
+        return 10 * links >= 9 * every > 0
 
     @property
     def dropped(self) -> bool:
-        return self.name in _DROP or bool(self.mark and self.name not in _STAY and _MARKS.search(self.mark))
+        """Dropped by its name, or by a word of its class or id; these never drop a block of text, which goes where the article's run goes."""
+        return self.name in _DROP or bool(self.name not in _LEAF and self.mark and self.name not in _STAY and _MARKS.search(self.mark))
 
     @property
     def doubtful(self) -> bool:
@@ -89,18 +113,19 @@ class Tag:
 
 
 def _mark(words: list[str]) -> str:
-    """The class, id, role and itemprop of a tag without digits: the words that fit in 80 characters, and those beyond that tell what it holds."""
+    """The class, id, role and itemprop of a tag without digits: the words that fit in 80 characters, of those beyond the ones that tell what it holds, and a hash of all that is beyond."""
     words = re.sub(r"\d+", "", " ".join(words)).split()
     if sum(map(len, words)) + len(words) <= 81:
         return " ".join(words)
-    out, n = [], 0
+    out, rest, n = [], [], 0
     for w in words:
         n += len(w) + 1
         if n <= 81:
             out.append(w)
-        elif (_MARKS.search(w) or _MAIN.search(w)) and w not in out:
-            out.append(w)
-    return " ".join(out)
+        else:
+            rest.append(w)
+    out += [w for w in dict.fromkeys(rest) if (_MARKS.search(w) or _MAIN.search(w)) and w not in out]
+    return " ".join([*out, "~" + hashlib.blake2b(" ".join(rest).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()])
 
 
 def _constant(text: str) -> str:
@@ -111,7 +136,7 @@ def _constant(text: str) -> str:
 def parse(html: str) -> Tag:
     """The page as nested block tags and texts. Texts are decoded, white space in them is one space."""
     root = Tag("")
-    stack, text, linked, link = [root], [], [], 0
+    stack, text, linked, link, control = [root], [], [], 0, ""
 
     def close_text() -> None:
         if text:
@@ -136,6 +161,8 @@ def parse(html: str) -> Tag:
             continue
         named = _NAME.match(token)
         if token[0] != "<" or len(token) == 1:
+            if control:
+                continue
             text.append(token)
             if link:
                 linked.append(token)
@@ -143,6 +170,19 @@ def parse(html: str) -> Tag:
         if not named:
             continue
         name = named.group(1).lower()
+        if control:  # a control lies in its line of text: what it holds goes, and the line is not parted
+            if token[1] != "/" or (name != control and name in _INLINE):
+                continue
+            same, control = name == control, ""
+            if same:
+                text.append(" ")
+                continue
+        elif name in _CONTROLS:
+            if token[1] == "/" or token.endswith("/>"):
+                text.append(" ")
+            else:
+                control = name
+            continue
         if name in _INLINE:
             if name == "a":
                 link = int(token[1] != "/")
@@ -284,6 +324,10 @@ def rules(wrapper: list, pages: int) -> dict:
         each = [(x[4], x[5]) if x[0] == "#" else share(x[4]) for x in items]
         return sum(x for x, _ in each), sum(y for _, y in each)
 
+    def run(items: list) -> bool:
+        """Whether blocks of text repeat or follow each other here."""
+        return sum((2 if x[1] in "+*" else 1) for x in items if x[0].partition(".")[0] in _LEAF or x[0][0] == "(") >= 2
+
     #: (path, weighted mass, key, items) of all tags that can be a region: those that no repeated item holds, and articles anywhere
     regions: list[tuple[str, float, str, list]] = []
 
@@ -312,6 +356,12 @@ def rules(wrapper: list, pages: int) -> dict:
         chosen = [r for r in outer if r[2].startswith("article")] or inner[:1] or outer
     else:
         best = marked or [r for r in regions if 5 * r[1] >= 4 * every > 0]
+        deepest = max(best, key=lambda r: (r[0].count("/"), r[0]))[3] if best else wrapper
+        if not marked and not any(x[0] == "#" or x[0].partition(".")[0] in _LEAF for x in deepest):
+            # boxes only: the one with most of the text, if it is a run of blocks and there is no other such run beside it
+            runs = [r for r in regions if run(r[3])]
+            apart = lambda a, b: not f"{a[0]}/".startswith(f"{b[0]}/") and not f"{b[0]}/".startswith(f"{a[0]}/")
+            best = [*best, *(r for r in runs if 5 * r[1] >= 3 * every > 0 and not any(apart(r, o) and 20 * o[1] >= 3 * every for o in runs))]
         chosen = [max(best, key=lambda r: (r[0].count("/"), r[0]))] if best else [("", every, "", wrapper)]
     constant: list[str] = []
     links: list[str] = []
@@ -355,7 +405,7 @@ def text_of(page: Tag, rule: dict | None) -> str:
                 at = f"{path}/{k.key}"
                 if at in main or at in around:
                     walk(k, at, inside or at in main, article or k.name not in ("html", "body"))
-                elif inside and at not in links and (at in keep or not k.dropped) and (article or k.name != "header"):
+                elif inside and at not in links and (at in keep or not k.dropped) and not (k.name in _LEAF and _MARKS.search(k.mark) and k.linked) and (article or k.name != "header"):
                     walk(k, at, True, article)
 
         walk(page, "", "" in main, False)
