@@ -43,7 +43,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _UNSURE = re.compile(f"[{_WHITE}] (?:[{_WHITE}]|$)")
 _PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Distinct pieces, and pre-tokens, that a worker keeps; then it starts anew. A piece longer than KEEP_BYTES is not kept.
-CACHE, KEEP_BYTES, TABLE = 600_000, 64, 1 << 20
+CACHE, WORDS, KEEP_BYTES, TABLE = 600_000, 150_000, 64, 1 << 20
 #: The byte-level pre-tokenisation pattern of the tokenizer files used here (a fixed value).
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -95,7 +95,7 @@ class Encoder:
             tokens = self.tokenizer.model.tokenize(letters)
             got = array(self.dtype.char, [t.id for t in tokens]).tobytes()
             if len(word) <= KEEP_BYTES:
-                if len(self.known) > CACHE:
+                if len(self.known) > WORDS:
                     self.known.clear()
                 self.known[word] = got
         return got
