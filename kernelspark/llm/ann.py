@@ -11,7 +11,9 @@ again on the original vectors in double precision.
 
 Lists are split in parts of PART vectors on average, so a list that holds a
 third of all rows is many tasks; queries go to every part of the lists they
-probe.  Parts give k rows a query each, and the k best of all are kept.
+probe, in turns.  Parts give k rows a query each, and the k best of all are kept.
+How many lists a query probes is measured on the sample: few where vectors lie
+in groups, most of them where they spread evenly in many dimensions.
 """
 
 from __future__ import annotations
@@ -106,30 +108,57 @@ def _near(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argpartition(d, n - 1, axis=1)[:, :n]
 
 
-def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, probe: float = 0.65, sample: int = SAMPLE) -> DataFrame:
+def share_of_lists(x: np.ndarray, centroids: np.ndarray, k: int, target: float, queries: int = 256) -> float:
+    """The share of its nearest lists that a query must look into to meet ``target`` of its neighbours, measured on a sample x.
+
+    Neighbours within a sample are farther off than those among all rows, and
+    so lie in lists of later ranks: the share errs on the safe side.
+    """
+    if len(x) <= k + 1 or len(centroids) == 1:
+        return 1.0
+    q = x[np.linspace(0, len(x) - 1, min(queries, len(x))).astype(np.int64)]
+    own = _near(x, centroids, 1)[:, 0]
+    ranks = np.empty((len(q), len(centroids)), np.int64)
+    to = (centroids * centroids).sum(1) - 2 * q @ centroids.T
+    np.put_along_axis(ranks, np.argsort(to, axis=1, kind="stable"), np.arange(len(centroids))[None, :].repeat(len(q), 0), 1)
+    d = (x * x).sum(1) - 2 * q @ x.T
+    best = np.argpartition(d, min(k, len(x) - 1), axis=1)[:, : k + 1]  # with the query itself, whose rank is low
+    found = np.take_along_axis(ranks, own[best], 1)
+    at_self = np.take_along_axis(d, best, 1).argmin(1)
+    rest = np.ones(found.shape, bool)
+    rest[np.arange(len(q)), at_self] = False
+    return float((np.quantile(found[rest], target) + 1) / len(centroids))
+
+
+def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, probe: float | None = None, target: float = 0.965, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by Euclidean distance, ties to the smaller id.
 
     is_query: SQL condition that picks the queries; probe: share of the lists a
-    query looks into.  Null, zero, null-holding and non-finite vectors and rows
+    query looks into, by default measured on the sample so that ``target`` of the
+    neighbours lie there, and never so few that they would hold fewer than 50 k
+    rows on average.  Null, zero, null-holding and non-finite vectors and rows
     without id take no part, as queries or candidates.  A query's own row (every
-    row with its id) is no candidate.  Repeated candidate rows count once.  Fewer
-    than k candidates: all that the probed lists hold; lists are probed until
-    they hold enough in small tables.  No queries or an empty table: no rows.
+    row with its id) is no candidate.  Of rows with one id the least vector
+    counts, as query and as candidate.  Fewer than k candidates: all.  No
+    queries or an empty table: no rows.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).dropDuplicates(["vec_id"])
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
     total = rows.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    # about ``sample`` rows by hash; the bound twice that is never met, but holds
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.lit(int(min(1.0, sample / total) * (1 << 40)))
+    got = rows.where(part).limit(2 * sample).toPandas()
+    got = (got if len(got) else rows.limit(1).toPandas()).sort_values("vec_id")
     x = np.stack(got["v"].to_numpy())
     turn = rotation(x.shape[1])
     lists = int(np.clip(np.sqrt(total), 1, min(MOST_LISTS, len(x))))
     centroids = fit(x @ turn, lists)
     lists = len(centroids)
-    # small tables are searched whole
-    probes = lists if total <= 50 * k else max(1, int(np.ceil(lists * probe)))
+    share = probe if probe is not None else share_of_lists(x @ turn, centroids, k, target)
+    probes = min(lists, max(1, int(np.ceil(lists * max(share, min(1.0, 50 * k / total))))))
     shared = spark.sparkContext.broadcast((turn, centroids))
 
     def assign(n: int):
@@ -145,10 +174,18 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
         return each
 
     listed = rows.mapInPandas(assign(1), "vec_id long, list int, v array<double>")
+    # at most MOST_LISTS rows
     parts = listed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
     listed = listed.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts").cast("long")).cast("int")).drop("parts")
-    asked = rows.where(is_query).mapInPandas(assign(probes), "vec_id long, list int, v array<double>")
+    asked = rows.where(is_query)
+    # queries meet a part in turns of about PART, so that no task holds all of them
+    turns = max(1, -(-asked.count() * probes // (lists * PART)))
+    asked = asked.mapInPandas(assign(probes), "vec_id long, list int, v array<double>").withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(turns)).cast("int"))
     asked = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    if turns > 1:
+        listed = listed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    else:
+        listed = listed.withColumn("turn", F.lit(0))
 
     def near(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "d2": []}
@@ -171,7 +208,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
                     out["d2"] += d[best].tolist()
         return pd.DataFrame(out)
 
-    found = asked.groupBy("list", "part").cogroup(listed.groupBy("list", "part")).applyInPandas(near, "query_id long, vec_id long, d2 double")
+    found = asked.groupBy("list", "part", "turn").cogroup(listed.groupBy("list", "part", "turn")).applyInPandas(near, "query_id long, vec_id long, d2 double")
     order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d2").alias("score"))
