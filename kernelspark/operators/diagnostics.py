@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelspark.functions.kernels import Grid, Kernel
+from kernelspark.functions.quadrature import gauss_legendre
 from kernelspark.operators import solvers
-from kernelspark.operators.fourier import System, statistics
+from kernelspark.operators.fourier import System, statistics, type2_block
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, key: str = "id", seed: int = 0) -> DataFrame:
@@ -39,6 +40,49 @@ def truncation_error(kernel: Kernel, grid: Grid, at: int = 200) -> float:
     return float(np.abs(series - kernel.k(r)).max())
 
 
+def truncation_quadrature(spark: SparkSession, kernel: Kernel, grid: Grid, nodes: int = 40) -> DataFrame:
+    """One row: rms and largest error of the grid's Fourier series as the kernel over all differences of two points of the unit box, in every dimension.
+
+    The mean square is an integral over [-1, 1]^d by a product Gauss rule, weighted by how often a difference occurs between uniform points; by
+    symmetry over [0, 1]^d.  Nodes are rows, dealt over tasks, and the series is a type-2 sum in each.
+    """
+    x, w = gauss_legendre(nodes, 0.0, 1.0)
+    dim, f, hs, ms = grid.dim, (grid.weights(kernel) ** 2).reshape(grid.shape).astype(complex), grid.hs, grid.ms
+    shared = spark.sparkContext.broadcast(f)
+
+    def each(batches):
+        for b in batches:
+            at = np.array(np.unravel_index(b.column("id").to_numpy(), (nodes,) * dim))
+            error = np.concatenate([type2_block([x[a[s : s + 1024]] for a in at], shared.value, hs, ms) for s in range(0, b.num_rows, 1024)] or [np.zeros(0)])
+            error = error - kernel.k(np.sqrt((x[at] ** 2).sum(0)))
+            weight = np.prod(w[at] * 2 * (1 - x[at]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(weight * error**2), pa.array(np.abs(error))], names=["square", "worst"])
+
+    parts = spark.range(nodes**dim).mapInArrow(each, "square double, worst double")
+    return parts.agg(F.sqrt(F.sum("square")).alias("rms"), F.max("worst").alias("worst"))
+
+
+def self_convergence(points: DataFrame, targets: DataFrame, kernel, grids: list[Grid], config, box=None) -> DataFrame:
+    """(step, modes, rms, worst, rate): each grid's posterior mean at targets (id, x1 ..) against the last one's, and the rate at which rms falls with the modes.
+
+    One fit a grid; the means are compared by a join on id, so nothing of the targets comes to the driver.  rate: minus the slope of log rms
+    against log modes from the step before, null where there is none or an error is 0.
+    """
+    from kernelspark.operators import gp
+    from kernelspark.operators.analytics import error_of
+
+    spark = points.sparkSession
+    means = [(g.size, gp.fit(points, kernel, config, g, box).predict(targets).select("id", "mean")) for g in grids]
+    rows, last = [], means[-1][1]
+    for k, (modes, mean) in enumerate(means[:-1]):
+        e = error_of(mean, last, "id", "mean").first()
+        rate = None
+        if rows and e.rms and rows[-1][2] and modes != rows[-1][1]:
+            rate = -math.log(e.rms / rows[-1][2]) / math.log(modes / rows[-1][1])
+        rows.append((k, modes, e.rms, e.worst, rate))
+    return spark.createDataFrame(rows, "step int, modes int, rms double, worst double, rate double")
+
+
 def surrogate_eigenspace(points: DataFrame, kernel: Kernel, system: System, q: int, share: float = 0.3, coarse: float = 0.5, refine: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Top eigenpairs from a sample of the points on a coarser cut-off, put into the full grid and refined by a few products.
 

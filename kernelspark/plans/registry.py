@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kernelspark.functions import kernels as K
 from kernelspark.functions import table_functions
+from kernelspark.functions.quadrature import gauss_legendre
 from kernelspark.operators import analytics as A
 from kernelspark.operators import diagnostics as D
 from kernelspark.operators import gp, machine, sharded, solvers
@@ -172,10 +173,14 @@ def kernel_matvec(spark, sf_dir):
 
 @query("kernel_matrix_sums", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings) SELECT a.label AS label_a, b.label AS label_b, count(*) AS pairs, round(sum(exp(-pow(list_distance(a.x, b.x), 2) / 2)), 4) AS total FROM e a, e b GROUP BY ALL")
 def kernel_matrix_sums(spark, sf_dir):
-    """The Gaussian kernel matrix of all vectors, summed by label: the pairs are generated code and never kept."""
-    v = S.table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
-    k = K.gaussian(K.sq_distance(F.col("a.x"), F.col("b.x")), 1.0)
-    return v.alias("a").crossJoin(v.alias("b")).groupBy(F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b")).agg(F.count("*").alias("pairs"), (F.round(F.sum(k), 4)).alias("total"))
+    """The Gaussian kernel matrix of all vectors, summed by label: blocks of rows against shards of rows, a pair in a task at a time; no pair of rows is ever a row."""
+    v = _labelled(spark, sf_dir)
+    m = sharded.Sharded.zeros(v.limit(0), machine.gaussian(1.0), 10)
+    m.append(v.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: (c == F.col("label")).cast("double"))))
+    count = v.groupBy("label").agg(F.count("*").alias("n"))
+    rows = m.predict(v).join(v.select("id", F.col("label").alias("label_a")), "id").select("label_a", F.posexplode("scores").alias("label_b", "s"))
+    total = rows.groupBy("label_a", "label_b").agg(F.count("*").alias("n"), F.round(F.sum("s"), 4).alias("total"))
+    return total.join(F.broadcast(count.select(F.col("label").alias("label_b"), F.col("n").alias("n_b"))), "label_b").select("label_a", "label_b", (F.col("n") * F.col("n_b")).alias("pairs"), "total")
 
 
 @query("nearest_to_origin", PLANE + " SELECT id, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x1 * x1 + x2 * x2, 6) AS d2 FROM pts ORDER BY x1 * x1 + x2 * x2, id LIMIT 1")
@@ -737,6 +742,37 @@ def gp2d_user_kernel(spark, sf_dir):
     return m.predict(p.select("id", "x1", "x2")).select("id", (F.round("mean", 5) + 0.0).alias("mean"))
 
 
+def _mean_text(m: int, name: str, targets: str) -> str:
+    """CTEs that end in the posterior mean at targets on the grid of 2 m + 1 modes: name(id, mean)."""
+    n = 2 * m + 1
+    f = f"f{m} AS MATERIALIZED {_features_text('pts', m)}, g{m} AS MATERIALIZED (SELECT a.i::INT AS i, b.i::INT AS j, sum(a.v * b.v) + max(CASE WHEN a.i = b.i THEN {REG} ELSE 0 END) AS v FROM f{m} a JOIN f{m} b ON a.id = b.id GROUP BY ALL UNION ALL SELECT i::INT, {n}, sum(v * y) FROM f{m} GROUP BY i),\n"
+    return f + gauss_jordan(f"g{m}", n, f"sol{m}") + f", {name} AS MATERIALIZED (SELECT p.id, sum(p.v * s.v) AS mean FROM {_features_text(targets, m)} p JOIN sol{m} s ON s.i = p.i AND s.j = {n} GROUP BY p.id)"
+
+
+@query(
+    "self_convergence",
+    LINE + f", {TARGETS}, " + ", ".join(_mean_text(m, f"mean{m}", "t") for m in (2, 4, 6))
+    + " SELECT step, modes, round(rms, 6) AS rms, round(worst, 6) AS worst FROM (SELECT 0 AS step, 5 AS modes, sqrt(avg(pow(a.mean - b.mean, 2))) AS rms, max(abs(a.mean - b.mean)) AS worst FROM mean2 a JOIN mean6 b USING (id) UNION ALL SELECT 1, 9, sqrt(avg(pow(a.mean - b.mean, 2))), max(abs(a.mean - b.mean)) FROM mean4 a JOIN mean6 b USING (id))",
+)
+def self_convergence(spark, sf_dir):
+    """Posterior means on coarser grids against the finest."""
+    grids = [K.Grid(1, 0.6, m) for m in (2, 4, 6)]
+    got = D.self_convergence(S.events_line(spark, sf_dir), line_targets(spark), KERNEL, grids, gp.Config(reg=REG, tol=1e-12), BOX)
+    return got.select("step", "modes", r6("rms").alias("rms"), r6("worst").alias("worst"))
+
+
+_LEGENDRE = ", ".join(f"({k}, {x!r}::DOUBLE, {w!r}::DOUBLE)" for k, (x, w) in enumerate(zip(*(a.tolist() for a in np.polynomial.legendre.leggauss(24)), strict=True)))
+
+
+@query("mean_integral", LINE + f", q(id, z, w) AS (VALUES {_LEGENDRE}), t AS (SELECT id, z / 2 AS x1 FROM q), {_mean_text(GRID.m, 'mean', 't')} SELECT round(sum(w / 2 * mean), 6) AS integral, round(sum(w / 2 * mean * mean), 6) AS square FROM mean JOIN q USING (id)")
+def mean_integral(spark, sf_dir):
+    """Integrals of the posterior mean and its square over the month, by Gauss-Legendre nodes of the library's own."""
+    x, w = gauss_legendre(24, -0.5, 0.5)
+    nodes = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, w, strict=True))], "id long, x1 double, w double")
+    got = line_model(spark, sf_dir).predict(nodes)
+    return got.agg(r6(F.sum(F.col("w") * F.col("mean"))).alias("integral"), r6(F.sum(F.col("w") * F.col("mean") * F.col("mean"))).alias("square"))
+
+
 @query("structured_interpolation")
 def structured_interpolation(spark, sf_dir):
     p = S.events_line(spark, sf_dir)
