@@ -238,6 +238,81 @@ class Sharded:
         return out.select(F.when(~F.col("null"), F.col("id")).alias("id"), "scores", best.cast("int").alias("predicted"))
 
 
+class Product:
+    """K v for the kernel matrix of a table (id, x) and vectors (id, v) that are tables as well: K is made block by block and never kept.
+
+    The rows are packed once into blocks, where they lie.  A product gives every block its part of v by a join, and a
+    task holds one block of rows and one of columns at a time; parts are summed by row.
+    """
+
+    def __init__(self, rows: DataFrame, kernel: MatrixKernel, block: int = 2_048):
+        own = usable(rows).select(F.col("id").cast("long").alias("id"), "x", F.array(F.lit(0.0)).alias("w"))
+        self.spark, self.kernel = rows.sparkSession, kernel
+        self.blocks = written(_packed(own, block, "block", "ids").drop("ws"))
+        self.tasks = max(1, min(self.blocks.count(), 8 * self.spark.sparkContext.defaultParallelism))
+        # where each row lies
+        self.place = written(self.blocks.mapInArrow(_places, "id long, block long, at int"))
+        if self.place.groupBy("id").count().where("count > 1").limit(1).count():
+            raise ValueError("ids must differ")
+
+    def __call__(self, v: DataFrame) -> DataFrame:
+        """(id, v) of K v; ids without a value count as 0."""
+        kernel = self.kernel
+        parts = self.place.join(v.select("id", "v"), "id", "left").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda s: s.v).alias("v"))
+        group = F.pmod(F.xxhash64("block"), F.lit(self.tasks)).cast("int")
+        right = self.blocks.join(parts, "block").select(group.alias("group"), F.col("xs").alias("zs"), "v").repartition(self.tasks, "group")
+        left = self.blocks.select("ids", "xs", F.explode(F.sequence(F.lit(0), F.lit(self.tasks - 1))).alias("group")).repartition(self.tasks, "group")
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for ids, xs, zs, v in zip(*(b.column(c) for c in ("ids", "xs", "zs", "v")), strict=True):
+                    w = np.array(v.values)
+                    z = np.frombuffer(zs.as_buffer()).reshape(len(w), -1)
+                    ids = np.frombuffer(ids.as_buffer(), np.int64)
+                    x = np.frombuffer(xs.as_buffer()).reshape(len(ids), -1)
+                    out = np.concatenate([kernel(x[s : s + 512], z) @ w for s in range(0, len(x), 512)])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out)], names=["id", "part"])
+
+        met = left.join(right, "group").select("ids", "xs", "zs", "v").mapInArrow(each, "id long, part double")
+        return met.groupBy("id").agg(F.sum("part").alias("v"))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for block, ids in zip(b.column("block").to_pylist(), b.column("ids"), strict=True):
+            own = np.frombuffer(ids.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array(np.arange(len(own), dtype=np.int32))], names=["id", "block", "at"])
+
+
+def function_cg(rows: DataFrame, kernel: MatrixKernel, reg: float, tol: float = 1e-8, most: int = 500, block: int = 2_048) -> tuple[DataFrame, list[float]]:
+    """(alpha (id, alpha), relative residuals): conjugate gradients on (K + reg I) alpha = y in function space, for any number of rows (id, x, y).
+
+    Vectors are tables: a step is one product by blocks, one join by id, and two
+    sums that come to the driver.  Rows without id, y or finite x take no part; repeated ids raise an error.
+    """
+    rows = written(usable(rows, "y").select(F.col("id").cast("long").alias("id"), "x", F.col("y").cast("double").alias("y")).where(~F.isnan("y")))
+    product = Product(rows, kernel, block)
+    state = written(rows.select("id", F.lit(0.0).alias("a"), F.col("y").alias("r"), F.col("y").alias("p")))
+    total = lambda df, c: float(df.agg(F.sum(c)).first()[0] or 0.0)
+    rr = first = total(state, F.col("r") * F.col("r"))
+    history = [1.0]
+    while first and history[-1] > tol and len(history) <= most:
+        kp = product(state.select("id", F.col("p").alias("v"))).select("id", F.col("v").alias("kp"))
+        met = written(state.join(kp, "id").withColumn("ap", F.col("kp") + F.lit(reg) * F.col("p")).drop("kp"))
+        curve = total(met, F.col("p") * F.col("ap"))
+        if not curve > 0:
+            raise ArithmeticError("the kernel matrix is not positive definite")
+        step = F.lit(rr / curve)
+        moved = met.select("id", (F.col("a") + step * F.col("p")).alias("a"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
+        new = total(moved, F.col("r") * F.col("r"))
+        old, state = state, written(moved.withColumn("p", F.col("r") + F.lit(new / rr) * F.col("p")))
+        remove(old)
+        remove(met)
+        rr = new
+        history.append((rr / first) ** 0.5)
+    return state.select("id", F.col("a").alias("alpha")), history
+
+
 def _now(own: np.ndarray, w: np.ndarray, v: np.ndarray, ids: np.ndarray, change: np.ndarray, drift: float) -> np.ndarray:
     """Weights of rows with the changes of later steps."""
     out = w + drift * v if v.size and drift else w.copy()

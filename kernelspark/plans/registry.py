@@ -413,6 +413,29 @@ def gp1d_fast(spark, sf_dir):
     return rounded(nufft.type2(line_targets(spark), m._coefficients(), GRID.h, 1e-12).withColumnRenamed("value", "mean"), "x1", "mean")
 
 
+@query("gp1d_on_grid", MEAN_SQL)
+def gp1d_on_grid(spark, sf_dir):
+    """The posterior mean on an equispaced grid with both ends."""
+    return rounded(line_model(spark, sf_dir).predict(S.grid_points(spark, 200, 1, -0.5, 0.5)), "x1", "mean")
+
+
+@query("series_at_points", LINE + " SELECT id, round(sum(0.6 * sqrt(2 * pi() * 0.01) * exp(-2 * pow(pi() * 0.1 * 0.6 * j, 2)) * cos(2 * pi() * 0.6 * j * x1)), 6) + 0.0 AS k FROM pts, range(-6, 7) r(j) GROUP BY id")
+def series_at_points(spark, sf_dir):
+    """The kernel's Fourier series between every event and the middle of the month, with the grid of the SQL table function."""
+    table_functions.register(spark)
+    grid = spark.sql("SELECT xi, weight FROM grid_weights('se', 0.1D, 0.5D, 0.6D, 6)").agg(F.collect_list(F.struct("xi", "weight")).alias("g"))
+    term = F.aggregate("g", F.lit(0.0), lambda t, m: t + m.weight * m.weight * F.cos(F.lit(2 * math.pi) * m.xi * F.col("x1")))
+    return S.events_line(spark, sf_dir).select("id", "x1").join(F.broadcast(grid)).select("id", r6(term).alias("k"))
+
+
+@query("runs_by_setting", "WITH runs AS (SELECT l_extendedprice::DOUBLE AS wall_s FROM lineitem)" + " SELECT n::INT AS least, share::DOUBLE AS share, count(*) FILTER (wall_s > share * n) AS runs FROM runs, (SELECT unnest([1000, 30000]) AS n), (SELECT unnest([0.5, 1.0, 1.5]) AS share) GROUP BY ALL")
+def runs_by_setting(spark, sf_dir):
+    """Every setting of a parameter grid with the line items it holds for."""
+    grid = A.parameter_grid(spark, {"least": [1000, 30000], "share": [0.5, 1.0, 1.5]})
+    price = S.table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("wall_s"))
+    return price.join(F.broadcast(grid)).groupBy("least", "share").agg(F.count_if(F.col("wall_s") > F.col("share") * F.col("least")).alias("runs"))
+
+
 @query("gp1d_deflated", MEAN_SQL)
 def gp1d_deflated(spark, sf_dir):
     """The same with a spectral preconditioner."""
@@ -643,6 +666,15 @@ def kernel_cg(spark, sf_dir):
     return j.groupBy("id").agg(r6(F.sum(F.exp(-F.abs(F.col("x1") - F.col("z")) / 0.2) * F.col("alpha"))).alias("mean"))
 
 
+@query("function_cg", _sql["naive_gp"])
+def function_cg(spark, sf_dir):
+    """The same posterior mean by conjugate gradients whose vectors are tables, K made block by block in the tasks."""
+    p = _nation(spark, sf_dir).select("id", F.array("x1").alias("x"), "y")
+    kernel = machine.laplacian(0.2)
+    alpha, _ = sharded.function_cg(p, kernel, 0.1, 1e-9, block=10)
+    return sharded.Product(p, kernel, 10)(alpha.select("id", F.col("alpha").alias("v"))).select("id", r6("v").alias("mean"))
+
+
 @query(
     "nystrom_krr",
     LINE
