@@ -43,7 +43,7 @@ STAGES = [
     ("packed sequences", packed_sequences),
 ]
 
-#: Chaining, alignment and tokenisation can't be expressed in SQL; the tests hold each operator against brute force, and the pipeline as a whole on a small table.
+#: Chaining, alignment and tokenisation can't be expressed in SQL; the tests cover the operators one by one and run the stages together on small tables.
 ORACLE_SQL = None
 
 
