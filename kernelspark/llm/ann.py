@@ -63,7 +63,9 @@ def scan_part(q: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK, epsilon:
     dim = x.shape[1]
     columns = [np.ascontiguousarray(x[:, s : s + block].T) for s in range(0, dim, block)]
     out = []
+    longest = (x * x).sum(1).max(initial=0.0)
     for v in q:
+        slack = 1e-12 * (longest + v @ v)  # rounding of the rotation: copies of a query are not quite at distance 0
         left = np.arange(len(x))
         partial = np.zeros(len(x))
         # the bound: the k-th best of a first few candidates in full
@@ -76,9 +78,9 @@ def scan_part(q: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK, epsilon:
             cols = col if len(left) == len(x) else col[:, left]
             partial = partial + ((cols - part) ** 2).sum(0)
             if seen < dim:
-                stay = partial * dim / seen <= bound * (1 + epsilon / np.sqrt(seen)) ** 2
+                stay = partial * dim / seen <= bound * (1 + epsilon / np.sqrt(seen)) ** 2 + slack
             else:
-                stay = partial <= bound * (1 + 1e-5) + 1e-9
+                stay = partial <= bound * (1 + 1e-5) + 1e-9 + slack
             if not stay.all():
                 left, partial = left[stay], partial[stay]
             if seen < dim and len(left) > 8 * k:
@@ -176,6 +178,8 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     listed = rows.mapInPandas(assign(1), "vec_id long, list int, v array<double>")
     # at most MOST_LISTS rows
     parts = listed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    # named small: a join that goes by what its sides read would take the queries for the small side, before they are given out to their lists
+    parts = F.broadcast(parts)
     listed = listed.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts").cast("long")).cast("int")).drop("parts")
     asked = rows.where(is_query)
     # queries meet a part in turns of about PART, so that no task holds all of them

@@ -65,3 +65,17 @@ def test_queries_in_turns_find_the_same(spark, monkeypatch):
     got = ann.search(frame(spark, x), "vec_id % 3 = 0").toPandas()
     key = ["query_id", "rank"]
     assert want.sort_values(key).reset_index(drop=True).equals(got.sort_values(key).reset_index(drop=True))
+
+
+def test_only_the_lists_sizes_are_broadcast(spark):
+    plan = ann.search(frame(spark, even(400)), "vec_id % 10 = 0")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and all("rightHint=(strategy=broadcast)" in line for line in joins)
+
+
+def test_copies_lie_at_distance_nought(spark):
+    x = np.repeat(1e3 * even(60, dim=64), 40, axis=0)
+    got = ann.search(frame(spark, x), "vec_id % 100 = 0", probe=1.0).toPandas()
+    for q, rows in got.groupby("query_id"):
+        first = q // 40 * 40
+        assert rows.sort_values("rank")["vec_id"].tolist() == [i for i in range(first, first + 40) if i != q][:10]
