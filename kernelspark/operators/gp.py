@@ -233,7 +233,10 @@ def _matrix(df: DataFrame, dims: list[str], most: int) -> tuple[np.ndarray, np.n
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1), 0))
+    d = 2 * a @ b.T
+    np.subtract((a * a).sum(1)[:, None], d, out=d)
+    d += (b * b).sum(1)
+    return np.sqrt(np.maximum(d, 0, out=d), out=d)
 
 
 def _against(targets: DataFrame, x: np.ndarray, columns: dict[str, np.ndarray], kernel, extra=None) -> DataFrame:

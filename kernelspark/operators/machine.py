@@ -32,7 +32,9 @@ class laplacian:  # noqa: N801  used like a function, but it can be sent to exec
     s: float
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.exp(-distances(a, b) / self.s)
+        d = distances(a, b)
+        d /= -self.s
+        return np.exp(d, out=d)
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,10 @@ class gaussian:  # noqa: N801
     s: float
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.exp(-(distances(a, b) ** 2) / (2 * self.s * self.s))
+        d = distances(a, b)
+        d *= d
+        d /= -2 * self.s * self.s
+        return np.exp(d, out=d)
 
 
 def arrays(df: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

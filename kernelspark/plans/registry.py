@@ -164,11 +164,9 @@ def demean(spark, sf_dir):
 
 @query("kernel_matvec", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label / 10.0 AS v FROM embeddings) SELECT a.vec_id AS id, round(sum(exp(-list_distance(a.x, b.x) / 2.0) * b.v), 4) AS value FROM e a, e b GROUP BY a.vec_id")
 def kernel_matvec(spark, sf_dir):
-    """K v with K the Laplacian kernel of all vectors: blocks of rows against all, which are broadcast (their size is checked)."""
-    v = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"))
-    _, z, label = machine.arrays(v)
-    model = machine.Machine(machine.laplacian(2.0), z, label[:, None] / 10.0)
-    return model.predict(v).select("id", F.round(F.col("scores")[0], 4).alias("value"))
+    """K v with K the Laplacian kernel of all vectors: blocks of rows against blocks of rows, neither of which is ever in one place."""
+    v = _labelled(spark, sf_dir)
+    return sharded.Product(v, machine.laplacian(2.0))(v.select("id", (F.col("label") / 10.0).alias("v"))).select("id", F.round("v", 4).alias("value"))
 
 
 @query("kernel_matrix_sums", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings) SELECT a.label AS label_a, b.label AS label_b, count(*) AS pairs, round(sum(exp(-pow(list_distance(a.x, b.x), 2) / 2)), 4) AS total FROM e a, e b GROUP BY ALL")
