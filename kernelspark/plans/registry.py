@@ -885,7 +885,7 @@ SELECT e.id, class, round(CASE WHEN e.id % 2 = 0 THEN 0.002 * 1.5 * (label = cla
 )
 def km_coordinates(spark, sf_dir):
     """Weights of all rows after two coordinate steps with momentum, on even and on odd ids."""
-    m = sharded.train_coordinates(_labelled(spark, sf_dir), machine.laplacian(1.5), 10, rank=0, batches=2, rate=0.002, momentum=0.5, batch_of=lambda n, epoch: F.pmod("id", F.lit(n)))
+    m = sharded.train_coordinates(_labelled(spark, sf_dir), machine.laplacian(1.5), 10, rank=0, batches=2, rate=0.002, momentum=0.5, batch_of=lambda n, epoch: F.pmod("id", F.lit(n)), tables=True)
     return rounded(_weights(m), "w")
 
 
@@ -901,7 +901,7 @@ t AS (SELECT p.class::INT AS i, e.label::INT AS c, 0.002 * sum(exp(-p.d / 1.5))
 def km_delayed(spark, sf_dir):
     """One step on all rows from a zero machine, projected on the class means by the inner solver."""
     inner = {"epochs": 20_000, "tol": 1e-24, "rank": 9, "batches": 1}
-    m, _ = sharded.train_delayed(_labelled(spark, sf_dir), _mean_centres(spark, sf_dir), machine.laplacian(1.5), 10, rank=0, batches=4, delay=4, rate=0.002, inner=inner, batch_of=lambda n, epoch: F.lit(0))
+    m, _ = sharded.train_delayed(_labelled(spark, sf_dir), _mean_centres(spark, sf_dir), machine.laplacian(1.5), 10, rank=0, batches=4, delay=4, rate=0.002, inner=inner, batch_of=lambda n, epoch: F.lit(0), tables=True)
     return _weights(m).select("id", "class", (F.round("w", 4) + 0.0).alias("w"))
 
 
