@@ -4,7 +4,8 @@ Type 1, points to modes: every point is spread by a kernel of ``width`` cells a
 dimension onto a grid twice as fine as the modes need, the grid is transformed,
 and the modes are divided by the kernel's own transform.  Type 2 goes the other
 way: divide, transform, and interpolate the fine grid at each point.  A point
-costs width^d operations whatever the number of modes.
+costs width^d operations whatever the number of modes; where a part of the grid
+holds many points they are products of matrices.
 
 How it is laid out.  The fine grid is cut into tiles, and a point belongs to the
 tile of its first cell; what it spreads beyond the tile lies in a margin on the
@@ -142,7 +143,7 @@ def _spread_into(plan: Plan, blocks: dict[int, np.ndarray], x: list[np.ndarray],
     """Add the points with weights c (weights, points) to the blocks of their tiles, halo included; real sums."""
     w, d = plan.width, plan.dim
     side = [t + w - 1 for t in plan.tile]
-    rows = max(1, step // w**d)
+    rows = max(1, step // (2 * w * d))
     for s in range(0, len(x[0]), rows):
         at, vals = plan.first([v[s : s + rows] for v in x])
         own = np.ravel_multi_index([a // t for a, t in zip(at, plan.tile, strict=True)], plan.tiles)
@@ -151,16 +152,78 @@ def _spread_into(plan: Plan, blocks: dict[int, np.ndarray], x: list[np.ndarray],
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             pick = order[a:b]
             k = int(own[pick[0]])
-            place = np.zeros((len(pick), 1), np.int64)
-            value = np.ones((len(pick), 1))
-            for axis in range(d):
-                near = (at[axis][pick] % plan.tile[axis])[:, None] + np.arange(w)
-                place = (place[:, :, None] * side[axis] + near[:, None, :]).reshape(len(pick), -1)
-                value = (value[:, :, None] * vals[axis][pick][:, None, :]).reshape(len(pick), -1)
             held = blocks.setdefault(k, np.zeros((len(c), math.prod(side))))
-            flat = place.ravel()
-            for i in range(len(c)):
-                held[i] += np.bincount(flat, (value * c[i, s : s + rows][pick][:, None]).ravel(), held.shape[1])
+            near = [at[axis][pick] % plan.tile[axis] for axis in range(d)]
+            if not _crowded(len(pick), side, w):
+                for t in range(0, len(pick), max(1, step // w**d)):
+                    few = slice(t, t + max(1, step // w**d))
+                    place, value = _scattered([v[few] for v in near], [v[pick[few]] for v in vals], side)
+                    for i in range(len(c)):
+                        held[i] += np.bincount(place.ravel(), (value * c[i, s : s + rows][pick[few]][:, None]).ravel(), held.shape[1])
+                continue
+            for corner, size, own_rows in _pieces(_bins(near, side, w)):
+                mine = [vals[axis][pick[own_rows]] for axis in range(d)]
+                first, rest = _dense(mine, [near[axis][own_rows] - corner[axis] for axis in range(d)], size)
+                window = tuple(slice(o, o + n) for o, n in zip(corner, size, strict=True))
+                for i in range(len(c)):
+                    sums = (first * c[i, s : s + rows][pick[own_rows]][:, None]).T @ rest
+                    held[i].reshape(side)[window] += sums.reshape(size)
+
+
+def _scattered(at: list[np.ndarray], vals: list[np.ndarray], side: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of each point's cells in a block, (points, width^d)."""
+    w = vals[0].shape[1]
+    place, value = np.zeros((len(at[0]), 1), np.int64), np.ones((len(at[0]), 1))
+    for a, v, n in zip(at, vals, side, strict=True):
+        place = (place[:, :, None] * n + (a[:, None] + np.arange(w))[:, None, :]).reshape(len(place), -1)
+        value = (value[:, :, None] * v[:, None, :]).reshape(len(value), -1)
+    return place, value
+
+
+def _crowded(points: int, side: list[int], w: int) -> bool:
+    """Whether the parts of a block hold so many points that matrix products over whole parts cost less than each point's cells."""
+    return points >= 32 * math.prod(-(-n // _part(n, w)) for n in side)
+
+
+def _part(n: int, w: int) -> int:
+    return n if n <= 2 * w else w
+
+
+def _pieces(bins: Iterator[tuple[list[int], list[int], np.ndarray]], entries: int = 1 << 18) -> Iterator[tuple[list[int], list[int], np.ndarray]]:
+    """Bins whose points times cells of a part are bounded."""
+    for corner, size, rows in bins:
+        step = max(1, entries // (math.prod(size) // size[0]))
+        for s in range(0, len(rows), step):
+            yield corner, size, rows[s : s + step]
+
+
+def _bins(near: list[np.ndarray], side: list[int], w: int) -> Iterator[tuple[list[int], list[int], np.ndarray]]:
+    """(corner, size, rows): points by parts of a block that hold all their cells. A block of a few kernel widths is one part."""
+    part = [_part(n, w) for n in side]
+    of = np.zeros(len(near[0]), np.int64)
+    count = [-(-n // p) for n, p in zip(side, part, strict=True)]
+    for v, p, k in zip(near, part, count, strict=True):
+        of = of * k + v // p
+    order = np.argsort(of, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1], [True]))) if len(of) else np.zeros(0, np.int64)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        place = np.unravel_index(int(of[order[a]]), count)
+        corner = [int(k) * p for k, p in zip(place, part, strict=True)]
+        yield corner, [min(p + w - 1, n - o) for p, n, o in zip(part, side, corner, strict=True)], order[a:b]
+
+
+def _dense(vals: list[np.ndarray], at: list[np.ndarray], size: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The kernel's values over a whole part: (points, cells of the first axis) and (points, cells of the others)."""
+    w = np.arange(vals[0].shape[1])
+    full = []
+    for v, k, n in zip(vals, at, size, strict=True):
+        f = np.zeros((len(v), n))
+        np.put_along_axis(f, k[:, None] + w, v, 1)
+        full.append(f)
+    rest = np.ones((len(vals[0]), 1))
+    for f in full[1:]:
+        rest = (rest[:, :, None] * f[:, None, :]).reshape(len(f), -1)
+    return full[0], rest
 
 
 def _cells_of(plan: Plan, tile: int) -> np.ndarray:
@@ -311,12 +374,19 @@ def fine_grid(plan: Plan, f: np.ndarray) -> np.ndarray:
 
 def _interpolate(plan: Plan, block: np.ndarray, side: list[int], at: list[np.ndarray], vals: list[np.ndarray]) -> np.ndarray:
     """Sums over the kernel's cells of a block whose places at are given for the first cells."""
-    w = plan.width
-    place, value = np.zeros((len(at[0]), 1), np.int64), np.ones((len(at[0]), 1))
-    for axis in range(plan.dim):
-        place = (place[:, :, None] * side[axis] + (at[axis][:, None] + np.arange(w))[:, None, :]).reshape(len(place), -1)
-        value = (value[:, :, None] * vals[axis][:, None, :]).reshape(len(value), -1)
-    return (block.ravel()[place] * value).sum(1)
+    out = np.empty(len(at[0]))
+    if not _crowded(len(out), side, plan.width):
+        step = max(1, (1 << 20) // plan.width**plan.dim)
+        for s in range(0, len(out), step):
+            place, value = _scattered([v[s : s + step] for v in at], [v[s : s + step] for v in vals], side)
+            out[s : s + step] = (block.ravel()[place] * value).sum(1)
+        return out
+    block = block.reshape(side)
+    for corner, size, rows in _pieces(_bins(at, side, plan.width)):
+        part = np.ascontiguousarray(block[tuple(slice(o, o + n) for o, n in zip(corner, size, strict=True))]).reshape(size[0], -1)
+        first, rest = _dense([v[rows] for v in vals], [a - o for a, o in zip([a[rows] for a in at], corner, strict=True)], size)
+        out[rows] = np.einsum("pi,pi->p", first @ part, rest)
+    return out
 
 
 def type2(points: DataFrame, f: np.ndarray, scale, eps: float = 1e-9) -> DataFrame:
@@ -348,7 +418,7 @@ def _values(plan: Plan, block: np.ndarray, side: list[int], b: pa.RecordBatch, d
     fine = np.isfinite(x).all(0) if b.num_rows else np.zeros(0, bool)
     out = np.full(b.num_rows, np.nan)
     rows = np.flatnonzero(fine)
-    step = max(1, (1 << 20) // plan.width**plan.dim)
+    step = max(1, (1 << 20) // (2 * plan.width * plan.dim))
     for s in range(0, len(rows), step):
         pick = rows[s : s + step]
         at, vals = plan.first([v[pick] for v in x])

@@ -110,3 +110,24 @@ def test_settings(spark):
     with pytest.raises(ValueError, match="tolerance"):
         nufft.Plan.of(1, 2, 1.0, 0.0)
     assert nufft._smooth(7) == 8 and nufft._smooth(121) == 128
+
+
+@pytest.mark.parametrize("m", [(2, 2, 1), (6, 3), (20, 20)])
+def test_crowded_parts_equal_scattered_cells(m, monkeypatch):
+    plan = nufft.Plan.of(len(m), m, 0.8, 1e-10)
+    r = np.random.default_rng(0)
+    x, c = [r.uniform(-0.7, 0.7, 3000) for _ in m], r.normal(size=(2, 3000))
+    side = [n + plan.width - 1 for n in plan.cells]
+    block, (at, vals) = r.normal(size=side), plan.first(x)
+    made = {}
+    for way in (True, False):
+        monkeypatch.setattr(nufft, "_crowded", lambda *_, way=way: way)
+        cells: dict[int, np.ndarray] = {}
+        nufft._spread_into(plan, cells, x, c)
+        made[way] = cells[0], nufft._interpolate(plan, block, side, at, vals)
+    assert all(np.allclose(a, b, rtol=1e-12, atol=1e-12) for a, b in zip(made[True], made[False], strict=True))
+
+
+def test_few_modes_in_three_dimensions_take_products():
+    plan = nufft.Plan.of(3, (2, 2, 1), 1.0, 1e-12)
+    assert nufft._crowded(10_000, [n + plan.width - 1 for n in plan.cells], plan.width)
