@@ -362,6 +362,18 @@ def test_packing_is_gapless_and_keeps_the_mixture(spark, path, weights):
         assert abs(part[s] - 2048 * w / sum(share.values())) <= 1
 
 
+def test_cutting_holds_no_encoder_and_gives_bounded_batches(path):
+    size = 3 * packing.IDS
+    layout, x = packing.Layout(packing.plan({"sa": 2 * size})), np.arange(size, dtype="<u2").tobytes()
+    rows = pa.RecordBatch.from_pylist([{"doc_id": d, "queue": "sa", "tokens": size, "ids": x, "begin": d * size} for d in range(2)])
+    tokenbin.encoder(path)
+    got = list(packing.cutter(layout, "<u2")(iter([rows])))
+    assert not tokenbin._encoders
+    assert max(sum(b.column("length").to_pylist()) for b in got) <= packing.IDS + packing.SEQUENCE
+    for d in range(2):
+        assert b"".join(i for b in got for o, i in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True) if o == d) == x
+
+
 @pytest.mark.parametrize("small, large", [("a", "b"), ("b", "a")])
 def test_plan_of_very_unequal_queues_is_short(small, large):
     totals = {small: 1, large: 10**9}
