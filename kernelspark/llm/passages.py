@@ -7,11 +7,11 @@
     smallest of every SPARSE places: where short seeds stand in many documents
     and meet others, these still join the documents that hold them in this
     order.  Every occurrence counts.
-2.  Seeds are dealt out by value and sorted by document.  Each occurrence is
-    matched with the first document that has the seed and, for short seeds,
-    with the one before, at the seed's first and last place there and at the
-    place of the same rank: six matches a row at most, two where a document has
-    the seed once.
+2.  Seeds are dealt out by value and sorted by document.  Each occurrence of a
+    seed that FEW documents have is matched with all earlier ones of them; of
+    a seed that more have, with the first document that has it and, for short
+    seeds, with the one before.  In a document the seed's first and last place
+    and the place of the same rank are matched.
 3.  Matches of a pair of documents are chained: best-scoring sequences that
     advance in both texts, each seed worth K, each word of gap costing GAP,
     with a Fenwick tree of prefix maxima over the places in the other text.
@@ -20,13 +20,22 @@
     alignment of at least MIN_WORDS words with at least the wanted identity is
     a repeated passage of the later document.  Where that falls short of the identity, its longest parts that have both are the passages.
 
+5.  What is left where seeds stand that more than FEW documents have: of any
+    MIN_WORDS words the smallest of the first WINDOW seeds and of the last are a
+    pair, dealt out by both values.  A pair that lies in no passage found so far
+    meets all earlier documents with the same pair, however many; 3 and 4
+    follow.  Texts with MIN_WORDS equal words in a row share a pair there, and
+    elsewhere all their seeds meet, so that no exact repeat is lost.  Pairs
+    inside a found passage need no other reference: copies aren't set against
+    each other.
+
 The words of both texts meet the chains in sorted streams, parts of a hub that
 very many chains refer to being handled by several tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +49,8 @@ from kernelspark.llm._util import lean, staged
 FETCHED = 1_000_000
 #: Passages to cut (16 bytes each) that are broadcast at most.
 CUTS = 1_000_000
+#: Rows of a batch that matching gives; pairs of documents made at a time; documents whose pairs of seeds are made at a time.
+ROWS, PAIRS, DOCS = 100_000, 1 << 18, 500
 #: Chains that refer to one document and are aligned in one task, on average.
 SALT = 2_000
 
@@ -54,6 +65,8 @@ class Rule:
     long: int = 24
     sparse: int = 20
     gap: float = 0.08
+    #: Documents of a seed that all meet at it; those of seeds that more have meet at pairs of seeds.
+    few: int = 32
     #: A chain breaks where it would jump over more words than this in either text.
     most_gap: int = 40
     min_words: int = 50
@@ -273,6 +286,11 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, re
 
 def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
     """Rows (doc, ref, y, x): a seed of doc at y and of an earlier document ref at x."""
+    return _met(rows, rule).where("ref < doc").select("doc", "ref", "y", "x")
+
+
+def _met(rows: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of _matches(), and (doc, doc, y, -1, seed) for short seeds that several documents have; the last bit tells that more than a few do."""
 
     def choose(batches):
         for batch in batches:
@@ -285,7 +303,7 @@ def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
 
     def meet(batches):
         first = last = None  # (seed, doc, places) of the open run's first document and of the document before
-        held = None  # rows of the last document of the run that is open, which may go on
+        held = None  # rows of the run that is open, or of its last document, which may go on
         ends = np.array([0, rule.long - rule.k])
 
         def pairs(seed, doc, place):
@@ -309,22 +327,38 @@ def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
             last = None if new[-1] else (d_seed[-1], d_doc[-1], at[d_begin[-1] :])
             mine = of + len(front)
             rank = np.arange(len(seed)) - begin[of]
+            run = np.cumsum(new) - 1
+            size = np.bincount(run)
+            if len(front) < n and not new[len(front)]:
+                size[0] = rule.few + 1  # runs are parted only when they have more
+            many = (size > rule.few)[run[mine]]
+            nth = (np.arange(n) - head)[mine]  # earlier documents of the run, in it
             got = []
-            for other in (head, np.maximum(np.arange(n) - 1, 0)):
-                ref = other[mine]
-                ok = ~new[mine] & ((other is head) | ((ref != head[mine]) & (seed & 1 == 0)))
-                k, ref = np.flatnonzero(ok), ref[ok]
+
+            def match(k, ref):
                 most = d_count[ref] - 1
                 same = np.minimum(rank[k], most)
                 for step, also in ((np.zeros_like(same), None), (same, same > 0), (most, most > same)):
                     j, r, t = (k, ref, step) if also is None else (k[also], ref[also], step[also])
-                    got.append((doc[j], d_doc[r], place[j], at[d_begin[r] + t]))
+                    got.append((doc[j], d_doc[r], place[j], at[d_begin[r] + t], np.zeros(len(j), np.int64)))
                     end = ends[seed[j] & 1]  # a long seed is a match of its first words and one of its last
                     j, r, t, end = j[end > 0], r[end > 0], t[end > 0], end[end > 0]
-                    got.append((doc[j], d_doc[r], place[j] + end, at[d_begin[r] + t] + end))
+                    got.append((doc[j], d_doc[r], place[j] + end, at[d_begin[r] + t] + end, np.zeros(len(j), np.int64)))
+
+            k = np.flatnonzero(many & (nth > 0))
+            match(k, head[mine[k]])
+            k = k[(nth[k] > 1) & (seed[k] & 1 == 0)]
+            match(k, mine[k] - 1)
+            k, lag = np.flatnonzero(~many & (nth > 0)), 1
+            while len(k):
+                match(k, mine[k] - lag)
+                lag += 1
+                k = k[nth[k] >= lag]
+            k = np.flatnonzero((size[run[mine]] > 1) & (seed & 1 == 0))
+            got.append((doc[k], doc[k], place[k], np.full(len(k), -1), seed[k] | many[k]))
             cols = [np.concatenate(c) for c in zip(*got, strict=True)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True)], names=["doc", "ref", "y", "x"])
+            for a in range(0, len(cols[0]), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + ROWS].astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32, np.int64), strict=True)], names=["doc", "ref", "y", "x", "seed"])
 
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("seed", "doc", "place")]
@@ -333,7 +367,11 @@ def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
             if not len(cols[0]):
                 continue
             edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
-            edge = int(edge[-1]) + 1 if len(edge) else 0
+            start = int(np.searchsorted(cols[0], cols[0][-1]))
+            if (last is None or last[0] != cols[0][-1]) and np.count_nonzero(edge >= start) <= rule.few + 1:
+                edge = start  # a run of few documents stays whole
+            else:
+                edge = int(edge[-1]) + 1 if len(edge) else 0
             held = [c[edge:] for c in cols]
             if edge:
                 yield from pairs(*(c[:edge] for c in cols))
@@ -341,16 +379,110 @@ def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
             yield from pairs(*held)
 
     chosen = rows.where("doc_id is not null").mapInArrow(lean(choose), "seed long, doc long, place int")
-    return chosen.repartition("seed").sortWithinPartitions("seed", "doc", "place").mapInArrow(lean(meet), "doc long, ref long, y int, x int")
+    return chosen.repartition("seed").sortWithinPartitions("seed", "doc", "place").mapInArrow(lean(meet), "doc long, ref long, y int, x int, seed long")
+
+
+def _nearby(place: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Words from a place to the nearest of the ascending places ``of``."""
+    k = np.searchsorted(of, place)
+    return np.minimum(of[np.minimum(k, len(of) - 1)] - place + (k == len(of)) * (1 << 40), place - of[np.maximum(k - 1, 0)] + (k == 0) * (1 << 40))
+
+
+def _rest(frequent: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
+    """Matches (doc, ref, y, x, seed) of pairs of seeds outside of found passages with all earlier documents that have the pair.
+
+    frequent: (doc, x, y), the values and places of a document's seeds as in _met().
+    """
+    apart, none = rule.min_words - rule.k + 1 - rule.window, np.uint64(2**64 - 1)
+    spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
+
+    def couple(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, DOCS):
+                part = batch.slice(begin, DOCS)
+                seeds = [np.frombuffer(v.as_buffer(), "<i8") for v in part.column("x")]
+                places = [np.frombuffer(v.as_buffer(), "<i4") for v in part.column("y")]
+                until = []  # where the found passage that begins last before a place ends
+                for y, spans in zip(places, part.column("spans").to_pylist(), strict=True):
+                    if spans:
+                        ends = np.array([0] + [s["end_word"] for s in spans])
+                        until.append(ends[np.searchsorted([s["start_word"] for s in spans], y, "right")])
+                    else:
+                        until.append(np.zeros(len(y), np.int64))
+                n = np.array([len(y) for y in places])
+                doc = np.repeat(part.column("doc").to_numpy(), n)
+                seed, y, until, of = np.concatenate(seeds), np.concatenate(places).astype(np.int64), np.concatenate(until), np.repeat(np.arange(len(n)), n)
+                # one line of places for all documents, with a gap between them
+                width = np.array([int(v.max()) + 1 + rule.min_words if len(v) else 0 for v in places])
+                line = y + (np.cumsum(width) - width)[of]
+                h, row = np.full(int(width.sum()), none), np.full(int(width.sum()), -1)
+                h[line], row[line] = seed.view(np.uint64) >> np.uint64(1), np.arange(len(y))
+                if len(h) < rule.min_words:
+                    continue
+                at = row[_smallest(h, rule.window)]
+                i, j = at[: len(at) - apart], at[apart:]
+                k = (i >= 0) & (j >= 0)
+                k[1:] &= (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+                i, j = i[k], j[k]
+                k = of[i] == of[j]
+                i, j = i[k], j[k]
+                key = T.mix(T.mix(seed[i].view(np.uint64)) + seed[j].view(np.uint64)).view(np.int64)
+                wanted = y[j] + rule.k > until[i]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[i]), pa.array(y[i].astype(np.int32)), pa.array((2 * (y[j] - y[i]) + wanted).astype(np.int32))], names=["key", "doc", "y", "wide"])
+
+    def meet(batches):
+        held = None  # rows of the run that is open
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("key", "doc", "y", "wide")]
+            if held is not None and len(held[0]):
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            edge = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [c[edge:] for c in cols]
+            yield from pairs(*(c[:edge] for c in cols))
+        if held is not None:
+            yield from pairs(*held)
+
+    def pairs(key, doc, y, wide):
+        if not len(key):
+            return
+        run = np.concatenate(([True], key[1:] != key[:-1]))
+        own = run | np.concatenate(([True], doc[1:] != doc[:-1]))
+        begin = np.flatnonzero(own)  # first and last rows of each document of each run
+        end = np.concatenate((begin[1:], [len(key)])) - 1
+        of = np.cumsum(own) - 1
+        head = np.maximum.accumulate(np.where(run, of, 0))
+        k = np.flatnonzero((wide & 1 == 1) & (of > head))
+        before = np.cumsum(of[k] - head[k])
+        at = 0
+        while at < len(k):  # some rows at a time, each with all earlier documents
+            to = max(at + 1, int(np.searchsorted(before, (before[at - 1] if at else 0) + PAIRS, "right")))
+            mine = k[at:to]
+            n = of[mine] - head[mine]
+            j = np.repeat(mine, n)
+            ref = head[j] + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
+            for r, j in ((begin[ref], j), (end[ref][end[ref] > begin[ref]], j[end[ref] > begin[ref]])):
+                for a in range(0, len(j), ROWS):
+                    i, o = j[a : a + ROWS], r[a : a + ROWS]
+                    zero = np.zeros(2 * len(i), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in (((doc[i], doc[i]), np.int64), ((doc[o], doc[o]), np.int64), ((y[i], y[i] + (wide[i] >> 1)), np.int32), ((y[o], y[o] + (wide[o] >> 1)), np.int32), ((zero,), np.int64))], names=["doc", "ref", "y", "x", "seed"])
+            at = to
+
+    coupled = frequent.select("doc", "x", "y").join(spans, "doc", "left").mapInArrow(lean(couple), "key long, doc long, y int, wide int")
+    return coupled.repartition("key").sortWithinPartitions("key", "doc", "y").mapInArrow(lean(meet), "doc long, ref long, y int, x int, seed long")
 
 
 def _chained(matches: DataFrame, rule: Rule) -> DataFrame:
-    """Staged chains that are wide enough: (doc, ref, x, y), the places of their seeds as 32-bit integers."""
+    """Staged chains that are wide enough: (doc, ref, x, y), the places of their seeds as 32-bit integers.
+
+    Where ref is doc, x has the document's seeds as 64-bit integers and y their places, as far as they lie near one that more than a few documents have.
+    """
 
     def chain(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("doc", "ref", "y", "x")]
+            cols = [batch.column(c).to_numpy() for c in ("doc", "ref", "y", "x", "seed")]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))[: len(cols[0])]
@@ -360,13 +492,21 @@ def _chained(matches: DataFrame, rule: Rule) -> DataFrame:
             edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
             edges = np.concatenate(([0], edge)).tolist()
             held = [c[edges[-1] :] for c in cols]
-            yield from out(cols, edges)
+            if len(edges) > 1:
+                yield from out([c[: edges[-1]] for c in cols], edges)
         if held is not None and len(held[0]):
             yield from out(held, [0, len(held[0])])
 
     def out(cols, edges):
         got = []
-        doc, ref, y, x = cols
+        doc, ref, y, x, seed = cols
+        single = doc == ref
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            if single[s]:
+                often = y[s:e][seed[s:e] & 1 == 1]
+                if len(often):
+                    near = np.flatnonzero(_nearby(y[s:e].astype(np.int64), often.astype(np.int64)) < rule.min_words)
+                    got.append((doc[s], doc[s], seed[s:e][near].astype("<i8").tobytes(), y[s:e][near].astype("<i4").tobytes()))
         # a chain lies in one run of matches without a gap in y that is too wide; runs that can't hold a wide enough one go
         edges = np.union1d(edges, np.flatnonzero(np.diff(y) > rule.most_gap) + 1)
         at, last = edges[:-1], edges[1:] - 1
@@ -376,14 +516,14 @@ def _chained(matches: DataFrame, rule: Rule) -> DataFrame:
         for i, j in ((0, 1), (1, 2), (0, 2)):
             k = np.flatnonzero(far & (n > j) & (n < 4))
             step[k] |= (x[at[k] + j] > x[at[k] + i]) & (x[at[k] + j] - x[at[k] + i] <= rule.most_gap) & (y[at[k] + j] > y[at[k] + i])
-        far &= step | (n > 3)
+        far &= (step | (n > 3)) & ~single[at]
         for s, e in zip(at[far].tolist(), (last[far] + 1).tolist(), strict=True):
             for c in chains(x[s:e], y[s:e], rule, rule.span):
                 got.append((doc[s], ref[s], x[s:e][c].astype("<i4").tobytes(), y[s:e][c].astype("<i4").tobytes()))
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc", "ref", "x", "y"])
 
-    rows = matches.repartition("doc", "ref").sortWithinPartitions("doc", "ref", "y", "x")
+    rows = matches.repartition("doc", "ref").sortWithinPartitions("doc", "ref", "y", "x", "seed")
     return staged(rows.mapInArrow(lean(chain), "doc long, ref long, x binary, y binary"), "passage-chains")
 
 
@@ -416,7 +556,7 @@ def passages(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Spans are in words ``[^\\x20\\x09-\\x0D]+`` of the text (A-Z compared in
     lower case), the end excluded.  The reference is an earlier document (by
-    doc_id), the first or the nearest one with the same seeds; the first
+    doc_id) with the same seeds; the first
     document that holds a passage has no row for it, and repeats within one
     document are not looked for.  Of the spans of a document none lies inside
     another; of equal ones that with the smallest reference stays.  Rows
@@ -426,7 +566,25 @@ def passages(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     gives no rows.  Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    chained = _chained(_matches(rows, rule), rule)
+    chained = _chained(_met(rows, rule), rule)
+    found = staged(_aligned(rows, chained.where("doc <> ref"), rule), "passages-first")
+    frequent = chained.where("doc = ref")
+    if frequent.isEmpty():
+        return found
+    rest = _chained(_rest(frequent, found, rule), replace(rule, most_gap=rule.min_words))  # the seeds of a pair are a chain
+    if rest.isEmpty():
+        return found
+    return _outermost(found.unionAll(_aligned(rows, rest, rule)))
+
+
+def _outermost(found: DataFrame) -> DataFrame:
+    """Of the spans of a document those that lie in no other; of equal ones that with the smallest reference."""
+    before = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "ref_doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("__until", F.max("end_word").over(before)).where("__until is null or end_word > __until").drop("__until")
+
+
+def _aligned(rows: DataFrame, chained: DataFrame, rule: Rule) -> DataFrame:
+    """The passages of staged chains, as passages() gives them."""
     ids = chained.select("doc").unionAll(chained.select(F.col("ref").alias("doc"))).distinct()
     words = _words_of(rows, ids)
     own = rule.reach
@@ -486,9 +644,7 @@ def passages(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     both = theirs.unionAll(mine).repartition("ref", "part").sortWithinPartitions(F.col("ref"), F.col("part"), F.col("doc").asc_nulls_first(), F.col("y"))
-    found = both.mapInArrow(lean(line_up), ", ".join(f"{c} long" for c in names))
-    before = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "ref_doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("__until", F.max("end_word").over(before)).where("__until is null or end_word > __until").drop("__until")
+    return _outermost(both.mapInArrow(lean(line_up), ", ".join(f"{c} long" for c in names)))
 
 
 def without_repeats(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

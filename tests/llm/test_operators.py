@@ -221,6 +221,18 @@ def test_passages_of_widespread_sentences_are_found(spark):
     assert got == {(50_000, 25_000, 40, 91)}
 
 
+@pytest.mark.parametrize("n", [6, 40])
+def test_passages_meet_whatever_documents_have_their_seeds(spark, n):
+    """All stretches of 45 words of the passage stand in documents before, and of 12 in documents between; only 900 and 2000 have it whole."""
+    shared, rows = [f"s{k}" for k in range(60)], []
+    for i in range(n):
+        rows += [(16 * i + k // 3, " ".join([f"a{i}_{k}_{j}" for j in range(30)] + shared[k : k + 45] + [f"b{i}_{k}_{j}" for j in range(30)])) for k in range(0, 16, 3)]
+        rows += [(1000 + 16 * i + k // 6, " ".join([f"c{i}_{k}_{j}" for j in range(30)] + shared[k : k + 12] + [f"d{i}_{k}_{j}" for j in range(30)])) for k in range(0, 60, 6)]
+    rows += [(d, " ".join([f"e{d}_{j}" for j in range(30)] + shared + [f"f{d}_{j}" for j in range(30)])) for d in (900, 2000)]
+    got = {(r.doc_id, r.ref_doc_id, r.start_word, r.end_word) for r in passages.passages(docs(spark, rows)).collect()}
+    assert got == {(2000, 900, 30, 90)}
+
+
 def test_recall_of_passages_with_words_changed_at_random(spark):
     """60-word passages in other texts, 10 % of their words substituted: all that are still 80 % equal, but 3 in 100, are found."""
     rng = np.random.default_rng(8)
