@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kernelspark.llm import ann, langid, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
+from kernelspark.llm import _util, ann, langid, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
 from kernelspark.llm._util import components
 from tests.llm.helpers import docs, odd_rows, rng_words, with_extra
 
@@ -374,6 +374,18 @@ def test_packing_is_gapless_and_keeps_the_mixture(spark, path, weights):
         assert abs(part[s] - 2048 * w / sum(share.values())) <= 1
 
 
+def test_staged_steps_take_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    df = spark.range(9_000).selectExpr("id", "repeat('x', 3000) text").coalesce(1)
+    before = spark.conf.get(_util.BATCH_BYTES)
+    got = _util.staged(df.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in got) == 9_000 and max(r.size for r in got) < 5 << 20
+    assert spark.conf.get(_util.BATCH_BYTES) == before
+
+
 def test_cutting_holds_no_encoder_and_gives_bounded_batches(path):
     size = 3 * packing.IDS
     layout, x = packing.Layout(packing.plan({"sa": 2 * size})), np.arange(size, dtype="<u2").tobytes()
