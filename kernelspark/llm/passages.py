@@ -22,12 +22,15 @@
 
 5.  What is left where seeds stand that more than FEW documents have: of any
     MIN_WORDS words the smallest of the first WINDOW seeds and of the last are a
-    pair, dealt out by both values.  A pair that lies in no passage found so far
-    meets all earlier documents with the same pair, however many; 3 and 4
-    follow.  Texts with MIN_WORDS equal words in a row share a pair there, and
-    elsewhere all their seeds meet, so that no exact repeat is lost.  Pairs
-    inside a found passage need no other reference: copies aren't set against
-    each other.
+    pair, dealt out by both values.  Around pairs that lie in no passage found so
+    far, and that an earlier document has, every MIN_WORDS words in a row meet
+    the first document with the same words, one row each however many have them.
+    Texts with MIN_WORDS equal words in a row share a pair there, and elsewhere
+    all their seeds meet, so that no exact repeat is lost.
+6.  A pair that has words in no passage then meets all earlier documents with
+    the same pair, as far as enough of the words near it stand near theirs, and
+    of theirs near it, for a passage; 3 and 4 follow.  Pairs inside passages
+    need no other reference: copies aren't set against each other.
 
 The words of both texts meet the chains in sorted streams, parts of a hub that
 very many chains refer to being handled by several tasks.
@@ -49,8 +52,10 @@ from kernelspark.llm._util import lean, staged
 FETCHED = 1_000_000
 #: Passages to cut (16 bytes each) that are broadcast at most.
 CUTS = 1_000_000
-#: Rows of a batch that matching gives; pairs of documents made at a time; documents whose pairs of seeds are made at a time.
-ROWS, PAIRS, DOCS = 100_000, 1 << 18, 500
+#: Rows of a batch that matching gives; documents whose pairs of seeds are made, or that a pair is held against, at a time.
+ROWS, DOCS = 100_000, 500
+#: Values that words are told apart by before documents meet; words that share one only let more meet.
+BUCKETS = 2048
 #: Chains that refer to one document and are aligned in one task, on average.
 SALT = 2_000
 
@@ -388,13 +393,13 @@ def _nearby(place: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.minimum(of[np.minimum(k, len(of) - 1)] - place + (k == len(of)) * (1 << 40), place - of[np.maximum(k - 1, 0)] + (k == 0) * (1 << 40))
 
 
-def _rest(frequent: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
-    """Matches (doc, ref, y, x, seed) of pairs of seeds outside of found passages with all earlier documents that have the pair.
+def _pairs(frequent: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (key, doc, y, wide) of pairs of seeds, for pairs that lie outside of the found passages in a document which isn't the first that has them.
 
-    frequent: (doc, x, y), the values and places of a document's seeds as in _met().
+    frequent: (doc, x, y), the values and places of a document's seeds as in _met().  wide: twice the words from the first
+    seed to the second, and 1 where the pair lies outside.
     """
     apart, none = rule.min_words - rule.k + 1 - rule.window, np.uint64(2**64 - 1)
-    spans = found.groupBy(F.col("doc_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
 
     def couple(batches):
         for batch in batches:
@@ -430,47 +435,220 @@ def _rest(frequent: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
                 wanted = y[j] + rule.k > until[i]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[i]), pa.array(y[i].astype(np.int32)), pa.array((2 * (y[j] - y[i]) + wanted).astype(np.int32))], names=["key", "doc", "y", "wide"])
 
+    coupled = frequent.select("doc", "x", "y").join(_spans(found), "doc", "left").mapInArrow(lean(couple), "key long, doc long, y int, wide int")
+    return _open(coupled)
+
+
+def _open(pairs: DataFrame) -> DataFrame:
+    """Those of staged pairs that lie outside of found passages in a document which isn't the first that has them, with all their documents."""
+    keys = pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("wide") % 2 == 1, F.col("doc"))).alias("last")).where("first < last").select("key")
+    return staged(pairs.join(keys, "key", "left_semi"), "passage-pairs")
+
+
+def _left(pairs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that have words in no passage, as _pairs() gives them."""
+    before = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    new = F.col("start_word") > F.coalesce(F.max("end_word").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    joined = found.select("doc_id", "start_word", "end_word", new.cast("int").alias("new")).select("doc_id", "start_word", "end_word", F.sum("new").over(before).alias("n"))
+    joined = joined.groupBy("doc_id", "n").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    inside = F.expr(f"coalesce(exists(spans, s -> s.start_word <= y and s.end_word >= y + shiftright(wide, 1) + {rule.k}), false)")
+    return _open(pairs.join(_spans(joined), "doc", "left").select("key", "doc", "y", F.when(inside, F.col("wide") - F.col("wide") % 2).otherwise(F.col("wide")).alias("wide")))
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """(doc, spans), the found passages of each document in order."""
+    return found.groupBy(F.col("doc_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
+
+
+def _stretches(words: np.ndarray, n: int) -> np.ndarray:
+    """A value for each n words in a row."""
+    h = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for a in range(0, n, 32):
+        h = T.mix(h + T.windows(words, min(32, n - a))[a : a + len(h)])
+    return h
+
+
+def _equal(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Staged chains, as _chained() gives them: MIN_WORDS words in a row around pairs of seeds outside of found passages, and the first document that has the same words.
+
+    Every such stretch of words meets one document, however many have it.
+    """
+    apart, n = rule.min_words - rule.k + 1 - rule.window, rule.min_words
+
+    def stretches(batches):
+        for batch in batches:
+            got = []
+            for doc, w, ys, wides in zip(*(batch.column(c) for c in ("doc", "words", "y", "wide")), strict=True):
+                v = np.frombuffer(w.as_buffer(), "<u4").astype(np.uint64)
+                i, wide = ys.values.to_numpy().astype(np.int64), wides.values.to_numpy().astype(np.int64)
+                if len(v) < n:
+                    continue
+                # where a stretch begins whose first seeds have the pair's first as the smallest, and whose last the second
+                j = i + (wide >> 1)
+                begin, end = np.maximum(np.maximum(i - rule.window + 1, j + rule.k - n), 0), np.minimum(np.minimum(i, j - apart), len(v) - n) + 1
+                begin = np.minimum(begin, end.clip(0))
+                edge = np.zeros((2, len(v) + 1), np.int64)
+                for m, k in ((0, end > begin), (1, (end > begin) & (wide & 1 == 1))):
+                    np.add.at(edge[m], begin[k], 1)
+                    np.add.at(edge[m], end[k], -1)
+                there, wanted = np.cumsum(edge, axis=1)[:, : len(v) - n + 1] > 0
+                at = np.flatnonzero(there)
+                h, wanted = _stretches(v, n)[at], wanted[at]
+                # one word again and again: stretches that touch and the last one have all its places
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (wanted[1:] != wanted[:-1]) | (at[1:] != at[:-1] + 1)))[: len(at)]
+                nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                keep = (nth % n == 0) | np.concatenate((new[1:], [True]))[: len(at)]
+                got.append((h[keep].view(np.int64), np.full(int(keep.sum()), doc.as_py()), at[keep].astype(np.int32), wanted[keep]))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["value", "doc", "y", "wanted"])
+
     def meet(batches):
-        held = None  # rows of the run that is open
+        first = None  # (value, doc, place) of the first row of the run that is open
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("key", "doc", "y", "wide")]
-            if held is not None and len(held[0]):
-                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-            if not len(cols[0]):
+            value, doc, y = (batch.column(c).to_numpy() for c in ("value", "doc", "y"))
+            if not len(value):
                 continue
-            edge = int(np.searchsorted(cols[0], cols[0][-1]))
-            held = [c[edge:] for c in cols]
-            yield from pairs(*(c[:edge] for c in cols))
-        if held is not None:
-            yield from pairs(*held)
+            wanted = batch.column("wanted").to_numpy(zero_copy_only=False)
+            if first is not None:
+                value, doc, y, wanted = (np.concatenate(([a], b)) for a, b in zip((*first, False), (value, doc, y, wanted), strict=True))
+            run = np.concatenate(([True], value[1:] != value[:-1]))
+            head = np.maximum.accumulate(np.where(run, np.arange(len(run)), 0))
+            first = (value[head[-1]], doc[head[-1]], y[head[-1]])
+            k = np.flatnonzero(wanted & (doc != doc[head]))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in ((doc[k], np.int64), (doc[head[k]], np.int64), (y[k], np.int32), (y[head[k]], np.int32))], names=["doc", "ref", "y", "x"])
+
+    def line_up(batches):
+        doc = ref = shift = begin = until = spare = None  # the open run of equal words; the last stretch that adds to it and isn't of it
+        got = []
+
+        def close():
+            if doc is not None:
+                y = np.append(np.arange(begin, until - rule.k, rule.k), until - rule.k).astype("<i4")
+                got.append((doc, ref, (y - shift).astype("<i4").tobytes(), y.tobytes()))
+
+        for batch in batches:
+            for d, r, y, x in zip(*(batch.column(c).to_pylist() for c in ("doc", "ref", "y", "x")), strict=True):
+                if spare is not None and (d != doc or y > until):
+                    close()
+                    ref, begin, shift = spare
+                    until, spare = begin + n, None
+                if d == doc and r == ref and y - x == shift and y <= until:
+                    until, spare = y + n, None
+                elif d == doc and y <= until:
+                    spare = (r, y, y - x)
+                else:
+                    close()
+                    doc, ref, begin, shift, until = d, r, y, y - x, y + n
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc", "ref", "x", "y"])
+                got.clear()
+        if spare is not None:
+            close()
+            ref, begin, shift = spare
+            until = begin + n
+        close()
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc", "ref", "x", "y"])
+
+    of = pairs.groupBy("doc").agg(F.collect_list(F.struct("y", "wide")).alias("p")).select("doc", "p.y", "p.wide")
+    words = _words_of(rows, of.select("doc")).join(of, "doc")
+    every = words.select("doc", "words", "y", "wide").mapInArrow(lean(stretches), "value long, doc long, y int, wanted boolean")
+    met = every.repartition("value").sortWithinPartitions("value", "doc", "y").mapInArrow(lean(meet), "doc long, ref long, y int, x int")
+    return staged(met.repartition("doc").sortWithinPartitions("doc", "y", "ref").mapInArrow(lean(line_up), "doc long, ref long, x binary, y binary"), "passage-stretches")
+
+
+def _promising(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Staged (doc, ref): the earlier documents that have a pair of seeds outside of found passages, and enough words near it that stand near doc's pair.
 
-    def pairs(key, doc, y, wide):
-        if not len(key):
-            return
-        run = np.concatenate(([True], key[1:] != key[:-1]))
-        own = run | np.concatenate(([True], doc[1:] != doc[:-1]))
-        begin = np.flatnonzero(own)  # first and last rows of each document of each run
-        end = np.concatenate((begin[1:], [len(key)])) - 1
-        of = np.cumsum(own) - 1
-        head = np.maximum.accumulate(np.where(run, of, 0))
-        k = np.flatnonzero((wide & 1 == 1) & (of > head))
-        before = np.cumsum(of[k] - head[k])
-        at = 0
-        while at < len(k):  # some rows at a time, each with all earlier documents
-            to = max(at + 1, int(np.searchsorted(before, (before[at - 1] if at else 0) + PAIRS, "right")))
-            mine = k[at:to]
-            n = of[mine] - head[mine]
-            j = np.repeat(mine, n)
-            ref = head[j] + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
-            for r, j in ((begin[ref], j), (end[ref][end[ref] > begin[ref]], j[end[ref] > begin[ref]])):
-                for a in range(0, len(j), ROWS):
-                    i, o = j[a : a + ROWS], r[a : a + ROWS]
-                    zero = np.zeros(2 * len(i), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in (((doc[i], doc[i]), np.int64), ((doc[o], doc[o]), np.int64), ((y[i], y[i] + (wide[i] >> 1)), np.int32), ((y[o], y[o] + (wide[o] >> 1)), np.int32), ((zero,), np.int64))], names=["doc", "ref", "y", "x", "seed"])
-            at = to
-
-    coupled = frequent.select("doc", "x", "y").join(spans, "doc", "left").mapInArrow(lean(couple), "key long, doc long, y int, wide int")
-    return coupled.repartition("key").sortWithinPartitions("key", "doc", "y").mapInArrow(lean(meet), "doc long, ref long, y int, x int, seed long")
+    An alignment that is a passage has MIN_WORDS to twice as many words in a row that are equal as far as the identity asks, so
+    that as many of them are words of the other text.  Where that can't be, the documents needn't meet.
+    """
+    near, far = 2 * rule.min_words, 2 * rule.min_words + rule.reach
+    longest = rule.min_words + 2 * near  # words near the place of a pair
+
+    def outline(batches):
+        for batch in batches:
+            got = []
+            for doc, w, p in zip(*(batch.column(c) for c in ("doc", "words", "p")), strict=True):
+                v = (np.frombuffer(w.as_buffer(), "<u4") % BUCKETS).astype("<u2")
+                key, y, wide = (p.values.field(c).to_numpy() for c in ("key", "y", "wide"))
+                order = np.lexsort((wide, y, key))
+                key, y, wide = key[order], y[order].astype(np.int64), wide[order]
+                until = y + (wide >> 1) + rule.k
+
+                def of(*places):
+                    there = np.zeros(BUCKETS, dtype=bool)
+                    for k in places:
+                        there[v[max(0, y[k].min() - far) : until[k].max() + far]] = True  # noqa: B023
+                    return np.packbits(there, bitorder="little").tobytes()
+
+                edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+                for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    ends = np.full((2, longest), BUCKETS, "<u2")
+                    for n, k in enumerate((s, e - 1)):
+                        words = v[max(0, y[k] - near) : until[k] + near][:longest]
+                        ends[n, : len(words)] = words
+                    got.append((key[s], doc.as_py(), 0, of(slice(s, s + 1), slice(e - 1, e)), ends.tobytes()))
+                    k = s + np.flatnonzero(wide[s:e] & 1)
+                    while len(k):  # places that are close by together
+                        n = int(np.searchsorted(y[k], y[k[0]] + rule.reach, "right"))
+                        got.append((key[s], doc.as_py(), 1, of(k[:n]), v[max(0, y[k[0]] - near) : int(until[k[:n]].max()) + near].tobytes()))
+                        k = k[n:]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "doc", "open", "there", "words"])
+
+    def enough(equal):
+        """Whether so many words in a row, of each row, are equal."""
+        out = np.zeros(len(equal), dtype=bool)
+        k = np.flatnonzero(100 * equal.sum(axis=1, dtype=np.int64) >= rule.identity * rule.min_words) if equal.shape[1] >= rule.min_words else []
+        if len(k):
+            total = np.zeros((len(k), equal.shape[1] + 1), np.int32)
+            np.cumsum(np.where(equal[k], 100 - rule.identity, -rule.identity), axis=1, out=total[:, 1:])
+            out[k] = (total[:, rule.min_words :] >= np.minimum.accumulate(total, axis=1)[:, : -rule.min_words]).any(axis=1)
+        return out
+
+    def alike(there, ends, mine, words):
+        at = np.frombuffer(words, "<u2").astype(np.int64)
+        k = np.flatnonzero(enough((there[:, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+        own = np.append(np.unpackbits(np.frombuffer(mine, np.uint8), bitorder="little").astype(bool), False)
+        return k[enough(own[ends[k, 0]]) | enough(own[ends[k, 1]])]
+
+    def meet(batches):
+        key, n = None, 0
+        refs, there, ends = np.zeros(64, np.int64), np.zeros((64, BUCKETS // 8), np.uint8), np.zeros((64, 2, longest), np.uint16)
+        for batch in batches:
+            docs, ref = [], []
+            for k, doc, late, bits, words in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "open", "there", "words")), strict=True):
+                if k != key:
+                    key, n = k, 0
+                if not late:
+                    if n == len(refs):
+                        refs, there, ends = (np.concatenate((c, np.zeros_like(c))) for c in (refs, there, ends))
+                    refs[n], there[n], ends[n] = doc, np.frombuffer(bits, np.uint8), np.frombuffer(words, "<u2").reshape(2, longest)
+                    n += 1
+                else:
+                    for a in range(0, n - 1, DOCS):  # its own row is the last
+                        b = min(a + DOCS, n - 1)
+                        found = refs[a + alike(there[a:b], ends[a:b], bits, words)]
+                        docs.append(np.full(len(found), doc))
+                        ref.append(found)
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (docs, ref)], names=["doc", "ref"])
+
+    of = pairs.groupBy("doc").agg(F.collect_list(F.struct("key", "y", "wide")).alias("p"))
+    words = _words_of(rows, of.select("doc")).join(of, "doc")
+    every = words.select("doc", "words", "p").mapInArrow(lean(outline), "key long, doc long, open int, there binary, words binary")
+    met = every.repartition("key").sortWithinPartitions("key", "doc", "open").mapInArrow(lean(meet), "doc long, ref long")
+    return staged(met.distinct(), "passage-promising")
+
+
+def _rest(pairs: DataFrame, promising: DataFrame) -> DataFrame:
+    """Matches (doc, ref, y, x, seed) of pairs of seeds outside of found passages with those of promising earlier documents, at their first and last place."""
+    place = F.struct("y", "wide")
+    theirs = pairs.groupBy("key", F.col("doc").alias("ref")).agg(F.array_distinct(F.array(F.min(place), F.max(place))).alias("at"))
+    met = pairs.where("wide % 2 = 1").join(promising, "doc").join(theirs, ["key", "ref"]).select("doc", "ref", "y", "wide", F.explode("at").alias("at"))
+    both = F.expr("explode(array(struct(y, at.y as x), struct(y + shiftright(wide, 1) as y, at.y + shiftright(at.wide, 1) as x)))")
+    return met.select("doc", "ref", both.alias("m")).select("doc", "ref", "m.y", "m.x", F.lit(0).cast("long").alias("seed"))
 
 
 def _chained(matches: DataFrame, rule: Rule) -> DataFrame:
@@ -571,7 +749,14 @@ def passages(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     frequent = chained.where("doc = ref")
     if frequent.isEmpty():
         return found
-    rest = _chained(_rest(frequent, found, rule), replace(rule, most_gap=rule.min_words))  # the seeds of a pair are a chain
+    pairs = _pairs(frequent, found, rule)
+    if pairs.isEmpty():
+        return found
+    equal = _equal(rows, pairs, rule)
+    if not equal.isEmpty():
+        found = staged(_outermost(found.unionAll(_aligned(rows, equal, rule))), "passages-equal")
+    pairs = _left(pairs, found, rule)
+    rest = _chained(_rest(pairs, _promising(rows, pairs, rule)), replace(rule, most_gap=rule.min_words))  # the seeds of a pair are a chain
     if rest.isEmpty():
         return found
     return _outermost(found.unionAll(_aligned(rows, rest, rule)))

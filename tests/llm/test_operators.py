@@ -691,3 +691,21 @@ def test_stage_columns_and_decisions(spark):
 
 def test_arrow_of_odd_columns():
     assert langid.predict(langid.Network.new(["a"], 2, 0), pa.array([None, "", "x"], pa.string()))[0] == ["und", "und", "a"]
+
+
+def test_runs_of_one_word_meet_one_document_each(spark):
+    """Documents with runs of one word, of which all have 4 words in common: each run of 50 is found, and pairs of documents don't grow with their square."""
+    from pyspark.sql import functions as F
+
+    rows = [(d, " ".join(["of"] * (45 + d) + [f"w{d}_{j}" for j in range(60)])) for d in range(60)]
+    df, rule = docs(spark, rows).withColumn("key", F.xxhash64("text")), passages.Rule()
+    chained = passages._chained(passages._met(df, rule), rule)
+    found = passages._aligned(df, chained.where("doc <> ref"), rule).where("false")  # as if nothing were found before
+    pairs = passages._pairs(chained.where("doc = ref"), found, rule)
+    equal = passages._equal(df, pairs, rule).collect()
+    assert {r.ref for r in equal} == {5} and {r.doc for r in equal} == set(range(6, 60)) and len(equal) <= 4 * 60
+    met = passages._promising(df, passages._left(pairs, passages._aligned(df, passages._equal(df, pairs, rule), rule), rule), rule)
+    assert met.count() <= 15  # 1 to 5, whose runs are shorter than a passage, at most
+    got = {(r.doc_id, r.start_word, r.end_word) for r in passages.passages(docs(spark, rows)).collect()}
+    for d in range(6, 60):
+        assert {w for k, s, e in got if k == d for w in range(s, e)} >= set(range(45 + d))
