@@ -271,7 +271,10 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, re
     """Align word sequences a and b along the seeds at x in a and y in b: (start in a, end, start in b, end, equal words)."""
     equal, i, j = 0, int(x[0]), int(y[0])
     begin_a, begin_b = i, j
-    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+    # seeds that touch, with the same words between both texts, are one stretch of equal words
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(x) != np.diff(y)) | (np.diff(x) > k) | (np.diff(x) < 0))))
+    size = x[np.append(first[1:], len(x)) - 1] + k - x[first]
+    for p, q, k in zip(x[first].tolist(), y[first].tolist(), size.tolist(), strict=True):
         if p + k <= i or q + k <= j:
             continue  # inside what is aligned already
         skip = max(i - p, j - q, 0)  # a seed that overlaps the one before
@@ -643,23 +646,43 @@ def _promising(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _rest(pairs: DataFrame, promising: DataFrame) -> DataFrame:
-    """Matches (doc, ref, y, x, seed) of pairs of seeds outside of found passages with those of promising earlier documents, at their first and last place."""
+    """Rows (doc, ref, y, x): places of a pair of seeds outside of found passages (``place``, ``wide`` as in _pairs()), and its first and last place in a promising earlier document."""
     place = F.struct("y", "wide")
-    theirs = pairs.groupBy("key", F.col("doc").alias("ref")).agg(F.array_distinct(F.array(F.min(place), F.max(place))).alias("at"))
-    met = pairs.where("wide % 2 = 1").join(promising, "doc").join(theirs, ["key", "ref"]).select("doc", "ref", "y", "wide", F.explode("at").alias("at"))
-    both = F.expr("explode(array(struct(y, at.y as x), struct(y + shiftright(wide, 1) as y, at.y + shiftright(at.wide, 1) as x)))")
-    return met.select("doc", "ref", both.alias("m")).select("doc", "ref", "m.y", "m.x", F.lit(0).cast("long").alias("seed"))
+    theirs = pairs.groupBy("key", F.col("doc").alias("ref")).agg(F.array_distinct(F.array(F.min(place), F.max(place))).alias("x"))
+    mine = pairs.where("wide % 2 = 1").groupBy("key", "doc").agg(F.collect_list(place).alias("y"))
+    return mine.join(promising, "doc").join(theirs, ["key", "ref"]).select("doc", "ref", "y", "x")
+
+
+def _unpacked(batches):
+    """The matches of the rows of _rest(), in order: both seeds of each pair."""
+    held = None  # the open pair of documents and its matches
 
+    def batch_of(doc, ref, got):
+        y, x = np.unique(np.concatenate(got, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(y), doc), np.full(len(y), ref), y.astype(np.int32), x.astype(np.int32), np.zeros(len(y), np.int64))], names=["doc", "ref", "y", "x", "seed"])
 
-def _chained(matches: DataFrame, rule: Rule) -> DataFrame:
+    for batch in batches:
+        for doc, ref, mine, theirs in zip(batch.column("doc").to_pylist(), batch.column("ref").to_pylist(), batch.column("y"), batch.column("x"), strict=True):
+            if held is not None and held[:2] != (doc, ref):
+                yield batch_of(*held)
+                held = None
+            held = held or (doc, ref, [])
+            (y, w), (x, v) = (tuple(c.values.field(f).to_numpy().astype(np.int64) for f in ("y", "wide")) for c in (mine, theirs))
+            for k in range(len(x)):
+                held[2].append(np.stack((np.concatenate((y, y + (w >> 1))), np.concatenate((np.full(len(y), x[k]), np.full(len(y), x[k] + (v[k] >> 1)))))))
+    if held is not None:
+        yield batch_of(*held)
+
+
+def _chained(matches: DataFrame, rule: Rule, packed: bool = False) -> DataFrame:
     """Staged chains that are wide enough: (doc, ref, x, y), the places of their seeds as 32-bit integers.
 
-    Where ref is doc, x has the document's seeds as 64-bit integers and y their places, as far as they lie near one that more than a few documents have.
+    packed: matches are the rows of _rest().  Where ref is doc, x has the document's seeds as 64-bit integers and y their places, as far as they lie near one that more than a few documents have.
     """
 
     def chain(batches):
         held = None
-        for batch in batches:
+        for batch in _unpacked(batches) if packed else batches:
             cols = [batch.column(c).to_numpy() for c in ("doc", "ref", "y", "x", "seed")]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
@@ -701,7 +724,7 @@ def _chained(matches: DataFrame, rule: Rule) -> DataFrame:
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc", "ref", "x", "y"])
 
-    rows = matches.repartition("doc", "ref").sortWithinPartitions("doc", "ref", "y", "x", "seed")
+    rows = matches.repartition("doc", "ref").sortWithinPartitions(*(["doc", "ref"] if packed else ["doc", "ref", "y", "x", "seed"]))
     return staged(rows.mapInArrow(lean(chain), "doc long, ref long, x binary, y binary"), "passage-chains")
 
 
@@ -756,7 +779,7 @@ def passages(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     if not equal.isEmpty():
         found = staged(_outermost(found.unionAll(_aligned(rows, equal, rule))), "passages-equal")
     pairs = _left(pairs, found, rule)
-    rest = _chained(_rest(pairs, _promising(rows, pairs, rule)), replace(rule, most_gap=rule.min_words))  # the seeds of a pair are a chain
+    rest = _chained(_rest(pairs, _promising(rows, pairs, rule)), replace(rule, most_gap=rule.min_words), packed=True)  # the seeds of a pair are a chain
     if rest.isEmpty():
         return found
     return _outermost(found.unionAll(_aligned(rows, rest, rule)))
