@@ -7,12 +7,13 @@
     smallest of every SPARSE places: where short seeds stand in many documents
     and meet others, these still join the documents that hold them in this
     order.  Every occurrence counts.
-2.  Seeds are dealt out by value and sorted by document.  Each occurrence of a
+2.  Seeds are dealt out by value, in blocks, and sorted by document where they
+    arrive; of a hot seed each document is a row that Spark sorts.  Each occurrence of a
     seed that FEW documents have is matched with all earlier ones of them; of
     a seed that more have, with the first document that has it and, for short
     seeds, with the one before.  In a document the seed's first and last place
     and the place of the same rank are matched.
-3.  Matches of a pair of documents are chained: best-scoring sequences that
+3.  Matches of a pair of documents, dealt out in blocks as well, are chained: best-scoring sequences that
     advance in both texts, each seed worth K, each word of gap costing GAP,
     with a Fenwick tree of prefix maxima over the places in the other text.
 4.  Chains are aligned word by word: along the seeds, through the gaps by
@@ -45,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kernelspark.llm import _packed as packed
 from kernelspark.llm import _text as T
 from kernelspark.llm._util import lean, staged
 
@@ -52,12 +54,16 @@ from kernelspark.llm._util import lean, staged
 FETCHED = 1_000_000
 #: Passages to cut (16 bytes each) that are broadcast at most.
 CUTS = 1_000_000
-#: Rows of a batch that matching gives; documents whose pairs of seeds are made, or that a pair is held against, at a time.
-ROWS, DOCS = 100_000, 500
+#: Rows of a hot seed that are put in order, seeds that are matched, and documents whose pairs of seeds are made, or that a pair is held against, at a time.
+ROWS, RUNS, DOCS = 100_000, 1 << 14, 500
 #: Values that words are told apart by before documents meet; words that share one only let more meet.
 BUCKETS = 2048
 #: Chains that refer to one document and are aligned in one task, on average.
 SALT = 2_000
+#: Rows of a seed, of those that a task deals out at once, from which on each of its documents is a row of the shuffle: no bucket holds a hot seed in memory.
+HOT = 256
+#: Matches that a task puts in order at once.
+MATCHES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -137,7 +143,7 @@ def chains(x: np.ndarray, y: np.ndarray, rule: Rule, span: int = 0) -> list[np.n
         best_of, from_of = [-1.0] * (size + 1), [-1] * (size + 1)
         score, back = [0.0] * n, [-1] * n
         along, place = (rule.gap * (x.astype(np.int64) + y)).tolist(), y.tolist()
-        entered = 0
+        entered, k = 0, float(rule.k)
         for i in range(n):
             while place[entered] < place[i]:  # those with a smaller y enter together
                 v, r = score[entered] + along[entered], rank[entered]
@@ -146,19 +152,22 @@ def chains(x: np.ndarray, y: np.ndarray, rule: Rule, span: int = 0) -> list[np.n
                         best_of[r], from_of[r] = v, entered
                     r += r & -r
                 entered += 1
-            best, at, r = -1.0, -1, rank[i] - 1
-            while r > 0:
+            best, r = along[i], rank[i] - 1
+            at = 0
+            while r:
                 if best < best_of[r]:
-                    best, at = best_of[r], from_of[r]
-                r -= r & -r
-            gain = best - along[i]
-            if at >= 0 and gain > 0:
-                score[i], back[i] = rule.k + gain, at
+                    best, at = best_of[r], r
+                r &= r - 1
+            if at:
+                score[i], back[i] = k + (best - along[i]), from_of[at]
             else:
-                score[i] = float(rule.k)
+                score[i] = k
         used, order = [False] * n, []
         across = x.tolist()
         for i in np.argsort(-np.array(score), kind="stable").tolist():
+            if span > rule.k and (used[i] or back[i] < 0 or used[back[i]]):
+                used[i] = True  # alone it spans too little
+                continue
             chain = []
             while i >= 0 and not used[i]:
                 used[i] = True
@@ -176,12 +185,18 @@ def chains(x: np.ndarray, y: np.ndarray, rule: Rule, span: int = 0) -> list[np.n
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short word sequences."""
-    best = np.zeros(len(b) + 1, np.int64)
-    for v in a:
-        step = np.where(b == v, best[:-1] + 1, best[1:])
-        best[1:] = np.maximum.accumulate(step)
-    return int(best[-1])
+    """Length of the longest common subsequence of two short word sequences: bit j of ``flat`` tells that b's word j adds none."""
+    at: dict[int, int] = {}
+    bit = 1
+    for v in b.tolist():
+        at[v] = at.get(v, 0) | bit
+        bit <<= 1
+    flat = every = bit - 1
+    for v in a.tolist():
+        here = flat & at.get(v, 0)
+        if here:
+            flat = (flat + here | flat - here) & every
+    return len(b) - flat.bit_count()
 
 
 def common_at(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,22 +309,116 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, re
 
 def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
     """Rows (doc, ref, y, x): a seed of doc at y and of an earlier document ref at x."""
-    return _met(rows, rule).where("ref < doc").select("doc", "ref", "y", "x")
+
+    def unpack(batches):
+        for found in packed.by_bucket(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in packed.opened(found, MATCH)], names=["doc", "ref", "y", "x", "seed"])
+
+    return _met(rows, rule).mapInArrow(lean(unpack), "doc long, ref long, y int, x int, seed long").where("ref < doc").select("doc", "ref", "y", "x")
+
+
+#: Columns of the blocks of seeds (seed, doc, place) and of matches (doc, ref, y, x, seed).
+SEED = (np.int64, np.int64, np.int32)
+MATCH = (np.int64, np.int64, np.int32, np.int32, np.int64)
+
+
+def _in_order(seed: np.ndarray, doc: np.ndarray, place: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows by seed, document and place; those of a seed that has one row only if alone."""
+    if not len(seed):
+        return seed, doc, place
+    order = np.argsort(seed)
+    s = seed[order]
+    new = np.concatenate(([True], s[1:] != s[:-1], [True]))
+    if not alone:
+        keep = ~(new[:-1] & new[1:])
+        order, new = order[keep], new[:-1][keep]
+    else:
+        new = new[:-1]
+    s, d, p = seed[order], doc[order], place[order]
+    if not len(s):
+        return s, d, p
+    # by one number where it has the bits for all three
+    run, least = np.cumsum(new), int(d.min())
+    bits = [int(n).bit_length() for n in (run[-1], int(d.max()) - least, p.max())]
+    k = np.argsort(((run << bits[1]) + (d - least) << bits[2]) + p) if sum(bits) < 63 else np.lexsort((p, d, s))
+    return s[k], d[k], p[k]
+
+
+def _of_seeds(batches):
+    """(seed, doc, place) of the rows of _met()'s shuffle, those of a seed one after the other by document and place."""
+    bucket, found, rest, hot, size = None, [], None, [], 0
+
+    def next_of(end):
+        """What is in order: all of the bucket at its end, else what comes before the document that is open."""
+        nonlocal rest, hot, size
+        if rest is None:
+            return _in_order(*packed.opened(found, SEED), alone=False)
+        cols = [np.concatenate(c) for c in zip(*hot, strict=True)] if hot else rest
+        if end:
+            cols, rest, hot, size = _in_order(*(np.concatenate(c) for c in zip(rest, cols, strict=True)), alone=True) if hot else rest, None, [], 0
+            return cols
+        seed, doc = cols[0][-1], cols[1][-1]
+        before = lambda c: (c[0] < seed) | ((c[0] == seed) & (c[1] < doc))
+        mine, theirs = before(rest), before(cols)
+        out = _in_order(*(np.concatenate((a[mine], b[theirs])) for a, b in zip(rest, cols, strict=True)), alone=True)
+        rest, hot = [c[~mine] for c in rest], [tuple(c[~theirs] for c in cols)]
+        size = 0  # of the open document; it goes on until as many rows have come again
+        return out
+
+    for batch in batches:
+        for b, kind, seed, doc, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "seed", "doc", "block")), strict=True):
+            if b != bucket:
+                if bucket is not None:
+                    yield next_of(True)
+                bucket, found, rest = b, [], None
+            if not kind:
+                found.append(block)
+                continue
+            if rest is None:
+                rest = _in_order(*packed.opened(found, SEED), alone=True)
+                found = []
+            place = np.frombuffer(block, np.int32)
+            hot.append((np.full(len(place), seed), np.full(len(place), doc), place))
+            size += len(place)
+            if size >= ROWS:
+                yield next_of(False)
+    if bucket is not None:
+        yield next_of(True)
 
 
 def _met(rows: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of _matches(), and (doc, doc, y, -1, seed) for short seeds that several documents have; the last bit tells that more than a few do."""
+    """Blocks of the rows of _matches(), and of (doc, doc, y, -1, seed) for short seeds that several documents have; the last bit tells that more than a few do."""
+    buckets = packed.buckets(rows.sparkSession)
 
-    def choose(batches):
+    def chosen_of(batches):
         for batch in batches:
-            doc = batch.column("doc_id")
-            for a, b, data, offsets in T.blocks(batch.column("text")):
+            doc = batch.column("doc_id").to_numpy()
+            for a, _, data, offsets in T.blocks(batch.column("text")):
                 w = T.Words(data, offsets, lower=True)
                 row, place, seed = seeds(w.value, w.first, rule)
-                own = doc.slice(a, b - a).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), own, pa.array(place.astype(np.int32))], names=["seed", "doc", "place"])
+                yield seed.view(np.int64), doc[a + row], place.astype(np.int32)
 
-    def meet(batches):
+    def choose(batches):
+        for seed, doc, place in packed.collected(chosen_of(batches)):
+            bucket = ((seed.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
+            order = np.sort(seed)
+            edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True])))
+            hot = order[edge[:-1][np.diff(edge) >= HOT]]
+            at = np.zeros(len(seed), dtype=bool)
+            if len(hot):
+                at = hot[np.minimum(np.searchsorted(hot, seed), len(hot) - 1)] == seed
+            got = [(b, 0, 0, 0, block) for b, block in packed.blocks([c[~at] for c in (seed, doc, place)], bucket[~at])]
+            k = np.flatnonzero(at)
+            k = k[np.lexsort((place[k], doc[k], seed[k]))]
+            edge = np.flatnonzero(np.concatenate(([True], (seed[k][1:] != seed[k][:-1]) | (doc[k][1:] != doc[k][:-1]), [True]))) if len(k) else np.zeros(0, np.int64)
+            own = place[k]
+            head = k[edge[:-1]]
+            got += [(*key, own[s:e].tobytes()) for key, s, e in zip(zip(bucket[head].tolist(), [1] * len(head), seed[head].tolist(), doc[head].tolist(), strict=True), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            step = packed.BLOCKS if not len(head) else 4 * packed.BLOCKS
+            for a in range(0, len(got), step):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[a : a + step], strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "seed", "doc", "block"])
+
+    def matched(batches):
         first = last = None  # (seed, doc, places) of the open run's first document and of the document before
         held = None  # rows of the run that is open, or of its last document, which may go on
         ends = np.array([0, rule.long - rule.k])
@@ -364,18 +473,16 @@ def _met(rows: DataFrame, rule: Rule) -> DataFrame:
                 k = k[nth[k] >= lag]
             k = np.flatnonzero((size[run[mine]] > 1) & (seed & 1 == 0))
             got.append((doc[k], doc[k], place[k], np.full(len(k), -1), seed[k] | many[k]))
-            cols = [np.concatenate(c) for c in zip(*got, strict=True)]
-            for a in range(0, len(cols[0]), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + ROWS].astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32, np.int64), strict=True)], names=["doc", "ref", "y", "x", "seed"])
+            cols = [np.concatenate(c).astype(t, copy=False) for c, t in zip(zip(*got, strict=True), MATCH, strict=True)]
+            yield _pair_bucket(cols[0], cols[1], buckets), *cols
 
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("seed", "doc", "place")]
+        for cols in (tuple(c[a : a + RUNS] for c in of) for of in _of_seeds(batches) for a in range(0, len(of[0]), RUNS)):
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             if not len(cols[0]):
                 continue
             edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
-            start = int(np.searchsorted(cols[0], cols[0][-1]))
+            start = int(np.append(-1, np.flatnonzero(cols[0][1:] != cols[0][:-1]))[-1]) + 1
             if (last is None or last[0] != cols[0][-1]) and np.count_nonzero(edge >= start) <= rule.few + 1:
                 edge = start  # a run of few documents stays whole
             else:
@@ -386,8 +493,47 @@ def _met(rows: DataFrame, rule: Rule) -> DataFrame:
         if held is not None and len(held[0]):
             yield from pairs(*held)
 
-    chosen = rows.where("doc_id is not null").mapInArrow(lean(choose), "seed long, doc long, place int")
-    return chosen.repartition("seed").sortWithinPartitions("seed", "doc", "place").mapInArrow(lean(meet), "doc long, ref long, y int, x int, seed long")
+    def meet(batches):
+        yield from packed.dealt(matched(batches))
+
+    chosen = rows.where("doc_id is not null").mapInArrow(lean(choose), "bucket int, kind int, seed long, doc long, block binary")
+    return packed.gathered(chosen, "kind", "seed", "doc").mapInArrow(lean(meet), packed.SCHEMA)
+
+
+def _pair_bucket(doc: np.ndarray, ref: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a pair of documents."""
+    return ((T.mix(T.mix(doc.view(np.uint64)) + ref.view(np.uint64)) >> np.uint64(8)) % np.uint64(n)).astype(np.int32)
+
+
+def _of_pairs(found: list[bytes], rule: Rule):
+    """The columns of a bucket's matches, by document and reference, without the pairs of documents that can't have a chain that is wide enough."""
+    rows = sum(map(len, found)) // sum(np.dtype(t).itemsize for t in MATCH)
+    parts = -(-rows // MATCHES)
+    for part in range(parts):
+        if parts == 1:
+            cols = packed.opened(found, MATCH)
+        else:
+            held = []
+            for block in found:
+                cols = packed.opened([block], MATCH)
+                k = _pair_bucket(cols[1], cols[0], parts) == part
+                held.append([c[k] for c in cols])
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        doc, ref, y, x, seed = cols
+        value = T.mix(T.mix(doc.view(np.uint64)) + ref.view(np.uint64))
+        order = np.argsort(value)
+        value, y, x = value[order], y[order], x[order]
+        edge = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1], [True])))
+        if len(edge) < 2:
+            continue
+        at = edge[:-1]
+        wide = lambda v: np.maximum.reduceat(v, at) - np.minimum.reduceat(v, at) + rule.k >= rule.span
+        own = (doc == ref)[order]
+        often = np.logical_or.reduceat(own & (seed[order] & 1 == 1), at)
+        keep = order[np.repeat((wide(y) & wide(x)) | often, np.diff(edge))]
+        cols = [c[keep] for c in cols]
+        order = np.lexsort(cols[::-1])
+        yield [c[order] for c in cols]
 
 
 def _nearby(place: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -654,49 +800,44 @@ def _rest(pairs: DataFrame, promising: DataFrame) -> DataFrame:
 
 
 def _unpacked(batches):
-    """The matches of the rows of _rest(), in order: both seeds of each pair."""
-    held = None  # the open pair of documents and its matches
-
-    def batch_of(doc, ref, got):
-        y, x = np.unique(np.concatenate(got, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(y), doc), np.full(len(y), ref), y.astype(np.int32), x.astype(np.int32), np.zeros(len(y), np.int64))], names=["doc", "ref", "y", "x", "seed"])
-
+    """The columns (doc, ref, y, x, seed) of the matches of the rows of _rest(), in order: both seeds of each pair; whole pairs of documents."""
+    held = None  # the matches of the pair of documents that may go on
     for batch in batches:
-        for doc, ref, mine, theirs in zip(batch.column("doc").to_pylist(), batch.column("ref").to_pylist(), batch.column("y"), batch.column("x"), strict=True):
-            if held is not None and held[:2] != (doc, ref):
-                yield batch_of(*held)
-                held = None
-            held = held or (doc, ref, [])
-            (y, w), (x, v) = (tuple(c.values.field(f).to_numpy().astype(np.int64) for f in ("y", "wide")) for c in (mine, theirs))
-            for k in range(len(x)):
-                held[2].append(np.stack((np.concatenate((y, y + (w >> 1))), np.concatenate((np.full(len(y), x[k]), np.full(len(y), x[k] + (v[k] >> 1)))))))
+        if not batch.num_rows:
+            continue
+        doc, ref = (batch.column(c).to_numpy() for c in ("doc", "ref"))
+        mine, theirs = batch.column("y"), batch.column("x")
+        (y, w), (x, v) = (tuple(c.flatten().field(f).to_numpy().astype(np.int64) for f in ("y", "wide")) for c in (mine, theirs))
+        n, m = (np.diff(c.offsets.to_numpy()) for c in (mine, theirs))
+        of, first = np.repeat(np.arange(len(n)), n), np.cumsum(m) - m
+        got = [] if held is None else [held]
+        for t in range(int(m.max(initial=0))):
+            k = np.flatnonzero(m[of] > t)
+            r = first[of[k]] + t
+            for p, q in ((y[k], x[r]), (y[k] + (w[k] >> 1), x[r] + (v[r] >> 1))):
+                got.append((doc[of[k]], ref[of[k]], p.astype(np.int32), q.astype(np.int32)))
+        cols = [np.concatenate(c) for c in zip(*got, strict=True)]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        last = (cols[0] == doc[-1]) & (cols[1] == ref[-1])
+        held = [c[last] for c in cols]
+        yield [*(c[~last] for c in cols), np.zeros(np.count_nonzero(~last), np.int64)]
     if held is not None:
-        yield batch_of(*held)
+        yield [*held, np.zeros(len(held[0]), np.int64)]
 
 
-def _chained(matches: DataFrame, rule: Rule, packed: bool = False) -> DataFrame:
+def _chained(matches: DataFrame, rule: Rule, rest: bool = False) -> DataFrame:
     """Staged chains that are wide enough: (doc, ref, x, y), the places of their seeds as 32-bit integers.
 
-    packed: matches are the rows of _rest().  Where ref is doc, x has the document's seeds as 64-bit integers and y their places, as far as they lie near one that more than a few documents have.
+    matches: as _met() gives them; rest: the rows of _rest().  Where ref is doc, x has the document's seeds as 64-bit integers and y their places, as far as they lie near one that more than a few documents have.
     """
 
     def chain(batches):
-        held = None
-        for batch in _unpacked(batches) if packed else batches:
-            cols = [batch.column(c).to_numpy() for c in ("doc", "ref", "y", "x", "seed")]
-            if held is not None:
-                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+        for cols in _unpacked(batches) if rest else (cols for found in packed.by_bucket(batches) for cols in _of_pairs(found, rule)):
             new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))[: len(cols[0])]
             cols = [c[new] for c in cols]
-            if not len(cols[0]):
-                continue
-            edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-            edges = np.concatenate(([0], edge)).tolist()
-            held = [c[edges[-1] :] for c in cols]
-            if len(edges) > 1:
-                yield from out([c[: edges[-1]] for c in cols], edges)
-        if held is not None and len(held[0]):
-            yield from out(held, [0, len(held[0])])
+            if len(cols[0]):
+                yield from out(cols, np.flatnonzero(np.concatenate(([True], (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0), [True]))).tolist())
 
     def out(cols, edges):
         got = []
@@ -724,7 +865,8 @@ def _chained(matches: DataFrame, rule: Rule, packed: bool = False) -> DataFrame:
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc", "ref", "x", "y"])
 
-    rows = matches.repartition("doc", "ref").sortWithinPartitions(*(["doc", "ref"] if packed else ["doc", "ref", "y", "x", "seed"]))
+    # dealt to a number of partitions that doesn't shrink with the bytes: the work is in the rows
+    rows = matches.repartition(packed.partitions(matches.sparkSession), "doc", "ref").sortWithinPartitions("doc", "ref") if rest else packed.gathered(matches)
     return staged(rows.mapInArrow(lean(chain), "doc long, ref long, x binary, y binary"), "passage-chains")
 
 
@@ -779,7 +921,7 @@ def passages(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     if not equal.isEmpty():
         found = staged(_outermost(found.unionAll(_aligned(rows, equal, rule))), "passages-equal")
     pairs = _left(pairs, found, rule)
-    rest = _chained(_rest(pairs, _promising(rows, pairs, rule)), replace(rule, most_gap=rule.min_words), packed=True)  # the seeds of a pair are a chain
+    rest = _chained(_rest(pairs, _promising(rows, pairs, rule)), replace(rule, most_gap=rule.min_words), rest=True)  # the seeds of a pair are a chain
     if rest.isEmpty():
         return found
     return _outermost(found.unionAll(_aligned(rows, rest, rule)))
@@ -851,7 +993,7 @@ def _aligned(rows: DataFrame, chained: DataFrame, rule: Rule) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    both = theirs.unionAll(mine).repartition("ref", "part").sortWithinPartitions(F.col("ref"), F.col("part"), F.col("doc").asc_nulls_first(), F.col("y"))
+    both = theirs.unionAll(mine).repartition(packed.partitions(rows.sparkSession), "ref", "part").sortWithinPartitions(F.col("ref"), F.col("part"), F.col("doc").asc_nulls_first(), F.col("y"))
     return _outermost(both.mapInArrow(lean(line_up), ", ".join(f"{c} long" for c in names)))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kernelspark.llm import _util, ann, langid, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
+from kernelspark.llm import _packed, _util, ann, langid, mixing, ngram_join, packing, passages, quality, tokenbin, warc, wrapper
 from kernelspark.llm._util import components
 from tests.llm.helpers import docs, odd_rows, rng_words, with_extra
 
@@ -709,3 +709,76 @@ def test_runs_of_one_word_meet_one_document_each(spark):
     got = {(r.doc_id, r.start_word, r.end_word) for r in passages.passages(docs(spark, rows)).collect()}
     for d in range(6, 60):
         assert {w for k, s, e in got if k == d for w in range(s, e)} >= set(range(45 + d))
+
+
+def test_seeds_and_matches_are_shuffled_in_blocks(spark):
+    """A row of the shuffle holds many matches, and all of them come out again."""
+    from pyspark.sql import functions as F
+
+    rows = [(d, " ".join(rng_words(d % 4, 300, 5_000) + rng_words(50 + d, 300, 5_000))) for d in range(40)]
+    df = docs(spark, rows).withColumn("key", F.xxhash64("text"))
+    matches = passages._matches(df, passages.Rule())
+    assert {(r.doc % 4, r.ref % 4) for r in matches.collect()} == {(i, i) for i in range(4)}
+    assert matches.count() > 4 * passages._met(df, passages.Rule()).count()
+
+
+def test_blocks_give_their_rows_back():
+    rng = np.random.default_rng(5)
+    cols = [rng.integers(-(2**63), 2**63 - 1, 5_000), rng.integers(0, 9, 5_000), rng.integers(0, 500, 5_000).astype(np.int32)]
+    bucket = rng.integers(0, 70_000, 5_000).astype(np.int32) // 1_000
+    found = defaultdict(list)
+    for a in (0, 3_000):
+        for b, block in _packed.blocks([c[a : a + 3_000] for c in cols], bucket[a : a + 3_000]):
+            found[b].append(block)
+    for b in set(bucket.tolist()):
+        assert all(np.array_equal(x, c[bucket == b]) for x, c in zip(_packed.opened(found[b], passages.SEED), cols, strict=True))
+    assert not list(_packed.blocks([c[:0] for c in cols], bucket[:0])) and [len(c) for c in _packed.opened([], passages.SEED)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("size", [100_000, 50, 1])
+def test_hot_seeds_come_in_order_with_the_rest_of_their_bucket(monkeypatch, size):
+    """Rows of hot seeds are rows of the shuffle, and are never in memory together."""
+    rng, most = np.random.default_rng(6), [0]
+    cols = [rng.choice([-7, 3, 5, 2**60, 11], 3_000), rng.integers(-4, 90, 3_000) * 10**12, rng.integers(0, 6, 3_000).astype(np.int32)]
+    bucket, hot = (cols[0] == 11).astype(np.int32), (np.abs(cols[0]) < 6) & (rng.random(3_000) < 0.9)
+    rows = [(b, 0, 0, 0, block) for b, block in _packed.blocks([c[~hot] for c in cols], bucket[~hot])]
+    k = np.flatnonzero(hot)[np.lexsort((cols[1][hot], cols[0][hot]))]
+    rows += [(0, 1, int(cols[0][i]), int(cols[1][i]), cols[2][i : i + 1].tobytes()) for i in k]
+    rows = sorted(rows, key=lambda r: r[:4])
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 7], strict=True), types, strict=True)], names=["bucket", "kind", "seed", "doc", "block"]) for a in range(0, len(rows), 7)]
+    monkeypatch.setattr(passages, "ROWS", size)
+    got = list(passages._of_seeds(iter(batches)))
+    if size < 3_000:
+        assert max(len(c[0]) for c in got) < 2_000
+    seed, doc, place = (np.concatenate(c) for c in zip(*got, strict=True))
+    for b in (0, 1):
+        mine, theirs = np.isin(seed, cols[0][bucket == b]), bucket == b
+        order = np.lexsort([c[theirs] for c in cols[::-1]])
+        assert all(np.array_equal(x[mine], c[theirs][order]) for x, c in zip((seed, doc, place), cols, strict=True))
+
+
+def test_matches_of_a_large_bucket_are_ordered_by_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    cols = [rng.integers(20, 60, 4_000), rng.integers(0, 20, 4_000), rng.integers(0, 900, 4_000).astype(np.int32), rng.integers(0, 900, 4_000).astype(np.int32), np.zeros(4_000, np.int64)]
+    found, got = [block for a in range(0, 4_000, 500) for _, block in _packed.blocks([c[a : a + 500] for c in cols], np.zeros(500, np.int32))], []
+    for most in (1 << 21, 300):
+        monkeypatch.setattr(passages, "MATCHES", most)
+        parts = list(passages._of_pairs(found, passages.Rule()))
+        assert (len(parts) > 1) == (most < 4_000)
+        assert all(np.array_equal(np.lexsort(p[::-1]), np.arange(len(p[0]))) for p in parts)
+        pairs = [set(zip(*(c.tolist() for c in p[:2]), strict=True)) for p in parts]
+        assert sum(map(len, pairs)) == len(set().union(*pairs))
+        got.append(sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts, strict=True)), strict=True)))
+    assert got[0] == got[1] and len(got[0]) > 3_000
+
+
+def test_matches_of_pairs_of_seeds_come_whole_whatever_the_batches():
+    place = pa.list_(pa.struct([("y", pa.int32()), ("wide", pa.int32())]))
+    p = lambda *v: [{"y": y, "wide": w} for y, w in v]
+    rows = [(9, 1, p((5, 41), (60, 43)), p((7, 40))), (9, 1, p((5, 41)), p((7, 40), (80, 42))), (9, 2, p((5, 41)), p((1, 38)))]
+    want = [(9, 1, 5, 7), (9, 1, 5, 80), (9, 1, 25, 27), (9, 1, 25, 101), (9, 1, 60, 7), (9, 1, 81, 27), (9, 2, 5, 1), (9, 2, 25, 20)]
+    for n in (1, 2, 3):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + n], strict=True), (pa.int64(), pa.int64(), place, place), strict=True)], names=["doc", "ref", "y", "x"]) for a in range(0, 3, n)]
+        got = [r for c in passages._unpacked(iter(batches)) for r in zip(*(v.tolist() for v in c[:4]), strict=True)]
+        assert sorted(set(got)) == want and got == sorted(got)
