@@ -22,18 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelspark.operators.fourier import extended
-from kernelspark.operators.gp import distances
 
 MatrixKernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product."""
+    left, right = np.empty((len(a), a.shape[1] + 2)), np.empty((len(b), b.shape[1] + 2))
+    np.multiply(a, -2, out=left[:, :-2])
+    left[:, -2], left[:, -1] = np.einsum("ij,ij->i", a, a), 1
+    right[:, :-2] = b
+    right[:, -2], right[:, -1] = 1, np.einsum("ij,ij->i", b, b)
+    d = left @ right.T
+    return np.maximum(d, 0, out=d)
+
+
 @dataclass(frozen=True)
 class laplacian:  # noqa: N801  used like a function, but it can be sent to executors
     s: float
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = distances(a, b)
-        d /= -self.s
+        d = _squares(a, b)
+        np.sqrt(d, out=d)
+        d *= -1 / self.s
         return np.exp(d, out=d)
 
 
@@ -42,9 +53,8 @@ class gaussian:  # noqa: N801
     s: float
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = distances(a, b)
-        d *= d
-        d /= -2 * self.s * self.s
+        d = _squares(a, b)
+        d *= -0.5 / (self.s * self.s)
         return np.exp(d, out=d)
 
 
