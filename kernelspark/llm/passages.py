@@ -184,17 +184,17 @@ def chains(x: np.ndarray, y: np.ndarray, rule: Rule, span: int = 0) -> list[np.n
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
+def common(a: np.ndarray | list[int], b: np.ndarray | list[int]) -> int:
     """Length of the longest common subsequence of two short word sequences: bit j of ``flat`` tells that b's word j adds none."""
     at: dict[int, int] = {}
     bit = 1
-    for v in b.tolist():
+    for v in b:
         at[v] = at.get(v, 0) | bit
         bit <<= 1
     flat = every = bit - 1
-    for v in a.tolist():
-        here = flat & at.get(v, 0)
-        if here:
+    for v in a:
+        if v in at:
+            here = flat & at[v]
             flat = (flat + here | flat - here) & every
     return len(b) - flat.bit_count()
 
@@ -248,6 +248,12 @@ def within_reach(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k:
     return int(x[0]) - n, i + m, int(y[0]) - n, j + m
 
 
+def _beside(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, ends: tuple[int, int, int, int]) -> int:
+    """Equal words of an alignment before its first seed and after its last; ends as in equal_words()."""
+    before = np.count_nonzero(a[ends[0] : int(x[0])] == b[ends[2] : int(y[0])])
+    return int(before + np.count_nonzero(a[int(x[-1]) + k : ends[1]] == b[int(y[-1]) + k : ends[3]]))
+
+
 def parts(i: np.ndarray, j: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """(first, last) of runs of the equal words at i and j that are passages, none inside another, as few as cover all words that lie in any."""
     n = np.arange(len(i))
@@ -289,13 +295,14 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, re
     # seeds that touch, with the same words between both texts, are one stretch of equal words
     first = np.flatnonzero(np.concatenate(([True], (np.diff(x) != np.diff(y)) | (np.diff(x) > k) | (np.diff(x) < 0))))
     size = x[np.append(first[1:], len(x)) - 1] + k - x[first]
+    v, w = (a.tolist(), b.tolist()) if len(first) > 1 else ([], [])
     for p, q, k in zip(x[first].tolist(), y[first].tolist(), size.tolist(), strict=True):
         if p + k <= i or q + k <= j:
             continue  # inside what is aligned already
         skip = max(i - p, j - q, 0)  # a seed that overlaps the one before
         p, q = p + skip, q + skip
         if p > i or q > j:
-            equal += common(a[i:p], b[j:q]) if p > i and q > j else 0
+            equal += common(v[i:p], w[j:q]) if p > i and q > j else 0
         n = k - skip
         equal += n
         i, j = p + n, q + n
@@ -944,14 +951,14 @@ def _aligned(rows: DataFrame, chained: DataFrame, rule: Rule) -> DataFrame:
         held = None
         for batch in batches:
             out = []
-            for doc, ref, x, y, w, key in zip(*(batch.column(c) for c in ("doc", "ref", "x", "y", "words", "key")), strict=True):
-                if ref.as_py() is None:
-                    held = (doc.as_py(), np.frombuffer(w.as_buffer(), "<u4").copy(), key.as_py())
-                elif held is not None and held[0] == doc.as_py():
-                    p = np.frombuffer(y.as_buffer(), "<i4")
+            for doc, ref, x, y, w, key in zip(*(batch.column(c).to_pylist() for c in ("doc", "ref", "x", "y", "words", "key")), strict=True):
+                if ref is None:
+                    held = (doc, np.frombuffer(w, "<u4"), key)
+                elif held is not None and held[0] == doc:
+                    p = np.frombuffer(y, "<i4")
                     a, b = max(0, int(p[0]) - own), min(len(held[1]), int(p[-1]) + rule.k + own)
                     if int(p[-1]) + rule.k <= len(held[1]):
-                        out.append((doc.as_py(), ref.as_py(), x.as_py(), y.as_py(), a, held[1][a:b].tobytes(), held[2]))
+                        out.append((doc, ref, x, y, a, held[1][a:b].tobytes(), held[2]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["doc", "ref", "x", "y", "at", "words", "key"])
 
@@ -968,14 +975,14 @@ def _aligned(rows: DataFrame, chained: DataFrame, rule: Rule) -> DataFrame:
         held = None
         for batch in batches:
             out = []
-            for ref, doc, x, y, at, w, key in zip(*(batch.column(c) for c in ("ref", "doc", "x", "y", "at", "words", "key")), strict=True):
-                v = np.frombuffer(w.as_buffer(), "<u4")
-                if doc.as_py() is None:
-                    held = (ref.as_py(), v.copy())
+            for ref, doc, x, y, shift, w, key in zip(*(batch.column(c).to_pylist() for c in ("ref", "doc", "x", "y", "at", "words", "key")), strict=True):
+                v = np.frombuffer(w, "<u4")
+                if doc is None:
+                    held = (ref, v)
                     continue
-                if held is None or held[0] != ref.as_py():
+                if held is None or held[0] != ref:
                     continue
-                p, q, shift = np.frombuffer(x.as_buffer(), "<i4").astype(np.int64), np.frombuffer(y.as_buffer(), "<i4").astype(np.int64), at.as_py()
+                p, q = np.frombuffer(x, "<i4").astype(np.int64), np.frombuffer(y, "<i4").astype(np.int64)
                 if p[-1] + rule.k > len(held[1]):
                     continue
                 # seeds of another text of the same id don't fit
@@ -986,10 +993,13 @@ def _aligned(rows: DataFrame, chained: DataFrame, rule: Rule) -> DataFrame:
                 a, b = max(0, int(p[0]) - own), min(len(held[1]), int(p[-1]) + rule.k + own)
                 s, e, t, u, equal = align(held[1][a:b], v, p - a, q - shift, rule.k, own)
                 if min(e - s, u - t) >= rule.min_words and 100 * equal >= rule.identity * max(e - s, u - t):
-                    out.append((doc.as_py(), t + shift, u + shift, ref.as_py(), s + a, e + a, u - t, equal, key.as_py()))
+                    out.append((doc, t + shift, u + shift, ref, s + a, e + a, u - t, equal, key))
                 else:
-                    i, j = equal_words(held[1][a:b], v, p - a, q - shift, rule.k, within_reach(held[1][a:b], v, p - a, q - shift, rule.k, own))
-                    out += [(doc.as_py(), int(j[f]) + shift, int(j[g]) + 1 + shift, ref.as_py(), int(i[f]) + a, int(i[g]) + 1 + a, int(j[g] - j[f]) + 1, g - f + 1, key.as_py()) for f, g in parts(i, j, rule)]
+                    ends = within_reach(held[1][a:b], v, p - a, q - shift, rule.k, own)
+                    if 100 * (equal + _beside(held[1][a:b], v, p - a, q - shift, rule.k, ends)) < rule.identity * rule.min_words:
+                        continue  # too few equal words for any part
+                    i, j = equal_words(held[1][a:b], v, p - a, q - shift, rule.k, ends)
+                    out += [(doc, int(j[f]) + shift, int(j[g]) + 1 + shift, ref, int(i[f]) + a, int(i[g]) + 1 + a, int(j[g] - j[f]) + 1, g - f + 1, key) for f, g in parts(i, j, rule)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
