@@ -64,6 +64,8 @@ SALT = 2_000
 HOT = 256
 #: Matches that a task puts in order at once.
 MATCHES = 1 << 21
+#: Places of a pair of seeds whose documents meet in one task, of those that look for others and of those that are looked at.
+SIDE = 4_096
 
 
 @dataclass(frozen=True)
@@ -592,13 +594,14 @@ def _pairs(frequent: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[i]), pa.array(y[i].astype(np.int32)), pa.array((2 * (y[j] - y[i]) + wanted).astype(np.int32))], names=["key", "doc", "y", "wide"])
 
     coupled = frequent.select("doc", "x", "y").join(_spans(found), "doc", "left").mapInArrow(lean(couple), "key long, doc long, y int, wide int")
-    return _open(coupled)
+    return _open(staged(coupled, "passage-coupled"))
 
 
 def _open(pairs: DataFrame) -> DataFrame:
     """Those of staged pairs that lie outside of found passages in a document which isn't the first that has them, with all their documents."""
-    keys = pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("wide") % 2 == 1, F.col("doc"))).alias("last")).where("first < last").select("key")
-    return staged(pairs.join(keys, "key", "left_semi"), "passage-pairs")
+    keys = staged(pairs.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("wide") % 2 == 1, F.col("doc"))).alias("last")).where("first < last").select("key"), "passage-keys")
+    few = keys.count() <= FETCHED  # the pairs stay where they are, however many have one key
+    return staged(pairs.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "passage-pairs")
 
 
 def _left(pairs: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
@@ -770,21 +773,22 @@ def _promising(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
         return k[enough(own[ends[k, 0]]) | enough(own[ends[k, 1]])]
 
     def meet(batches):
-        key, n = None, 0
+        key, n = None, 0  # (key, tile), and documents of it so far
         refs, there, ends = np.zeros(64, np.int64), np.zeros((64, BUCKETS // 8), np.uint8), np.zeros((64, 2, longest), np.uint16)
         for batch in batches:
             docs, ref = [], []
-            for k, doc, late, bits, words in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "open", "there", "words")), strict=True):
-                if k != key:
-                    key, n = k, 0
+            for k, tile, doc, late, bits, words in zip(*(batch.column(c).to_pylist() for c in ("key", "tile", "doc", "open", "there", "words")), strict=True):
+                if (k, tile) != key:
+                    key, n = (k, tile), 0
                 if not late:
                     if n == len(refs):
                         refs, there, ends = (np.concatenate((c, np.zeros_like(c))) for c in (refs, there, ends))
                     refs[n], there[n], ends[n] = doc, np.frombuffer(bits, np.uint8), np.frombuffer(words, "<u2").reshape(2, longest)
                     n += 1
                 else:
-                    for a in range(0, n - 1, DOCS):  # its own row is the last
-                        b = min(a + DOCS, n - 1)
+                    most = n - int(n > 0 and refs[n - 1] == doc)  # its own row is the last where it is in the tile
+                    for a in range(0, most, DOCS):
+                        b = min(a + DOCS, most)
                         found = refs[a + alike(there[a:b], ends[a:b], bits, words)]
                         docs.append(np.full(len(found), doc))
                         ref.append(found)
@@ -794,8 +798,16 @@ def _promising(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     of = pairs.groupBy("doc").agg(F.collect_list(F.struct("key", "y", "wide")).alias("p"))
     words = _words_of(rows, of.select("doc")).join(of, "doc")
     every = words.select("doc", "words", "p").mapInArrow(lean(outline), "key long, doc long, open int, there binary, words binary")
-    met = every.repartition("key").sortWithinPartitions("key", "doc", "open").mapInArrow(lean(meet), "doc long, ref long")
-    return staged(met.distinct(), "passage-promising")
+    # documents of a pair that very many have meet in tiles: a part of those that look and a part of those that are looked at
+    hot = pairs.groupBy("key").agg(F.ceil(F.count("*") / F.lit(SIDE)).alias("along"), F.ceil(F.sum(F.col("wide") % 2) / F.lit(SIDE)).alias("across")).where("along > 1")
+    side = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)).cast("int")
+    dealt = every.join(F.broadcast(hot), "key", "left").withColumns({"along": side("along"), "across": side("across")})
+    group = lambda n: F.pmod(F.xxhash64("doc"), F.col(n).cast("long")).cast("int")
+    to = F.when(F.col("open") == 0, F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda i: i * F.col("along") + group("along")))
+    to = to.otherwise(F.transform(F.sequence(F.lit(0), F.col("along") - 1), lambda j: group("across") * F.col("along") + j))
+    dealt = dealt.select("key", F.explode(to).alias("tile"), "doc", "open", "there", "words")
+    dealt = dealt.repartition(packed.partitions(rows.sparkSession), "key", "tile").sortWithinPartitions("key", "tile", "doc", "open")
+    return staged(dealt.mapInArrow(lean(meet), "doc long, ref long").distinct(), "passage-promising")
 
 
 def _rest(pairs: DataFrame, promising: DataFrame) -> DataFrame:

@@ -782,3 +782,19 @@ def test_matches_of_pairs_of_seeds_come_whole_whatever_the_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + n], strict=True), (pa.int64(), pa.int64(), place, place), strict=True)], names=["doc", "ref", "y", "x"]) for a in range(0, 3, n)]
         got = [r for c in passages._unpacked(iter(batches)) for r in zip(*(v.tolist() for v in c[:4]), strict=True)]
         assert sorted(set(got)) == want and got == sorted(got)
+
+
+def test_documents_of_a_hot_pair_meet_the_same_in_tiles(spark, monkeypatch):
+    """The documents of one pair of seeds meet in many tasks, and each with all earlier ones."""
+    from pyspark.sql import functions as F
+
+    rows = [(d, " ".join([f"v{d}_{j}" for j in range(60)] + ["of"] * (41 + d % 8) + [f"w{d}_{j}" for j in range(60)])) for d in range(40)]
+    df, rule, got = docs(spark, rows).withColumn("key", F.xxhash64("text")), passages.Rule(), []
+    chained = passages._chained(passages._met(df, rule), rule)
+    found = passages._aligned(df, chained.where("doc <> ref"), rule).where("false")  # as if nothing were found before
+    pairs = passages._pairs(chained.where("doc = ref"), found, rule)
+    pairs = pairs.where(F.col("key") == pairs.groupBy("key").count().orderBy(F.desc("count"), "key").first().key)
+    for side in (4_096, 7):
+        monkeypatch.setattr(passages, "SIDE", side)
+        got.append(sorted((r.doc, r.ref) for r in passages._promising(df, pairs, rule).collect()))
+    assert got[0] == got[1] == [(d, r) for d in range(40) for r in range(d)]
