@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a task collects before it deals them out, and blocks of a batch it gives.
-HELD, BLOCKS = 1 << 19, 256
+HELD, BLOCKS = 1 << 18, 256
 #: Buckets at least, and in each partition.
-BUCKETS, EACH = 1024, 4
+BUCKETS, EACH = 512, 4
 
 SCHEMA = "bucket int, block binary"
 

@@ -63,7 +63,7 @@ SALT = 2_000
 #: Rows of a seed, of those that a task deals out at once, from which on each of its documents is a row of the shuffle: no bucket holds a hot seed in memory.
 HOT = 256
 #: Matches that a task puts in order at once.
-MATCHES = 1 << 21
+MATCHES = 1 << 20
 #: Places of a pair of seeds whose documents meet in one task, of those that look for others and of those that are looked at.
 SIDE = 4_096
 

@@ -762,7 +762,7 @@ def test_matches_of_a_large_bucket_are_ordered_by_parts(monkeypatch):
     rng = np.random.default_rng(7)
     cols = [rng.integers(20, 60, 4_000), rng.integers(0, 20, 4_000), rng.integers(0, 900, 4_000).astype(np.int32), rng.integers(0, 900, 4_000).astype(np.int32), np.zeros(4_000, np.int64)]
     found, got = [block for a in range(0, 4_000, 500) for _, block in _packed.blocks([c[a : a + 500] for c in cols], np.zeros(500, np.int32))], []
-    for most in (1 << 21, 300):
+    for most in (1 << 20, 300):
         monkeypatch.setattr(passages, "MATCHES", most)
         parts = list(passages._of_pairs(found, passages.Rule()))
         assert (len(parts) > 1) == (most < 4_000)
