@@ -23,11 +23,24 @@ def error_of(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def summarise(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Per group: count, and median, mean, sample deviation and interpolated 10th and 90th percentile of each value. Null keys are a group."""
+    """Per group: count, and median, mean, sample deviation and interpolated 10th and 90th percentile of each value. Null keys are a group; NaN counts as the greatest value.
+
+    df is read some three times: the percentiles come from refined counts, as those of exact_quantiles, since percentile() keeps and shuffles every distinct value.
+    """
+    from kernelspark.sources.staging import written
+
+    ks, qs = [f"__k{i}" for i in range(len(keys))], {"median": 0.5, "p10": 0.1, "p90": 0.9}
+    named = df.select(*[F.col(c).alias(k) for c, k in zip(keys, ks, strict=True)], *[F.col(v).alias(f"__v{i}") for i, v in enumerate(values)])
     out = [F.count("*").alias("repeat_count")]
-    for v in values:
-        out += [F.percentile(v, F.lit(0.5)).alias(f"{v}_median"), F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_std"), F.percentile(v, F.lit(0.1)).alias(f"{v}_p10"), F.percentile(v, F.lit(0.9)).alias(f"{v}_p90")]
-    return df.groupBy(*keys).agg(*out)
+    for i, v in enumerate(values):
+        out += [F.avg(f"__v{i}").alias(f"{v}_mean"), F.stddev_samp(f"__v{i}").alias(f"{v}_std"), F.struct(*_extremes(F.col(f"__v{i}").cast("double"))).alias(f"__e{i}")]
+    groups = written(named.groupBy(*ks).agg(*out))
+    got = groups
+    for i, v in enumerate(values):
+        found = _quantiles(named.select(*ks, F.col(f"__v{i}").cast("double").alias("v")).where("v is not null"), groups.select(*ks, f"__e{i}.*"), ks, list(qs.values()))
+        wide = found.groupBy(*[F.col(k).alias(f"{k}_") for k in ks]).agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"{v}_{name}") for name, q in qs.items()])
+        got = got.join(wide, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in ks], F.lit(True)), "left").drop(*[f"{k}_" for k in ks])
+    return got.select(*[F.col(k).alias(c) for c, k in zip(keys, ks, strict=True)], "repeat_count", *[f"{v}_{name}" for v in values for name in ("median", "mean", "std", "p10", "p90")])
 
 
 #: Parts that a range of values is cut in, and rows of a range that is no longer cut but sorted.
@@ -44,15 +57,29 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float])
     one value or few rows; only those are sorted.  Every round is one pass; two do
     for most data.
     """
-    from kernelspark.sources.staging import remove, written
-
     ks = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(keys, ks, strict=True)], F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    groups = rows.groupBy(*ks).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    found = _quantiles(rows, rows.groupBy(*ks).agg(*_extremes(F.col("v"))), ks, qs)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(keys, ks, strict=True)], "q", F.col("v").alias(value))
+
+
+def _extremes(v: Column) -> list[Column]:
+    """Of a group: how many values, -Infinity, Infinity and NaN it has, and its least and greatest finite value."""
+    finite = F.when(F.abs(v) < float("inf"), v)
+    return [F.count(v).alias("n"), F.count_if(v == float("-inf")).alias("least"), F.count_if(v == float("inf")).alias("most"), F.count_if(F.isnan(v)).alias("nans"), F.min(finite).alias("lo"), F.max(finite).alias("hi")]
+
+
+def _quantiles(rows: DataFrame, groups: DataFrame, ks: list[str], qs: list[float]) -> DataFrame:
+    """(ks.., q, v) of rows (ks.., v) without nulls, whose groups have _extremes."""
+    from kernelspark.sources.staging import remove, written
+
     place = F.col("q") * (F.col("n") - 1)
-    wanted = groups.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    wanted = wanted.withColumn("rank", F.when(F.col("side") == 0, F.floor(place)).otherwise(F.ceil(place)).cast("long")).withColumn("below", F.lit(0).cast("long"))
-    wanted = written(wanted.select(*ks, "q", "side", "rank", "below", F.col("n").alias("held"), "n", "lo", "hi"))
+    wanted = groups.where("n > 0").withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    wanted = wanted.withColumn("rank", F.when(F.col("side") == 0, F.floor(place)).otherwise(F.ceil(place)).cast("long"))
+    # what is not finite lies at the ends
+    finite = F.col("n") - F.col("least") - F.col("most") - F.col("nans")
+    end = F.when(F.col("rank") < F.col("least"), float("-inf")).when(F.col("rank") >= F.col("n") - F.col("nans"), float("nan")).when(F.col("rank") >= F.col("least") + finite, float("inf"))
+    wanted = written(wanted.select(*ks, "q", "side", "rank", F.col("least").alias("below"), finite.alias("held"), "n", F.coalesce(end, "lo").alias("lo"), F.coalesce(end, "hi").alias("hi")))
     same = lambda cols: reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols], F.lit(True))
     left = lambda *cols: [F.col(f"a.{c}").alias(c) for c in cols]
     open_ = (F.col("held") > FEW) & (F.col("lo") < F.col("hi"))
@@ -79,7 +106,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float])
     found = found.select(*left(*ks, "q", "side", "n"), v.alias("v"))
     both = found.groupBy(*ks, "q").agg(F.max("n").alias("n"), F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
     share = F.col("q") * (F.col("n") - 1) - F.floor(F.col("q") * (F.col("n") - 1))
-    return both.select(*[F.col(k).alias(c) for c, k in zip(keys, ks, strict=True)], "q", (F.col("a") * (1 - share) + F.col("b") * share).alias(value))
+    return both.select(*ks, "q", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - share) + F.col("b") * share).alias("v"))
 
 
 def fail_count(df: DataFrame, keys: list[str], failed: Column) -> DataFrame:

@@ -75,3 +75,26 @@ def test_quantiles_of_far_values(spark, small):
 
 def test_no_rows(spark):
     assert A.exact_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("keys", [["k"], ["k", "m"], []])
+def test_summary_equals_percentile(spark, small, monkeypatch, keys):
+    """Null keys, nulls, NaN, infinities, equal values and repeated rows, as percentile() takes them, which is not called: it would shuffle every distinct value."""
+    r, nan, inf = np.random.default_rng(1), float("nan"), float("inf")
+    rows = [("a", i % 2, float(v)) for i, v in enumerate(r.normal(size=90))] + [(None, None, float(v)) for v in r.lognormal(0, 2, 40)] * 2
+    rows += [("inf", 1, v) for v in (inf, inf, -inf, *map(float, range(12)))] + [("nan", 1, v) for v in (nan, nan, inf, -inf, 1.0, 0.1, 0.3, None)]
+    rows += [("all", 1, nan)] * 3 + [("ends", 1, -inf), ("ends", 1, inf), ("same", 2, 0.1), ("same", 2, 0.1), ("same", 2, 0.1), ("none", None, None), ("one", 3, 7.5)]
+    df = spark.createDataFrame(rows, "k string, m int, v double").withColumn("d", F.when(F.abs("v") < 1e6, F.col("v")).cast("decimal(12,4)")).repartition(4)
+    own = [f"{e} as {v}_{name}" for v in ("v", "d") for name, e in (("median", f"percentile({v}, 0.5)"), ("mean", f"avg({v})"), ("std", f"stddev_samp({v})"), ("p10", f"percentile({v}, 0.1)"), ("p90", f"percentile({v}, 0.9)"))]
+    want = df.groupBy(*keys).agg(F.count("*").alias("repeat_count"), *map(F.expr, own))
+    plain = lambda t: sorted([tuple(f"{float(v):.12g}" if i >= len(keys) and v is not None else repr(v) for i, v in enumerate(x)) for x in t.collect()])
+    monkeypatch.delattr(F, "percentile")
+    got = A.summarise(df, keys, ["v", "d"])
+    assert got.dtypes == want.dtypes and plain(got) == plain(want)
+    assert plain(A.summarise(df.limit(0), keys, ["v", "d"])) == plain(df.limit(0).groupBy(*keys).agg(F.count("*"), *map(F.expr, own)))
+
+
+def test_infinite_values_end(spark, small):
+    """Many rows with an infinite one beside them: the range that is cut is that of the finite ones."""
+    df = spark.createDataFrame([("a", float(v)) for v in range(30)] + [("a", float("inf"))] * 10 + [("a", float("-inf"))], "k string, v double")
+    assert {r.q: r.v for r in A.exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.9]).collect()} == {0.0: float("-inf"), 0.5: 19.0, 0.9: float("inf")}
